@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condmon.llm import bpe
+from condmon.llm import bpe, ogg, sharding, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,73 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Shards, and the seed of the order within a source.
+SHARDS, SHARD_SEED = 8, 17
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deals all ``documents`` into eight shards by fractional rank within their source; shard sizes in rows differ by one at most."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    out = sharding.interleave(docs, SHARDS, seed=SHARD_SEED)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores every whole text of ``documents`` as an Ogg file, reads it back and reports what was read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = ogg.from_media(ogg.to_media(docs).select("doc_id", "n_bytes", "media"))
+    feature = F.concat_ws(";", *[F.concat(F.lit(f"{n}="), F.col(n).cast("string")) for n in ("streams", "pages", "packets", "duration_ms", "bad_pages", "peak")])
+    return back.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )
+
+
+#: The rules that every url is judged by.
+URL_RULES = [
+    urls.Rule("org", "/", "allow"),
+    urls.Rule("example.org", "/es/", "block"),
+    urls.Rule("example.org", "/en/1", "block"),
+    urls.Rule("com", "/fr/", "allow"),
+    urls.Rule("com", "/de/", "block"),
+]
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges every url of ``pages`` by the rules; urls that no rule fits are allowed."""
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
+    "op6_sharding": op6_sharding,
+    "op7_ogg": op7_ogg,
+    "op9_urls": op9_urls,
     "op3_bpe": op3_bpe,
 }
 
 ORACLES: dict[str, str] = {}
+
+ORACLES["op6_sharding"] = f"""
+WITH RECURSIVE bits AS (SELECT i, 0 AS k, i AS c FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+d AS (SELECT doc_id, source, coalesce(text, '') AS text, md5(concat_ws(':', '{SHARD_SEED}', coalesce(CAST(doc_id AS VARCHAR), ''))) AS h FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * r + 1 AS DOUBLE) / CAST(2 * n AS DOUBLE), coalesce(source, ''), source IS NULL, r) - 1 AS pos, count(*) OVER () AS total FROM r),
+s AS (SELECT *, total // {SHARDS} AS base, total % {SHARDS} AS extra FROM p),
+t AS (SELECT *, CAST(CASE WHEN pos < extra * (base + 1) THEN pos // (base + 1) ELSE extra + (pos - extra * (base + 1)) // greatest(base, 1) END AS INTEGER) AS shard FROM s)
+SELECT doc_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS size,
+  CAST(xor(list_reduce(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, x: xor(c >> 8, tab[xor(c, x) % 256 + 1]), 4294967295), 4294967295) AS BIGINT) AS text_crc32,
+  'rows' AS law, shard, CAST(pos - CASE WHEN shard < extra THEN shard * (base + 1) ELSE extra * (base + 1) + (shard - extra) * base END AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM t, crc"""
+
+ORACLES["op9_urls"] = """
+WITH p AS (SELECT page_id,
+    translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits AS (SELECT p.page_id, max_by(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path)) AS best
+  FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.page_id)
+SELECT p.page_id, p.host, p.path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM p LEFT JOIN fits USING (page_id)"""
