@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condmon.llm import bpe, ogg, sharding, urls
+from condmon.llm import bpe, ogg, pfp, sharding, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes from every whole text of ``documents`` the bytes that a smaller document has in a string of 50."""
+    out = pfp.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every whole text of ``documents``; digests of the ids and of the decoded bytes."""
     import public_tokenizers
@@ -62,6 +68,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op6_sharding": op6_sharding,
     "op7_ogg": op7_ogg,
     "op9_urls": op9_urls,
