@@ -21,12 +21,13 @@ from pyspark.sql import types as T
 
 #: Arrow batches are cut to about this many text bytes before any numpy work.
 SLICE_BYTES = 4 << 20
-#: Rows in one Arrow batch that Spark hands to a Python worker.
-ARROW_ROWS = 2000
+#: Rows and bytes at most in one Arrow batch that Spark hands to a Python worker.
+ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch rows to :data:`ARROW_ROWS` so that a batch of long texts fits a worker."""
+    """Lower the session's Arrow batches to :data:`ARROW_ROWS` and :data:`ARROW_BYTES` so that a batch of long texts fits a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condmon.llm import bpe, ogg, pfp, sharding, urls
+from condmon.llm import bpe, minhash, ogg, pfp, sharding, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,13 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all ``documents`` over sets of five-word shingles, similarity 0.75 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
+    "op10_minhash": op10_minhash,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op6_sharding": op6_sharding,
     "op7_ogg": op7_ogg,
