@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condmon.llm import bpe, minhash, ogg, pfp, sharding, urls
+from condmon.llm import bpe, labelled, minhash, ogg, pfp, quality, sharding, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,28 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Labelled rows of each class at most that a classifier is fitted on, and bytes of a text in that sample.
+FIT_ROWS, FIT_BYTES = 2000, 32 << 10
+
+
+def _classified(spark: SparkSession, sf_dir: str, label: str, parts: int, rest: int, method) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(labelled.fold("doc_id", parts) == rest, F.lit(False))
+    texts, marks = labelled.sample(docs, labels, label, held_out, FIT_ROWS, FIT_BYTES)
+    out = method.score(docs, method.train(texts, marks))
+    return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of ``documents``; fitted on labelled rows outside the held-out fold."""
+    return _classified(spark, sf_dir, "toxic", 5, 0, toxicity)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text of ``documents``; fitted on labelled rows outside the held-out fold."""
+    return _classified(spark, sf_dir, "quality", 3, 1, quality)
+
+
 #: Shards, and the seed of the order within a source.
 SHARDS, SHARD_SEED = 8, 17
 
@@ -75,6 +97,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op10_minhash": op10_minhash,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op8_quality": op8_quality,
     "op6_sharding": op6_sharding,
     "op7_ogg": op7_ogg,
     "op9_urls": op9_urls,
