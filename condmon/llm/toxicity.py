@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ PARAMETERS = {"window_log": 18, "hash_log": 16, "chain_log": 17, "search_log": 7
 #: Bytes at the start of a word that are looked at for telling pieces, its blank included.
 PIECES = (4, 5, 6, 7, 9)
 #: A piece is telling if it is this many times as frequent in toxic texts, and in this share of them.
-LIFT, SHARE = 30, 0.03
+LIFT, SHARE = 12, 0.02
 _WIDE = np.random.default_rng(5).permutation(1 << 16)[: 256 * WIDTH // 2].astype("<u2").reshape(256, -1)
 
 
@@ -104,6 +105,18 @@ def _pieces(texts: list[list[bytes]]) -> dict[bytes, int]:
     return found
 
 
+def _originals(texts: list[list[bytes]]) -> list[list[bytes]]:
+    """Without near copies of earlier texts, by the least hashes of their word triples: what only a family of copies has tells nothing."""
+    seen: set[int] = set()
+    out = []
+    for t in texts:
+        least = sorted({crc32(b" ".join(t[i : i + 3])) for i in range(max(1, len(t) - 2))})[:4]
+        if seen.isdisjoint(least):
+            out.append(t)
+        seen.update(least)
+    return out
+
+
 def _stems(pieces: dict[bytes, int]) -> list[bytes]:
     """The shortest telling pieces, each drawn out as far as most of its texts go on alike; the most frequent last.  Longer ones would only bring chance matches."""
     roots = [w for w in pieces if not any(w[:n] in pieces for n in range(2, len(w)))]
@@ -121,11 +134,12 @@ def train(texts: list[str], labels: list[int]) -> Model:
     good, bad = [t for t, v in zip(cut, labels, strict=True) if not v], [t for t, v in zip(cut, labels, strict=True) if v]
     if not good or not bad:
         return Model(b"\0" * 8, b"\0" * 8, 1, (-3.0, 0.0, 0.0, 0.0))
+    good, bad = _originals(good), _originals(bad)
     common, strange = _pieces(good), _pieces(bad)
     frequent = sorted((w for w in common if len(w) > 3), key=lambda w: (common[w], w))[-DICTIONARY // 6 :]
     ordinary = b"".join(frequent)[-DICTIONARY:]
     share = lambda w: (strange[w] / len(bad)) / ((common.get(w, 0) + 0.5) / len(good))
-    telling = _stems({w: n for w, n in strange.items() if len(w) > 3 and n >= max(2, SHARE * len(bad)) and share(w) > LIFT})
+    telling = _stems({w: n for w, n in strange.items() if len(w) > 3 and n >= max(3, SHARE * len(bad)) and share(w) > LIFT})
     toxic = b"".join(telling)[-DICTIONARY:] + ordinary  # what both have stays equally near
     gains = Gains(ordinary, toxic)(cut)
     best = (-1.0, 0)
