@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condmon.llm import bpe, labelled, minhash, ogg, pfp, quality, sharding, toxicity, urls
+from condmon.llm import bpe, labelled, minhash, mixing, ogg, pfp, pivots, quality, sharding, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every twentieth vector of ``embeddings`` with all others."""
+    return pivots.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0)
+
+
+#: Fixed values of the mixture: exponents of token shares, share of tokens sampled, seed, raking rounds.
+MIX_TARGETS, MIX_SHARE, MIX_SEED, MIX_ROUNDS = {"source": 0.5, "lang": 0.3, "topic": 0.7}, 0.5, 23, 20
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrates ``documents`` to target shares of source, language and topic, and draws copies."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", mixing.topic(F.col("text")).alias("topic"), mixing.tokens(F.col("text")).alias("tokens"))
+    out = mixing.mix(docs, {c: F.col(c) for c in MIX_TARGETS}, MIX_TARGETS, "tokens", share=MIX_SHARE, seed=MIX_SEED, rounds=MIX_ROUNDS)
+    return out.select("doc_id", "topic", "tokens", F.round("expected", 6).alias("expected"), "copies")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removes from every whole text of ``documents`` the bytes that a smaller document has in a string of 50."""
     out = pfp.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -95,6 +111,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
+    "op4_mixing": op4_mixing,
     "op10_minhash": op10_minhash,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op5_toxicity": op5_toxicity,
@@ -129,3 +147,40 @@ rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/e
 fits AS (SELECT p.page_id, max_by(struct_pack(rule := r.host || r.path, verdict := r.verdict), length(r.host || r.path)) AS best
   FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.page_id)
 SELECT p.page_id, p.host, p.path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM p LEFT JOIN fits USING (page_id)"""
+
+ORACLES["op1_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+
+
+def _mixing_sql() -> str:
+    names = list(MIX_TARGETS)
+    goals = ",\n".join(
+        f"goal_{m} AS (SELECT {m}, p / sum(p) OVER () AS goal FROM (SELECT {m}, pow(sum(t) / (SELECT sum(t) FROM cells), CAST({MIX_TARGETS[m]} AS DOUBLE)) AS p FROM cells GROUP BY {m}))"
+        for m in names
+    )
+    steps, last = [], "start"
+    for i in range(MIX_ROUNDS):
+        for m in names:
+            steps.append(f"r{i}_{m} AS MATERIALIZED (SELECT c.* EXCLUDE (w), w * goal / sum(w) OVER (PARTITION BY c.{m}) AS w FROM {last} c JOIN goal_{m} g ON c.{m} = g.{m})")
+            last = f"r{i}_{m}"
+    steps = ",\n".join(steps)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce('=' || source, 'null') AS source, coalesce('=' || lang, 'null') AS lang,
+    CASE WHEN contains(coalesce(text, ''), ' | ') THEN 'list' WHEN octet_length(encode(coalesce(text, ''))) < 1000 THEN 'brief' WHEN octet_length(encode(coalesce(text, ''))) < 6000 THEN 'article' ELSE 'long' END AS topic,
+    CAST(ceil(octet_length(encode(coalesce(text, ''))) / 4.0) AS BIGINT) AS tokens FROM documents),
+cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS t FROM d GROUP BY ALL HAVING sum(tokens) > 0),
+start AS (SELECT *, t / sum(t) OVER () AS w FROM cells),
+{goals},
+{steps},
+e AS (SELECT d.doc_id, d.topic, d.tokens, CASE WHEN d.tokens > 0 THEN {MIX_SHARE} * c.w * (SELECT sum(t) FROM cells) / c.t ELSE {MIX_SHARE} END AS expected,
+    CAST('0x' || substr(md5(concat_ws(':', '{MIX_SEED}', coalesce(CAST(d.doc_id AS VARCHAR), ''))), 1, 8) AS BIGINT) / 4294967296.0 AS u
+  FROM d LEFT JOIN {last} c ON d.source = c.source AND d.lang = c.lang AND d.topic = c.topic)
+SELECT doc_id, topic, tokens, round(expected, 6) AS expected, CAST(floor(expected) + CASE WHEN u < expected - floor(expected) THEN 1 ELSE 0 END AS INTEGER) AS copies FROM e"""
+
+
+ORACLES["op4_mixing"] = _mixing_sql()
