@@ -1,23 +1,25 @@
 """MinHash near-dedup with b-bit signatures.
 
-1. Every text gives its set of word shingles, ``BANDS * ROWS`` minima, one
-   hash a band of ``ROWS`` minima, and the low ``BITS`` bits of all minima
-   packed into a signature.
+1. Every text gives its set of word shingles and ``BANDS * ROWS`` minima, one
+   hash a band of ``ROWS`` minima.
 2. Rows with equal sets are one class, known by its smallest id; only classes
    go on, so exact copies cost one aggregation and no pairs.
 3. Classes that share a band are candidates.  Only the pairs of the smallest
    class of a band with the others are made (as many as the band has members).
-4. Packed signatures are compared by bit counts; the share of equal fields is
-   corrected for chance collisions (2**-BITS), and pairs estimated below
-   ``FLOOR`` go: seven standard deviations under the limit.
+4. The candidates alone get their full sets and a signature: the low ``BITS``
+   bits of ``MINIMA`` further minima, packed.  Signatures are compared by bit
+   counts; the share of equal fields is corrected for chance collisions
+   (2**-BITS), and pairs estimated under ``FLOOR`` go, 4.3 standard deviations
+   below the limit.
 5. The rest is confirmed on full sets, 100 * intersection >= 75 * union.
 6. Links become components.  A band whose members are in several components
-   after that is looked at again: pairs of members of different components,
-   best estimates first, until none is left untested.  So no link between
-   components is lost, and a large group of near copies, which is one component
-   after the first round, never makes its pairs.
+   after that is looked at again, in its task: pairs of members of different
+   components, first the best four of each member, then all that are left.  So
+   no link between components is lost, and a large group of near copies, which
+   is one component after the first steps, never makes its pairs.
 
-A pair at the limit shares no band with probability (1 - .75**4)**32 = 5e-6.
+A pair at the limit shares no band with probability (1 - .75**4)**32 = 5e-6 and
+is estimated too low with probability 1e-5.
 """
 
 from __future__ import annotations
@@ -33,72 +35,75 @@ from pyspark.sql import types as T
 from condmon.llm.common import append_columns, text_bytes, written
 from condmon.llm.shingles import mix, sets
 
-BANDS, ROWS, BITS = 32, 4, 4
+BANDS, ROWS, MINIMA, BITS = 32, 4, 1024, 2
 #: Link limit in hundredths, words in a shingle, and the least estimate that is confirmed.
-LIMIT, SIZE, FLOOR = 75, 5, 0.45
+LIMIT, SIZE, FLOOR = 75, 5, 0.68
+#: Ids up to which the candidates are broadcast to the documents (16 bytes each); beyond that both are dealt by id.
+BROADCAST_IDS = 1_000_000
 #: Members of a star that are confirmed in one task.
 STAR_ROWS = 500
 
 _U = np.uint64
 
 
-def _seeds() -> tuple[np.ndarray, np.ndarray]:
-    x = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
-    return x[: BANDS * ROWS], x[BANDS * ROWS :] | _U(1)
-
-
-def signatures(value: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes (rows x BANDS) and packed low bits of minima (rows x BANDS * ROWS * BITS / 8) of the sets that are not empty."""
-    xor, odd = _seeds()
+def _minima(value: np.ndarray, offsets: np.ndarray, count: int, seed: int) -> np.ndarray:
+    """32-bit minima (count x rows) of the sets that are not empty."""
+    x = mix(np.arange(1, 2 * count + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed))
     starts = offsets[:-1][np.diff(offsets) > 0]
-    least = np.empty((BANDS * ROWS, len(starts)), dtype=_U)
+    least = np.empty((count, len(starts)), dtype=np.uint32)
     work = np.empty_like(value)
-    for j in range(BANDS * ROWS):
-        np.bitwise_xor(value, xor[j], out=work)
-        np.multiply(work, odd[j], out=work)
-        least[j] = np.minimum.reduceat(work, starts) if len(starts) else 0
-    least >>= _U(32)
-    bands = np.zeros((BANDS, len(starts)), dtype=_U)
+    for j in range(count if len(starts) else 0):
+        np.bitwise_xor(value, x[j], out=work)
+        np.multiply(work, x[count + j] | _U(1), out=work)
+        least[j] = np.minimum.reduceat(work, starts) >> _U(32)
+    return least
+
+
+def band_hashes(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Band hashes (rows x BANDS) of the sets that are not empty."""
+    least = _minima(value, offsets, BANDS * ROWS, 0).astype(_U)
+    bands = np.zeros((BANDS, least.shape[1]), dtype=_U)
     for r in range(ROWS):
         bands = mix(bands + least[r::ROWS] + _U(r + 1))
-    bands = mix(bands + np.arange(1, BANDS + 1, dtype=_U)[:, None])
-    low = (least & _U(2**BITS - 1)).astype(np.uint8).T
-    packed = low[:, 0::2] | (low[:, 1::2] << 4)
-    return bands.T, packed
+    return mix(bands + np.arange(1, BANDS + 1, dtype=_U)[:, None]).T
+
+
+def signatures(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Packed low bits of minima (rows x MINIMA * BITS / 8) of the sets that are not empty."""
+    low = (_minima(value, offsets, MINIMA, 99) & np.uint32(2**BITS - 1)).astype(np.uint8).T
+    return np.ascontiguousarray(low[:, 0::4] | (low[:, 1::4] << 2) | (low[:, 2::4] << 4) | (low[:, 3::4] << 6))
 
 
 def equal_fields(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Equal BITS-wide fields of packed signatures, counted on the bits of a xor b."""
     x = np.bitwise_xor(a, b).view("<u8")
-    x = x | (x >> _U(2))
-    x = (x | (x >> _U(1))) & _U(0x1111111111111111)
-    return BANDS * ROWS - np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
+    x = (x | (x >> _U(1))) & _U(0x5555555555555555)
+    return MINIMA - np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
 
 
 def estimate(equal: np.ndarray) -> np.ndarray:
     """Similarity from the share of equal fields, corrected for collisions by chance."""
     chance = 2.0**-BITS
-    return (equal / (BANDS * ROWS) - chance) / (1 - chance)
+    return (equal / MINIMA - chance) / (1 - chance)
 
 
 def describe(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``n_shingles``, ``k1``/``k2`` (hash of the whole set; null for an empty one), ``bands`` and ``sig``."""
-    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
+    """Adds ``n_shingles``, ``k1``/``k2`` (hash of the whole set; null for an empty one) and ``bands``."""
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
 
     def make():
         def fn(batch: pa.RecordBatch) -> list:
             value, offsets = sets(*text_bytes(batch.column(batch.num_columns - 1)), SIZE)
             counts = np.diff(offsets)
             full = np.flatnonzero(counts)
-            bands, packed = signatures(value, offsets)
+            bands = np.ascontiguousarray(band_hashes(value, offsets))
             starts = offsets[:-1][full]
             keys = [np.add.reduceat(mix(value + _U(c)), starts) if len(full) else np.zeros(0, _U) for c in (1, 2)]
             where = np.full(len(counts), -1)
             where[full] = np.arange(len(full))
             pick = pa.array(where, mask=where < 0)
-            width = BANDS
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(full) * width + 1, width), type=pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))
-            return [pa.array(counts, type=pa.int64()), *[pa.array(k.view(np.int64)).take(pick) for k in keys], lists.take(pick), pa.array([p.tobytes() for p in packed], type=pa.binary()).take(pick)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(full) * BANDS + 1, BANDS), type=pa.int32()), pa.array(bands.reshape(-1).view(np.int64)))
+            return [pa.array(counts, type=pa.int64()), *[pa.array(k.view(np.int64)).take(pick) for k in keys], lists.take(pick)]
 
         return fn
 
@@ -106,16 +111,18 @@ def describe(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def full_sets(df: DataFrame, text_col: str) -> DataFrame:
-    """Adds ``set`` (binary: sorted 64-bit shingles)."""
+    """Adds ``set`` (binary: sorted 64-bit shingles) and ``sig`` (binary, null for an empty set)."""
 
     def make():
         def fn(batch: pa.RecordBatch) -> list:
             value, offsets = sets(*text_bytes(batch.column(batch.num_columns - 1)), SIZE)
-            return [[value[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]]
+            packed = iter(signatures(value, offsets))
+            ends = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+            return [[value[a:b].tobytes() for a, b in ends], [next(packed).tobytes() if b > a else None for a, b in ends]]
 
         return fn
 
-    return append_columns(df, text_col, [T.StructField("set", T.BinaryType())], make, limit=1 << 20)
+    return append_columns(df, text_col, [T.StructField("set", T.BinaryType()), T.StructField("sig", T.BinaryType())], make, limit=1 << 20)
 
 
 def _likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -193,42 +200,62 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _across(rows: DataFrame, most: int) -> DataFrame:
-    """Of each band's members (key, rep, comp, sig): pairs of different components with an estimate of FLOOR or more, the ``most`` best for every member; ``cut`` where a member has more."""
+def _across(rows: DataFrame, most: int | None) -> DataFrame:
+    """Of each band's members (key, rep, comp, bands, sig): pairs of different components with an estimate of FLOOR or more.
+
+    Every member outside the largest component looks at all others; with
+    ``most`` it names that many of its best.  A pair is made in the first band
+    that its members share.
+    """
     deal = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def pairs(rep: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> Iterator[tuple]:
-        # members of all components but the largest look at all others
+    def pairs(key: int, held: list[tuple]) -> Iterator[tuple[int, int]]:
+        rep, comp = (np.array([h[i] for h in held], dtype=np.int64) for i in (0, 1))
+        bands = np.array([h[2] for h in held], dtype=np.int64)
+        sig = np.frombuffer(b"".join(h[3] for h in held), dtype=np.uint8).reshape(len(held), -1)
+        own = int(np.argmax(bands[0] == key))
         values, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        look = np.flatnonzero(inverse != np.argmax(counts))
-        for i in look:
-            e = estimate(equal_fields(sig[i], sig))
-            ok = np.flatnonzero((e >= FLOOR) & (comp != comp[i]))
-            if len(ok) > most:
-                best = ok[np.argpartition(-e[ok], most)[:most]]
-                yield from ((min(rep[i], rep[j]), max(rep[i], rep[j]), True) for j in best)
-            else:
-                yield from ((min(rep[i], rep[j]), max(rep[i], rep[j]), False) for j in ok)
+        largest = np.argmax(counts)
+        for i in np.flatnonzero(inverse != largest):
+            other = np.flatnonzero((comp != comp[i]) & ((inverse == largest) | (np.arange(len(rep)) > i)))
+            e = estimate(equal_fields(sig[i], sig[other]))
+            other, e = other[e >= FLOOR], e[e >= FLOOR]
+            first = (bands[other] == bands[i]).argmax(axis=1) == own
+            other, e = other[first], e[first]
+            if most is not None and len(other) > most:
+                other = other[np.argpartition(-e, most)[:most]]
+            for j in other:
+                yield min(rep[i], rep[j]), max(rep[i], rep[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def done():
-            rep, comp = (np.array([h[i] for h in held], dtype=np.int64) for i in (0, 1))
-            found = list(pairs(rep, comp, np.frombuffer(b"".join(h[2] for h in held), dtype=np.uint8).reshape(len(held), -1)))
-            return pa.RecordBatch.from_arrays([pa.array([int(f[0]) for f in found], type=pa.int64()), pa.array([int(f[1]) for f in found], type=pa.int64()), pa.array([f[2] for f in found], type=pa.bool_())], names=["a", "b", "cut"])
+            found = list(pairs(now, held)) if len({h[1] for h in held}) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([int(f[i]) for f in found], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for key, rep, comp, sig in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for key, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if key != now:
                     if held:
                         yield done()
                     now, held = key, []
-                held.append((rep, comp, sig))
+                held.append(row)
         if held:
             yield done()
 
-    return rows.select("key", "rep", "comp", "sig").repartition(deal, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, cut boolean")
+    return rows.select("key", "rep", "comp", "bands", "sig").repartition(deal, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after further links: the components of components."""
+    of = lambda c: (F.col(c) == F.col(f"n_{c}"), F.coalesce(F.col(f"c_{c}"), F.col(c)).alias(f"l_{c}"))
+    both = links
+    for c in ("a", "b"):
+        both = both.join(label.select(F.col("node").alias(f"n_{c}"), F.col("component").alias(f"c_{c}")), of(c)[0], "left")
+    upper = components(both.select(of("a")[1].alias("a"), of("b")[1].alias("b")))
+    moved = label.join(upper.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return written(moved.unionByName(upper.join(label.select("node"), "node", "left_anti")), "labels")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,38 +267,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     input are not read; an empty table gives an empty one.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").alias("text"))
-    known = written(describe(docs, "text").select("node", "n_shingles", "k1", "k2", "bands", "sig"), "minhash")
+    known = written(describe(docs, "text").select("node", "n_shingles", "k1", "k2", "bands"), "minhash")
     some = known.where("node is not null and k1 is not null")
-    classes = written(some.groupBy("k1", "k2").agg(F.min("node").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")), "classes")
+    classes = written(some.groupBy("k1", "k2").agg(F.min("node").alias("rep"), F.any_value("bands").alias("bands")), "classes")
     member = some.select("node", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct()
-    sigs = classes.select("rep", "sig")
     keys = classes.select("rep", F.explode("bands").alias("key"))
     heads = keys.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("key", "a")
     shared = written(keys.join(heads, "key").select("key", "rep", "a"), "shared")
+    # Full sets and signatures are needed of classes that share a band with another.
+    wanted = written(shared.select(F.col("rep").alias("node")).distinct(), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    shingles = written(full_sets(docs.where("text is not null").join(wanted, "node", "left_semi"), "text").where("sig is not null").select(F.col("node").alias("rep"), "set", "sig"), "sets")
+    sigs = shingles.select("rep", "sig")
     tested = written(_likely(shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), sigs).distinct(), "likely")
-    # Full sets are needed of classes that share a band with another.
-    wanted = shared.select(F.col("rep").alias("node")).distinct()
-    shingles = written(full_sets(docs.join(wanted, "node", "left_semi").where("text is not null"), "text").select(F.col("node").alias("rep"), "set"), "sets")
-    links = written(confirm(tested, shingles), "links")
-    # Bands with the same members are looked at once.
-    alike = written(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("same")).groupBy("same", "n").agg(F.min("key").alias("key")).select("key"), "alike")
-    rows = written(shared.select("key", "rep").join(alike, "key"), "members")
-    most = 8
-    while True:
-        found = components(links)
-        members = written(rows.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")), "labelled")
+    label = written(components(confirm(tested, shingles)), "labels")
+    for most in (4, None):
+        members = written(shared.select("key", "rep").join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")), "members")
         split = members.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-        again = written(_across(members.join(split, "key").join(sigs, "rep"), most).groupBy("a", "b").agg(F.max("cut").alias("cut")), "across")
-        fresh = written(again.join(tested, ["a", "b"], "left_anti").select("a", "b"), "fresh")
-        if fresh.isEmpty():
-            if again.where("cut").isEmpty():
-                break
-            most *= 8
-            continue
-        links = written(links.unionByName(confirm(fresh, shingles)).distinct(), "links")
-        tested = written(tested.unionByName(fresh), "likely")
-        most *= 4
-    final = components(links.unionByName(member))
+        rows = members.join(split, "key").join(sigs, "rep").join(classes.select("rep", "bands"), "rep")
+        fresh = written(_across(rows, most).join(tested, ["a", "b"], "left_anti"), "fresh")
+        label = _joined(label, written(confirm(fresh, shingles), "links"))
+        tested = tested.unionByName(fresh)
+    final = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(member))
     out = known.select("node", "n_shingles").join(final.withColumnRenamed("node", "other"), F.col("node") == F.col("other"), "left")
-    label = F.coalesce("component", "node")
-    return out.select(F.col("node").alias(id_col), "n_shingles", label.alias("component_id"), F.coalesce(F.col("node") == label, F.lit(True)).alias("kept"))
+    root = F.coalesce("component", "node")
+    return out.select(F.col("node").alias(id_col), "n_shingles", root.alias("component_id"), F.coalesce(F.col("node") == root, F.lit(True)).alias("kept"))
