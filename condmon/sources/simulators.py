@@ -1,0 +1,232 @@
+"""Simulated machines, records, waveforms and images as Spark data sources, in batch and as streams.
+
+``register(spark)`` makes the formats ``machine_sim``, ``record_sim`` and
+``image_sim`` known.  Every row follows from its seed and number alone (or from
+a closed form of them), so partitions are independent and a replay gives the
+same rows.
+"""
+
+from __future__ import annotations
+
+import json
+import math
+from collections.abc import Iterator
+
+import numpy as np
+from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+
+#: Order (multiples of the shaft frequency) and vibration gain of the faults.
+FAULTS = {"imbalance": (1.0, 2.6), "misalignment": (2.0, 2.1), "bearing": (3.5, 4.2), "looseness": (0.5, 1.6)}
+
+
+class Mulberry:
+    """The public mulberry32 generator: 32-bit state, numbers in [0, 1)."""
+
+    def __init__(self, seed: int) -> None:
+        self.state = seed & 0xFFFFFFFF
+
+    def __call__(self) -> float:
+        self.state = (self.state + 0x6D2B79F5) & 0xFFFFFFFF
+        z = self.state
+        z = ((z ^ z >> 15) * (z | 1)) & 0xFFFFFFFF
+        z ^= (z + ((z ^ z >> 7) * (z | 61) & 0xFFFFFFFF)) & 0xFFFFFFFF
+        return (z ^ z >> 14) / 2**32
+
+    def gauss(self) -> float:
+        u = v = 0.0
+        while u == 0:
+            u = self()
+        while v == 0:
+            v = self()
+        return math.sqrt(-2 * math.log(u)) * math.cos(2 * math.pi * v)
+
+
+class Machine:
+    """A machine whose health falls by ``rate * (0.3 + load / 100) * (1 + 1.5 * faults)`` an hour."""
+
+    def __init__(self, options: dict) -> None:
+        get = lambda k, d: float(options.get(k, d))
+        self.seed, self.load, self.rpm = int(get("seed", 1)), get("load", 60), get("rpm", 1500)
+        self.rate, self.step, self.noise = get("degradation_rate", 0.5), get("hours_per_sample", 1), get("noise", 1)
+        self.warn, self.alarm = get("warn", 4.5), get("alarm", 7.1)
+        self.faults = {f: get(f, 0) for f in FAULTS}
+        self.policy = options.get("on_failure", "continue")
+        self.frame, self.fs = int(get("frame_size", 0)), get("sampling_rate", 6400)
+
+    @property
+    def loss(self) -> float:
+        return max(0.0, self.rate) * (0.3 + self.load / 100) * (1 + 1.5 * sum(self.faults.values()))
+
+    def health(self, n: int) -> float | None:
+        """After sample ``n`` (from 0); the failure policy decides what follows 0: continue at 0, reset to 100, or stop (null)."""
+        per = self.loss * self.step
+        if per <= 0:
+            return 100.0
+        life = math.ceil(100 / per)  # samples until 0
+        if self.policy == "reset":
+            n %= life
+        elif self.policy == "stop" and n >= life:
+            return None
+        return max(0.0, 100 - per * (n + 1))
+
+    def sample(self, n: int) -> tuple | None:
+        health = self.health(n)
+        if health is None:
+            return None
+        rng = Mulberry(self.seed + n)
+        shake = lambda a: (rng() - 0.5) * 2 * a * self.noise
+        worn, f = (100 - health) / 100, self.faults
+        vibration = max(0.05, 0.9 + 0.012 * self.load + 6 * worn + sum(g * f[k] for k, (_, g) in FAULTS.items()) + shake(0.6))
+        temperature = 38 + 0.28 * self.load + 32 * worn + 9 * f["bearing"] + 2 * f["misalignment"] + shake(2)
+        current = 7.5 + 0.06 * self.load + 1.6 * f["misalignment"] + 1.1 * f["looseness"] + 1.5 * worn + shake(0.3)
+        pressure = max(0.0, 4.6 - 1.6 * worn - 0.4 * f["looseness"] + shake(0.15))
+        status = "alarm" if vibration >= self.alarm else "warning" if vibration >= self.warn else "normal"
+        found = [(k, o, self.rpm / 60 * o, round(f[k] * (0.5 + worn) * 3, 3), "high" if f[k] > 0.6 else "medium" if f[k] > 0.3 else "low") for k, (o, _) in FAULTS.items() if f[k] > 0.05]
+        hours = round(health / self.loss, 2) if self.loss > 0 else None
+        wave = self.waveform(vibration, worn, rng) if self.frame else None
+        sensors = {"vibrationRMS": round(vibration, 3), "temperature": round(temperature, 2), "current": round(current, 3), "pressure": round(pressure, 3)}
+        return n, round((n + 1) * self.step, 2), round(health, 2), status, hours, self.rpm, sensors, found, wave
+
+    def waveform(self, rms: float, worn: float, rng: Mulberry) -> list[float]:
+        """Harmonics at the faults' orders, impacts ringing down at the bearing's, noise; scaled to the vibration's RMS."""
+        t, f = np.arange(self.frame) / self.fs, self.rpm / 60
+        tone = lambda order: np.sin(2 * np.pi * order * f * t)
+        g = {k: v * (0.5 + worn) for k, v in self.faults.items()}
+        x = 0.3 * tone(1) + g["imbalance"] * 2.6 * tone(1) + g["misalignment"] * (2.1 * tone(2) + 0.8 * tone(1))
+        x = x + g["looseness"] * 1.6 * (tone(0.5) + 0.6 * tone(1.5) + 0.4 * tone(2.5))
+        if g["bearing"] > 0 and f > 0:
+            ring, since = min(self.fs / 2.5, 24 * f), np.mod(t, 1 / (3.5 * f))
+            x = x + g["bearing"] * 4.2 * np.sin(2 * np.pi * ring * since) * np.exp(-0.6 * ring * since)
+        x = x + np.array([(rng() - 0.5) * 2 * (0.4 + worn) * (0.5 + self.noise) for _ in range(self.frame)])
+        size = math.sqrt(float((x**2).mean())) or 1.0
+        return [round(float(v), 5) for v in x * (rms / size)]
+
+
+MACHINE_SCHEMA = "n long, sim_hours double, health double, status string, rul_hours double, rpm double, sensors map<string,double>, faults array<struct<type:string,order:double,frequency_hz:double,amplitude:double,severity:string>>, samples array<double>"
+
+
+class Records:
+    """Records from field specs {mean, noise, trend, min, max} (or constants), with spikes injected by chance."""
+
+    def __init__(self, options: dict) -> None:
+        self.fields = json.loads(options.get("fields", "{}"))
+        self.seed, self.chance, self.size = int(options.get("seed", 1)), float(options.get("anomaly_chance", 0)), float(options.get("anomaly_magnitude", 5))
+
+    def sample(self, n: int) -> tuple:
+        rng, out, free = Mulberry(self.seed + n), {}, []
+        for name, spec in self.fields.items():
+            if isinstance(spec, dict):
+                noise = max(0.0, float(spec.get("noise", 0)))
+                v = float(spec.get("mean", 0)) + float(spec.get("trend", 0)) * n + rng.gauss() * noise
+                out[name] = round(min(max(v, spec.get("min", -math.inf)), spec.get("max", math.inf)), 4)
+                free.append((name, noise or 1.0))
+            elif isinstance(spec, (int, float)):
+                out[name] = float(spec)
+        hit = None
+        if self.chance > 0 and free and rng() < self.chance:
+            hit, noise = free[int(rng() * len(free))]
+            out[hit] = round(out[hit] + self.size * noise * (-1 if rng() < 0.5 else 1), 4)
+        return n, out, hit
+
+
+class Images:
+    """Textured images with spots and scratches, and the mask of their pixels."""
+
+    def __init__(self, options: dict) -> None:
+        get = lambda k, d: options.get(k, d)
+        self.w, self.h, self.noise = int(get("width", 64)), int(get("height", 64)), float(get("noise", 0.05))
+        self.kind, self.severity, self.growth, self.seed = get("defect", "spot"), float(get("severity", 0.5)), float(get("growth", 0)), int(get("seed", 1))
+
+    def sample(self, n: int) -> tuple:
+        rng = np.random.default_rng(self.seed + n)
+        severity = min(1.0, self.severity + self.growth * n)
+        base = 0.1 + 0.25 * rng.random(3)
+        image = base + (rng.random((self.h, self.w, 3)) - 0.5) * 2 * self.noise
+        mask, defects = np.zeros((self.h, self.w), dtype=bool), []
+        y, x = np.mgrid[: self.h, : self.w]
+        if severity > 0 and self.kind in ("spot", "multi"):
+            for _ in range(1 + int(rng.random() * 2) if self.kind == "multi" else 1):
+                r = max(1, round((0.06 + 0.14 * severity) * min(self.w, self.h)))
+                cx, cy = r + int(rng.random() * max(1, self.w - 2 * r)), r + int(rng.random() * max(1, self.h - 2 * r))
+                inside = (x - cx) ** 2 + (y - cy) ** 2 <= r * r
+                image[inside] = 0.75 + 0.25 * rng.random(3)
+                mask |= inside
+                defects.append(("spot", cx, cy, r, severity))
+        if severity > 0 and self.kind in ("scratch", "multi"):
+            length = round((0.3 + 0.5 * severity) * self.w)
+            x0, y0, slope = int(rng.random() * max(1, self.w - length)), int(rng.random() * self.h), (rng.random() - 0.5) * 1.2
+            line = np.round(y0 + slope * np.arange(length)).astype(int)
+            for k in (0, 1):
+                rows, columns = line + k, x0 + np.arange(length)
+                good = (rows >= 0) & (rows < self.h) & (columns < self.w)
+                image[rows[good], columns[good]] = 0.02
+                mask[rows[good], columns[good]] = True
+            defects.append(("scratch", x0, y0, length, severity))
+        pixels = np.round(np.clip(image, 0, 1) * 255).astype(np.uint8)
+        return n, self.w, self.h, pixels.tobytes(), mask.astype(np.uint8).tobytes(), defects
+
+
+class _Slice(InputPartition):
+    def __init__(self, start: int, end: int) -> None:
+        self.start, self.end = start, end
+
+
+class _Batch(DataSourceReader):
+    def __init__(self, made, options: dict) -> None:
+        self.made, self.rows, self.parts = made, int(options.get("rows", 100)), max(1, int(options.get("partitions", 4)))
+
+    def partitions(self):
+        cuts = [self.rows * i // self.parts for i in range(self.parts + 1)]
+        return [_Slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def read(self, partition):
+        for n in range(partition.start, partition.end):
+            row = self.made.sample(n)
+            if row is not None:
+                yield row
+
+
+class _Stream(SimpleDataSourceStreamReader):
+    """``rows_per_batch`` rows from each offset on, up to ``rows`` where given."""
+
+    def __init__(self, made, options: dict) -> None:
+        self.made, self.step, self.end = made, int(options.get("rows_per_batch", 100)), int(options.get("rows", 0)) or None
+
+    def initialOffset(self) -> dict:
+        return {"n": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        a = start["n"]
+        b = a + self.step if self.end is None else min(self.end, a + self.step)
+        return self.readBetweenOffsets({"n": a}, {"n": b}), {"n": b}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter([r for r in map(self.made.sample, range(start["n"], end["n"])) if r is not None])
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+def _format(label: str, made, columns: str) -> type[DataSource]:
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return label
+
+        def schema(self) -> str:
+            return columns
+
+        def reader(self, schema):
+            return _Batch(made(dict(self.options)), dict(self.options))
+
+        def simpleStreamReader(self, schema):
+            return _Stream(made(dict(self.options)), dict(self.options))
+
+    return Source
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(_format("machine_sim", Machine, MACHINE_SCHEMA))
+    spark.dataSource.register(_format("record_sim", Records, "n long, sensors map<string,double>, injected string"))
+    spark.dataSource.register(_format("image_sim", Images, "n long, width int, height int, pixels binary, mask binary, defects array<struct<type:string,x:int,y:int,size:int,severity:double>>"))
