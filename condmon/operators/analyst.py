@@ -122,9 +122,9 @@ def extract_json(text: str | None) -> Any:
     """JSON of an answer: the whole, a fenced block, or the first balanced brackets; None if there is none."""
     whole = (text or "").strip()
     fence = re.search(r"```(?:json)?\s*(.*?)```", whole, re.S | re.I)
-    for part in (whole, fence[1].strip() if fence else None, balanced(whole)):
+    for part in filter(None, (whole, fence[1].strip() if fence else None, balanced(whole))):
         try:
-            return json.loads(part) if part else None
+            return json.loads(part)
         except ValueError:
             continue
     return None

@@ -36,14 +36,14 @@ def _threshold_level(x: Column, s: AnomalySettings) -> Column:
 
 
 def measure(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str]) -> DataFrame:
-    """Adds ``n`` (rows of the buffer), ``score`` and ``raw_severity`` (null while warming up) for one method.
+    """Adds ``buffer_size``, ``score`` and ``raw_severity`` (null while warming up) for one method.
 
     Columns ``cfg_zscore_threshold`` and ``cfg_zscore_warning``, where present
     and not null, override the settings of the z-score row by row.
     """
     x, w = F.col("value"), stats.trailing(keys, order, s.window)
-    df = df.withColumn("n", F.count("value").over(w))
-    warm = F.col("n") >= s.warmup
+    df = df.withColumn("buffer_size", F.count("value").over(w))
+    warm = F.col("buffer_size") >= s.warmup
     if s.method == "iqr":
         df = df.withColumn("__q", stats.quartiles(stats.values(x, w)))
         at = lambda k: stats.iqr_bounds(F.col("__q"), k)
