@@ -97,6 +97,8 @@ def read(data: bytes) -> tuple[dict[int, Stream], int]:
     while True:
         found = data.find(CAPTURE, at)
         if found < 0 or found + HEADER.size > len(data):
+            for s in streams.values():  # packets that never ended
+                s.rest, s.lost = [], s.lost + bool(s.rest)
             return streams, bad
         _, version, flags, granule, serial, seq, crc, n = HEADER.unpack_from(data, found)
         body_at = found + HEADER.size + n

@@ -1,0 +1,383 @@
+"""Each operator against a brute-force version, and its edge cases: nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names."""
+
+import base64
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import regex
+import tiktoken
+from pyspark.sql import functions as F
+
+from condmon.llm import bpe, labelled, minhash, mixing, ogg, pfp, pivots, quality, sharding, shingles, toxicity, urls
+from condmon.llm.common import text_bytes
+
+VOCAB = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORDS = "the of and ti wh on er haou threinsh cióncés élle über ßtz moron stat 12 ' ''s !! \n".split(" ")
+
+
+def text(rng, n):
+    return " ".join(rng.choices(WORDS, k=n))
+
+
+def docs(spark, texts, ids=None):
+    """Texts with a clashing and an extra column."""
+    rows = [(i, t, "x", k) for k, (i, t) in enumerate(zip(ids or range(len(texts)), texts, strict=True))]
+    return spark.createDataFrame(rows, "doc_id long, text string, Score string, extra int")
+
+
+# 1 -------------------------------------------------------------------------------
+
+
+def top_by_hand(rows, k):
+    v = {i: np.floor(64 * np.array(x, dtype=np.float64)).astype(int) for i, x in rows}
+    out = []
+    for q in (i for i in v if i % 20 == 0):
+        best = sorted(((-int(v[q] @ v[c]), c) for c in v if c != q and len(v[c]) == len(v[q])))[:k]
+        out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["normal", "equal", "few"])
+def test_topk_equals_brute_force(spark, kind, monkeypatch):
+    monkeypatch.setattr(pivots, "BLOCK", 64)
+    monkeypatch.setattr(pivots, "QUERIES", 8)
+    monkeypatch.setattr(pivots, "FIRST", 25)
+    monkeypatch.setattr(pivots, "GROUP", 2)
+    rng = np.random.default_rng(1)
+    n = 9 if kind == "few" else 600
+    x = rng.normal(0, 0.3, (n, 8)) + np.repeat(rng.normal(0, 1, (n // 3, 8)), 3, axis=0)
+    if kind == "equal":
+        x[:] = x[0]  # all ties
+    rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
+    bad = [(1000, None), (1020, [1.0] * 7 + [None]), (1040, [float("nan")] * 8), (1060, [float("inf")] * 8), (None, [0.0] * 8)]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
+    got = sorted(map(tuple, pivots.top_k(df, F.col("id") % 20 == 0).collect()))
+    assert got == top_by_hand(rows, 20)
+
+
+def test_topk_of_nothing(spark):
+    assert pivots.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("id") % 20 == 0).count() == 0
+
+
+# 2 -------------------------------------------------------------------------------
+
+
+def dedup_by_hand(rows):
+    seen, out = {}, {}
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            g = t[k : k + 50]
+            seen[g] = min(seen.get(g, i), i)
+    for n, (i, t) in enumerate(rows):
+        gone = bytearray(len(t))
+        for k in range(len(t) - 49):
+            if seen[t[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        out[n] = (bytes(c for c, g in zip(t, gone, strict=True) if not g), sum(gone))
+    return out
+
+
+def repeating(rng):
+    base = [text(rng, rng.randint(5, 60)) for _ in range(12)]
+    passage = text(rng, 30)
+    made = [base[rng.randrange(12)][rng.randint(0, 20) :] + rng.choice([passage, passage[7:90], ""]) + text(rng, rng.randint(0, 20)) for _ in range(120)]
+    return [*made, None, "", "a" * 49, "a" * 50, "a" * 400, "ab" * 300, made[3], made[3], text(rng, 9000)]
+
+
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_dedup_equals_brute_force(spark, hot, monkeypatch):
+    rng = random.Random(hot)
+    texts = repeating(rng)
+    ids = rng.sample(range(1000), len(texts) - 1) + [5]
+    ids[-1] = ids[0]  # a repeated id
+    want = dedup_by_hand([(i, (t or "").encode()) for i, t in zip(ids, texts, strict=True)])
+    df = docs(spark, texts, ids).withColumn("kept", F.lit("clash")).repartition(3)
+    rows = pfp.dedup(df, hot=hot, as_text=True).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        kept, removed = want[r.extra]
+        assert (bytes(r.kept), r.n_removed, r.n_bytes) == (kept, removed, len((texts[r.extra] or "").encode()))
+        assert sum(b - a for a, b in r.spans) == removed and r.text == kept.decode("utf-8", "ignore")
+
+
+def test_dedup_chunks_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(pfp, "CHUNK", 100)
+    rng = random.Random(3)
+    texts = [text(rng, 80) for _ in range(6)]
+    cut = [pfp.Phrases(*text_bytes(pa.array(texts)))]
+    assert (np.diff(cut[0].lo) > 0).all()
+    monkeypatch.undo()
+    df = docs(spark, [texts[0], texts[0], texts[0]], [1, None, 2])
+    rows = {r.doc_id: r.n_removed for r in pfp.dedup(df).collect()}
+    assert rows[1] == 0 and rows[None] == 0 and rows[2] == len(texts[0].encode())
+
+
+def test_dedup_of_nothing(spark):
+    assert pfp.dedup(docs(spark, []).limit(0)).count() == 0
+
+
+# 3 -------------------------------------------------------------------------------
+
+
+def tokenizer():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCAB, "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_the_library(spark):
+    rng = random.Random(7)
+    odd = ["", None, " ", "\x1c\x1f x", "日本語 テスト٣", "a²½ x", "\u2028\u00a0 b", "é" * 3000, "<|endoftext|>", "'s 'LL it's", "x" * 5000, "\U0001f600 ok"]
+    texts = odd + ["".join(rng.choices("ab 1'\n!éß²\t", k=60)) for _ in range(60)] + [text(rng, 200)] * 2
+    known = tokenizer()
+    df = docs(spark, texts).withColumn("token_ids", F.lit("clash"))
+    for r in bpe.decode(bpe.encode(df, VOCAB, public_tokenizers.PATTERN), VOCAB).collect():
+        want = known.encode_ordinary(texts[r.extra] or "")
+        assert np.frombuffer(r.token_ids, "<u4").tolist() == want and r.n_tokens == len(want)
+        assert bytes(r.decoded) == (texts[r.extra] or "").encode()
+
+
+def test_fast_split_agrees_where_it_is_used():
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    plain = [c for c in map(chr, range(0x3000)) if bpe.NOT_PLAIN.search(c) is None]
+    for c in plain:
+        for t in (f"a{c}b", f" {c} ", f"1{c}2", f"!{c}!"):
+            assert bpe.FAST.findall(t) == pattern.findall(t)
+
+
+def test_perfect_hash():
+    tokens = bpe.read_ranks(VOCAB)
+    table = bpe.PerfectHash(tokens)
+    assert sorted(table.slot_key) == list(range(len(tokens)))
+    assert all(table.probe(t) == i for i, t in enumerate(tokens))
+    assert bpe.PerfectHash([]).probe(b"x") == -1
+
+
+# 4 -------------------------------------------------------------------------------
+
+
+def test_raking_meets_the_targets(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"s{int(s)}", ["en", "de", None][int(k)], int(n)) for i, (s, k, n) in enumerate(zip(rng.integers(0, 4, 2000), rng.integers(0, 3, 2000), rng.integers(0, 400, 2000), strict=True))]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, tokens long").withColumn("copies", F.lit("clash"))
+    out = mixing.mix(df, {"source": F.col("source"), "lang": F.col("lang")}, {"source": 0.5, "lang": 0.0}, "tokens", share=0.8)
+    total = sum(r[3] for r in rows)
+    by = {r.lang: r.s for r in out.groupBy("lang").agg(F.sum(F.col("expected") * F.col("tokens")).alias("s")).collect()}
+    assert all(v == pytest.approx(0.8 * total / 3, rel=1e-6) for v in by.values())
+    drawn = out.agg(F.sum(F.col("copies") * F.col("tokens")).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    assert drawn.s == pytest.approx(0.8 * total, rel=0.08) and drawn.n == 2000
+    assert out.columns == ["doc_id", "source", "lang", "tokens", "expected", "copies"]
+    assert mixing.mix(df.limit(0), {"source": F.col("source")}, {"source": 1.0}, "tokens").count() == 0
+    assert spark.createDataFrame([(None,), ("a" * 5,)], "t string").select(mixing.tokens(F.col("t")).alias("n"), mixing.topic(F.col("t")).alias("k")).collect() == [(0, "brief"), (2, "brief")]
+
+
+# 5 and 8 ---------------------------------------------------------------------------
+
+
+def labelled_docs(spark, sf="/root/testdata/sf0.1"):
+    return spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+
+
+@pytest.mark.parametrize("method, label, parts, rest, least", [(toxicity, "toxic", 5, 0, 0.88), (quality, "quality", 3, 1, 0.97)])
+def test_classifiers_on_held_out_rows(spark, method, label, parts, rest, least):
+    d, labels = labelled_docs(spark)
+    held = labelled.fold("doc_id", parts) == rest
+    model = method.train(*labelled.sample(d, labels, label, held, 500, 20_000))
+    test = d.join(labels, "doc_id").where(held).limit(1500).select("doc_id", "text", label)
+    rows = method.score(test, model).collect()
+    assert np.mean([(r.score >= 0.5) == (r[label] == 1) for r in rows]) >= least
+
+
+@pytest.mark.parametrize("method", [toxicity, quality])
+def test_classifier_edges(spark, method):
+    model = method.train(["good plain words here", "more plain words"] * 9, [0] * 18)  # one class only
+    texts = [None, "", " ", "x" * 50_000, "é " * 9000, "ok", "ok"]
+    rows = method.score(docs(spark, texts), model).orderBy("extra").collect()
+    assert all(0 <= r.score <= 1 for r in rows) and rows[0].score == rows[1].score and rows[5].score == rows[6].score
+    assert "Score" not in rows[0].asDict()  # the clashing column is replaced
+    assert method.score(docs(spark, []).limit(0), model).count() == 0
+    assert 0 <= method.score(docs(spark, ["a"]), method.train([], [])).first().score <= 1
+
+
+def test_factorisation_identity():
+    rng = np.random.default_rng(0)
+    stats = rng.normal(0, 1, (1, quality.STATISTICS))
+    m = quality.Model(np.zeros(quality.STATISTICS), np.ones(quality.STATISTICS), 0.3, rng.normal(0, 1, quality.BUCKETS + quality.STATISTICS), rng.normal(0, 1, (quality.BUCKETS + quality.STATISTICS, quality.RANK)))
+    row, bucket, weight = np.zeros(3, int), np.array([1, 5, 9]), np.array([0.2, 0.5, 0.7])
+    x = dict(zip([1, 5, 9], weight, strict=True)) | {quality.BUCKETS + i: v for i, v in enumerate(np.clip(stats[0], -5, 5) / 3)}
+    keys = list(x)
+    pairs = sum(m.v[a] @ m.v[b] * x[a] * x[b] for i, a in enumerate(keys) for b in keys[:i])
+    assert quality._raw(m, stats, row, bucket, weight)[0][0] == pytest.approx(0.3 + sum(m.w[k] * x[k] for k in keys) + pairs)
+
+
+# 6 -------------------------------------------------------------------------------
+
+
+def test_sharding(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(900), rng.choice(["a"] * 5 + ["b", "c", None])) for _ in range(1003)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("shard", F.lit("clash"))
+    out = sharding.interleave(df, 8).collect()
+    sizes = [sum(r.shard == s for r in out) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 1 and sum(sizes) == 1003
+    for s in range(8):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sizes[s]))
+    for source in ("a", "b", "c", None):
+        n = [sum(r.shard == s and r.source == source for r in out) for s in range(8)]
+        assert max(n) - min(n) <= 3
+    again = sharding.interleave(df.repartition(5), 8)
+    assert sorted((r.doc_id, r.source or "", r.shard, r.slot) for r in out) == sorted((r.doc_id, r.source or "", r.shard, r.slot) for r in again.collect())
+    assert sharding.interleave(df.limit(0), 8).count() == 0 and sharding.interleave(df.limit(3), 8).count() == 3
+
+
+# 7 -------------------------------------------------------------------------------
+
+
+def slow_checksum(data):
+    c = 0
+    for b in data:
+        c ^= b << 24
+        for _ in range(8):
+            c = (c << 1 ^ 0x04C11DB7) & 0xFFFFFFFF if c & 0x80000000 else c << 1
+    return c
+
+
+def test_ogg_round_trip(spark):
+    texts = [None, "", "é", "a" * 192, "b" * 193, "xyz " * 40_000, "same", "same"]
+    rows = ogg.from_media(ogg.to_media(docs(spark, texts))).orderBy("extra").collect()
+    for r, t in zip(rows, texts, strict=True):
+        raw = (t or "").encode()
+        assert bytes(r.payload) == raw + b" " * (-len(raw) % 192 if raw else 192) and r.n_bytes == len(raw) and r.bad_pages == 0
+        assert r.duration_ms == len(r.payload) * 1000 // 8000
+    assert rows[-1].media == rows[-2].media
+    assert ogg.to_media(docs(spark, []).limit(0)).count() == 0
+
+
+def test_ogg_pages():
+    assert ogg.checksum(b"some page") == slow_checksum(b"some page")
+    data = ogg.write(bytes(range(256)) * 300)
+    streams, bad = ogg.read(data)
+    assert len(streams) == 2 and bad == 0 and all(s.ended for s in streams.values())
+    payload, found = ogg.samples(streams)
+    assert payload == bytes(range(256)) * 300 and found["ms"] == 256 * 300 * 1000 // 8000
+    broken = bytearray(data)
+    broken[len(data) // 2] ^= 1
+    streams, bad = ogg.read(bytes(broken))
+    assert bad == 1
+    assert len(ogg.samples(streams)[0]) < len(payload)
+    torn = ogg.paginate([(b"h", 0), (bytes(100_000), 9), (b"tail", 10)], 9)  # the long packet runs over two pages
+    streams, bad = ogg.read(torn[0] + torn[2])
+    assert bad == 0 and streams[9].lost == 1 and streams[9].packets == [b"h", b"tail"]
+    for n in (0, 254, 255, 256, 510, 70_000):  # packets that end on a full lacing value, and over pages
+        body = bytes([7]) * n
+        pages = ogg.paginate([(b"h", 0), (body, n)], 9)
+        assert ogg.read(b"".join(pages))[0][9].packets == [b"h", body]
+    assert ogg.read(b"junk OggS junk") == ({}, 0) or ogg.read(b"junk OggS junk")[0] == {}
+
+
+# 9 -------------------------------------------------------------------------------
+
+
+def judged_by_hand(url, rules):
+    if url is None or "://" not in url:
+        return "", "", None, "allow"
+    rest = url.split("://", 1)[1]
+    host = regex.match(r"[^/?#]*", rest)[0]
+    path = regex.match(r"[^?#]*", rest[len(host) :])[0]
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    best = max(fits, key=lambda r: len(r.name), default=None)
+    return host, path, best.name if best else None, best.verdict if best else "allow"
+
+
+def test_urls_equal_brute_force(spark):
+    from condmon.llm.queries import URL_RULES
+
+    rng = random.Random(4)
+    made = [f"http{rng.choice(['', 's'])}://{rng.choice(['', 'a.', 'WWW.B.', 'not'])}{rng.choice(['example.org', 'Example.COM', 'org', 'com', 'x.net', 'forg'])}{rng.choice(['', '/', '/es', '/es/', '/en/1', '/en/12', '/en/2', '/fr/x', '/de/', '/DE/', '?q=/es/', '#/de/'])}" for _ in range(300)]
+    odd = [None, "", "no scheme", "://", "x://a://b.org/es/", "http://a b.example.org/es/", "http://org\n/x", "http://é.org/", "http://" + "a." * 5000 + "com/de/" + "x" * 9000]
+    everything = made + odd + made[:5]
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(everything)], "page_id long, url string, Host string")
+    for r in urls.judge(df, URL_RULES).collect():
+        assert (r.host, r.path, r.rule, r.verdict) == judged_by_hand(everything[r.page_id], URL_RULES)
+    assert urls.judge(df.limit(0), URL_RULES).count() == 0
+    assert urls.judge(df, []).where("verdict = 'allow' and rule is null").count() == len(everything)
+
+
+# 10 ------------------------------------------------------------------------------
+
+
+def set_by_hand(t):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    w = regex.findall(r"[^\x20\x09-\x0D]+", low)
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def components_by_hand(rows):
+    sets = [(i, set_by_hand(t)) for i, t in rows]
+    up = {i: i for i, _ in rows}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, (i, s) in enumerate(sets):
+        for j, t in sets[:a]:
+            if s and t and 100 * len(s & t) >= 75 * len(s | t):
+                x, y = top(i), top(j)
+                up[max(x, y)] = min(x, y)
+    return [(i, len(s), top(i)) for i, s in sets]
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)] + ["É", "éà"]
+    rows = []
+    for _ in range(8):  # families of copies, near and far
+        base = rng.choices(vocabulary, k=rng.randint(40, 120))
+        for _ in range(rng.randint(2, 14)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 7)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append(rng.choice([" ", "\n", "  "]).join(copy))
+    rows += [" ".join(rng.choices(vocabulary, k=n)) for n in (1, 2, 4, 5, 6, 900)] + [None, "", " \t", "One two", "one TWO", rows[0], rows[0].upper()]
+    ids = rng.sample(range(5000), len(rows))
+    want = components_by_hand(list(zip(ids, rows, strict=True)))
+    got = minhash.near_duplicates(docs(spark, rows, ids).withColumn("kept", F.lit("clash")))
+    assert sorted(map(tuple, got.collect())) == sorted((i, n, c, c == i) for i, n, c in want)
+
+
+def test_near_duplicate_edges(spark):
+    same = "a b c d e f g"
+    got = minhash.near_duplicates(docs(spark, [same, same, same, "x y z"], [4, None, 4, None])).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (-1, -1, True), (4, 4, True), (4, 4, True)]
+    assert minhash.near_duplicates(docs(spark, []).limit(0)).count() == 0
+
+
+def test_estimates_and_components(spark):
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 1 << 62, 1000).astype(np.uint64)
+    for share in (0.3, 0.75, 0.95):
+        both = int(2000 * share / (1 + share))
+        b = np.concatenate([a[:both], rng.integers(0, 1 << 62, 1000 - both).astype(np.uint64)])
+        sig = minhash.signatures(np.concatenate([a, b]), np.array([0, 1000, 2000]))
+        assert minhash.estimate(minhash.equal_fields(sig[0], sig[1])) == pytest.approx(share, abs=0.09)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 200), (300, 200)], "a long, b long")
+    got = {r.node: r.component for r in minhash.components(chain).collect()}
+    assert {got[i] for i in range(1, 61)} == {1} and {got[100], got[200], got[300]} == {100}
+
+
+def test_shingles_equal_sets():
+    rng = random.Random(12)
+    texts = ["", "a", "a b c d", "a b c d e", "A B c d e f", "\t\nx y\x0bz\x0c", text(rng, 300)]
+    value, offsets = shingles.sets(*text_bytes(pa.array(texts)))
+    assert np.diff(offsets).tolist() == [len(set_by_hand(t)) for t in texts]
+
+
+def test_payload_digests():
+    assert zlib.crc32(b"") == 0 and hashlib.sha256(b"").hexdigest().startswith("e3b0")
