@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from condmon.config import AnomalySettings
 from condmon.functions import stats
+from condmon.functions.chunks import sliding
 from condmon.functions.folds import AdaptiveThreshold, Cusum, Ema, SensorHysteresis, latest_before, ordered
 from condmon.functions.parsing import finite
 
@@ -98,10 +99,19 @@ def hysteresis(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[s
     return df.withColumn("is_anomaly", F.when(F.col("raw_anomaly").isNotNull(), final)).drop("__raw", "__turn", "__run", "__length", "__event")
 
 
-def detect(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str]) -> DataFrame:
-    """Verdicts of a scalar series: ``raw_anomaly``, ``severity`` (of the raw verdict), ``is_anomaly`` (after hysteresis), ``skipped``."""
+def detect(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str], bucket: Column | None = None, chunk: int = 1_000_000) -> DataFrame:
+    """Verdicts of a scalar series: ``raw_anomaly``, ``severity`` (of the raw verdict), ``is_anomaly`` (after hysteresis), ``skipped``.
+
+    With ``bucket``, an expression that never falls along the order (an hour, a
+    day), the rolling methods run on chunks of ``chunk`` rows with overlap, so a
+    single long series is spread over many tasks (:mod:`condmon.functions.chunks`).
+    EMA and CUSUM depend on all earlier rows and stay serial by key.
+    """
     good = finite(F.col("value"))
-    part = measure(df.where(good), s, keys, order)
+    if bucket is not None and s.method not in ("ema", "cusum"):
+        part = sliding(df.where(good), keys, order, bucket, s.window, lambda d, k: measure(d, s, k, order), max(chunk, s.window))
+    else:
+        part = measure(df.where(good), s, keys, order)
     part = part.withColumn("raw_anomaly", F.col("raw_severity") != "normal").withColumnRenamed("raw_severity", "severity")
     part = hysteresis(part, s, keys, order) if s.hysteresis else part.withColumn("is_anomaly", F.col("raw_anomaly"))
     return part.withColumn("skipped", F.lit(False)).unionByName(df.where(~good | good.isNull()).withColumn("skipped", F.lit(True)), allowMissingColumns=True)
