@@ -166,11 +166,10 @@ def imbalance(a: Column, b: Column, c: Column) -> Column:
 
 def with_noise(df: DataFrame, columns: list[str], share: float, seed: int) -> DataFrame:
     """Normal noise on the columns, a share of each one's deviation."""
-    spread = df.agg(*[F.stddev_pop(c).alias(f"__{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(spread))  # one row
+    spread = df.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
     for i, c in enumerate(columns):
-        out = out.withColumn(c, F.col(c) + F.randn(seed + i) * F.col(f"__{c}") * share)
-    return out.drop(*[f"__{c}" for c in columns])
+        df = df.withColumn(c, F.col(c) + F.randn(seed + i) * F.lit((spread[c] or 0.0) * share))
+    return df
 
 
 def flip_labels(df: DataFrame, label: str, classes: list[str], share: float, seed: int) -> DataFrame:

@@ -194,5 +194,5 @@ def reconstruction_error(df: DataFrame, vector: str, sample_rows: int = 20_000,
         return pd.Series(shared.value.apply(np.stack(v.to_numpy()))[1] / len(shared.value.mean))
 
     scored = df.where(F.col(vector).isNotNull()).withColumn("error", error(F.col(vector).cast("array<double>")))
-    limit = scored.agg(F.percentile("error", 0.95).alias("limit"))
-    return scored.crossJoin(F.broadcast(limit)).withColumn("is_anomaly", F.col("error") > F.col("limit"))  # one row
+    limit = scored.agg(F.percentile("error", 0.95)).first()[0]
+    return scored.withColumn("limit", F.lit(limit)).withColumn("is_anomaly", F.col("error") > F.col("limit"))
