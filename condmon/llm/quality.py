@@ -97,10 +97,26 @@ def _raw(model: Model, stats: np.ndarray, row: np.ndarray, bucket: np.ndarray, w
     return linear + 0.5 * (total**2 - square).sum(axis=1), total
 
 
+def _describe_all(texts: list[str], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`describe` in slices of about ``most`` bytes, so that the driver holds the figures and not the working arrays of all texts."""
+    parts, held, size, done = [], [], 0, 0
+    for i, t in enumerate(texts):
+        held.append(t)
+        size += len(t)
+        if size >= most or i == len(texts) - 1:
+            stats, row, bucket, weight = describe(*text_bytes(pa.array(held, type=pa.string())))
+            parts.append((stats, (row + done).astype(np.int32), bucket.astype(np.int32), weight))
+            done += len(held)
+            held, size = [], 0
+    if not parts:
+        return np.zeros((0, STATISTICS)), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(4))
+
+
 def train(texts: list[str], labels: list[int], steps: int = 60, seed: int = 11) -> Model:
     """AdaGrad on the balanced logistic loss over all given texts (the caller bounds them)."""
     y = np.array(labels, dtype=np.float64)
-    stats, row, bucket, weight = describe(*text_bytes(pa.array(texts, type=pa.string())))
+    stats, row, bucket, weight = _describe_all(texts)
     rng = np.random.default_rng(seed)
     size = BUCKETS + STATISTICS
     if not len(y) or y.min() == y.max():
@@ -127,7 +143,7 @@ def train(texts: list[str], labels: list[int], steps: int = 60, seed: int = 11)
     return Model(mean, scale, float(w0), w, v)
 
 
-def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds ``score`` (double, 0 to 1) of every whole text.  Null and empty texts are scored by the statistics of a text without words."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # (BUCKETS + STATISTICS) * (RANK + 1) numbers
 
@@ -140,4 +156,4 @@ def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
         return fn
 
-    return append_columns(df, text_col, [T.StructField("score", T.DoubleType())], make, limit=2 << 20)
+    return append_columns(df, text_col, [T.StructField("score", T.DoubleType())], make, limit=1 << 20, keep_text=keep_text)
