@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from condmon.llm.common import bounded_batches, shared_dir, slices, text_bytes, written
+from condmon.llm.common import bounded_batches, give_back, shared_dir, slices, text_bytes, written
 
 LENGTH = 50
 TRIGGER = 16
@@ -123,7 +123,8 @@ class Phrases:
         np.cumsum((part[:n].astype(_U) + _U(1)) * power[:n], out=sums[1:])
         p = (sums[hi + LENGTH] - sums[lo]) * inverse[lo]
         p = _mix(p ^ (((hi - lo) << 8 | (at - lo)).astype(_U) * _C2))
-        return at + a, lo + a, hi + a, h[at] >> _U(16), p >> _U(16)
+        # hashes of triggers are minima; mixed again they spread over all buckets
+        return at + a, lo + a, hi + a, _mix(h[at] * _C1) >> _U(16), p >> _U(16)
 
 
 def _squeeze(*columns: np.ndarray) -> bytes:
@@ -182,8 +183,10 @@ class _Batch:
 
     def runs(self, keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
         """(bucket, from, to) of keys that are in order."""
+        if not len(keys):
+            return []
         b = _bucket(keys, buckets)
-        cuts = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, int)
+        cuts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
         return [(int(b[i]), int(i), int(j)) for i, j in zip(cuts, np.append(cuts[1:], len(b)), strict=True)]
 
     def details(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,6 +226,7 @@ def _rows(rows: Iterator[tuple], names: list[str], kinds: list, size: int = 4 <<
             held, n = [], 0
     if held:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in held], type=k) for i, k in enumerate(kinds)], names=names)
+    give_back()
 
 
 def _pack(keep: list[str]):
@@ -436,7 +440,7 @@ def _removed(b: _Batch, row: dict) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def _finish(names: list[str]):
+def _finish(names: list[str], as_text: bool):
     def run(batches):
         for row in _batches(batches):
             b = _Batch(row)
@@ -455,13 +459,16 @@ def _finish(names: list[str]):
                 spans.append(edge.reshape(-1, 2).tolist())
             rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(row["rest"])).read_next_batch() if names else None
             columns = [rest.column(i) for i in range(len(names))] if names else []
+            if as_text:
+                columns.append(pa.array([k.decode("utf-8", "ignore") for k in kept], type=pa.string()))
             columns += [pa.array(np.diff(b.offsets), type=pa.int64()), pa.array(kept, type=pa.binary()), pa.array(removed, type=pa.int64()), pa.array(spans, type=pa.list_(pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_bytes", "kept", "n_removed", "spans"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *(["text"] if as_text else []), "n_bytes", "kept", "n_removed", "spans"])
+        give_back()
 
     return run
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 50_000) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 50_000, as_text: bool = False) -> DataFrame:
     """The input's columns without the text, and ``n_bytes``, ``kept`` (binary), ``n_removed`` and ``spans`` ([start, end) byte pairs, maximal).
 
     Null and empty texts, and texts under ``LENGTH`` bytes, stay as they are.
@@ -470,11 +477,12 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: in
     Columns named like an output are replaced; an empty table gives an empty
     one.  Triggers of over ``hot`` distinct phrases are compared by 48-bit
     fingerprints of their strings, dealt by fingerprint, instead of by suffix
-    order in one bucket.
+    order in one bucket.  With ``as_text`` there is also ``text``: what is kept,
+    without the bytes of characters that were cut in two.
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    new = {"n_bytes", "kept", "n_removed", "spans"}
+    new = {"n_bytes", "kept", "n_removed", "spans"} | ({"text"} if as_text else set())
     keep = [c for c in df.columns if c != text_col and c.lower() not in new]
     deal = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").cast("long").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
@@ -493,5 +501,5 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: in
     two = written(dealt(with_one.mapInArrow(_detail(buckets), request)).mapInArrow(_compare(), "bid long, bucket long, kind int, found binary"), "pfp-found")
     a2 = two.groupBy("bid").agg(F.collect_list(F.struct("bucket", "kind", "found")).alias("a2"))
     whole = table.join(a1.hint("shuffle_hash"), "bid", "left").join(a2.hint("shuffle_hash"), "bid", "left")
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
-    return whole.mapInArrow(_finish(keep), schema)
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("text", T.StringType())] * as_text + [T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
+    return whole.mapInArrow(_finish(keep, as_text), schema)
