@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from condmon.llm.common import append_columns
 
 #: Entries of a worker's memo; it starts anew when full.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
 #: The public GPT-2 split in terms of the standard library's classes, which
 #: agree with the Unicode ones on the characters that PLAIN lets through.
 FAST = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -155,51 +155,66 @@ def _memo(key: tuple, tokens: list[bytes], table: PerfectHash) -> _Memo:
     return _memos[key]
 
 
-def encode(df: DataFrame, vocab_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """Adds ``token_ids`` (binary: little-endian unsigned 32-bit ids) and ``n_tokens`` (long) of each whole text.
+def _encoder(memo: _Memo, pattern: str):
+    """Text to its ids as bytes."""
+    slow = regex.compile(pattern)
+    fast = FAST if pattern == FAST_FOR else None
+
+    def one(text: str | None) -> bytes:
+        if len(memo) > MEMO_ENTRIES:
+            memo.clear()
+        if not text:
+            return b""
+        find = fast if fast is not None and NOT_PLAIN.search(text) is None else slow
+        return b"".join(map(memo.__getitem__, find.findall(text)))
+
+    return one
+
+
+def _decoder(tokens: list[bytes]):
+    get = tokens.__getitem__
+    return lambda ids: b"".join(map(get, np.frombuffer(ids or b"", dtype="<u4").tolist()))
+
+
+IDS, COUNT, DECODED, SAME = T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.BinaryType()), T.StructField("round_trip", T.BooleanType())
+
+
+def encode(df: DataFrame, vocab_path: str, pattern: str, text_col: str = "text", back: str | None = None, keep_text: bool = True) -> DataFrame:
+    """Adds ``token_ids`` (binary: little-endian unsigned 32-bit ids) and ``n_tokens`` (long) of each whole text; with ``back`` "bytes" also ``decoded``, the bytes that the ids decode to, with "check" ``round_trip``, whether those are the text's.
 
     Each match of ``pattern`` is encoded on its own, without special tokens.
     Null and empty texts have no ids.  Repeated rows give repeated results;
     an empty table gives an empty one.
     """
-    spark = df.sparkSession
     tokens = read_ranks(vocab_path)
-    shared = spark.sparkContext.broadcast((tokens, PerfectHash(tokens)))
-    fields = [T.StructField("token_ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+    shared = df.sparkSession.sparkContext.broadcast((tokens, PerfectHash(tokens)))
 
     def make():
-        memo = _memo((vocab_path, len(shared.value[0])), *shared.value)
-        slow = regex.compile(pattern)
-        fast = FAST if pattern == FAST_FOR else None
+        one = _encoder(_memo((vocab_path, len(shared.value[0])), *shared.value), pattern)
+        undo = _decoder(shared.value[0])
 
         def fn(batch: pa.RecordBatch) -> list:
-            ids = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                if len(memo) > MEMO_ENTRIES:
-                    memo.clear()
-                if not text:
-                    ids.append(b"")
-                    continue
-                find = fast if fast is not None and NOT_PLAIN.search(text) is None else slow
-                ids.append(b"".join(map(memo.__getitem__, find.findall(text))))
-            return [ids, [len(x) // 4 for x in ids]]
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            ids = [one(t) for t in texts]
+            made = [ids, [len(x) // 4 for x in ids]]
+            if back == "bytes":
+                made.append([undo(x) for x in ids])
+            elif back == "check":
+                made.append([undo(x) == (t or "").encode("utf-8") for x, t in zip(ids, texts, strict=True)])
+            return made
 
         return fn
 
-    return append_columns(df, text_col, fields, make)
+    more = {"bytes": [DECODED], "check": [SAME]}.get(back or "", [])
+    return append_columns(df, text_col, [IDS, COUNT, *more], make, keep_text=keep_text)
 
 
 def decode(df: DataFrame, vocab_path: str, ids_col: str = "token_ids") -> DataFrame:
     """Adds ``decoded`` (binary): the bytes of the tokens in ``ids_col``, joined.  Null ids give no bytes; an id outside the vocabulary raises."""
-    tokens = read_ranks(vocab_path)
-    shared = df.sparkSession.sparkContext.broadcast(tokens)
+    shared = df.sparkSession.sparkContext.broadcast(read_ranks(vocab_path))
 
     def make():
-        get = shared.value.__getitem__
-
-        def fn(batch: pa.RecordBatch) -> list:
-            return [[b"".join(map(get, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in batch.column(batch.num_columns - 1).to_pylist()]]
-
-        return fn
+        undo = _decoder(shared.value)
+        return lambda batch: [[undo(x) for x in batch.column(batch.num_columns - 1).to_pylist()]]
 
-    return append_columns(df, ids_col, [T.StructField("decoded", T.BinaryType())], make)
+    return append_columns(df, ids_col, [DECODED], make)

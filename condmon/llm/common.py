@@ -8,6 +8,8 @@ replaced by the output.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Arrow batches are cut to about this many text bytes before any numpy work.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Rows and bytes at most in one Arrow batch that Spark hands to a Python worker.
 ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 
@@ -50,6 +52,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Hand free memory back to the system at the end of a task: Python workers stay for later stages, and what one stage needed would add up with the next one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold about ``limit`` bytes (one longer text stands alone)."""
     n = batch.num_rows
@@ -81,15 +90,16 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
-def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]], limit: int = SLICE_BYTES) -> DataFrame:
+def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]], limit: int = SLICE_BYTES, keep_text: bool = True) -> DataFrame:
     """Add columns computed from each row's text by Arrow-batched Python.
 
     ``make()`` runs once per task and gives the function from a slice of rows
-    to one list or array per field.
+    to one list or array per field.  Without ``keep_text`` the text itself does
+    not come back from Python.
     """
     bounded_batches(df.sparkSession)
     new = [f.name for f in fields]
-    keep = [c for c in df.columns if c.lower() not in {n.lower() for n in new}]
+    keep = [c for c in df.columns if c.lower() not in {n.lower() for n in new} and (keep_text or c != text_col)]
     source = df.withColumn("__text", F.col(f"`{text_col}`")).select(*[F.col(f"`{c}`") for c in keep], "__text")
     schema = T.StructType([source.schema[c] for c in keep] + fields)
     from pyspark.sql.pandas.types import to_arrow_type
@@ -104,5 +114,7 @@ def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], ma
                 columns = [part.column(i) for i in range(len(keep))]
                 columns += [x if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(out, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *new])
+        del fn
+        give_back()
 
     return source.mapInArrow(run, schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from condmon.llm.common import append_columns, text_bytes, written
+from condmon.llm.common import append_columns, give_back, text_bytes, written
 from condmon.llm.shingles import mix, sets
 
 BANDS, ROWS, MINIMA, BITS = 32, 4, 1024, 2
@@ -107,7 +107,7 @@ def describe(df: DataFrame, text_col: str) -> DataFrame:
 
         return fn
 
-    return append_columns(df, text_col, fields, make, limit=1 << 20)
+    return append_columns(df, text_col, fields, make, limit=1 << 20, keep_text=False)
 
 
 def full_sets(df: DataFrame, text_col: str) -> DataFrame:
@@ -243,6 +243,8 @@ def _across(rows: DataFrame, most: int | None) -> DataFrame:
                 held.append(row)
         if held:
             yield done()
+        del held
+        give_back()
 
     return rows.select("key", "rep", "comp", "bands", "sig").repartition(deal, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 

@@ -40,7 +40,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vocab = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.decode(bpe.encode(docs, vocab, public_tokenizers.PATTERN).select("doc_id", "token_ids", "n_tokens"), vocab)
+    out = bpe.encode(docs, vocab, public_tokenizers.PATTERN, back="bytes", keep_text=False)
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -52,7 +52,7 @@ def _classified(spark: SparkSession, sf_dir: str, label: str, parts: int, rest:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(labelled.fold("doc_id", parts) == rest, F.lit(False))
     texts, marks = labelled.sample(docs, labels, label, held_out, FIT_ROWS, FIT_BYTES)
-    out = method.score(docs, method.train(texts, marks))
+    out = method.score(docs, method.train(texts, marks), keep_text=False)
     return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 

@@ -8,13 +8,11 @@ null doc_id pass the near-duplicate and dedup stages unchanged.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from condmon.llm import bpe, labelled, minhash, mixing, pfp, quality
-from condmon.llm.common import append_columns, written
+from condmon.llm.common import written
 
 #: Labelled rows of each class at most that the quality classifier is fitted on, and bytes of a text in that sample.
 FIT_ROWS, FIT_BYTES = 2000, 32 << 10
@@ -42,13 +40,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that a document with a smaller id has are cut out; characters cut in two go as a whole."""
 
-    def make():
-        def fn(batch: pa.RecordBatch) -> list:
-            return [[(k or b"").decode("utf-8", "ignore") for k in batch.column(batch.num_columns - 1).to_pylist()]]
-
-        return fn
-
-    out = append_columns(pfp.dedup(docs), "kept", [T.StructField("text", T.StringType())], make)
+    out = pfp.dedup(docs, as_text=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -64,9 +56,8 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocab = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "lang", "text"), vocab, public_tokenizers.PATTERN), vocab)
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return coded.select("doc_id", "source", "lang", "n_tokens", "token_ids", same.alias("round_trip"))
+    coded = bpe.encode(docs.select("doc_id", "source", "lang", "text"), vocab, public_tokenizers.PATTERN, back="check", keep_text=False)
+    return coded.select("doc_id", "source", "lang", "n_tokens", "token_ids", "round_trip")
 
 
 STAGES = [
