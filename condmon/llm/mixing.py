@@ -49,14 +49,13 @@ def rake(cells: DataFrame, margins: list[str], targets: dict[str, float], rounds
     share to that power, made to sum to one (1 keeps, 0 makes all values equal).
     """
     few = cells.count() <= CELLS
-    total = cells.agg(F.sum("t").alias("all"))
-    now = cells.crossJoin(F.broadcast(total)).withColumn("w", F.col("t") / F.col("all"))  # one row
+    total = F.lit(float(cells.agg(F.sum("t")).first()[0] or 1))
+    now = cells.withColumn("w", F.col("t") / total)
     for m in margins:
-        shares = cells.groupBy(m).agg(F.sum("t").alias("mt")).crossJoin(F.broadcast(total)).select(F.col(m), F.pow(F.col("mt") / F.col("all"), F.lit(float(targets[m]))).alias("p"))
-        norm = shares.agg(F.sum("p").alias("ps"))
-        goal = shares.crossJoin(F.broadcast(norm)).select(m, (F.col("p") / F.col("ps")).alias(f"goal_{m}"))
+        shares = cells.groupBy(m).agg(F.sum("t").alias("mt")).select(m, F.pow(F.col("mt") / total, F.lit(float(targets[m]))).alias("p"))
+        goal = shares.select(m, (F.col("p") / F.sum("p").over(Window.partitionBy(F.lit(0)))).alias(f"goal_{m}"))  # a row for each value of the margin
         now = now.join(goal, m)
-    now = written(now.drop("all"), "cells")
+    now = written(now, "cells")
     for first in range(0, rounds, ROUNDS):
         now = now.coalesce(1) if few else now
         for _ in range(min(ROUNDS, rounds - first)):
@@ -80,8 +79,8 @@ def mix(df: DataFrame, margins: dict[str, Column], targets: dict[str, float], to
     keyed = rows.select("*", *[c.alias(f"__{m}") for m, c in keys.items()])
     cells = written(keyed.groupBy(*[F.col(f"__{m}").alias(m) for m in names]).agg(F.sum(token_col).alias("t")).where("t > 0"), "cells")
     fitted = rake(cells, names, targets, rounds)
-    total = fitted.agg(F.sum("t").alias("all"))
-    rates = fitted.crossJoin(F.broadcast(total)).select(*[F.col(m).alias(f"__{m}") for m in names], (F.lit(share) * F.col("w") * F.col("all") / F.col("t")).alias("__rate"))  # one row
+    total = F.lit(float(fitted.agg(F.sum("t")).first()[0] or 1))
+    rates = fitted.select(*[F.col(m).alias(f"__{m}") for m in names], (F.lit(share) * F.col("w") * total / F.col("t")).alias("__rate"))
     rates = written(rates, "rates")
     if rates.count() <= BROADCAST_CELLS:
         rates = F.broadcast(rates)

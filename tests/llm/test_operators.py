@@ -141,6 +141,14 @@ def test_bpe_equals_the_library(spark):
         assert bytes(r.decoded) == (texts[r.extra] or "").encode()
 
 
+def test_bpe_checks_its_round_trip(spark):
+    df = docs(spark, ["", None, "é 日本 x " * 50])
+    out = bpe.encode(df, VOCAB, public_tokenizers.PATTERN, back="check", keep_text=False)
+    assert "text" not in out.columns and out.where("round_trip").count() == 3
+    same = bpe.encode(df, VOCAB, public_tokenizers.PATTERN, back="bytes").collect()
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in same)
+
+
 def test_fast_split_agrees_where_it_is_used():
     pattern = regex.compile(public_tokenizers.PATTERN)
     plain = [c for c in map(chr, range(0x3000)) if bpe.NOT_PLAIN.search(c) is None]
