@@ -1,22 +1,45 @@
-"""Labelled rows for the classifiers: folds by id, and a bounded sample with whole texts."""
+"""Labelled rows for the classifiers: folds by id, and bounded samples with whole texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from condmon.llm.common import written
+
 
 def fold(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; null for a null id."""
     return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % parts
 
 
+def chosen(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``y``, ``place`` (seeded order of ids) and whole text ``t`` of at most ``rows`` ids of each label that are not ``held_out``, as a table.
+
+    Only ids of a row with a text and a label 0 or 1 are drawn, texts of any
+    length.  Of several labels of an id the larger counts.
+    """
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.max(label).cast("int").alias("y")).where(~held_out)
+    known = known.select(F.col(id_col).alias("id"), "y", F.xxhash64(id_col).alias("place")).join(texts.select("id"), "id", "left_semi")
+    some = [known.where(F.col("y") == y).orderBy("place", "id").limit(rows) for y in (0, 1)]
+    return written(texts.join(F.broadcast(some[0].union(some[1])), "id"), "sample")  # twice ``rows`` ids at most are broadcast
+
+
+def in_order(rows: list) -> list:
+    """Collected figures of :func:`chosen` rows by label, place and id; of equal texts (``key``) the first."""
+    found: dict = {}
+    for r in sorted(rows, key=lambda r: (r["y"], r["place"], r["id"])):
+        found.setdefault(bytes(r["key"]), r)
+    return list(found.values())
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, rows: int, most_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
     """Texts and labels of at most ``rows`` rows of each label that are not ``held_out``, in a seeded order of ids.
 
-    Only rows with an id, a text of at most ``most_bytes`` bytes and a label 0
-    or 1 are drawn (a bounded fit; scoring is not limited).  Of several labels
-    of an id the larger counts.  Equal texts count once.
+    For small tables: the texts come to the driver, and those of over
+    ``most_bytes`` bytes are not drawn.  The queries fit on :func:`chosen`.
+    Of several labels of an id the larger counts.  Equal texts count once.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.max(label).alias("y")).where(~held_out)
     texts = docs.where(F.col(text_col).isNotNull() & (F.octet_length(text_col) <= most_bytes)).select(id_col, F.col(text_col).alias("t"))

@@ -7,14 +7,17 @@ in the features, through the logistic function.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from condmon.llm.common import append_columns, text_bytes
+from condmon.llm.common import SLICE_BYTES, append_columns, bounded_batches, give_back, slices, text_bytes
+from condmon.llm.labelled import in_order
 from condmon.llm.shingles import words
 
 #: Buckets of hashed words, and rank of the interactions.
@@ -81,19 +84,22 @@ class Model:
     w0: float
     w: np.ndarray
     v: np.ndarray
+    #: False where the labelled texts lacked a class: every text has the same score, which tells nothing.
+    trained: bool = True
 
 
-def _raw(model: Model, stats: np.ndarray, row: np.ndarray, bucket: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Score before the logistic function, and sum_i v_i x_i of every row."""
+def _raw(model: Model, stats: np.ndarray, row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, square_weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Score before the logistic function, and sum_i v_i x_i of every row.  Words of a bucket may be summed up to ``weight``, their squares to ``square_weight``."""
     rows = len(stats)
+    squares = weight * weight if square_weight is None else square_weight
     x = np.clip((stats - model.mean) / model.scale, -5, 5) / 3
     vs = model.v[BUCKETS:]
     linear = model.w0 + x @ model.w[BUCKETS:] + np.bincount(row, weights=model.w[bucket] * weight, minlength=rows)
     total, square = x @ vs, x**2 @ vs**2
     for f in range(RANK):
-        z = model.v[:, f][bucket] * weight
-        total[:, f] += np.bincount(row, weights=z, minlength=rows)
-        square[:, f] += np.bincount(row, weights=z * z, minlength=rows)
+        z = model.v[:, f][bucket]
+        total[:, f] += np.bincount(row, weights=z * weight, minlength=rows)
+        square[:, f] += np.bincount(row, weights=z * z * squares, minlength=rows)
     return linear + 0.5 * (total**2 - square).sum(axis=1), total
 
 
@@ -115,12 +121,44 @@ def _describe_all(texts: list[str], most: int = 1 << 20) -> tuple[np.ndarray, np
 
 def train(texts: list[str], labels: list[int], steps: int = 60, seed: int = 11) -> Model:
     """AdaGrad on the balanced logistic loss over all given texts (the caller bounds them)."""
-    y = np.array(labels, dtype=np.float64)
     stats, row, bucket, weight = _describe_all(texts)
+    return _fit(np.array(labels, dtype=np.float64), stats, row, bucket, weight, weight**2, steps, seed)
+
+
+def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole texts to their statistics and the sums over the words of each bucket: BUCKETS entries a text at most, however long it is."""
+    for batch in batches:
+        for part in slices(batch, "t", SLICE_BYTES):
+            texts = part.column(part.schema.get_field_index("t"))
+            stats, row, bucket, weight = describe(*text_bytes(texts))
+            pair, of = np.unique(row * BUCKETS + bucket, return_inverse=True)
+            sums = [np.bincount(of, weights=w, minlength=len(pair)) for w in (weight, weight**2)]
+            cuts = np.searchsorted(pair, np.arange(len(stats) + 1) * BUCKETS)
+            cells = [[x[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)] for x in ((pair % BUCKETS).astype("<i4"), *sums)]
+            key = [sha256(t.as_buffer()).digest() if t.as_buffer() is not None else b"" for t in texts]
+            head = [part.column(part.schema.get_field_index(n)) for n in ("id", "y", "place")]
+            yield pa.RecordBatch.from_arrays([*head, pa.array(key, pa.binary()), pa.array([x.tobytes() for x in stats], pa.binary()), *[pa.array(c, pa.binary()) for c in cells]], names=["id", "y", "place", "key", "stats", "bucket", "weight", "square"])
+    give_back()
+
+
+def fit(sample: DataFrame) -> Model:
+    """:func:`train` on the whole texts of ``labelled.chosen``: they are described on the executors, and only the figures are collected."""
+    bounded_batches(sample.sparkSession)
+    kind = sample.schema["id"].dataType.simpleString()
+    rows = in_order(sample.select("id", "y", "place", "t").mapInArrow(_figures, f"id {kind}, y int, place long, key binary, stats binary, bucket binary, weight binary, square binary").collect())
+    y = np.array([r["y"] for r in rows], dtype=np.float64)
+    read = lambda name, dtype: [np.frombuffer(r[name], dtype=dtype) for r in rows]
+    bucket = read("bucket", "<i4")
+    whole = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(b) for b in bucket])
+    return _fit(y, np.array(read("stats", "<f8")).reshape(-1, STATISTICS), row, whole(bucket), whole(read("weight", "<f8")), whole(read("square", "<f8")))
+
+
+def _fit(y: np.ndarray, stats: np.ndarray, row: np.ndarray, bucket: np.ndarray, weight: np.ndarray, squares: np.ndarray, steps: int = 60, seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
     size = BUCKETS + STATISTICS
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(STATISTICS), np.ones(STATISTICS), 1.0 if not len(y) or y.max() else -1.0, np.zeros(size), np.zeros((size, RANK)))
+        return Model(np.zeros(STATISTICS), np.ones(STATISTICS), 1.0 if not len(y) or y.max() else -1.0, np.zeros(size), np.zeros((size, RANK)), trained=False)
     mean, scale = stats.mean(axis=0), np.maximum(stats.std(axis=0), 1e-3)
     w0, w, v = 0.0, np.zeros(size), rng.normal(0, 0.01, (size, RANK))
     gw, gv, g0 = np.full(size, 1e-6), np.full((size, RANK), 1e-6), 1e-6
@@ -128,11 +166,11 @@ def train(texts: list[str], labels: list[int], steps: int = 60, seed: int = 11)
     x = np.clip((stats - mean) / scale, -5, 5) / 3
     for step in range(steps):
         model = Model(mean, scale, w0, w, v)
-        raw, total = _raw(model, stats, row, bucket, weight)
+        raw, total = _raw(model, stats, row, bucket, weight, squares)
         d = balance * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y)
         dw = np.concatenate([np.bincount(bucket, weights=d[row] * weight, minlength=BUCKETS), x.T @ d]) + 1e-4 * w
         dv = np.empty_like(v)
-        own = np.bincount(bucket, weights=d[row] * weight**2, minlength=BUCKETS)
+        own = np.bincount(bucket, weights=d[row] * squares, minlength=BUCKETS)
         for f in range(RANK):
             dv[:BUCKETS, f] = np.bincount(bucket, weights=d[row] * weight * total[row, f], minlength=BUCKETS) - own * v[:BUCKETS, f]
             dv[BUCKETS:, f] = x.T @ (d * total[:, f]) - (x**2).T @ d * v[BUCKETS:, f]

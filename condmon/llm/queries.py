@@ -44,15 +44,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-#: Labelled rows of each class at most that a classifier is fitted on, and bytes of a text in that sample.
-FIT_ROWS, FIT_BYTES = 2000, 32 << 10
+#: Labelled rows of each class at most that a classifier is fitted on, whole texts of any length.
+FIT_ROWS = 2000
 
 
 def _classified(spark: SparkSession, sf_dir: str, label: str, parts: int, rest: int, method) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(labelled.fold("doc_id", parts) == rest, F.lit(False))
-    texts, marks = labelled.sample(docs, labels, label, held_out, FIT_ROWS, FIT_BYTES)
-    out = method.score(docs, method.train(texts, marks), keep_text=False)
+    model = method.fit(labelled.chosen(docs, labels, label, held_out, FIT_ROWS))
+    out = method.score(docs, model, keep_text=False)
     return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 

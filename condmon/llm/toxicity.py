@@ -17,7 +17,9 @@ about three, and at one byte a letter both would hide the saving.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 from itertools import chain
 from zlib import crc32
 
@@ -25,9 +27,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from condmon.llm.common import append_columns
+from condmon.llm.common import SLICE_BYTES, append_columns, bounded_batches, give_back, slices, written
+from condmon.llm.labelled import in_order
 
 #: Bytes at most in a window, bytes for one of its bytes, bytes of a dictionary, and distinct windows that a worker remembers.
 WINDOW, WIDTH, DICTIONARY, MEMO_ENTRIES = 32, 2, 12 << 10, 400_000
@@ -36,6 +40,8 @@ PARAMETERS = {"window_log": 18, "hash_log": 16, "chain_log": 17, "search_log": 7
 PIECES = (4, 5, 6, 7, 9)
 #: A piece is telling if it is this many times as frequent in toxic texts, and in this share of them.
 LIFT, SHARE = 12, 0.02
+#: Thresholds of gain that are tried.
+THRESHOLDS = range(2, 41)
 _WIDE = np.random.default_rng(5).permutation(1 << 16)[: 256 * WIDTH // 2].astype("<u2").reshape(256, -1)
 
 
@@ -51,6 +57,12 @@ class Model:
     weights: tuple[float, ...]
 
 
+#: Where a class is missing.
+NOTHING = Model(b"\0" * 8, b"\0" * 8, 1, (-3.0, 0.0, 0.0, 0.0))
+#: Pieces of ordinary texts in the dictionary.
+FREQUENT = DICTIONARY // 6
+
+
 def windows(raw: bytes) -> list[bytes]:
     """Words of a text, cut at WINDOW bytes."""
     words = raw.lower().split()
@@ -88,31 +100,48 @@ def features(gains: list[np.ndarray], threshold: int) -> np.ndarray:
     """Per text: windows over the threshold (log), the largest gain, share of windows over the threshold."""
     over = np.array([(g >= threshold).sum() for g in gains], dtype=np.float64)
     largest = np.array([max(0, int(g.max())) if len(g) else 0 for g in gains], dtype=np.float64)
-    return np.stack([np.log1p(over), largest / 16, over / np.maximum(1, [len(g) for g in gains])], axis=1) if gains else np.zeros((0, 3))
+    return _features(over, largest, np.array([len(g) for g in gains]))
+
+
+def _features(over: np.ndarray, largest: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.stack([np.log1p(over), largest / 16, over / np.maximum(1, count)], axis=1)
+
+
+def _figures(gains: list[np.ndarray]) -> np.ndarray:
+    """Per text: windows over each of THRESHOLDS, the largest gain, windows."""
+    return np.array([[*[int((g >= k).sum()) for k in THRESHOLDS], max(0, int(g.max())) if len(g) else 0, len(g)] for g in gains], dtype=np.int64).reshape(-1, len(THRESHOLDS) + 2)
 
 
 def _pieces(texts: list[list[bytes]]) -> dict[bytes, int]:
     """Texts that have a word, or the start of one, by that piece."""
     found: dict[bytes, int] = {}
     for t in texts:
-        each = set()
-        for w in set(t):
-            w = b" " + w
-            each.add(w)
-            each.update(w[:n] for n in PIECES if len(w) > n)
-        for w in each:
+        for w in _pieces_of(t):
             found[w] = found.get(w, 0) + 1
     return found
 
 
-def _originals(texts: list[list[bytes]]) -> list[list[bytes]]:
-    """Without near copies of earlier texts, by the least hashes of their word triples: what only a family of copies has tells nothing."""
+def _pieces_of(text: list[bytes]) -> set[bytes]:
+    each = set()
+    for w in set(text):
+        w = b" " + w
+        each.add(w)
+        each.update(w[:n] for n in PIECES if len(w) > n)
+    return each
+
+
+def _least(t: list[bytes]) -> list[int]:
+    """The least four hashes of the word triples."""
+    return sorted({crc32(b" ".join(t[i : i + 3])) for i in range(max(1, len(t) - 2))})[:4]
+
+
+def _originals(hashes: list[list[int]]) -> list[int]:
+    """Places of texts that are no near copies of earlier ones, by the least hashes of their word triples: what only a family of copies has tells nothing."""
     seen: set[int] = set()
     out = []
-    for t in texts:
-        least = sorted({crc32(b" ".join(t[i : i + 3])) for i in range(max(1, len(t) - 2))})[:4]
+    for i, least in enumerate(hashes):
         if seen.isdisjoint(least):
-            out.append(t)
+            out.append(i)
         seen.update(least)
     return out
 
@@ -133,20 +162,78 @@ def train(texts: list[str], labels: list[int]) -> Model:
     y = np.array(labels, dtype=np.float64)
     good, bad = [t for t, v in zip(cut, labels, strict=True) if not v], [t for t, v in zip(cut, labels, strict=True) if v]
     if not good or not bad:
-        return Model(b"\0" * 8, b"\0" * 8, 1, (-3.0, 0.0, 0.0, 0.0))
-    good, bad = _originals(good), _originals(bad)
+        return NOTHING
+    good, bad = ([c[i] for i in _originals([_least(t) for t in c])] for c in (good, bad))
     common, strange = _pieces(good), _pieces(bad)
-    frequent = sorted((w for w in common if len(w) > 3), key=lambda w: (common[w], w))[-DICTIONARY // 6 :]
+    frequent = sorted((w for w in common if len(w) > 3), key=lambda w: (common[w], w))[-FREQUENT:]
+    ordinary, toxic = _dictionaries(frequent, {w: (n, common.get(w, 0)) for w, n in strange.items() if len(w) > 3}, len(good), len(bad))
+    return _fit(ordinary, toxic, _figures(Gains(ordinary, toxic)(cut)), y)
+
+
+def _dictionaries(frequent: list[bytes], strange: dict[bytes, tuple[int, int]], good: int, bad: int) -> tuple[bytes, bytes]:
+    """From the most frequent pieces of ordinary texts, the most frequent last, and the toxic and ordinary texts that have a piece, out of ``bad`` and ``good``."""
     ordinary = b"".join(frequent)[-DICTIONARY:]
-    share = lambda w: (strange[w] / len(bad)) / ((common.get(w, 0) + 0.5) / len(good))
-    telling = _stems({w: n for w, n in strange.items() if len(w) > 3 and n >= max(3, SHARE * len(bad)) and share(w) > LIFT})
-    toxic = b"".join(telling)[-DICTIONARY:] + ordinary  # what both have stays equally near
-    gains = Gains(ordinary, toxic)(cut)
+    share = lambda n, c: (n / bad) / ((c + 0.5) / good)
+    telling = _stems({w: n for w, (n, c) in strange.items() if n >= max(3, SHARE * bad) and share(n, c) > LIFT})
+    return ordinary, b"".join(telling)[-DICTIONARY:] + ordinary  # what both have stays equally near
+
+
+def _rows_of(make, names: list[str]):
+    """mapInArrow function over ``labelled.chosen`` rows: key, label, place and id with ``make(list of windows)``'s columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t", SLICE_BYTES):
+                raw = [t.encode("utf-8") for t in part.column(part.schema.get_field_index("t")).to_pylist()]
+                head = [part.column(part.schema.get_field_index(n)) for n in ("id", "y", "place")]
+                yield pa.RecordBatch.from_arrays([*head, pa.array([sha256(r).digest() for r in raw], pa.binary()), *make([windows(r) for r in raw])], names=["id", "y", "place", "key", *names])
+        give_back()
+
+    return run
+
+
+def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "t", SLICE_BYTES):
+            for t, y in zip(part.column(part.schema.get_field_index("t")).to_pylist(), part.column(part.schema.get_field_index("y")).to_pylist(), strict=True):
+                found = sorted(w for w in _pieces_of(windows(t.encode("utf-8"))) if len(w) > 3)
+                for i in range(0, len(found), 20_000):
+                    some = found[i : i + 20_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([y] * len(some), pa.int32())], names=["piece", "y"])
+    give_back()
+
+
+def fit(sample: DataFrame) -> Model:
+    """:func:`train` on the whole texts of ``labelled.chosen``: the executors cut and compress them, pieces are counted by Spark, and only figures are collected."""
+    bounded_batches(sample.sparkSession)
+    head = f"id {sample.schema['id'].dataType.simpleString()}, y int, place long, key binary"
+    texts = sample.select("id", "y", "place", "t")
+    rows = in_order(texts.mapInArrow(_rows_of(lambda cut: [pa.array([_least(t) for t in cut], pa.list_(pa.int64()))], ["least"]), f"{head}, least array<bigint>").collect())
+    good, bad = ([r for r in rows if r["y"] == y] for y in (0, 1))
+    if not good or not bad:
+        return NOTHING
+    good, bad = ([c[i] for i in _originals([r["least"] for r in c])] for c in (good, bad))
+    # the least (place, id) of equal texts is the row that counts; rows that repeat an id with the same text count once
+    used = sample.sparkSession.createDataFrame([(r["id"], r["y"], bytes(r["key"])) for r in [*good, *bad]], f"id {sample.schema['id'].dataType.simpleString()}, y int, key binary")
+    once = texts.withColumn("key", F.unhex(F.sha2(F.col("t").cast("binary"), 256))).join(F.broadcast(used), ["id", "y", "key"], "left_semi").dropDuplicates(["id", "key"])
+    counts = written(once.select("y", "t").mapInArrow(_piece_rows, "piece binary, y int").groupBy("piece").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")), "pieces")
+    frequent = [bytes(r["piece"]) for r in counts.where("good > 0").orderBy(F.desc("good"), F.desc("piece")).limit(FREQUENT).collect()][::-1]
+    strange = counts.where((F.col("bad") >= max(3, SHARE * len(bad))) & (F.col("bad") / len(bad) > LIFT * (F.col("good") + 0.5) / len(good) * 0.999)).collect()  # words and starts of words in a fiftieth of the toxic texts
+    ordinary, toxic = _dictionaries(frequent, {bytes(r["piece"]): (r["bad"], r["good"]) for r in strange}, len(good), len(bad))
+
+    def gains(cut: list[list[bytes]]) -> list:
+        return [pa.array(_figures(_worker(ordinary, toxic)(cut)).tolist(), pa.list_(pa.int64()))]
+
+    found = in_order(texts.mapInArrow(_rows_of(gains, ["figures"]), f"{head}, figures array<bigint>").collect())
+    return _fit(ordinary, toxic, np.array([r["figures"] for r in found], dtype=np.int64), np.array([r["y"] for r in found], dtype=np.float64))
+
+
+def _fit(ordinary: bytes, toxic: bytes, figures: np.ndarray, y: np.ndarray) -> Model:
     best = (-1.0, 0)
-    for threshold in range(2, 41):
-        over = np.array([(g >= threshold).sum() for g in gains])
+    for threshold in THRESHOLDS:
+        over = figures[:, threshold - THRESHOLDS[0]]
         best = max(best, (max(0.5 * ((over >= k)[y == 1].mean() + (over < k)[y == 0].mean()) for k in (1, 2)), threshold))
-    x = np.column_stack([np.ones(len(y)), features(gains, best[1])])
+    x = np.column_stack([np.ones(len(y)), _features(figures[:, best[1] - THRESHOLDS[0]].astype(np.float64), figures[:, -2].astype(np.float64), figures[:, -1])])
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     w = np.zeros(x.shape[1])
     for _ in range(50):  # Newton steps with a small ridge
@@ -160,13 +247,16 @@ def train(texts: list[str], labels: list[int]) -> Model:
 _workers: dict[tuple, Gains] = {}
 
 
-def scores(model: Model, texts: list[bytes]) -> np.ndarray:
-    key = (model.ordinary, model.toxic)
+def _worker(*key: bytes) -> Gains:
     if key not in _workers:
         _workers.clear()
         _workers[key] = Gains(*key)
+    return _workers[key]
+
+
+def scores(model: Model, texts: list[bytes]) -> np.ndarray:
     w = np.array(model.weights)
-    return 1 / (1 + np.exp(-np.clip(w[0] + features(_workers[key]([windows(t) for t in texts]), model.threshold) @ w[1:], -30, 30)))
+    return 1 / (1 + np.exp(-np.clip(w[0] + features(_worker(model.ordinary, model.toxic)([windows(t) for t in texts]), model.threshold) @ w[1:], -30, 30)))
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from condmon.llm import bpe, labelled, minhash, mixing, pfp, quality
 from condmon.llm.common import written
 
-#: Labelled rows of each class at most that the quality classifier is fitted on, and bytes of a text in that sample.
-FIT_ROWS, FIT_BYTES = 2000, 32 << 10
+#: Labelled rows of each class at most that the quality classifier is fitted on, whole texts of any length.
+FIT_ROWS = 2000
 #: Ids of removed documents up to which they are broadcast; beyond that both sides are dealt by id.
 BROADCAST_IDS = 1_000_000
 #: Exponents of token shares that the mixture aims at, tokens wanted for those at hand, seed.
@@ -23,10 +23,12 @@ TARGETS, SHARE, SEED = {"source": 0.8, "lang": 0.8, "topic": 0.9}, 1.0, 23
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier (a factorisation machine) rejects, score under 0.5, go."""
+    """Documents that the quality classifier (a factorisation machine) rejects, score under 0.5, go; none where the labels lack a class."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    texts, marks = labelled.sample(docs, labels, "quality", F.lit(False), FIT_ROWS, FIT_BYTES)
-    return quality.score(docs, quality.train(texts, marks)).where("score >= 0.5").select(*docs.columns)
+    model = quality.fit(labelled.chosen(docs, labels, "quality", F.lit(False), FIT_ROWS))
+    if not model.trained:
+        return docs
+    return quality.score(docs, model).where("score >= 0.5").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
