@@ -47,10 +47,11 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled, none twice, by probabilities that move token shares of source, language and topic to the targets."""
+    """Documents are drawn, some several times (a row for each copy), so that token shares of source, language and topic move to the targets."""
     sized = docs.withColumn("__tokens", mixing.tokens(F.col("text")))
     margins = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"))}
-    return mixing.mix(sized, margins, TARGETS, "__tokens", share=SHARE, seed=SEED).where("copies >= 1").select(*docs.columns)
+    drawn = mixing.mix(sized, margins, TARGETS, "__tokens", share=SHARE, seed=SEED).where("copies >= 1")
+    return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

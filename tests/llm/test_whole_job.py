@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from condmon.llm import labelled, quality, toxicity
+from condmon.llm import labelled, mixing, quality, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +50,22 @@ def test_fit_on_executors_equals_train(spark, method, label):
     for n in a.__dataclass_fields__:
         x, y = getattr(a, n), getattr(b, n)
         assert x == y if isinstance(x, bytes) else np.allclose(x, y, atol=1e-6), n
+
+
+# Mixing ----------------------------------------------------------------------------
+
+
+def test_the_stage_meets_its_targets(spark):
+    rows = [(i, "large" if i % 3 == 0 else f"small{i % 7}", "en" if i % 5 else "de", "word " * (20 + i % 300)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    tokens = F.sum(mixing.tokens(F.col("text"))).alias("t")
+    total = docs.agg(tokens).first().t
+    out = corpus_pipeline.mixing_stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert out.agg(tokens).first().t == pytest.approx(corpus_pipeline.SHARE * total, rel=0.03)
+    for margin in ("source", "lang"):
+        before = {r[0]: r.t / total for r in docs.groupBy(margin).agg(tokens).collect()}
+        power = {k: v ** corpus_pipeline.TARGETS[margin] for k, v in before.items()}
+        for r in out.groupBy(margin).agg(tokens).collect():
+            assert r.t / total == pytest.approx(corpus_pipeline.SHARE * power[r[0]] / sum(power.values()), rel=0.06)
