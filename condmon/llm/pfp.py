@@ -190,11 +190,11 @@ class _Batch:
         return [(int(b[i]), int(i), int(j)) for i, j in zip(cuts, np.append(cuts[1:], len(b)), strict=True)]
 
     def details(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct phrases that need their bytes compared: by suffix order, and by fingerprints of their strings."""
+        """Distinct phrases that need their bytes compared: by suffix order, and by strings dealt by fingerprint."""
         return np.flatnonzero(codes == 1), np.flatnonzero(codes == 3)
 
     def strings(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All strings of these distinct phrases, distinct in the batch: fingerprints in order, least owner, and start places with their group."""
+        """All strings of these distinct phrases: fingerprints, owners and start places."""
         p, which = self.phrases, self.first[wanted]
         counts = p.hi[which] - p.lo[which] + 1
         entry = np.repeat(np.arange(len(which)), counts)
@@ -204,6 +204,13 @@ class _Batch:
             h = h * _U(_BASE) + self.text[start + i] + _U(1)
         return _mix(h) >> _U(16), self.owner[wanted][entry], start
 
+    def bytes_at(self, start: np.ndarray) -> np.ndarray:
+        """The strings that start there, as fixed LENGTH bytes."""
+        out = np.empty((len(start), LENGTH), np.uint8)
+        for i in range(LENGTH):
+            out[:, i] = self.text[start + i]
+        return out.view(f"S{LENGTH}").reshape(-1)
+
     def codes(self, answers: list[dict] | None) -> np.ndarray:
         return np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(a["codes"]), dtype=np.uint8) for a in sorted(answers, key=lambda a: a["bucket"])]) if answers else np.zeros(0, np.uint8)
 
@@ -336,19 +343,29 @@ def _detail(buckets: int):
                     head = _squeeze(b.owner[sorts[i:j]], near.astype(np.uint8), far.astype(np.uint8))
                     yield k, row["bid"], 1, len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=3).compress(frames.tobytes())
                 if len(prints):
-                    h, owner, _ = b.strings(prints)
-                    order = np.lexsort((owner, h))
-                    h, owner = h[order], owner[order]
-                    first = np.append(True, h[1:] != h[:-1])
-                    h, owner = h[first], owner[first]
+                    h, owner, start = b.strings(prints)
+                    order, first, _ = _alike(h, b.bytes_at(start), owner)
+                    h, owner, start = h[order][first], owner[order][first], start[order][first]
                     for k, i, j in b.runs(h, buckets):
-                        yield k, row["bid"], 2, _squeeze(_six(h[i:j]), owner[i:j])
+                        head = _squeeze(_six(h[i:j]), owner[i:j])
+                        yield k, row["bid"], 2, len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=3).compress(b.bytes_at(start[i:j]).tobytes())
 
         return _rows(rows(), ["bucket", "bid", "kind", "entries"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()])
 
     return run
 
 
+def _alike(h: np.ndarray, string: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by fingerprint, bytes and owner; firsts of equal bytes in that order; and the number of each entry's string.  Fingerprints only deal and order: bytes decide."""
+    order = np.lexsort((owner, string, h))
+    s, g = string[order], h[order]
+    first = np.ones(len(s), dtype=bool)
+    first[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])
+    number = np.empty(len(s), dtype=np.int64)
+    number[order] = np.cumsum(first) - 1
+    return order, first, number
+
+
 def _suffixes(frames: np.ndarray, near: np.ndarray, far: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Suffix order of phrases to LENGTH bytes; gives a bit mask a phrase of the strings that a smaller document has."""
     counts = far.astype(np.int64) - near + 1
@@ -382,14 +399,12 @@ def _compare(most: int = 20_000):
                         some = np.flatnonzero(part == k)
                         result[some] = _suffixes(frames[some], near[some], far[some], owner[some])
                 else:
-                    parts = [_expand(e, "V6", "<i8") for _, e in held]
+                    parts = [_expand(e[4 : 4 + int.from_bytes(e[:4], "little")], "V6", "<i8") for _, e in held]
+                    strings = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(e[4 + int.from_bytes(e[:4], "little") :]), dtype=f"S{LENGTH}") for _, e in held])
                     sizes = [len(p[0]) for p in parts]
                     h, owner = _eight(np.concatenate([p[0] for p in parts])), np.concatenate([p[1] for p in parts])
-                    order = np.argsort(h, kind="stable")
-                    first = np.append(True, h[order][1:] != h[order][:-1])
-                    least = np.empty_like(owner)
-                    least[order] = np.minimum.reduceat(owner[order], np.flatnonzero(first))[np.cumsum(first) - 1]
-                    result = least
+                    order, first, number = _alike(h, strings, owner)
+                    result = owner[order][first][number]  # the least of each string
                 at = 0
                 for (bid, _), n in zip(held, sizes, strict=True):
                     yield bid, bucket, kind, zstandard.ZstdCompressor(level=1).compress(result[at : at + n].tobytes())
@@ -422,8 +437,7 @@ def _removed(b: _Batch, row: dict) -> np.ndarray:
                 hit_kind, step = wanted[entry], f - (WINDOW - 1)
             else:
                 h, owner, start = b.strings(wanted)
-                distinct, inverse = np.unique(h, return_inverse=True)
-                hit = np.flatnonzero(owner > found.view("<i8")[inverse])
+                hit = np.flatnonzero(owner > found.view("<i8")[_alike(h, b.bytes_at(start), owner)[2]])
                 counts = p.hi[b.first[wanted]] - p.lo[b.first[wanted]] + 1
                 hit_kind = np.repeat(wanted, counts)[hit]
                 step = start[hit] - p.at[b.first[hit_kind]]
@@ -475,9 +489,9 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: in
     A row with a null id takes no part and stays whole.  Rows that share an id
     do not remove each other's bytes.  Repeats within one document stay.
     Columns named like an output are replaced; an empty table gives an empty
-    one.  Triggers of over ``hot`` distinct phrases are compared by 48-bit
-    fingerprints of their strings, dealt by fingerprint, instead of by suffix
-    order in one bucket.  With ``as_text`` there is also ``text``: what is kept,
+    one.  Triggers of over ``hot`` distinct phrases are compared by the bytes
+    of their strings, dealt by 48-bit fingerprint, instead of by suffix order in
+    one bucket.  With ``as_text`` there is also ``text``: what is kept,
     without the bytes of characters that were cut in two.
     """
     spark = df.sparkSession

@@ -1,11 +1,13 @@
 """The whole job where a shorter one was done before: long labelled texts, drawn copies, bytes behind fingerprints."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from condmon.llm import labelled, mixing, quality, toxicity
+from condmon.llm import labelled, mixing, pfp, quality, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,3 +71,29 @@ def test_the_stage_meets_its_targets(spark):
         power = {k: v ** corpus_pipeline.TARGETS[margin] for k, v in before.items()}
         for r in out.groupBy(margin).agg(tokens).collect():
             assert r.t / total == pytest.approx(corpus_pipeline.SHARE * power[r[0]] / sum(power.values()), rel=0.06)
+
+
+# Dedup -----------------------------------------------------------------------------
+
+
+def test_equal_fingerprints_of_hot_triggers_remove_nothing(monkeypatch):
+    rng = np.random.default_rng(1)
+    word = lambda: bytes(rng.integers(97, 123, 45).astype(np.uint8))
+    middle, shared = b"0123456789abcdef", word()
+    texts = [word() + middle + word() for _ in range(60)]
+    texts += [word()[:5] + shared + middle + word(), word()[:9] + shared + middle + word()]
+    offsets = np.cumsum([0, *map(len, texts)]).astype("<i8")
+    row = {"bid": 0, "n_bytes": int(offsets[-1]), "offsets": offsets.tobytes(), "ids": np.arange(len(texts), dtype="<i8").tobytes(), "blob": zstandard.ZstdCompressor().compress(b"".join(texts))}
+    batch = lambda rows: iter([pa.RecordBatch.from_pylist(rows)])
+    out = lambda batches: sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["bucket"], r.get("kind", 0)))
+    one = out(pfp._answer(1)(batch(out(pfp._request(1)(batch([row]))))))
+    row["a1"] = [{"bucket": r["bucket"], "codes": r["codes"]} for r in one]
+    monkeypatch.setattr(pfp, "_BASE", 0)  # the fingerprint of a string is that of its last byte; the hashes of phrases keep their table
+    two = out(pfp._compare()(batch(out(pfp._detail(1)(batch([row]))))))
+    assert any(r["kind"] == 2 for r in two)
+    row["a2"] = [{"bucket": r["bucket"], "kind": r["kind"], "found": r["found"]} for r in two]
+    gone = pfp._removed(pfp._Batch(row), row)
+    want = np.zeros(len(gone), dtype=bool)
+    end = int(offsets[-2]) + 9
+    want[end : end + len(shared) + len(middle)] = True  # what the last text has from the one before
+    assert (gone == want).all()
