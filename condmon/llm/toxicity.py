@@ -1,18 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries: one trained on ordinary text, one on toxic text
-(which holds ordinary language too).  A window that the second one compresses
-better than the first holds what only toxic text has.  The differences of all
-windows of a text give three figures: windows over a calibrated threshold, the
-largest difference, and the share of windows over the threshold.  A logistic
-model on them, fitted on the training rows, gives the score.
-
-Windows are words with the blank before them, cut at WINDOW bytes, A-Z
-lower-cased: in longer ones the choices of the match finder outweigh what a
-short word saves.  Windows repeat, so each distinct one is compressed once a
-worker (a bounded memo).  Each byte is written as WIDTH bytes before compression
-(a fixed random table): a frame costs some ten bytes whatever it holds, a match
-about three, and at one byte a letter both would hide the saving.
+Two zstandard dictionaries are trained: one on pieces of ordinary texts, one on
+what toxic texts hold besides (runs of their bytes made of strings of GRAM bytes
+that ordinary texts rarely have).  Overlapping windows of running text are compressed
+with the ordinary dictionary alone and with the toxic one before it, so that
+both know the ordinary language equally well; what the second saves on a window
+is its gain.  The gains of all windows of a text give its features: windows
+over a threshold (count and share), the largest two, and the mean.  A logistic
+model on them gives the score.
+
+Dictionaries are trained on three fifths of the training rows; the size of the
+toxic one, the threshold and the model are calibrated on the other two fifths,
+which the dictionaries have not seen.
+
+Trained dictionaries are loaded as raw content: their entropy tables would code
+the letters of a window so well that a match saves little of what is measured.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
-from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -30,23 +31,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from condmon.llm.common import SLICE_BYTES, append_columns, bounded_batches, give_back, slices, written
+from condmon.llm.common import SLICE_BYTES, append_columns, bounded_batches, give_back, slices, text_bytes
 from condmon.llm.labelled import in_order
 
-#: Bytes at most in a window, bytes for one of its bytes, bytes of a dictionary, and distinct windows that a worker remembers.
-WINDOW, WIDTH, DICTIONARY, MEMO_ENTRIES = 32, 2, 12 << 10, 400_000
-PARAMETERS = {"window_log": 18, "hash_log": 16, "chain_log": 17, "search_log": 7, "min_match": 6, "target_length": 64, "strategy": zstandard.STRATEGY_BTLAZY2, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-#: Bytes at the start of a word that are looked at for telling pieces, its blank included.
-PIECES = (4, 5, 6, 7, 9)
-#: A piece is telling if it is this many times as frequent in toxic texts, and in this share of them.
-LIFT, SHARE = 12, 0.02
-#: Thresholds of gain that are tried.
-THRESHOLDS = range(2, 41)
-_WIDE = np.random.default_rng(5).permutation(1 << 16)[: 256 * WIDTH // 2].astype("<u2").reshape(256, -1)
-
-
-def _wide(raw: bytes) -> bytes:
-    return _WIDE[np.frombuffer(raw, dtype=np.uint8)].tobytes()
+#: Bytes of a window, and from one window to the next.
+WINDOW, STRIDE = 48, 24
+#: Bytes of a piece that dictionaries are trained on, and pieces of a text at most, spread evenly over it.
+PIECE, PIECES = 256, 64
+#: Bytes of the ordinary dictionary; sizes of the toxic one that are tried.
+ORDINARY, TOXIC = 112 << 10, (256, 512, 1024, 2048, 4096)
+#: Segment and string lengths of the dictionary trainer; strings by which toxic text is told from ordinary text.
+SEGMENT, GRAM = 16, 6
+#: Such a string is in so many toxic texts, and so many times as frequent there.
+SEVERAL, LIFT = 4, 12
+#: Gains that are tried as threshold.
+THRESHOLDS = range(1, 13)
+PARAMETERS = {"window_log": 18, "hash_log": 16, "chain_log": 17, "search_log": 7, "min_match": 4, "target_length": 64, "strategy": zstandard.STRATEGY_LAZY2, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+_U = np.uint64
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 @dataclass(frozen=True)
@@ -57,217 +60,241 @@ class Model:
     weights: tuple[float, ...]
 
 
-#: Where a class is missing.
-NOTHING = Model(b"\0" * 8, b"\0" * 8, 1, (-3.0, 0.0, 0.0, 0.0))
-#: Pieces of ordinary texts in the dictionary.
-FREQUENT = DICTIONARY // 6
-
+#: Where a class is missing: every text has the same low score.
+NOTHING = Model(b"\0" * 8, b"\0" * 8, 1, (-3.0, 0.0, 0.0, 0.0, 0.0, 0.0))
+
+
+def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts on end: start and length of every window, and windows of each text.  The last window ends where its text does; an empty text has none."""
+    sizes = np.diff(offsets)
+    count = np.where(sizes > 0, 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE)), 0)
+    row = np.repeat(np.arange(len(sizes)), count)
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    length = np.minimum(sizes[row], WINDOW)
+    return offsets[:-1][row] + np.minimum(nth * STRIDE, sizes[row] - length), length, count
+
+
+class Coders:
+    """Compressed sizes of windows with the ordinary dictionary and with each toxic one before it."""
+
+    def __init__(self, ordinary: bytes, toxic: list[bytes]) -> None:
+        parameters = zstandard.ZstdCompressionParameters(**PARAMETERS)
+        load = lambda d: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=parameters)
+        self.coders = [load(ordinary), *[load(t + ordinary) for t in toxic]]
+
+    def gains(self, text: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each toxic dictionary the gains of all windows, and the windows of each text."""
+        start, length, count = windows(offsets)
+        raw = _LOWER[text].tobytes()
+        found: list[list[int]] = [[] for _ in self.coders]
+        for i in range(0, len(start), 50_000):
+            places = np.stack([start[i : i + 50_000], length[i : i + 50_000]], axis=1).astype("<u8")
+            buffer = zstandard.BufferWithSegments(raw, places.tobytes())
+            for sizes, coder in zip(found, self.coders, strict=True):
+                out = coder.multi_compress_to_buffer(buffer)
+                sizes.extend(len(out[k]) for k in range(len(out)))
+        base, *others = (np.array(f, dtype=np.int64) for f in found)
+        return [base - o for o in others], count
+
+
+def figures(gain: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Per text: windows over each of THRESHOLDS, the largest two gains, sum of gains, windows."""
+    out = np.zeros((len(count), len(THRESHOLDS) + 4), dtype=np.int64)
+    row = np.repeat(np.arange(len(count)), count)
+    for k, t in enumerate(THRESHOLDS):
+        out[:, k] = np.bincount(row[gain >= t], minlength=len(count))
+    full = np.flatnonzero(count)
+    if len(full):
+        ends = np.cumsum(count)[full]
+        order = np.lexsort((gain, row))
+        ranked = np.maximum(0, gain[order])
+        out[full, -4] = ranked[ends - 1]
+        out[full, -3] = np.where(count[full] > 1, ranked[np.maximum(0, ends - 2)], 0)
+    out[:, -2] = np.bincount(row, weights=gain, minlength=len(count)).astype(np.int64)
+    out[:, -1] = count
+    return out
 
-def windows(raw: bytes) -> list[bytes]:
-    """Words of a text, cut at WINDOW bytes."""
-    words = raw.lower().split()
-    if words and max(map(len, words)) > WINDOW:
-        words = [w[i : i + WINDOW] for w in words for i in range(0, len(w), WINDOW)]
-    return words
 
+def features(f: np.ndarray, threshold: int) -> np.ndarray:
+    over, n = f[:, threshold - THRESHOLDS[0]], np.maximum(1, f[:, -1])
+    return np.stack([np.log1p(over), over / n, f[:, -4] / 8, f[:, -3] / 8, np.clip(f[:, -2] / n, -4, 4)], axis=1)
 
-class Gains(dict):
-    """Window to the bytes that the toxic dictionary saves on it."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes) -> None:
-        super().__init__()
-        self.coders = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(_wide(d), dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=zstandard.ZstdCompressionParameters(**PARAMETERS)) for d in (ordinary, toxic)]
+def _pieces(raw: bytes) -> list[bytes]:
+    """At most PIECES pieces, spread over the whole text, lower-cased."""
+    step = max(PIECE, -(-len(raw) // PIECES))
+    return [raw[i : i + PIECE].lower() for i in range(0, len(raw), step)]
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Compress the windows that are new."""
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        new = sorted(set(chain.from_iterable(texts)).difference(self))
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
-            sizes = np.array([len(w) + 1 for w in some], dtype=np.int64) * WIDTH
-            places = np.stack([np.cumsum(sizes) - sizes, sizes], axis=1).astype("<u8")
-            buffer = zstandard.BufferWithSegments(_wide(b" " + b" ".join(some)), places.tobytes())
-            a, b = ([len(out[k]) for k in range(len(out))] for out in (c.multi_compress_to_buffer(buffer) for c in self.coders))
-            self.update(zip(some, [max(-100, min(100, x - y)) for x, y in zip(a, b, strict=True)], strict=True))
 
-    def __call__(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        self.learn(texts)
-        return [np.fromiter(map(self.__getitem__, t), dtype=np.int8, count=len(t)) for t in texts]
+def _grams(raw: bytes) -> np.ndarray:
+    """Every string of GRAM bytes as a number."""
+    words = np.ndarray((len(raw),), dtype="<u8", buffer=raw + b"\0" * 8, strides=(1,))[: max(0, len(raw) - GRAM + 1)]
+    return words & _U((1 << 8 * GRAM) - 1)
 
 
-def features(gains: list[np.ndarray], threshold: int) -> np.ndarray:
-    """Per text: windows over the threshold (log), the largest gain, share of windows over the threshold."""
-    over = np.array([(g >= threshold).sum() for g in gains], dtype=np.float64)
-    largest = np.array([max(0, int(g.max())) if len(g) else 0 for g in gains], dtype=np.float64)
-    return _features(over, largest, np.array([len(g) for g in gains]))
+def _texts_with(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Strings of GRAM bytes in order, and the texts that have each."""
+    each = [np.unique(np.concatenate([_grams(p) for p in t])) for t in texts if t]
+    return np.unique(np.concatenate(each or [np.zeros(0, _U)]), return_counts=True)
 
 
-def _features(over: np.ndarray, largest: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return np.stack([np.log1p(over), largest / 16, over / np.maximum(1, count)], axis=1)
+def _telling(good: list[list[bytes]], bad: list[list[bytes]]) -> np.ndarray:
+    """Strings (in order) of several toxic texts that are LIFT times rarer in ordinary texts."""
+    known, often = _texts_with(good)
+    strings, texts = _texts_with(bad)
+    at = np.minimum(np.searchsorted(known, strings), max(0, len(known) - 1))
+    ordinary = np.where(known[at] == strings, often[at], 0) if len(known) else np.zeros(len(strings), np.int64)
+    strange = texts * len(good) >= LIFT * (ordinary + 0.5) * len(bad)
+    several = strange & (texts >= min(SEVERAL, len(bad)))
+    return strings[several if several.any() else strange]
 
 
-def _figures(gains: list[np.ndarray]) -> np.ndarray:
-    """Per text: windows over each of THRESHOLDS, the largest gain, windows."""
-    return np.array([[*[int((g >= k).sum()) for k in THRESHOLDS], max(0, int(g.max())) if len(g) else 0, len(g)] for g in gains], dtype=np.int64).reshape(-1, len(THRESHOLDS) + 2)
+def _runs(piece: bytes, telling: np.ndarray) -> list[bytes]:
+    """The runs of a piece that telling strings cover."""
+    grams = _grams(piece)
+    if not len(grams) or not len(telling):
+        return []
+    found = np.flatnonzero(telling[np.minimum(np.searchsorted(telling, grams), len(telling) - 1)] == grams)
+    change = np.zeros(len(piece) + 1, dtype=np.int64)
+    np.add.at(change, found, 1)
+    np.add.at(change, found + GRAM, -1)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(change[:-1]) > 0, [0]])))
+    return [piece[a:b] for a, b in edge.reshape(-1, 2).tolist()]
 
 
-def _pieces(texts: list[list[bytes]]) -> dict[bytes, int]:
-    """Texts that have a word, or the start of one, by that piece."""
-    found: dict[bytes, int] = {}
-    for t in texts:
-        for w in _pieces_of(t):
-            found[w] = found.get(w, 0) + 1
-    return found
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """Content of a dictionary of ``size`` bytes, the most useful last; samples too few for the trainer are the content themselves."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT if size < ORDINARY else SEGMENT * 3 // 2, d=GRAM, f=20, accel=1, split_point=1.0).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:] or b"\0" * 8
 
 
-def _pieces_of(text: list[bytes]) -> set[bytes]:
-    each = set()
-    for w in set(text):
-        w = b" " + w
-        each.add(w)
-        each.update(w[:n] for n in PIECES if len(w) > n)
-    return each
+def dictionaries(good: list[list[bytes]], bad: list[list[bytes]]) -> tuple[bytes, list[bytes]]:
+    """The ordinary dictionary and the toxic ones of all sizes, from the pieces of each text."""
+    telling = _telling(good, bad)
+    strange = _trained([s for t in bad for p in t for s in _runs(p, telling)], max(TOXIC))
+    return _trained([p for t in good for p in t], ORDINARY), [strange[-size:] for size in TOXIC]
 
 
-def _least(t: list[bytes]) -> list[int]:
+def _least(raw: bytes) -> list[int]:
     """The least four hashes of the word triples."""
-    return sorted({crc32(b" ".join(t[i : i + 3])) for i in range(max(1, len(t) - 2))})[:4]
+    words = raw.lower().split()
+    return sorted({crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))})[:4]
 
 
-def _originals(hashes: list[list[int]]) -> list[int]:
-    """Places of texts that are no near copies of earlier ones, by the least hashes of their word triples: what only a family of copies has tells nothing."""
+def _originals(rows: list) -> list:
+    """Rows that are no near copies of earlier ones, by the least hashes of their word triples: what only a family of copies has tells nothing."""
     seen: set[int] = set()
     out = []
-    for i, least in enumerate(hashes):
-        if seen.isdisjoint(least):
-            out.append(i)
-        seen.update(least)
+    for r in rows:
+        if seen.isdisjoint(r["least"]):
+            out.append(r)
+        seen.update(r["least"])
     return out
 
 
-def _stems(pieces: dict[bytes, int]) -> list[bytes]:
-    """The shortest telling pieces, each drawn out as far as most of its texts go on alike; the most frequent last.  Longer ones would only bring chance matches."""
-    roots = [w for w in pieces if not any(w[:n] in pieces for n in range(2, len(w)))]
-    out = {}
-    for w in roots:
-        longer = [q for q in pieces if q.startswith(w) and pieces[q] >= 0.7 * pieces[w]]
-        out[max(longer, key=len)] = pieces[w]
-    return sorted(out, key=lambda w: (out[w], w))
-
-
-def train(texts: list[str], labels: list[int]) -> Model:
-    """Dictionaries, threshold and weights from labelled texts (all are used; the caller bounds them)."""
-    cut = [windows(t.encode("utf-8")) for t in texts]
-    y = np.array(labels, dtype=np.float64)
-    good, bad = [t for t, v in zip(cut, labels, strict=True) if not v], [t for t, v in zip(cut, labels, strict=True) if v]
-    if not good or not bad:
-        return NOTHING
-    good, bad = ([c[i] for i in _originals([_least(t) for t in c])] for c in (good, bad))
-    common, strange = _pieces(good), _pieces(bad)
-    frequent = sorted((w for w in common if len(w) > 3), key=lambda w: (common[w], w))[-FREQUENT:]
-    ordinary, toxic = _dictionaries(frequent, {w: (n, common.get(w, 0)) for w, n in strange.items() if len(w) > 3}, len(good), len(bad))
-    return _fit(ordinary, toxic, _figures(Gains(ordinary, toxic)(cut)), y)
-
-
-def _dictionaries(frequent: list[bytes], strange: dict[bytes, tuple[int, int]], good: int, bad: int) -> tuple[bytes, bytes]:
-    """From the most frequent pieces of ordinary texts, the most frequent last, and the toxic and ordinary texts that have a piece, out of ``bad`` and ``good``."""
-    ordinary = b"".join(frequent)[-DICTIONARY:]
-    share = lambda n, c: (n / bad) / ((c + 0.5) / good)
-    telling = _stems({w: n for w, (n, c) in strange.items() if n >= max(3, SHARE * bad) and share(n, c) > LIFT})
-    return ordinary, b"".join(telling)[-DICTIONARY:] + ordinary  # what both have stays equally near
-
-
 def _rows_of(make, names: list[str]):
-    """mapInArrow function over ``labelled.chosen`` rows: key, label, place and id with ``make(list of windows)``'s columns."""
+    """mapInArrow function over ``labelled.chosen`` rows: id, label, place and key with ``make(texts)``'s columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t", SLICE_BYTES):
-                raw = [t.encode("utf-8") for t in part.column(part.schema.get_field_index("t")).to_pylist()]
+                texts = part.column(part.schema.get_field_index("t"))
                 head = [part.column(part.schema.get_field_index(n)) for n in ("id", "y", "place")]
-                yield pa.RecordBatch.from_arrays([*head, pa.array([sha256(r).digest() for r in raw], pa.binary()), *make([windows(r) for r in raw])], names=["id", "y", "place", "key", *names])
+                key = [sha256(t.encode("utf-8")).digest() for t in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([*head, pa.array(key, pa.binary()), *make(texts)], names=["id", "y", "place", "key", *names])
         give_back()
 
     return run
 
 
-def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "t", SLICE_BYTES):
-            for t, y in zip(part.column(part.schema.get_field_index("t")).to_pylist(), part.column(part.schema.get_field_index("y")).to_pylist(), strict=True):
-                found = sorted(w for w in _pieces_of(windows(t.encode("utf-8"))) if len(w) > 3)
-                for i in range(0, len(found), 20_000):
-                    some = found[i : i + 20_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([y] * len(some), pa.int32())], names=["piece", "y"])
-    give_back()
-
-
 def fit(sample: DataFrame) -> Model:
-    """:func:`train` on the whole texts of ``labelled.chosen``: the executors cut and compress them, pieces are counted by Spark, and only figures are collected."""
+    """The model from ``labelled.chosen`` rows.
+
+    The executors cut texts into pieces and compress the whole texts; the driver
+    collects at most PIECES pieces of PIECE bytes a row, and then figures.
+    Equal texts and near copies count once in training.
+    """
     bounded_batches(sample.sparkSession)
     head = f"id {sample.schema['id'].dataType.simpleString()}, y int, place long, key binary"
     texts = sample.select("id", "y", "place", "t")
-    rows = in_order(texts.mapInArrow(_rows_of(lambda cut: [pa.array([_least(t) for t in cut], pa.list_(pa.int64()))], ["least"]), f"{head}, least array<bigint>").collect())
-    good, bad = ([r for r in rows if r["y"] == y] for y in (0, 1))
+
+    def cut(column: pa.Array) -> list:
+        raw = [t.encode("utf-8") for t in column.to_pylist()]
+        return [pa.array([_least(r) for r in raw], pa.list_(pa.int64())), pa.array([_pieces(r) for r in raw], pa.list_(pa.binary()))]
+
+    first = F.pmod("place", F.lit(5)) < 3
+    held = lambda where: in_order(texts.where(where).mapInArrow(_rows_of(cut, ["least", "pieces"]), f"{head}, least array<bigint>, pieces array<binary>").collect())
+    rows = held(first)
+    rest = ~first
+    if {r["y"] for r in rows} != {0, 1}:  # too few rows to part
+        rows, rest = held(F.lit(True)), F.lit(True)
+    good, bad = ([[bytes(p) for p in r["pieces"]] for r in _originals([r for r in rows if r["y"] == y])] for y in (0, 1))
+    del rows
     if not good or not bad:
         return NOTHING
-    good, bad = ([c[i] for i in _originals([r["least"] for r in c])] for c in (good, bad))
-    # the least (place, id) of equal texts is the row that counts; rows that repeat an id with the same text count once
-    used = sample.sparkSession.createDataFrame([(r["id"], r["y"], bytes(r["key"])) for r in [*good, *bad]], f"id {sample.schema['id'].dataType.simpleString()}, y int, key binary")
-    once = texts.withColumn("key", F.unhex(F.sha2(F.col("t").cast("binary"), 256))).join(F.broadcast(used), ["id", "y", "key"], "left_semi").dropDuplicates(["id", "key"])
-    counts = written(once.select("y", "t").mapInArrow(_piece_rows, "piece binary, y int").groupBy("piece").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")), "pieces")
-    frequent = [bytes(r["piece"]) for r in counts.where("good > 0").orderBy(F.desc("good"), F.desc("piece")).limit(FREQUENT).collect()][::-1]
-    strange = counts.where((F.col("bad") >= max(3, SHARE * len(bad))) & (F.col("bad") / len(bad) > LIFT * (F.col("good") + 0.5) / len(good) * 0.999)).collect()  # words and starts of words in a fiftieth of the toxic texts
-    ordinary, toxic = _dictionaries(frequent, {bytes(r["piece"]): (r["bad"], r["good"]) for r in strange}, len(good), len(bad))
-
-    def gains(cut: list[list[bytes]]) -> list:
-        return [pa.array(_figures(_worker(ordinary, toxic)(cut)).tolist(), pa.list_(pa.int64()))]
-
-    found = in_order(texts.mapInArrow(_rows_of(gains, ["figures"]), f"{head}, figures array<bigint>").collect())
-    return _fit(ordinary, toxic, np.array([r["figures"] for r in found], dtype=np.int64), np.array([r["y"] for r in found], dtype=np.float64))
-
-
-def _fit(ordinary: bytes, toxic: bytes, figures: np.ndarray, y: np.ndarray) -> Model:
-    best = (-1.0, 0)
-    for threshold in THRESHOLDS:
-        over = figures[:, threshold - THRESHOLDS[0]]
-        best = max(best, (max(0.5 * ((over >= k)[y == 1].mean() + (over < k)[y == 0].mean()) for k in (1, 2)), threshold))
-    x = np.column_stack([np.ones(len(y)), _features(figures[:, best[1] - THRESHOLDS[0]].astype(np.float64), figures[:, -2].astype(np.float64), figures[:, -1])])
+    ordinary, toxic = dictionaries(good, bad)
+
+    def measured(column: pa.Array) -> list:
+        gains, count = _worker(ordinary, *toxic).gains(*text_bytes(column))
+        return [pa.array([f.tolist() for f in figures(g, count)], pa.list_(pa.int64())) for g in gains]
+
+    names = [f"f{size}" for size in TOXIC]
+    run, kind = _rows_of(measured, names), ", ".join([head, *[f"{n} array<bigint>" for n in names]])
+    found = in_order(texts.where(rest).mapInArrow(run, kind).collect())
+    if {r["y"] for r in found} != {0, 1}:
+        found = in_order(texts.mapInArrow(run, kind).collect())
+    y = np.array([r["y"] for r in found], dtype=np.float64)
+    best = None
+    for name, dictionary in zip(names, toxic, strict=True):
+        f = np.array([r[name] for r in found], dtype=np.int64)
+        for threshold in THRESHOLDS:
+            loss, w = _logistic(features(f, threshold), y)
+            if best is None or loss < best[0]:
+                best = loss, Model(ordinary, dictionary, threshold, tuple(float(v) for v in w))
+    return best[1]
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Balanced log loss and weights, by Newton steps with a small ridge."""
+    x = np.column_stack([np.ones(len(y)), x])
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    w = np.zeros(x.shape[1])
-    for _ in range(50):  # Newton steps with a small ridge
+    w, ridge = np.zeros(x.shape[1]), 1e-3 * np.eye(x.shape[1])
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + 1e-4 * w
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(len(w))
-        w -= np.clip(np.linalg.solve(hessian, gradient), -4, 4)
-    return Model(ordinary, toxic, best[1], tuple(float(v) for v in w))
+        w -= np.clip(np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (p - y)) + ridge @ w), -4, 4)
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
+    return float(-(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()), w
 
 
-_workers: dict[tuple, Gains] = {}
+_workers: dict[tuple, Coders] = {}
 
 
-def _worker(*key: bytes) -> Gains:
-    if key not in _workers:
+def _worker(ordinary: bytes, *toxic: bytes) -> Coders:
+    if (ordinary, *toxic) not in _workers:
         _workers.clear()
-        _workers[key] = Gains(*key)
-    return _workers[key]
-
-
-def scores(model: Model, texts: list[bytes]) -> np.ndarray:
-    w = np.array(model.weights)
-    return 1 / (1 + np.exp(-np.clip(w[0] + features(_worker(model.ordinary, model.toxic)([windows(t) for t in texts]), model.threshold) @ w[1:], -30, 30)))
+        _workers[ordinary, *toxic] = Coders(ordinary, list(toxic))
+    return _workers[ordinary, *toxic]
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """Adds ``score`` (double, 0 to 1) of every whole text.  Null and empty texts have no window and get the score of all-zero figures."""
+    """Adds ``score`` (double, 0 to 1) of every whole text.
+
+    Null and empty texts have no window and get the score of all-zero figures;
+    a text under WINDOW bytes is one window.  Repeated rows get equal scores, an
+    empty table gives an empty one, an input column named ``score`` (in any
+    case) is replaced, other columns ride along.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)  # two dictionaries and a few numbers
 
     def make():
         m = shared.value
+        w = np.array(m.weights)
 
         def fn(batch: pa.RecordBatch) -> list:
-            return [scores(m, [(t or "").encode("utf-8") for t in batch.column(batch.num_columns - 1).to_pylist()])]
+            gains, count = _worker(m.ordinary, m.toxic).gains(*text_bytes(batch.column(batch.num_columns - 1)))
+            return [1 / (1 + np.exp(-np.clip(w[0] + features(figures(gains[0], count), m.threshold) @ w[1:], -30, 30)))]
 
         return fn
 

@@ -190,25 +190,56 @@ def labelled_docs(spark, sf="/root/testdata/sf0.1"):
     return spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
 
 
-@pytest.mark.parametrize("method, label, parts, rest, least", [(toxicity, "toxic", 5, 0, 0.88), (quality, "quality", 3, 1, 0.97)])
+@pytest.mark.parametrize("method, label, parts, rest, least", [(toxicity, "toxic", 5, 0, 0.9), (quality, "quality", 3, 1, 0.97)])
 def test_classifiers_on_held_out_rows(spark, method, label, parts, rest, least):
     d, labels = labelled_docs(spark)
     held = labelled.fold("doc_id", parts) == rest
-    model = method.train(*labelled.sample(d, labels, label, held, 500, 20_000))
-    test = d.join(labels, "doc_id").where(held).limit(1500).select("doc_id", "text", label)
+    model = method.fit(labelled.chosen(d, labels, label, held, 2000))
+    test = d.join(labels, "doc_id").where(held).select("doc_id", "text", label)
     rows = method.score(test, model).collect()
     assert np.mean([(r.score >= 0.5) == (r[label] == 1) for r in rows]) >= least
 
 
 @pytest.mark.parametrize("method", [toxicity, quality])
 def test_classifier_edges(spark, method):
-    model = method.train(["good plain words here", "more plain words"] * 9, [0] * 18)  # one class only
+    sample = lambda texts, y: spark.createDataFrame([(i, y, i, t) for i, t in enumerate(texts)], "id long, y int, place long, t string")
+    model = method.fit(sample(["good plain words here", "more plain words"] * 9, 0))  # one class only
     texts = [None, "", " ", "x" * 50_000, "é " * 9000, "ok", "ok"]
     rows = method.score(docs(spark, texts), model).orderBy("extra").collect()
     assert all(0 <= r.score <= 1 for r in rows) and rows[0].score == rows[1].score and rows[5].score == rows[6].score
     assert "Score" not in rows[0].asDict()  # the clashing column is replaced
     assert method.score(docs(spark, []).limit(0), model).count() == 0
-    assert 0 <= method.score(docs(spark, ["a"]), method.train([], [])).first().score <= 1
+    assert 0 <= method.score(docs(spark, ["a"]), method.fit(sample([], 0))).first().score <= 1
+    few = method.fit(sample(["a good text"], 0).union(sample(["the worst text"], 1)))  # one row of each class
+    assert 0 <= method.score(docs(spark, ["", "the worst"]), few).first().score <= 1
+
+
+def test_toxic_windows_and_figures():
+    sizes = [0, 1, 47, 48, 49, 72, 73, 5000]
+    offsets = np.cumsum([0, *sizes])
+    start, length, count = toxicity.windows(offsets)
+    row = np.repeat(np.arange(len(sizes)), count)
+    for k, n in enumerate(sizes):  # every byte of a text is in a window, and no window leaves its text
+        inside = np.zeros(n, bool)
+        for a, b in zip(start[row == k] - offsets[k], length[row == k], strict=True):
+            assert 0 <= a and a + b <= n
+            inside[a : a + b] = True
+        assert inside.all()
+    f = toxicity.figures(np.array([3, -2, 7, 0]), np.array([3, 0, 1]))
+    assert f[:, -4:].tolist() == [[7, 3, 8, 3], [0, 0, 0, 0], [0, 0, 0, 1]] and f[0, :8].tolist() == [2, 2, 2, 1, 1, 1, 1, 0]
+
+
+def test_toxic_language_is_learnt_not_memorised(spark):
+    rng = random.Random(3)
+    plain = lambda: " ".join("".join(rng.choices(["ka", "lo", "mi", "ru", "te", "sa"], k=rng.randint(1, 4))) for _ in range(60))
+    bad = ["gruddling", "vexquop filth", "zznarth"]
+    made = [(f"{plain()} {rng.choice(bad)} {plain()}" if y else plain(), y) for y in [0, 1] * 150]
+    rows = spark.createDataFrame([(i, y, rng.randrange(1 << 40), t) for i, (t, y) in enumerate(made)], "id long, y int, place long, t string")
+    model = toxicity.fit(rows)
+    test = [(plain(), 0) for _ in range(40)] + [(f"{plain()} {w.upper()} {plain()}", 1) for w in bad * 12]
+    found = toxicity.score(docs(spark, [t for t, _ in test]), model).collect()
+    right = [(r.score >= 0.5) == bool(test[r.extra][1]) for r in found]
+    assert np.mean(right) >= 0.95
 
 
 def test_factorisation_identity():
@@ -385,7 +416,3 @@ def test_shingles_equal_sets():
     texts = ["", "a", "a b c d", "a b c d e", "A B c d e f", "\t\nx y\x0bz\x0c", text(rng, 300)]
     value, offsets = shingles.sets(*text_bytes(pa.array(texts)))
     assert np.diff(offsets).tolist() == [len(set_by_hand(t)) for t in texts]
-
-
-def test_payload_digests():
-    assert zlib.crc32(b"") == 0 and hashlib.sha256(b"").hexdigest().startswith("e3b0")
