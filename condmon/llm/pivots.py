@@ -1,17 +1,20 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Vectors are integer; their distances to PIVOTS pivots, chosen far apart from a
-bounded sample, are computed once.  For a query q and a candidate c the pivot
-table gives ``d(q, c) >= max_p |d(q, p) - d(c, p)| = L`` and with it
-``q.c <= (|q|^2 + |c|^2 - L^2) / 2``.  Blocks of candidates are taken nearest
-pivot first; a block whose bound (from its ranges of distances) is under a
-query's k-th score is skipped for it, and within a block the candidates of
-highest bound are evaluated first, the rest only as far as their bound reaches
-the k-th score found by then.  Bounds are rounded up, so stopping is exact.
-
-Rows are packed into blocks: every block of queries meets every block of
-candidates, in groups of blocks that one task streams through with only the best
-k of each query in memory.
+Vectors are integer.  PIVOTS pivots are chosen far apart from a bounded sample,
+and the distances of every vector to all of them are computed once.  For a query
+q and a candidate c the table gives ``d(q, c) >= max_p |d(q, p) - d(c, p)| = L``
+and with it ``q.c <= (|q|^2 + |c|^2 - L^2) / 2``.  A query's candidates are
+walked in the order of this bound, LOT at a time, until the next bound is under
+the k-th score found by then.  Each query starts with its k-th score among the
+sample, so whole groups of candidates can fall to their first bound.
+
+Distances are kept as 16-bit steps and the bounds rounded up by what that loses,
+so stopping is exact.  Scores are integer sums: in doubles where they fit 53
+bits, else in 64-bit integers.
+
+Candidates are dealt once into groups of about GROUP rows, one task each, and
+stay there; the query rows travel to every group.  A task holds its group and
+streams the queries through.
 """
 
 from __future__ import annotations
@@ -20,16 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from condmon.llm.common import bounded_batches, written
+from condmon.llm.common import bounded_batches, give_back, written
 
-#: Pivots, rows that they are chosen from, rows of a block of candidates and of queries, blocks in a group.
-PIVOTS, SAMPLE, BLOCK, QUERIES, GROUP = 16, 1024, 2048, 512, 16
-#: Candidates of highest bound that are evaluated first.
-FIRST = 64
+#: Pivots, rows that they are chosen from, rows of a group of candidates, and the fewest worth a task of their own.
+PIVOTS, SAMPLE, GROUP, LEAST = 256, 2048, 1 << 16, 2048
+#: Candidates evaluated at a time, and queries whose bounds are computed together.
+LOT, QUERIES = 256, 32
 
 
 def choose_pivots(vectors: np.ndarray) -> np.ndarray:
@@ -57,114 +59,117 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
-def _pack(rows: DataFrame, pivots: np.ndarray, size: int, spread: Column) -> DataFrame:
-    """Blocks of at most ``size`` rows: ``bid``, ``near`` (pivot of most use), ``n``, ``ids``, ``vectors`` (int64), ``table`` (float32 distances)."""
-    deal = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+class Group:
+    """A group of candidates with its pivot table."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, sample: tuple[np.ndarray, np.ndarray], k: int) -> None:
+        self.ids, self.vectors, self.pivots, self.k = ids, vectors, pivots, k
+        self.sample_ids, self.sample = sample
+        x = vectors.astype(np.float64)
+        self.square = (x**2).sum(axis=1)
+        table = _distances(x, pivots)
+        self.top = float(table.max(initial=1.0))
+        self.step = 2 * self.top / 16000  # a query's distances are clipped to twice the largest of the group
+        self.table = np.ascontiguousarray(np.round(table / self.step).astype(np.int16).T)
+        self.largest = float(self.square.max(initial=0.0))
+
+    def _dot(self, vectors: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
+        return (vectors @ q) if exact else (vectors.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+
+    def _known(self, ids: np.ndarray, vectors: np.ndarray, exact: bool) -> np.ndarray:
+        """A score that at least k candidates of the sample reach, for each query."""
+        least = np.iinfo(np.int64).min
+        if len(self.sample_ids) <= self.k:
+            return np.full(len(ids), least)
+        scores = vectors @ self.sample.T if exact else (vectors.astype(np.float64) @ self.sample.T.astype(np.float64)).astype(np.int64)
+        scores[ids[:, None] == self.sample_ids[None, :]] = least
+        return np.partition(scores, -self.k, axis=1)[:, -self.k]
+
+    def search(self, ids: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+        """For each query: its id, the ids and scores of its best (k at most), and the candidates evaluated."""
+        x = vectors.astype(np.float64)
+        square = (x**2).sum(axis=1)
+        sample_largest = float((self.sample.astype(np.float64) ** 2).sum(axis=1).max(initial=0.0))
+        exact = float(square.max(initial=0.0)) * max(self.largest, sample_largest) >= 2.0**104
+        near = _distances(x, self.pivots)
+        table = np.round(np.minimum(near, 2 * self.top) / self.step).astype(np.int16)
+        known = self._known(ids, vectors, exact)
+        gap, one = np.empty((len(ids), len(self.ids)), np.int16), np.empty((len(ids), len(self.ids)), np.int16)
+        gap[:] = 0
+        for p in range(len(self.pivots)):
+            np.subtract(table[:, p, None], self.table[p][None, :], out=one)
+            np.abs(one, out=one)
+            np.maximum(gap, one, out=gap)
+        # rounding moves each distance by half a step at most, and squares of n terms lose some last bits
+        slack = self.step + 1e-6 * (1 + max(self.top, float(near.max(initial=0.0))))
+        low = np.maximum(0.0, gap * self.step - slack)
+        whole = square[:, None] + self.square[None, :]
+        bound = (whole - low * low) / 2 + 1e-9 * whole + 1e-6
+        for r, query in enumerate(ids.tolist()):
+            kth, done = int(known[r]), 0
+            alive = np.flatnonzero((bound[r] >= kth) & (self.ids != query))
+            order = alive[np.argsort(-bound[r][alive])]
+            who, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            while done < len(order) and bound[r, order[done]] >= kth:
+                some = order[done : done + LOT]
+                s = self._dot(self.vectors[some], vectors[r], exact)
+                who, score = np.concatenate([who, self.ids[some[s >= kth]]]), np.concatenate([score, s[s >= kth]])
+                if len(who) > self.k:
+                    best = np.lexsort((who, -score))[: self.k]
+                    who, score = who[best], score[best]
+                if len(who) == self.k:
+                    kth = max(kth, int(score.min()))
+                done += len(some)
+            yield query, who, score, done
+
+
+def _search(k: int, dim: int, pivots: np.ndarray, sample: tuple[np.ndarray, np.ndarray]):
+    """Rows (g, asked, id, v) in that order: the candidates of a group, then the queries."""
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, group = None, [], None
         for batch in batches:
-            if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
-                near = _distances(x, pivots).argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, type=pa.int32())], names=["id", "v", "near"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, seq = TaskContext.get().partitionId() << 33, 0
-        key, ids, vectors = None, [], []
-
-        def block():
-            x = np.array(vectors, dtype=np.int64).reshape(len(ids), -1)
-            table = _distances(x.astype(np.float64), pivots).astype(np.float32)
-            return pa.RecordBatch.from_arrays([pa.array([base + seq]), pa.array([key[0]], type=pa.int32()), pa.array([len(ids)]), *[pa.array([b.tobytes()], type=pa.binary()) for b in (np.array(ids, dtype=np.int64), x, table)]], names=["bid", "near", "n", "ids", "vectors", "table"])
+            g, asked, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            vectors = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(g), dim)
+            cuts = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (asked[1:] != asked[:-1]))) if len(g) else []
+            for a, b in zip(cuts, [*cuts[1:], len(g)], strict=True):
+                if g[a] != now:
+                    now, held, group = g[a], [], None
+                if not asked[a]:
+                    held.append((ids[a:b].copy(), vectors[a:b].copy()))
+                    continue
+                if not held and group is None:
+                    continue
+                if group is None:
+                    group, held = Group(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), pivots, sample, k), []
+                for i in range(a, b, QUERIES):
+                    j = min(b, i + QUERIES)
+                    query, who, score, many = ([] for _ in range(4))
+                    for one, w, s, n in group.search(ids[i:j], vectors[i:j]):
+                        query += [np.full(len(w) + 1, one)]
+                        who += [w, [-1]]
+                        score += [s, [n]]
+                        many += [np.zeros(len(w), bool), [True]]
+                    columns = [np.concatenate(c) for c in (query, who, score, many)]
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int64)), pa.array(columns[1].astype(np.int64)), pa.array(columns[2].astype(np.int64)), pa.array(columns[3].astype(bool))], names=["query_id", "vec_id", "score", "figure"])
+        del held, group
+        give_back()
 
-        for batch in batches:
-            columns = (batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            for i, v, near, part in zip(*columns, strict=True):
-                if (near, part) != key or len(ids) >= size:
-                    if ids:
-                        yield block()
-                        seq += 1
-                    key, ids, vectors = (near, part), [], []
-                ids.append(i)
-                vectors.append(v)
-        if ids:
-            yield block()
-
-    found = rows.mapInArrow(nearest, "id long, v array<long>, near int")
-    dealt = found.withColumn("part", spread).repartition(deal, "near", "part").sortWithinPartitions("near", "part", "id")
-    return written(dealt.mapInArrow(pack, "bid long, near int, n long, ids binary, vectors binary, table binary"), "blocks")
-
-
-def _search(k: int, dim: int):
-    def block_of(ids: bytes, vectors: bytes, table: bytes):
-        i = np.frombuffer(ids, dtype=np.int64)
-        v = np.frombuffer(vectors, dtype=np.int64).reshape(len(i), dim)
-        t = np.frombuffer(table, dtype=np.float32).reshape(len(i), -1).astype(np.float64)
-        return i, v, t, (v.astype(np.float64) ** 2).sum(axis=1)
-
-    def bound(square, low):
-        return (square - np.maximum(low, 0) ** 2) / 2 + 1e-6 * np.abs(square) + 1e-6
-
-    def merge(score, who, new_score, new_who):
-        """The k best of each row, ties to the smaller id."""
-        s, w = np.concatenate([score, new_score], axis=1), np.concatenate([who, new_who], axis=1)
-        if s.shape[1] > 4 * k:  # what is under the k-th best score can't matter; all ties with it stay
-            kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-            most = int((s >= kth[:, None]).sum(axis=1).max())
-            keep = np.argsort(~(s >= kth[:, None]), axis=1, kind="stable")[:, :most]
-            s, w = np.take_along_axis(s, keep, axis=1), np.take_along_axis(w, keep, axis=1)
-        order = np.lexsort((w, -s), axis=1)[:, :k]
-        return np.take_along_axis(s, order, axis=1), np.take_along_axis(w, order, axis=1)
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
-        q = score = who = None
 
-        def done():
-            rows, cols = np.nonzero(score > -np.inf)
-            return pa.RecordBatch.from_arrays([pa.array(q[0][rows]), pa.array(who[rows, cols]), pa.array(score[rows, cols].astype(np.int64))], names=["query_id", "vec_id", "score"])
+_KIND = "query_id long, vec_id long, score long, figure boolean"
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                if (r["qid"], r["g"]) != now:
-                    if now is not None:
-                        yield done()
-                    now = (r["qid"], r["g"])
-                    q = block_of(r["q_ids"], r["q_vectors"], r["q_table"])
-                    score, who = np.full((len(q[0]), k), -np.inf), np.full((len(q[0]), k), np.iinfo(np.int64).max)
-                ids, vectors, table, square = block_of(r["ids"], r["vectors"], r["table"])
-                qid, qv, qt, qs = q
-                slack = 1e-6 * (1 + max(table.max(initial=0), qt.max(initial=0)))
-                kth = score[:, k - 1]
-                # the whole block, by its range of distances to each pivot
-                low = np.maximum(table.min(axis=0)[None, :] - qt, qt - table.max(axis=0)[None, :]).max(axis=1) - slack
-                live = np.flatnonzero(bound(qs + square.max(), low) >= kth)
-                if not len(live):
-                    continue
-                gap = np.zeros((len(live), len(ids)))
-                for p in range(table.shape[1]):
-                    np.maximum(gap, np.abs(qt[live, p][:, None] - table[:, p][None, :]), out=gap)
-                top = bound(qs[live][:, None] + square[None, :], gap - slack)
-                own = qid[live][:, None] == ids[None, :]
-                top[own] = -np.inf
-                exact = np.float64 if float(qs.max(initial=0)) * float(square.max(initial=0)) < 2.0**104 else np.int64
-                if len(ids) > 2 * FIRST and np.isneginf(kth[live]).any():
-                    first = np.argpartition(-top, FIRST, axis=1)[:, :FIRST]
-                    dots = np.einsum("ij,ikj->ik", qv[live].astype(exact), vectors[first].astype(exact)).astype(np.float64)
-                    dots[np.take_along_axis(own, first, axis=1)] = -np.inf
-                    score[live], who[live] = merge(score[live], who[live], dots, np.where(np.isneginf(dots), np.iinfo(np.int64).max, ids[first]))
-                    np.put_along_axis(top, first, -np.inf, axis=1)
-                    kth = score[:, k - 1]
-                rest = (top >= kth[live][:, None]) & ~np.isneginf(top)
-                rows, cols = np.flatnonzero(rest.any(axis=1)), np.flatnonzero(rest.any(axis=0))
-                if len(rows):
-                    dots = (qv[live[rows]].astype(exact) @ vectors[cols].astype(exact).T).astype(np.float64)
-                    dots[~rest[np.ix_(rows, cols)]] = -np.inf
-                    score[live[rows]], who[live[rows]] = merge(score[live[rows]], who[live[rows]], dots, np.where(np.isneginf(dots), np.iinfo(np.int64).max, ids[cols][None, :]))
-        if now is not None:
-            yield done()
 
-    return run
+def search(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
+    """The best of each query and group (``query_id``, ``vec_id``, ``score``), and for each of them a row with ``figure`` true whose score is the number of candidates evaluated."""
+    spark = df.sparkSession
+    bounded_batches(spark)
+    rows = written(scaled(df, id_col, vec_col, scale).withColumn("dim", F.size("v")), "vectors")
+    out = spark.createDataFrame([], _KIND)
+    for dim, n in sorted(rows.where("dim > 0").groupBy("dim").count().collect()):  # lengths of vectors, not rows
+        out = out.unionByName(_one_length(rows.where(F.col("dim") == dim).select("id", "v"), queries, k, dim, n))
+    return out
 
 
 def top_k(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -172,53 +177,30 @@ def top_k(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", v
 
     ``queries`` tells the query rows by ``id``; candidates are all rows but
     those with the query's own id.  Components become floor(scale * x) with x as
-    double.  Vectors that are null or have null or non-finite components, and
-    rows without an id, take no part.  Vectors are searched among those of
-    their own length; ties go to the smaller id; fewer than ``k`` candidates
-    give fewer rows; an empty table gives an empty one.
+    double.  Vectors that are null or have null or non-finite components, empty
+    vectors, and rows without an id, take no part.  Vectors are searched among
+    those of their own length; ties go to the smaller id; fewer than ``k``
+    candidates give fewer rows; an empty table gives an empty one.  Of rows that
+    repeat an id each is a candidate; as a query such an id stands for its least
+    vector.  Scores beyond 64 bits wrap.
     """
-    spark = df.sparkSession
-    bounded_batches(spark)
-    rows = written(scaled(df, id_col, vec_col, scale).withColumn("dim", F.size("v")), "vectors")
-    out = None
-    for (dim,) in rows.select("dim").distinct().orderBy("dim").collect():  # lengths of vectors, not rows
-        part = rows.where(F.col("dim") == dim).select("id", "v")
-        found = _one_length(part, queries, k, dim) if dim else None
-        if found is not None:
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = search(df, queries, k, id_col, vec_col, scale).where("not figure")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _one_length(rows: DataFrame, queries: Column, k: int, dim: int) -> DataFrame | None:
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()  # SAMPLE rows
-    pivots = choose_pivots(np.array([r["v"] for r in sample], dtype=np.float64))
-    n = rows.count()
-    asked = rows.where(queries)
-    # Sub-blocks of a pivot's rows, so that no pivot is one task; queries are cut by hash only.
-    blocks = _pack(rows, pivots, BLOCK, F.pmod(F.xxhash64("id"), F.lit(max(1, n // (BLOCK * max(1, len(pivots) // 2))))).cast("int"))
-    few = max(1, -(-asked.count() // QUERIES))
-    q_blocks = written(_pack(asked, pivots[:1], QUERIES, F.pmod(F.xxhash64("id"), F.lit(few)).cast("int")).drop("near", "table"), "queries")
-    far = _distances(pivots, pivots).sum(axis=1)
-    order = F.array(*[F.lit(float(d)) for d in far])
-    groups = max(1, -(-blocks.count() // GROUP))
-    with_table = _with_table(q_blocks, pivots, dim)
-    pairs = with_table.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    grouped = blocks.withColumn("g", F.pmod(F.xxhash64("bid"), F.lit(groups)).cast("int")).withColumn("near_first", F.element_at(order, F.col("near") + 1))
-    joined = pairs.join(grouped.select("g", "bid", "near_first", "ids", "vectors", "table"), "g")
-    deal = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = joined.repartition(deal, "qid", "g").sortWithinPartitions("qid", "g", "near_first", "bid")
-    return ordered.mapInArrow(_search(k, dim), "query_id long, vec_id long, score long")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _with_table(q_blocks: DataFrame, pivots: np.ndarray, dim: int) -> DataFrame:
-    """Query blocks with their distances to all pivots."""
+def evaluated(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
+    """``query_id`` and ``evaluated``: candidates whose inner product was computed, the rest having fallen to their bounds."""
+    return search(df, queries, k, id_col, vec_col, scale).where("figure").groupBy("query_id").agg(F.sum("score").alias("evaluated"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tables = [_distances(np.frombuffer(v, dtype=np.int64).reshape(-1, dim).astype(np.float64), pivots).astype(np.float32).tobytes() for v in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tables, type=pa.binary())], names=["qid", "q_ids", "q_vectors", "q_table"])
 
-    return q_blocks.select("bid", "ids", "vectors").mapInArrow(run, "qid long, q_ids binary, q_vectors binary, q_table binary")
+def _one_length(rows: DataFrame, queries: Column, k: int, dim: int, n: int) -> DataFrame:
+    drawn = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()  # SAMPLE rows
+    ids, vectors = np.array([r["id"] for r in drawn], dtype=np.int64), np.array([r["v"] for r in drawn], dtype=np.int64).reshape(len(drawn), dim)
+    pivots = choose_pivots(vectors.astype(np.float64))
+    deal = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(-(-n // GROUP), min(deal, -(-n // LEAST)))
+    candidates = rows.select(F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), F.lit(False).alias("asked"), "id", "v")
+    asked = rows.where(queries).groupBy("id").agg(F.min("v").alias("v")).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(True).alias("asked"), "id", "v")
+    dealt = candidates.unionByName(asked).repartition(max(deal, groups), "g").sortWithinPartitions("g", "asked")
+    return dealt.mapInArrow(_search(k, dim, pivots, (ids, vectors)), _KIND)

@@ -44,10 +44,7 @@ def top_by_hand(rows, k):
 
 @pytest.mark.parametrize("kind", ["normal", "equal", "few"])
 def test_topk_equals_brute_force(spark, kind, monkeypatch):
-    monkeypatch.setattr(pivots, "BLOCK", 64)
-    monkeypatch.setattr(pivots, "QUERIES", 8)
-    monkeypatch.setattr(pivots, "FIRST", 25)
-    monkeypatch.setattr(pivots, "GROUP", 2)
+    monkeypatch.setattr(pivots, "GROUP", 100)
     rng = np.random.default_rng(1)
     n = 9 if kind == "few" else 600
     x = rng.normal(0, 0.3, (n, 8)) + np.repeat(rng.normal(0, 1, (n // 3, 8)), 3, axis=0)
@@ -58,6 +55,34 @@ def test_topk_equals_brute_force(spark, kind, monkeypatch):
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
     got = sorted(map(tuple, pivots.top_k(df, F.col("id") % 20 == 0).collect()))
     assert got == top_by_hand(rows, 20)
+    done = pivots.evaluated(df, F.col("id") % 20 == 0).collect()
+    assert len(done) == len({g[0] for g in got}) and all(0 < r.evaluated < n for r in done)
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 24])
+def test_topk_walks_in_bound_order(monkeypatch, scale):
+    """In clusters most candidates fall to their bounds; large components are summed in whole numbers."""
+    monkeypatch.setattr(pivots, "LOT", 8)
+    rng = np.random.default_rng(2)
+    v = (rng.integers(-90, 90, (20, 6)).repeat(50, axis=0) + rng.integers(-3, 4, (1000, 6))) * scale + rng.integers(0, 2, (1000, 6))
+    v *= np.sign(scale)
+    ids = rng.permutation(1000)
+    group = pivots.Group(ids, v, pivots.choose_pivots(v[:200].astype(float)), (ids[:100], v[:100]), 5)
+    share = []
+    for query, who, score, done in group.search(ids[::20], v[::20]):
+        at = int(np.flatnonzero(ids == query)[0])
+        exact = [sum(int(a) * int(b) for a, b in zip(v[at], x, strict=True)) for x in v]
+        want = sorted((-s, int(i)) for s, i in zip(exact, ids, strict=True) if i != query)[:5]
+        best = sorted(zip((-score).tolist(), who.tolist(), strict=True))
+        assert best[: len(want)] == want[: len(best)] and all(w in best for w in want)
+        share.append(done / 1000)
+    assert np.mean(share) < 0.5
+
+
+def test_topk_repeated_ids_and_lengths(spark):
+    df = spark.createDataFrame([(0, [1.0, 1.0]), (0, [2.0, 2.0]), (1, [3.0, 0.0]), (1, [3.0, 0.0]), (2, [1.0]), (20, [1.0]), (3, [])], "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, pivots.top_k(df, F.col("id") % 20 == 0, scale=1).collect()))
+    assert got == [(0, 1, 1, 3), (0, 2, 1, 3), (20, 1, 2, 1)]
 
 
 def test_topk_of_nothing(spark):
