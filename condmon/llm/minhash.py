@@ -13,10 +13,10 @@
    below the limit.
 5. The rest is confirmed on full sets, 100 * intersection >= 75 * union.
 6. Links become components.  A band whose members are in several components
-   after that is looked at again, in its task: pairs of members of different
-   components, first the best four of each member, then all that are left.  So
-   no link between components is lost, and a large group of near copies, which
-   is one component after the first steps, never makes its pairs.
+   after that is looked at again, in lots of bounded size: pairs of members of
+   different components, first the best four of each member, then all that are
+   left.  So no link between components is lost, and a large group of near
+   copies, which is one component after the first steps, never makes its pairs.
 
 A pair at the limit shares no band with probability (1 - .75**4)**32 = 5e-6 and
 is estimated too low with probability 1e-5.
@@ -42,6 +42,8 @@ LIMIT, SIZE, FLOOR = 75, 5, 0.68
 BROADCAST_IDS = 1_000_000
 #: Members of a star that are confirmed in one task.
 STAR_ROWS = 500
+#: Members of a band that are compared in one group.
+LOT = 512
 
 _U = np.uint64
 
@@ -200,53 +202,56 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _across(rows: DataFrame, most: int | None) -> DataFrame:
-    """Of each band's members (key, rep, comp, bands, sig): pairs of different components with an estimate of FLOOR or more.
+def _across(members: DataFrame, sigs: DataFrame, bands: DataFrame, most: int | None) -> DataFrame:
+    """Of the members (key, rep, comp) of each band that is split over components: pairs of different components with an estimate of FLOOR or more.
 
-    Every member outside the largest component looks at all others; with
-    ``most`` it names that many of its best.  A pair is made in the first band
-    that its members share.
+    Every member outside the band's largest component looks at all others; with
+    ``most`` it names that many of its best in each lot.  A pair is made in the
+    first band that its members share.  A band's members are dealt into lots of
+    about LOT rows, each a group of its own; those that look travel to every lot
+    of their band, and a task holds one lot at a time.
     """
-    deal = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def pairs(key: int, held: list[tuple]) -> Iterator[tuple[int, int]]:
-        rep, comp = (np.array([h[i] for h in held], dtype=np.int64) for i in (0, 1))
-        bands = np.array([h[2] for h in held], dtype=np.int64)
-        sig = np.frombuffer(b"".join(h[3] for h in held), dtype=np.uint8).reshape(len(held), -1)
-        own = int(np.argmax(bands[0] == key))
-        values, inverse, counts = np.unique(comp, return_inverse=True, return_counts=True)
-        largest = np.argmax(counts)
-        for i in np.flatnonzero(inverse != largest):
-            other = np.flatnonzero((comp != comp[i]) & ((inverse == largest) | (np.arange(len(rep)) > i)))
-            e = estimate(equal_fields(sig[i], sig[other]))
-            other, e = other[e >= FLOOR], e[e >= FLOOR]
-            first = (bands[other] == bands[i]).argmax(axis=1) == own
-            other, e = other[first], e[first]
-            if most is not None and len(other) > most:
-                other = other[np.argpartition(-e, most)[:most]]
-            for j in other:
-                yield min(rep[i], rep[j]), max(rep[i], rep[j])
+    deal = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    split = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("top")).where("comps > 1")
+    split = split.select("key", F.ceil(F.col("n") / LOT).cast("int").alias("lots"), F.col("top.comp").alias("top"))
+    rows = members.join(split, "key").join(sigs, "rep").join(bands, "rep")
+    told = ("rep", "comp", "top", "bands", "sig")
+    hosts = rows.select("key", F.pmod(F.xxhash64("rep"), "lots").cast("int").alias("lot"), F.lit(False).alias("looks"), *told)
+    looking = rows.where("comp <> top").select("key", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.lit(True).alias("looks"), *told)
+
+    def pairs(key: int, lot: tuple, one: tuple) -> tuple[np.ndarray, np.ndarray]:
+        rep, comp, bands, sig = lot
+        own_rep, own_comp, top, own_bands, own_sig = one
+        # of two members that both look, the smaller one makes the pair
+        other = np.flatnonzero((comp != own_comp) & ((comp == top) | (rep > own_rep)))
+        e = estimate(equal_fields(own_sig, sig[other]))
+        other, e = other[e >= FLOOR], e[e >= FLOOR]
+        first = (bands[other] == own_bands).argmax(axis=1) == int(np.argmax(own_bands == key))
+        other, e = other[first], e[first]
+        if most is not None and len(other) > most:
+            other = other[np.argpartition(-e, most)[:most]]
+        return np.minimum(rep[other], own_rep), np.maximum(rep[other], own_rep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def done():
-            found = list(pairs(now, held)) if len({h[1] for h in held}) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([int(f[i]) for f in found], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
-
+        now, held, lot = None, [], None
         for batch in batches:
-            for key, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if key != now:
-                    if held:
-                        yield done()
-                    now, held = key, []
-                held.append(row)
-        if held:
-            yield done()
-        del held
+            found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for key, place, looks, rep, comp, top, bands, sig in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (key, place) != now:
+                    now, held, lot = (key, place), [], None
+                bands, sig = np.array(bands, dtype=np.int64), np.frombuffer(sig, dtype=np.uint8)
+                if not looks:
+                    held.append((rep, comp, bands, sig))
+                elif held:
+                    lot = lot or tuple(np.array([h[i] for h in held]) for i in range(4))
+                    found.append(pairs(key, lot, (rep, comp, top, bands, sig)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in (0, 1)], names=["a", "b"])
+        del held, lot
         give_back()
 
-    return rows.select("key", "rep", "comp", "bands", "sig").repartition(deal, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    dealt = hosts.unionByName(looking).repartition(deal, "key", "lot").sortWithinPartitions("key", "lot", "looks")
+    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -286,9 +291,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     label = written(components(confirm(tested, shingles)), "labels")
     for most in (4, None):
         members = written(shared.select("key", "rep").join(label, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("comp")), "members")
-        split = members.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-        rows = members.join(split, "key").join(sigs, "rep").join(classes.select("rep", "bands"), "rep")
-        fresh = written(_across(rows, most).join(tested, ["a", "b"], "left_anti"), "fresh")
+        fresh = written(_across(members, sigs, classes.select("rep", "bands"), most).join(tested, ["a", "b"], "left_anti"), "fresh")
         label = _joined(label, written(confirm(fresh, shingles), "links"))
         tested = tested.unionByName(fresh)
     final = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(member))

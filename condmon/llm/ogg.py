@@ -25,6 +25,8 @@ RATE = 8000
 UNIT = 192
 #: Samples in one packet.
 PACKET = 4096
+#: Samples between two comments of the comment stream.
+NOTE = 1 << 10
 #: Fixed values of the format: capture pattern and header flags.
 CAPTURE, CONTINUED, FIRST, LAST = b"OggS", 1, 2, 4
 HEADER = struct.Struct("<4sBBqIIIB")
@@ -64,13 +66,16 @@ def paginate(packets: list[tuple[bytes, int]], serial: int) -> list[bytes]:
 
 
 def write(payload: bytes, comment: bytes = b"text as 8-bit samples") -> bytes:
-    """A physical stream of the payload's samples and a comment stream; serials follow from the payload, so equal payloads give equal files."""
+    """A physical stream of the payload's samples and of comments (one for every NOTE samples begun), page by page in turn; serials follow from the payload, so equal payloads give equal files."""
     serial = zlib.crc32(payload)
     other = (serial + 1) & 0xFFFFFFFF
     packets = [(b"\x01pcm8" + struct.pack("<IBQ", RATE, 1, len(payload)), 0)]
     packets += [(payload[i : i + PACKET], min(i + PACKET, len(payload))) for i in range(0, len(payload), PACKET)]
-    sound, notes = paginate(packets, serial), paginate([(b"\x03note", 0), (comment, 0)], other)
-    return b"".join([sound[0], notes[0], *notes[1:], *sound[1:]])
+    sound, notes = paginate(packets, serial), paginate([(b"\x03note", 0), *[(comment + b" from %d" % i, i) for i in range(0, max(1, len(payload)), NOTE)]], other)
+    pages = [sound[0], notes[0]]
+    for i in range(1, max(len(sound), len(notes))):
+        pages += [*sound[i : i + 1], *notes[i : i + 1]]
+    return b"".join(pages)
 
 
 @dataclass

@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata.
+"""Quality classifier: a factorisation machine over hashed words, structure statistics and the text's own metadata (sizes in bytes, words and lines; no column of labels, language or source).
 
 Score of a text with features x: ``w0 + w.x + 1/2 sum_f ((sum_i v_if x_i)^2 -
 sum_i v_if^2 x_i^2)``, the pairwise interactions of rank RANK in time linear
@@ -182,7 +182,12 @@ def _fit(y: np.ndarray, stats: np.ndarray, row: np.ndarray, bucket: np.ndarray,
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """Adds ``score`` (double, 0 to 1) of every whole text.  Null and empty texts are scored by the statistics of a text without words."""
+    """Adds ``score`` (double, 0 to 1) of every whole text.
+
+    Null and empty texts are scored by the statistics of a text without words.
+    Repeated rows get equal scores, an empty table gives an empty one, an input
+    column named ``score`` (in any case) is replaced, other columns ride along.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)  # (BUCKETS + STATISTICS) * (RANK + 1) numbers
 
     def make():

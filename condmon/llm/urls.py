@@ -3,7 +3,8 @@
 Each rule is a regular expression over ``host + path`` with the literal tokens
 that any match must contain.  Token frequencies are counted over all urls of the
 table; a rule is filed under its rarest token.  A url's tokens fetch candidate
-rules by an equality join and only those candidates run their expression.
+rules from the index, a literal map in the plan, and only those candidates run
+their expression.  Rules that have no literal token are candidates of every url.
 """
 
 from __future__ import annotations
@@ -35,9 +36,9 @@ class Rule:
         return r"^(?:[^/]*\.)?" + re.escape(self.host) + (re.escape(self.path) or "(?:/|$)")
 
     def tokens(self) -> list[str]:
-        """Tokens that any fitting url has.  The rule's path may end within a token of the url, so its last token counts only before a separator."""
-        path = re.findall(r"[a-z0-9]+(?![A-Za-z0-9]|$)", self.path)
-        return list(dict.fromkeys(re.findall("[a-z0-9]+", self.host) + path))
+        """Tokens that any fitting url has: whole runs of A-Z, a-z and 0-9.  The rule's path may end within a run of the url, so its last run counts only before a separator.  There may be none."""
+        path = re.findall(r"(?<![A-Za-z0-9])[A-Za-z0-9]+(?![A-Za-z0-9]|\Z)", self.path)
+        return list(dict.fromkeys(re.findall("[A-Za-z0-9]+", self.host) + path))
 
 
 def host_of(url: Column) -> Column:
@@ -52,7 +53,7 @@ def path_of(url: Column) -> Column:
 
 
 def tokens_of(host: Column, path: Column) -> Column:
-    """Distinct runs of a-z and 0-9; runs of the path with capitals are no literal of a rule and stay whole."""
+    """Distinct whole runs of A-Z, a-z and 0-9."""
     runs = F.split(F.concat_ws(" ", host, path), "[^A-Za-z0-9]+")
     return F.array_distinct(F.filter(runs, lambda t: t != ""))
 
@@ -62,7 +63,8 @@ def judge(df: DataFrame, rules: list[Rule], url_col: str = "url", default: str =
 
     Null urls and urls without ``://`` have empty host and path and fit no
     rule.  Of equally long rules the first in byte order of names wins.  The
-    rules are a driver-side list (bounded by what a person writes); one row of
+    rules are a driver-side list that goes into the plan (bounded by what a person
+    writes, some thousands); one row of
     the input gives one row, repeated rows are judged alike, and columns named
     like an output are replaced.
     """
@@ -70,13 +72,14 @@ def judge(df: DataFrame, rules: list[Rule], url_col: str = "url", default: str =
     parts = clean.withColumn("host", host_of(F.col(f"`{url_col}`"))).withColumn("path", path_of(F.col(f"`{url_col}`")))
     if not rules:
         return parts.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    literals = sorted({t for r in rules for t in r.tokens()})
+    literals = sorted({t for r in rules for t in r.tokens()}) or [""]
     seen = parts.select(F.explode(F.array_intersect(tokens_of(F.col("host"), F.col("path")), F.array(*map(F.lit, literals)))).alias("t"))
     counts = {r["t"]: r["n"] for r in seen.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many rows as the rules have tokens
     index: dict[str, list[Rule]] = {}
     for rule in rules:
-        index.setdefault(min(rule.tokens(), key=lambda t: (counts.get(t, 0), t)), []).append(rule)
-    fetched = F.flatten(F.transform(F.array_intersect(tokens_of(F.col("host"), F.col("path")), F.array(*map(F.lit, sorted(index)))), lambda t: F.element_at(_table(index), t)))
+        index.setdefault(min(rule.tokens(), key=lambda t: (counts.get(t, 0), t), default=""), []).append(rule)
+    keys = F.array(*map(F.lit, sorted(index)))
+    fetched = F.flatten(F.transform(F.array_intersect(F.concat(F.array(F.lit("")), tokens_of(F.col("host"), F.col("path"))), keys), lambda t: F.element_at(_table(index), t)))
     text = F.concat(F.col("host"), F.col("path"))
     fits = F.filter(F.col("__candidates"), lambda c: F.regexp_like(text, c["pattern"]))
     best = F.element_at(F.array_sort(F.transform(fits, lambda c: F.struct((-F.octet_length(c["name"])).alias("long"), c["name"].alias("name"), c["verdict"].alias("verdict")))), 1)

@@ -326,6 +326,15 @@ def test_ogg_pages():
     data = ogg.write(bytes(range(256)) * 300)
     streams, bad = ogg.read(data)
     assert len(streams) == 2 and bad == 0 and all(s.ended for s in streams.values())
+    serials = [int.from_bytes(data[i + 14 : i + 18], "little") for i in range(len(data)) if data[i : i + 4] == ogg.CAPTURE]
+    assert sum(a != b for a, b in zip(serials, serials[1:])) > 3  # the streams take turns
+    sound, notes = (next(iter(ogg.read(ogg.write(b"z" * 70_000))[0].values())) for _ in range(2))
+    assert sound.packets == notes.packets and len(sound.packets) == 1 + -(-70_000 // ogg.PACKET)
+    chained = ogg.write(b"one " * 48) + ogg.write(b"two " * 48)  # physical streams on end
+    assert len(ogg.read(chained)[0]) == 4 and ogg.read(chained)[1] == 0
+    first, *others = ogg.paginate([(b"h", 0), (bytes(200_000), 7)], 5)
+    late = ogg.read(first + others[1] + others[0] + b"".join(others[2:]))  # pages out of order tear the packet
+    assert late[0][5].packets == [b"h"] and late[0][5].lost >= 1
     payload, found = ogg.samples(streams)
     assert payload == bytes(range(256)) * 300 and found["ms"] == 256 * 300 * 1000 // 8000
     broken = bytearray(data)
@@ -369,6 +378,11 @@ def test_urls_equal_brute_force(spark):
     for r in urls.judge(df, URL_RULES).collect():
         assert (r.host, r.path, r.rule, r.verdict) == judged_by_hand(everything[r.page_id], URL_RULES)
     assert urls.judge(df.limit(0), URL_RULES).count() == 0
+    rules = [urls.Rule("com", "/Blog/", "block"), urls.Rule("рф", "/", "block"), urls.Rule("org", "/a-B/c", "block"), urls.Rule("x.net", "", "block"), urls.Rule("--", "/", "allow")]
+    pages = ["http://a.com/Blog/x", "http://a.com/blog/x", "http://сайт.рф/", "http://рф/q", "http://b.org/a-B/cd", "http://x.net", "http://x.net/e", "http://--/", None]
+    for chosen in (rules, rules[1:2]):
+        found = urls.judge(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string"), chosen).collect()
+        assert all((r.host, r.path, r.rule, r.verdict) == judged_by_hand(pages[r.page_id], chosen) for r in found)
     assert urls.judge(df, []).where("verdict = 'allow' and rule is null").count() == len(everything)
 
 
@@ -416,6 +430,25 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == sorted((i, n, c, c == i) for i, n, c in want)
 
 
+@pytest.mark.parametrize("lot", [512, 7])
+def test_near_duplicates_in_split_bands(spark, lot, monkeypatch):
+    """Texts that share most of their words but are mostly not linked: bands stay split over components, and are looked at in lots."""
+    monkeypatch.setattr(minhash, "LOT", lot)
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    common = rng.choices(vocabulary, k=150)
+    rows = []
+    for _ in range(45):
+        own = rng.choices(vocabulary, k=rng.randint(30, 70))
+        rows.append(" ".join(common + own))
+        if rng.random() < 0.5:
+            rows.append(" ".join(common[: rng.randint(90, 150)] + own))
+    ids = rng.sample(range(9000), len(rows))
+    want = components_by_hand(list(zip(ids, rows, strict=True)))
+    got = minhash.near_duplicates(docs(spark, rows, ids))
+    assert sorted(map(tuple, got.collect())) == sorted((i, n, c, c == i) for i, n, c in want)
+
+
 def test_near_duplicate_edges(spark):
     same = "a b c d e f g"
     got = minhash.near_duplicates(docs(spark, [same, same, same, "x y z"], [4, None, 4, None])).collect()
