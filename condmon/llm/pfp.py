@@ -11,20 +11,25 @@ phrases.  The phrase of a trigger is the stretch of text covered by all strings
 that it is the trigger of; every string of ``LENGTH`` bytes lies in exactly one
 phrase, and the set of phrases is the dictionary.
 
-*Order.*  Suffixes are ordered first by trigger and phrase (the parse symbol),
-then by the suffix array of the dictionary.  Phrases are grouped by trigger in
-buckets over the cluster.  A phrase seen in a smaller document is removed as a
-whole: that settles nearly all of a repetitive corpus without looking at bytes.
-Only distinct phrases that share a trigger with others send their bytes, and
-there the suffixes of the phrases are sorted to their first ``LENGTH`` bytes;
-each run of equal ones belongs to its smallest document.
+*Order.*  Suffixes are ordered by their phrase first (the parse symbol), then by
+the suffix array of the dictionary, both to ``LENGTH`` bytes: more never decides.
+A phrase that a smaller document has goes as a whole, which settles nearly all of
+a repetitive corpus without looking at bytes.  What is left of the dictionary,
+each phrase at its smallest document, is compared through *contexts*: a string
+holds its trigger and either HALF bytes before it or as many after it, so two
+phrases with a string in common have one of these contexts in common.  Only the
+strings of phrases that share a context with another send their bytes; they are
+dealt over the cluster, sorted, and each run of equal ones belongs to its
+smallest document.
 
 *Scale.*  Texts are packed once into batches of about ``BATCH`` bytes, written
 to the shared folder as a table bucketed by batch, and never shuffled again.
-Requests carry 12 bytes and a document number a phrase, distinct in their
-batch, so a passage in a third of all documents sends one entry a batch.
-Answers are one code a phrase.  Long texts are worked on in chunks of
-``CHUNK`` strings; cutting a phrase in two is harmless.
+All three questions (phrases, contexts, strings) are dealt by a hash of what is
+asked, distinct in its batch, so a passage, a trigger or a context in a third of
+all documents sends one entry a batch and never gathers its phrases in one task.
+Hashes only deal and filter where bytes are to follow; a phrase is known by two
+hashes of 48 bits.  Long texts are worked on in chunks of ``CHUNK`` strings;
+cutting a phrase in two is harmless.
 """
 
 from __future__ import annotations
@@ -45,8 +50,9 @@ from condmon.llm.common import bounded_batches, give_back, shared_dir, slices, t
 LENGTH = 50
 TRIGGER = 16
 WINDOW = LENGTH - TRIGGER + 1
-FRAME = 2 * (WINDOW - 1) + TRIGGER
-BATCH = 1 << 20
+#: Bytes before or after the trigger that a context has.
+HALF = (LENGTH - TRIGGER) // 2
+BATCH = 1 << 21
 CHUNK = 1 << 20
 #: Text bytes whose phrases share a bucket of the dictionary.
 BUCKET_TEXT = 8 << 20
@@ -160,9 +166,9 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class _Batch:
-    """A packed batch, its phrases and the distinct ones in (trigger, phrase) order."""
+    """A packed batch, its phrases and the distinct ones in (phrase, trigger) order."""
 
-    def __init__(self, row: dict, with_rest: bool = False) -> None:
+    def __init__(self, row: dict) -> None:
         raw = zstandard.ZstdDecompressor().decompress(row["blob"]) if row["n_bytes"] else b""
         self.text = np.frombuffer(raw, dtype=np.uint8)
         self.offsets = np.frombuffer(row["offsets"], dtype="<i8")
@@ -170,7 +176,7 @@ class _Batch:
         p = self.phrases = Phrases(self.text, self.offsets)
         known = np.flatnonzero(self.ids[p.doc] != NO_ID)
         owner = self.ids[p.doc[known]]
-        order = np.lexsort((owner, p.phrase[known], p.trigger[known]))
+        order = np.lexsort((owner, p.trigger[known], p.phrase[known]))
         self.order = known[order]  # phrases in order
         t, f, owner = p.trigger[self.order], p.phrase[self.order], owner[order]
         first = np.ones(len(t), dtype=bool)
@@ -181,38 +187,83 @@ class _Batch:
         self.later = owner > self.owner[self.kind] if len(t) else np.zeros(0, bool)
         self.trigger, self.phrase = t[first], f[first]
 
-    def runs(self, keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-        """(bucket, from, to) of keys that are in order."""
-        if not len(keys):
-            return []
-        b = _bucket(keys, buckets)
-        cuts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-        return [(int(b[i]), int(i), int(j)) for i, j in zip(cuts, np.append(cuts[1:], len(b)), strict=True)]
-
-    def details(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct phrases that need their bytes compared: by suffix order, and by strings dealt by fingerprint."""
-        return np.flatnonzero(codes == 1), np.flatnonzero(codes == 3)
-
-    def strings(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All strings of these distinct phrases: fingerprints, owners and start places."""
-        p, which = self.phrases, self.first[wanted]
-        counts = p.hi[which] - p.lo[which] + 1
+    def contexts(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the dictionary's phrases that are here (code 1): number of the distinct phrase, half (0: trigger and what follows, 1: what precedes and trigger) and 48-bit hash of each context."""
+        p, kinds = self.phrases, np.flatnonzero(codes == 1)
+        which = self.first[kinds]
+        at, found = p.at[which], []
+        for half, some, start, size in ((0, at - p.hi[which] <= HALF, at, TRIGGER + HALF), (1, at - p.lo[which] > HALF, at - HALF - 1, TRIGGER + HALF + 1)):
+            some = np.flatnonzero(some)
+            h = np.full(len(some), _U(half + 1))
+            for i in range(size):
+                h = h * _U(_BASE) + self.text[start[some] + i] + _U(1)
+            found.append((kinds[some], np.full(len(some), half), _mix(h) >> _U(16)))
+        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+    def strings(self, kind: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All strings of these halves of distinct phrases: number of the distinct phrase, and start."""
+        p, which = self.phrases, self.first[kind]
+        least = np.where(half == 0, np.maximum(p.lo[which], p.at[which] - HALF), p.lo[which])
+        most = np.where(half == 0, p.hi[which], np.minimum(p.hi[which], p.at[which] - HALF - 1))
+        counts = most - least + 1
         entry = np.repeat(np.arange(len(which)), counts)
-        start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + p.lo[which][entry]
-        h = np.zeros(len(start), dtype=_U)
-        for i in range(0, LENGTH, 1):
-            h = h * _U(_BASE) + self.text[start + i] + _U(1)
-        return _mix(h) >> _U(16), self.owner[wanted][entry], start
+        return kind[entry], np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + least[entry]
 
     def bytes_at(self, start: np.ndarray) -> np.ndarray:
         """The strings that start there, as fixed LENGTH bytes."""
         out = np.empty((len(start), LENGTH), np.uint8)
         for i in range(LENGTH):
             out[:, i] = self.text[start + i]
-        return out.view(f"S{LENGTH}").reshape(-1)
+        return out.view(f"V{LENGTH}").reshape(-1)
 
-    def codes(self, answers: list[dict] | None) -> np.ndarray:
-        return np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(a["codes"]), dtype=np.uint8) for a in sorted(answers, key=lambda a: a["bucket"])]) if answers else np.zeros(0, np.uint8)
+
+def _runs(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of 48-bit hashes whose buckets are in order."""
+    if not len(keys):
+        return []
+    b = _bucket(keys, buckets)
+    cuts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+    return [(int(b[i]), int(i), int(j)) for i, j in zip(cuts, np.append(cuts[1:], len(b)), strict=True)]
+
+
+def _codes(answers: list[dict] | None, kind: str = "u1") -> np.ndarray:
+    """Answers of all buckets on end."""
+    parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(a["codes"]), dtype=kind) for a in sorted(answers or [], key=lambda a: a["bucket"])]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _in_order(strings: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix order of strings, equal ones by owner; firsts of equal ones in that order; and the number of each entry's distinct string."""
+    words = strings.view(np.uint8).reshape(len(strings), LENGTH)
+    words = np.concatenate([words, np.zeros((len(words), -LENGTH % 8), np.uint8)], axis=1).view(">u8").astype(_U)
+    order = np.lexsort((owner, *[words[:, i] for i in range(words.shape[1] - 1, -1, -1)]))
+    w = words[order]
+    first = np.ones(len(w), dtype=bool)
+    first[1:] = (w[1:] != w[:-1]).any(axis=1)
+    number = np.empty(len(w), dtype=np.int64)
+    number[order] = np.cumsum(first) - 1
+    return order, first, number
+
+
+class _Open:
+    """The strings of a batch that other phrases may have too: ``kind``, ``start`` and ``number`` of each, and the distinct ones (``string``, ``owner``, ``hash``), bucket by bucket in suffix order."""
+
+    def __init__(self, b: _Batch, phrase_codes: np.ndarray, context_codes: np.ndarray, buckets: int) -> None:
+        kind, half, hashes = b.contexts(phrase_codes)
+        shared = context_codes[np.unique(hashes, return_inverse=True)[1]] == 1 if len(hashes) else np.zeros(0, bool)
+        self.kind, self.start = b.strings(kind[shared], half[shared])
+        strings = b.bytes_at(self.start)
+        order, first, number = _in_order(strings, b.owner[self.kind])
+        some = order[first]
+        h = np.zeros(len(some), dtype=_U)
+        for i in range(LENGTH):
+            h = h * _U(_BASE) + b.text[self.start[some] + i] + _U(1)
+        h = _mix(h * _C1) >> _U(16)
+        dealt = np.argsort(_bucket(h, buckets), kind="stable")
+        self.string, self.owner, self.hash = strings[some][dealt], b.owner[self.kind[some]][dealt], h[dealt]
+        place = np.empty(len(dealt), dtype=np.int64)
+        place[dealt] = np.arange(len(dealt))
+        self.number = place[number]
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -259,206 +310,150 @@ def _pack(keep: list[str]):
     return run
 
 
-def _request(buckets: int):
+def _asking(ask):
+    """mapInArrow function from batches to (bucket, bid, entries)."""
+
     def run(batches):
         def rows():
             for row in _batches(batches):
-                b = _Batch(row)
-                for k, i, j in b.runs(b.trigger, buckets):
-                    yield k, row["bid"], 0, _squeeze(_six(b.trigger[i:j]), _six(b.phrase[i:j]), b.owner[i:j])
+                for bucket, entries in ask(row):
+                    yield bucket, row["bid"], entries
 
-        return _rows(rows(), ["bucket", "bid", "kind", "entries"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()])
+        return _rows(rows(), ["bucket", "bid", "entries"], [pa.int64(), pa.int64(), pa.binary()])
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple[int, bytes]]]]:
-    """Rows that come in (bucket, kind) order, gathered by it."""
-    now, held = None, []
-    for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(n)) for n in ("bucket", "kind", "bid", "entries")]
-        for i in range(batch.num_rows):
-            bucket, kind, bid, entries = (c[i].as_py() for c in columns)
-            if (bucket, kind) != now:
-                if held:
-                    yield *now, held
-                now, held = (bucket, kind), []
-            held.append((bid, entries))
-    if held:
-        yield *now, held
-
-
-def _answer(hot: int):
-    """Codes of distinct phrases: 0 nothing to do, 1 compare bytes, 2 a smaller document has the whole phrase, 3 compare and the trigger has over ``hot`` phrases."""
+def _answering(answer):
+    """mapInArrow function over (bucket, bid, entries) in bucket order: ``answer(list of entries)`` gives an array for each, with a code an entry."""
 
     def run(batches):
         def rows():
-            for bucket, _, held in _gathered(batches):
-                parts = [_expand(e, "V6", "V6", "<i8") for _, e in held]
-                sizes = [len(p[0]) for p in parts]
-                trigger, phrase = (_eight(np.concatenate([p[i] for p in parts])) for i in (0, 1))
-                owner = np.concatenate([p[2] for p in parts])
-                del parts
-                order = np.lexsort((owner, phrase, trigger))
-                t, f, o = trigger[order], phrase[order], owner[order]
-                group = np.ones(len(t), dtype=bool)
-                group[1:] = t[1:] != t[:-1]
-                first = group.copy()
-                first[1:] |= f[1:] != f[:-1]
-                g, c = np.cumsum(group) - 1, np.cumsum(first) - 1
-                heads = np.flatnonzero(first)
-                least = o[heads]  # of each phrase
-                of = g[heads]
-                starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-                several = np.minimum.reduceat(least, starts) != np.maximum.reduceat(least, starts)
-                many = np.bincount(of) > hot
-                code = np.where(o > least[c], 2, np.where(several[g], np.where(many[g], 3, 1), 0)).astype(np.uint8)
-                back = np.empty_like(code)
-                back[order] = code
-                at = 0
-                for (bid, _), n in zip(held, sizes, strict=True):
-                    yield bid, bucket, zstandard.ZstdCompressor(level=3).compress(back[at : at + n].tobytes())
-                    at += n
+            now, held = None, []
+            for batch in batches:
+                for bucket, bid, entries in zip(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("bucket", "bid", "entries")], strict=True):
+                    if bucket != now and held:
+                        yield from done(now, held)
+                        held = []
+                    now = bucket
+                    held.append((bid, entries))
+            if held:
+                yield from done(now, held)
+
+        def done(bucket, held):
+            for (bid, _), codes in zip(held, answer([e for _, e in held]), strict=True):
+                yield bid, bucket, zstandard.ZstdCompressor(level=3).compress(codes.tobytes())
 
         return _rows(rows(), ["bid", "bucket", "codes"], [pa.int64(), pa.int64(), pa.binary()])
 
     return run
 
 
-def _detail(buckets: int):
-    def run(batches):
-        def rows():
-            for row in _batches(batches):
-                if not row["a1"]:
-                    continue
-                b = _Batch(row)
-                sorts, prints = b.details(b.codes(row["a1"]))
-                for k, i, j in b.runs(b.trigger[sorts], buckets):
-                    some = b.first[sorts[i:j]]
-                    p = b.phrases
-                    place = p.at[some][:, None] + np.arange(-(WINDOW - 1), WINDOW - 1 + TRIGGER)
-                    inside = (place >= p.lo[some][:, None]) & (place < p.hi[some][:, None] + LENGTH)
-                    frames = np.where(inside, b.text[np.where(inside, place, 0)], 0).astype(np.uint8)
-                    near, far = (WINDOW - 1 - (p.at[some] - x[some]) for x in (p.lo, p.hi))
-                    head = _squeeze(b.owner[sorts[i:j]], near.astype(np.uint8), far.astype(np.uint8))
-                    yield k, row["bid"], 1, len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=3).compress(frames.tobytes())
-                if len(prints):
-                    h, owner, start = b.strings(prints)
-                    order, first, _ = _alike(h, b.bytes_at(start), owner)
-                    h, owner, start = h[order][first], owner[order][first], start[order][first]
-                    for k, i, j in b.runs(h, buckets):
-                        head = _squeeze(_six(h[i:j]), owner[i:j])
-                        yield k, row["bid"], 2, len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=3).compress(b.bytes_at(start[i:j]).tobytes())
-
-        return _rows(rows(), ["bucket", "bid", "kind", "entries"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()])
+def _parted(values: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(values, np.cumsum(sizes)[:-1])
 
-    return run
 
+def _ask_phrases(buckets: int):
+    def ask(row):
+        b = _Batch(row)
+        for k, i, j in _runs(b.phrase, buckets):
+            yield k, _squeeze(_six(b.phrase[i:j]), _six(b.trigger[i:j]), b.owner[i:j])
 
-def _alike(h: np.ndarray, string: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by fingerprint, bytes and owner; firsts of equal bytes in that order; and the number of each entry's string.  Fingerprints only deal and order: bytes decide."""
-    order = np.lexsort((owner, string, h))
-    s, g = string[order], h[order]
-    first = np.ones(len(s), dtype=bool)
-    first[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])
-    number = np.empty(len(s), dtype=np.int64)
-    number[order] = np.cumsum(first) - 1
-    return order, first, number
+    return ask
 
 
-def _suffixes(frames: np.ndarray, near: np.ndarray, far: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Suffix order of phrases to LENGTH bytes; gives a bit mask a phrase of the strings that a smaller document has."""
-    counts = far.astype(np.int64) - near + 1
-    entry = np.repeat(np.arange(len(near)), counts)
-    place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + near[entry]
-    suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(frames, LENGTH, axis=1)[entry, place]).view(f"S{LENGTH}").reshape(-1)
-    order = np.argsort(suffix, kind="stable")
-    s, o = suffix[order], owner[entry[order]]
-    first = np.append(True, s[1:] != s[:-1])
-    starts = np.flatnonzero(first)
-    least = np.minimum.reduceat(o, starts)[np.cumsum(first) - 1]
-    hit = order[o > least]
-    mask = np.zeros(len(near), dtype=_U)
-    np.bitwise_or.at(mask, entry[hit], _U(1) << place[hit].astype(_U))
-    return mask
-
-
-def _compare(most: int = 20_000):
-    def run(batches):
-        def rows():
-            for bucket, kind, held in _gathered(batches):
-                if kind == 1:
-                    heads = [_expand(e[4 : 4 + int.from_bytes(e[:4], "little")], "<i8", "u1", "u1") for _, e in held]
-                    owner, near, far = (np.concatenate([h[i] for h in heads]) for i in range(3))
-                    frames = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(e[4 + int.from_bytes(e[:4], "little") :]), dtype=np.uint8) for _, e in held]).reshape(-1, FRAME)
-                    sizes = [len(h[0]) for h in heads]
-                    key = np.ascontiguousarray(frames[:, WINDOW - 1 : WINDOW - 1 + TRIGGER]).view("<u8")
-                    part = _mix(key[:, 0] * _C1 + key[:, 1] * _C2) % _U(-(-len(owner) // most))
-                    result = np.zeros(len(owner), dtype=_U)
-                    for k in np.unique(part):
-                        some = np.flatnonzero(part == k)
-                        result[some] = _suffixes(frames[some], near[some], far[some], owner[some])
-                else:
-                    parts = [_expand(e[4 : 4 + int.from_bytes(e[:4], "little")], "V6", "<i8") for _, e in held]
-                    strings = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(e[4 + int.from_bytes(e[:4], "little") :]), dtype=f"S{LENGTH}") for _, e in held])
-                    sizes = [len(p[0]) for p in parts]
-                    h, owner = _eight(np.concatenate([p[0] for p in parts])), np.concatenate([p[1] for p in parts])
-                    order, first, number = _alike(h, strings, owner)
-                    result = owner[order][first][number]  # the least of each string
-                at = 0
-                for (bid, _), n in zip(held, sizes, strict=True):
-                    yield bid, bucket, kind, zstandard.ZstdCompressor(level=1).compress(result[at : at + n].tobytes())
-                    at += n
-
-        return _rows(rows(), ["bid", "bucket", "kind", "found"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()])
+def _first_owners(entries: list[bytes]) -> list[np.ndarray]:
+    """1: the phrase joins the dictionary here; 2: a smaller document has it."""
+    parts = [_expand(e, "V6", "V6", "<i8") for e in entries]
+    phrase, trigger = (_eight(np.concatenate([p[i] for p in parts])) for i in (0, 1))
+    owner = np.concatenate([p[2] for p in parts])
+    order = np.lexsort((owner, trigger, phrase))
+    f, t, o = phrase[order], trigger[order], owner[order]
+    first = np.append(True, (f[1:] != f[:-1]) | (t[1:] != t[:-1]))
+    code = np.empty(len(o), dtype=np.uint8)
+    code[order] = np.where(o > o[first][np.cumsum(first) - 1], 2, 1)
+    return _parted(code, [len(p[2]) for p in parts])
 
-    return run
+
+def _ask_contexts(buckets: int):
+    def ask(row):
+        b = _Batch(row)
+        kind, _, hashes = b.contexts(_codes(row["a1"]))
+        owner = b.owner[kind]
+        order = np.lexsort((owner, hashes))
+        h, o = hashes[order], owner[order]
+        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        h, least, most = h[starts], o[starts], o[np.append(starts[1:], len(o)) - 1] if len(starts) else o
+        for k, i, j in _runs(h, buckets):
+            yield k, _squeeze(_six(h[i:j]), least[i:j], most[i:j] - least[i:j])
+
+    return ask
 
 
-def _removed(b: _Batch, row: dict) -> np.ndarray:
+def _shared_contexts(entries: list[bytes]) -> list[np.ndarray]:
+    """1: phrases of several documents have the context."""
+    parts = [_expand(e, "V6", "<i8", "<i8") for e in entries]
+    h, least = _eight(np.concatenate([p[0] for p in parts])), np.concatenate([p[1] for p in parts])
+    most = least + np.concatenate([p[2] for p in parts])
+    order = np.argsort(h, kind="stable")
+    starts = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    several = np.minimum.reduceat(least[order], starts) < np.maximum.reduceat(most[order], starts)
+    code = np.empty(len(h), dtype=np.uint8)
+    code[order] = np.repeat(several, np.diff(np.append(starts, len(h))))
+    return _parted(code, [len(p[0]) for p in parts])
+
+
+def _ask_strings(buckets: int):
+    def ask(row):
+        if row["a2"]:
+            o = _Open(_Batch(row), _codes(row["a1"]), _codes(row["a2"]), buckets)
+            for k, i, j in _runs(o.hash, buckets):
+                head = _squeeze(o.owner[i:j])
+                yield k, len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=3).compress(o.string[i:j].tobytes())
+
+    return ask
+
+
+def _smaller_owners(entries: list[bytes]) -> list[np.ndarray]:
+    """1: a smaller document has the string, by its bytes."""
+    cut = [4 + int.from_bytes(e[:4], "little") for e in entries]
+    owners = [_expand(e[4:n], "<i8")[0] for e, n in zip(entries, cut, strict=True)]
+    strings = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(e[n:]), dtype=f"V{LENGTH}") for e, n in zip(entries, cut, strict=True)])
+    owner = np.concatenate(owners)
+    order, first, number = _in_order(strings, owner)
+    return _parted((owner > owner[order][first][number]).astype(np.uint8), [len(o) for o in owners])
+
+
+def _removed(b: _Batch, row: dict, buckets: int) -> np.ndarray:
     """Which bytes of the batch go."""
     p, n = b.phrases, len(b.text)
     change = np.zeros(n + LENGTH + 1, dtype=np.int32)
-    codes = b.codes(row["a1"])
+    codes = _codes(row["a1"])
     if len(codes):
         gone = b.order[b.later | (codes[b.kind] == 2)]
         np.add.at(change, p.lo[gone], 1)
         np.add.at(change, p.hi[gone] + LENGTH, -1)
-        sorts, prints = b.details(codes)
-        for kind, wanted in ((1, sorts), (2, prints)):
-            found = [np.frombuffer(zstandard.ZstdDecompressor().decompress(a["found"]), dtype="<u8") for a in sorted(row["a2"] or [], key=lambda a: a["bucket"]) if a["kind"] == kind]
-            if not found or not len(wanted):
-                continue
-            found = np.concatenate(found)
-            place = np.full(len(b.first), -1)
-            if kind == 1:
-                bits = (found[:, None] >> np.arange(WINDOW, dtype=_U)) & _U(1)
-                entry, f = np.nonzero(bits)
-                hit_kind, step = wanted[entry], f - (WINDOW - 1)
-            else:
-                h, owner, start = b.strings(wanted)
-                hit = np.flatnonzero(owner > found.view("<i8")[_alike(h, b.bytes_at(start), owner)[2]])
-                counts = p.hi[b.first[wanted]] - p.lo[b.first[wanted]] + 1
-                hit_kind = np.repeat(wanted, counts)[hit]
-                step = start[hit] - p.at[b.first[hit_kind]]
-            # every phrase of that kind in the owner's own document shares the fate of the first one
-            mine = ~b.later
-            of = b.kind[mine]
-            place = b.order[mine]
-            begin = np.searchsorted(of, hit_kind, side="left")
-            many = np.searchsorted(of, hit_kind, side="right") - begin
-            which = np.repeat(begin, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            starts = p.at[place[which]] + np.repeat(step, many)
-            np.add.at(change, starts, 1)
-            np.add.at(change, starts + LENGTH, -1)
+    if row["a3"]:
+        o = _Open(b, codes, _codes(row["a2"]), buckets)
+        # a string's answer is its least owner's; those that share it in the batch with a larger owner go too
+        hit = np.flatnonzero((_codes(row["a3"])[o.number] == 1) | (b.owner[o.kind] > o.owner[o.number]))
+        kind, step = o.kind[hit], o.start[hit] - p.at[b.first[o.kind[hit]]]
+        # every phrase of that kind in the owner's own document shares the fate of the first one
+        of, place = b.kind[~b.later], b.order[~b.later]
+        begin = np.searchsorted(of, kind, side="left")
+        many = np.searchsorted(of, kind, side="right") - begin
+        which = np.repeat(begin, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        starts = p.at[place[which]] + np.repeat(step, many)
+        np.add.at(change, starts, 1)
+        np.add.at(change, starts + LENGTH, -1)
     return np.cumsum(change[:n]) > 0
 
 
-def _finish(names: list[str], as_text: bool):
+def _finish(names: list[str], as_text: bool, buckets: int):
     def run(batches):
         for row in _batches(batches):
             b = _Batch(row)
-            gone = _removed(b, row)
+            gone = _removed(b, row, buckets)
             kept, removed, spans = [], [], []
             for i, j in zip(b.offsets[:-1].tolist(), b.offsets[1:].tolist(), strict=True):
                 g = gone[i:j]
@@ -482,17 +477,15 @@ def _finish(names: list[str], as_text: bool):
     return run
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 50_000, as_text: bool = False) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """The input's columns without the text, and ``n_bytes``, ``kept`` (binary), ``n_removed`` and ``spans`` ([start, end) byte pairs, maximal).
 
     Null and empty texts, and texts under ``LENGTH`` bytes, stay as they are.
     A row with a null id takes no part and stays whole.  Rows that share an id
     do not remove each other's bytes.  Repeats within one document stay.
     Columns named like an output are replaced; an empty table gives an empty
-    one.  Triggers of over ``hot`` distinct phrases are compared by the bytes
-    of their strings, dealt by 48-bit fingerprint, instead of by suffix order in
-    one bucket.  With ``as_text`` there is also ``text``: what is kept,
-    without the bytes of characters that were cut in two.
+    one.  With ``as_text`` there is also ``text``: what is kept, without the
+    bytes of characters that were cut in two.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -506,14 +499,16 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: in
     table = spark.table(name)
     total = table.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_TEXT))
-    request = "bucket long, bid long, kind int, entries binary"
+
+    def answers(rows: DataFrame, ask, answer, column: str) -> DataFrame:
+        asked = rows.mapInArrow(_asking(ask(buckets)), "bucket long, bid long, entries binary")
+        found = asked.repartition(deal, "bucket").sortWithinPartitions("bucket").mapInArrow(_answering(answer), "bid long, bucket long, codes binary")
+        return written(found, f"pfp-{column}").groupBy("bid").agg(F.collect_list(F.struct("bucket", "codes")).alias(column)).hint("shuffle_hash")
+
     text = table.drop("rest")
-    dealt = lambda x: x.repartition(deal, "bucket", "kind").sortWithinPartitions("bucket", "kind")
-    one = written(dealt(text.mapInArrow(_request(buckets), request)).mapInArrow(_answer(hot), "bid long, bucket long, codes binary"), "pfp-codes")
-    a1 = one.groupBy("bid").agg(F.collect_list(F.struct("bucket", "codes")).alias("a1"))
-    with_one = text.join(a1.hint("shuffle_hash"), "bid", "left")
-    two = written(dealt(with_one.mapInArrow(_detail(buckets), request)).mapInArrow(_compare(), "bid long, bucket long, kind int, found binary"), "pfp-found")
-    a2 = two.groupBy("bid").agg(F.collect_list(F.struct("bucket", "kind", "found")).alias("a2"))
-    whole = table.join(a1.hint("shuffle_hash"), "bid", "left").join(a2.hint("shuffle_hash"), "bid", "left")
+    a1 = answers(text, _ask_phrases, _first_owners, "a1")
+    a2 = answers(text.join(a1, "bid", "left"), _ask_contexts, _shared_contexts, "a2")
+    a3 = answers(text.join(a1, "bid", "left").join(a2, "bid", "left"), _ask_strings, _smaller_owners, "a3")
+    whole = table.join(a1, "bid", "left").join(a2, "bid", "left").join(a3, "bid", "left")
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("text", T.StringType())] * as_text + [T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
-    return whole.mapInArrow(_finish(keep, as_text), schema)
+    return whole.mapInArrow(_finish(keep, as_text, buckets), schema)

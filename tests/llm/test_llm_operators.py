@@ -114,15 +114,20 @@ def repeating(rng):
     return [*made, None, "", "a" * 49, "a" * 50, "a" * 400, "ab" * 300, made[3], made[3], text(rng, 9000)]
 
 
-@pytest.mark.parametrize("hot", [50_000, 1])
-def test_dedup_equals_brute_force(spark, hot, monkeypatch):
-    rng = random.Random(hot)
+@pytest.mark.parametrize("kind", ["many batches", "one trigger"])
+def test_dedup_equals_brute_force(spark, kind, monkeypatch):
+    monkeypatch.setattr(pfp, "BUCKET_TEXT", 900)  # phrases, contexts and strings are dealt over many groups
+    rng = random.Random(kind)
     texts = repeating(rng)
+    if kind == "one trigger":  # every text has the same 16 bytes in other company, at all distances
+        middle, letters = "0123456789abcdef", "xyz "
+        tails = ["".join(rng.choices(letters, k=40)) for _ in range(6)]
+        texts += [rng.choice(tails)[: rng.randint(0, 40)] + "".join(rng.choices(letters, k=rng.randint(0, 9))) + rng.choice(tails)[-rng.randint(1, 40) :] + middle + rng.choice(tails)[: rng.randint(1, 40)] + "".join(rng.choices(letters, k=rng.randint(0, 9))) for _ in range(250)]
     ids = rng.sample(range(1000), len(texts) - 1) + [5]
     ids[-1] = ids[0]  # a repeated id
     want = dedup_by_hand([(i, (t or "").encode()) for i, t in zip(ids, texts, strict=True)])
-    df = docs(spark, texts, ids).withColumn("kept", F.lit("clash")).repartition(3)
-    rows = pfp.dedup(df, hot=hot, as_text=True).collect()
+    df = docs(spark, texts, ids).withColumn("kept", F.lit("clash")).repartition(7)
+    rows = pfp.dedup(df, as_text=True).collect()
     assert len(rows) == len(texts)
     for r in rows:
         kept, removed = want[r.extra]

@@ -82,7 +82,8 @@ def test_the_stage_meets_its_targets(spark):
 # Dedup -----------------------------------------------------------------------------
 
 
-def test_equal_fingerprints_of_hot_triggers_remove_nothing(monkeypatch):
+def test_strings_are_told_apart_by_bytes(monkeypatch):
+    """Every hash of contexts and strings collides: the bytes alone decide."""
     rng = np.random.default_rng(1)
     word = lambda: bytes(rng.integers(97, 123, 45).astype(np.uint8))
     middle, shared = b"0123456789abcdef", word()
@@ -90,15 +91,18 @@ def test_equal_fingerprints_of_hot_triggers_remove_nothing(monkeypatch):
     texts += [word()[:5] + shared + middle + word(), word()[:9] + shared + middle + word()]
     offsets = np.cumsum([0, *map(len, texts)]).astype("<i8")
     row = {"bid": 0, "n_bytes": int(offsets[-1]), "offsets": offsets.tobytes(), "ids": np.arange(len(texts), dtype="<i8").tobytes(), "blob": zstandard.ZstdCompressor().compress(b"".join(texts))}
-    batch = lambda rows: iter([pa.RecordBatch.from_pylist(rows)])
-    out = lambda batches: sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["bucket"], r.get("kind", 0)))
-    one = out(pfp._answer(1)(batch(out(pfp._request(1)(batch([row]))))))
-    row["a1"] = [{"bucket": r["bucket"], "codes": r["codes"]} for r in one]
-    monkeypatch.setattr(pfp, "_BASE", 0)  # the fingerprint of a string is that of its last byte; the hashes of phrases keep their table
-    two = out(pfp._compare()(batch(out(pfp._detail(1)(batch([row]))))))
-    assert any(r["kind"] == 2 for r in two)
-    row["a2"] = [{"bucket": r["bucket"], "kind": r["kind"], "found": r["found"]} for r in two]
-    gone = pfp._removed(pfp._Batch(row), row)
+
+    def round_trip(ask, answer):
+        asked = sorted((r for b in pfp._asking(ask(1))(iter([pa.RecordBatch.from_pylist([row])])) for r in b.to_pylist()), key=lambda r: r["bucket"])
+        assert asked
+        return [{"bucket": r["bucket"], "codes": r["codes"]} for b in pfp._answering(answer)(iter([pa.RecordBatch.from_pylist(asked)])) for r in b.to_pylist()]
+
+    row["a1"] = round_trip(pfp._ask_phrases, pfp._first_owners)
+    monkeypatch.setattr(pfp, "_BASE", 0)  # a hash is that of its last byte; the hashes of phrases keep their table
+    row["a2"] = round_trip(pfp._ask_contexts, pfp._shared_contexts)
+    assert (pfp._codes(row["a2"]) == 1).sum() > 10
+    row["a3"] = round_trip(pfp._ask_strings, pfp._smaller_owners)
+    gone = pfp._removed(pfp._Batch(row), row, 1)
     want = np.zeros(len(gone), dtype=bool)
     end = int(offsets[-2]) + 9
     want[end : end + len(shared) + len(middle)] = True  # what the last text has from the one before
