@@ -25,17 +25,28 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: Column) -
     return within.join(offsets, [*keys, "__bucket"]).withColumn("__i", F.col("__r") + F.col("__before")).drop("__bucket", "__r", "__before")
 
 
-def sliding(df: DataFrame, keys: list[str], order: list[str], bucket: Column, rows: int, apply: Callable[[DataFrame, list[str]], DataFrame], chunk: int = 1_000_000) -> DataFrame:
+def sliding(df: DataFrame, keys: list[str], order: list[str], bucket: Column, rows: int, apply: Callable[[DataFrame, list[str]], DataFrame], chunk: int = 1_000_000, keep: bool = False) -> DataFrame:
     """``apply(df, keys)`` with frames of at most ``rows`` rows, run chunk by chunk.
 
     ``apply`` must be such that a row's result depends on its own and the
-    ``rows - 1`` rows before it; context rows are dropped from its result.
+    ``rows - 1`` rows before it; context rows are dropped from its result.  With
+    ``keep`` the column ``__chunk`` stays, for :func:`last_known`.
     """
-    if chunk < rows:
-        raise ValueError("a chunk must hold at least the rows of a frame")
+    chunk = max(chunk, rows)
     at = numbered(df, keys, order, bucket)
     own = F.floor(F.col("__i") / chunk)
     late = F.col("__i") % chunk >= chunk - (rows - 1)
     homes = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
     dealt = at.withColumn("__chunk", F.explode(homes)).withColumn("__own", F.col("__chunk") == own)
-    return apply(dealt, [*keys, "__chunk"]).where("__own").drop("__i", "__chunk", "__own")
+    return apply(dealt, [*keys, "__chunk"]).where("__own").drop("__i", "__own", *([] if keep else ["__chunk"]))
+
+
+def last_known(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Adds ``out``: the last ``value`` that is not null at or before each row, carried from chunk to chunk (``__chunk``, dropped); one row a chunk is all that crosses."""
+    at = F.struct(*order)
+    ends = df.groupBy(*keys, "__chunk").agg(F.max_by(value, F.when(F.col(value).isNotNull(), at)).alias("__end"))
+    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*keys, "__chunk", F.last("__end", ignorenulls=True).over(before).alias("__carried"))
+    upto = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = df.withColumn("__last", F.last(value, ignorenulls=True).over(upto)).join(carried, [*keys, "__chunk"])
+    return own.withColumn(out, F.coalesce("__last", "__carried")).drop("__last", "__carried", "__chunk")

@@ -36,7 +36,7 @@ class Fold:
 
 
 def field(name: str, kind: str) -> T.StructField:
-    return T.StructField(name, {"double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(), "long": T.LongType(), "doubles": T.ArrayType(T.DoubleType())}[kind])
+    return T.StructField(name, {"double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(), "long": T.LongType(), "doubles": T.ArrayType(T.DoubleType()), "longs": T.ArrayType(T.LongType())}[kind])
 
 
 def ordered(df: DataFrame, keys: list[str], order: list[str], fold: Fold) -> DataFrame:

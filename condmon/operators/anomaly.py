@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from condmon.config import AnomalySettings
 from condmon.functions import stats
-from condmon.functions.chunks import sliding
+from condmon.functions.chunks import last_known, sliding
 from condmon.functions.folds import AdaptiveThreshold, Cusum, Ema, SensorHysteresis, latest_before, ordered
 from condmon.functions.parsing import finite
 
@@ -86,17 +86,20 @@ def measure(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str]
 
 def hysteresis(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str]) -> DataFrame:
     """Adds ``is_anomaly`` from ``raw_anomaly``: on after ``consecutive`` anomalies in a row, off after ``exit_count`` normals in a row.  Pure windows."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    raw = F.coalesce(F.col("raw_anomaly"), F.lit(False))
-    df = df.withColumn("__raw", raw).withColumn("__turn", F.when(F.col("raw_anomaly").isNull(), 0).otherwise((F.col("__raw") != F.lag("__raw", 1, False).over(w)).cast("int")))
-    df = df.withColumn("__run", F.sum("__turn").over(upto))
-    within = Window.partitionBy(*keys, "__run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("__length", F.count("raw_anomaly").over(within))
-    event = F.when(F.col("raw_anomaly") & (F.col("__length") >= s.consecutive), True).when(~F.col("raw_anomaly") & (F.col("__length") >= s.exit_count), False)
-    df = df.withColumn("__event", event)
-    final = F.coalesce(F.last("__event", ignorenulls=True).over(upto), F.lit(False))
-    return df.withColumn("is_anomaly", F.when(F.col("raw_anomaly").isNotNull(), final)).drop("__raw", "__turn", "__run", "__length", "__event")
+    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__event", _turns(s, keys, order))
+    return df.withColumn("is_anomaly", _state(F.last("__event", ignorenulls=True).over(upto))).drop("__event")
+
+
+def _turns(s: AnomalySettings, keys: list[str], order: list[str]) -> Column:
+    """True where the last ``consecutive`` rows are all anomalies, false where the last ``exit_count`` are all normal, else null."""
+    last = lambda n: Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - n, 0)
+    on, off = max(1, s.consecutive), max(1, s.exit_count)
+    return F.when(F.count_if(F.col("raw_anomaly")).over(last(on)) == on, True).when(F.count_if(~F.col("raw_anomaly")).over(last(off)) == off, False)
+
+
+def _state(last_turn: Column) -> Column:
+    return F.when(F.col("raw_anomaly").isNotNull(), F.coalesce(last_turn, F.lit(False)))
 
 
 def detect(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str], bucket: Column | None = None, chunk: int = 1_000_000) -> DataFrame:
@@ -104,16 +107,24 @@ def detect(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str],
 
     With ``bucket``, an expression that never falls along the order (an hour, a
     day), the rolling methods run on chunks of ``chunk`` rows with overlap, so a
-    single long series is spread over many tasks (:mod:`condmon.functions.chunks`).
+    single long series is spread over many tasks (:mod:`condmon.functions.chunks`);
+    of the hysteresis only the last turn of each chunk is carried to the next.
     EMA and CUSUM depend on all earlier rows and stay serial by key.
     """
     good = finite(F.col("value"))
-    if bucket is not None and s.method not in ("ema", "cusum"):
-        part = sliding(df.where(good), keys, order, bucket, s.window, lambda d, k: measure(d, s, k, order), max(chunk, s.window))
+
+    def verdict(d: DataFrame, k: list[str]) -> DataFrame:
+        return measure(d, s, k, order).withColumn("raw_anomaly", F.col("raw_severity") != "normal").withColumnRenamed("raw_severity", "severity")
+
+    if bucket is None or s.method in ("ema", "cusum"):
+        part = verdict(df.where(good), keys)
+        part = hysteresis(part, s, keys, order) if s.hysteresis else part.withColumn("is_anomaly", F.col("raw_anomaly"))
+    elif s.hysteresis:
+        turned = lambda d, k: verdict(d, k).withColumn("__event", _turns(s, k, order))
+        part = sliding(df.where(good), keys, order, bucket, s.window + max(s.consecutive, s.exit_count, 1) - 1, turned, chunk, keep=True)
+        part = last_known(part, keys, order, "__event", "__turn").withColumn("is_anomaly", _state(F.col("__turn"))).drop("__event", "__turn")
     else:
-        part = measure(df.where(good), s, keys, order)
-    part = part.withColumn("raw_anomaly", F.col("raw_severity") != "normal").withColumnRenamed("raw_severity", "severity")
-    part = hysteresis(part, s, keys, order) if s.hysteresis else part.withColumn("is_anomaly", F.col("raw_anomaly"))
+        part = sliding(df.where(good), keys, order, bucket, s.window, verdict, chunk).withColumn("is_anomaly", F.col("raw_anomaly"))
     return part.withColumn("skipped", F.lit(False)).unionByName(df.where(~good | good.isNull()).withColumn("skipped", F.lit(True)), allowMissingColumns=True)
 
 
@@ -147,11 +158,11 @@ def detect_sensors(df: DataFrame, s: AnomalySettings, entity: str, order: list[s
     return verdicts, records
 
 
-def detect_batch(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str]) -> DataFrame:
+def detect_batch(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str], bucket: Column | None = None) -> DataFrame:
     """Batch mode: no hysteresis, z-score warning at 0.67 of its threshold, other methods than z-score, IQR, threshold and percentile count as z-score."""
     method = s.method if s.method in ("zscore", "iqr", "threshold", "percentile") else "zscore"
     plain = AnomalySettings(**{**s.__dict__, "method": method, "zscore_warning": 0.67 * s.zscore_threshold, "hysteresis": False})
-    return detect(df, plain, keys, order)
+    return detect(df, plain, keys, order, bucket)
 
 
 def summary(verdicts: DataFrame, keys: list[str]) -> DataFrame:
@@ -171,10 +182,10 @@ def summary(verdicts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def adaptive(readings: DataFrame, feedback: DataFrame, s: AnomalySettings, keys: list[str], order: list[str], target: float = 0.05, rate: float = 0.1) -> DataFrame:
+def adaptive(readings: DataFrame, feedback: DataFrame, s: AnomalySettings, keys: list[str], order: list[str], target: float = 0.05, rate: float = 0.1, bucket: Column | None = None) -> DataFrame:
     """Z-score with thresholds scaled by (1 + adjustment), the latest that feedback (keys, order, predicted, actual) led to at or before a reading."""
     adjusted = ordered(feedback, keys, order, AdaptiveThreshold(target, rate))
     joined = latest_before(readings, adjusted, keys, order[0], ["adjustment"])
     factor = 1 + F.coalesce("adjustment", F.lit(0.0))
     scaled = joined.withColumn("cfg_zscore_threshold", F.lit(s.zscore_threshold) * factor).withColumn("cfg_zscore_warning", F.lit(s.zscore_warning) * factor)
-    return detect(scaled, AnomalySettings(**{**s.__dict__, "method": "zscore"}), keys, order)
+    return detect(scaled, AnomalySettings(**{**s.__dict__, "method": "zscore"}), keys, order, bucket)

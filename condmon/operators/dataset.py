@@ -65,8 +65,9 @@ def valid(df: DataFrame, arity: int) -> tuple[DataFrame, DataFrame]:
 
 def feature_stats(df: DataFrame, names: list[str]) -> DataFrame:
     """(feature, count, mean, std (population), min, max) in one pass."""
-    long = df.select(F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("feature"), F.col("values").alias("value"))).alias("z")).select("z.feature", "z.value")
-    return long.groupBy("feature").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    made = {"count": F.count, "mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
+    each = [F.struct(F.lit(n).alias("feature"), *[f(F.get("values", F.lit(i))).alias(k) for k, f in made.items()]) for i, n in enumerate(names)]
+    return df.agg(F.array(*each).alias("z")).select(F.explode("z").alias("z")).select("z.*")
 
 
 def label_counts(df: DataFrame) -> DataFrame:
@@ -163,10 +164,9 @@ def document(df: DataFrame, name: str, names: list[str]) -> str:
 
 
 def metadata(df: DataFrame, name: str, names: list[str]) -> dict:
-    """Dataset description: feature statistics and label counts (rows by feature and by label)."""
+    """Dataset description: number of samples, feature statistics, and ``labels``, a table of all labels and their counts."""
     features_ = {r["feature"]: {k: r[k] for k in ("count", "mean", "std", "min", "max")} for r in feature_stats(df, names).collect()}
-    labels = {r["label"]: r["count"] for r in label_counts(df).orderBy(F.desc("count")).limit(10_000).collect()}
-    return {"datasetInfo": {"name": name, "samples": sum(labels.values())}, "features": {"names": names, "statistics": features_}, "labels": labels}
+    return {"datasetInfo": {"name": name, "samples": df.count()}, "features": {"names": names, "statistics": features_}, "labels": label_counts(df)}
 
 
 def collector(path: str, names: list[str], fmt: str = "json"):

@@ -53,7 +53,7 @@ def weight_of(sensor: Column, s: HealthSettings) -> Column:
 
 
 def dynamic_weights(df: DataFrame, entity: str, order: list[str], s: HealthSettings) -> DataFrame:
-    """Adds ``weight``: lowered for a frequent alarm (rate over 0.3 of at least 10), an erratic sensor (coefficient of variation over 0.5 of its last 50 values) and low confidence, within 0.1 and 1."""
+    """Adds ``weight``: lowered for a frequent alarm (rate over 0.3 of at least 10), an erratic sensor (coefficient of variation over 0.5 of its last 50 values) and low confidence, by a factor within 0.1 and 1."""
     upto = Window.partitionBy(entity, "sensor").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     last = Window.partitionBy(entity, "sensor").orderBy(*order).rowsBetween(-49, 0)
     seen = F.count(F.lit(1)).over(upto)
@@ -62,8 +62,8 @@ def dynamic_weights(df: DataFrame, entity: str, order: list[str], s: HealthSetti
     cv = F.stddev_pop("value").over(last) / F.nullif(F.abs(m), F.lit(0.0))
     alarm = F.when((seen >= 10) & (rate > 0.3), 1 - (rate - 0.3)).otherwise(1.0)
     erratic = F.when((F.count("value").over(last) >= 10) & (cv > 0.5), F.greatest(F.lit(0.5), 1 - (cv - 0.5))).otherwise(1.0)
-    raw = weight_of(F.col("sensor"), s) * alarm * erratic * F.coalesce(_given("confidence", "double"), F.lit(1.0))
-    return df.withColumn("weight", F.greatest(F.lit(0.1), F.least(F.lit(1.0), raw)))
+    factor = alarm * erratic * F.coalesce(_given("confidence", "double"), F.lit(1.0))
+    return df.withColumn("weight", weight_of(F.col("sensor"), s) * F.greatest(F.lit(0.1), F.least(F.lit(1.0), factor)))
 
 
 def index(scored: DataFrame, keys: list[str], s: HealthSettings) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from condmon.config import AnomalySettings
 from condmon.functions import stats
+from condmon.functions.chunks import sliding
 from condmon.functions.folds import Fold, field, ordered
 from condmon.operators.anomaly import measure
 
@@ -17,13 +18,26 @@ def split(df: DataFrame, values: str, keep: list[str]) -> DataFrame:
     kind = df.schema[values].dataType.typeName()
     v = F.col(values)
     if kind == "map":
-        entries = F.map_entries(v)
+        out = df.select(*keep, F.size(v).alias("total_values"), F.posexplode(v).alias("value_index", "value_name", "value"))
     elif kind == "array":
-        entries = F.transform(v, lambda x, i: F.struct(F.concat(F.lit("value"), i.cast("string")).alias("key"), x.alias("value")))
+        out = df.select(*keep, F.size(v).alias("total_values"), F.posexplode(v).alias("value_index", "value")).withColumn("value_name", F.concat(F.lit("value"), F.col("value_index").cast("string")))
     else:
-        entries = F.array(F.struct(F.lit("value").alias("key"), v.alias("value")))
-    out = df.select(*keep, F.size(entries).alias("total_values"), F.posexplode(entries).alias("value_index", "__e"))
-    return out.select(*keep, F.col("__e.key").alias("value_name"), "value_index", F.col("__e.value").cast("double").alias("value"), "total_values")
+        out = df.select(*keep, F.lit(1).alias("total_values"), F.lit(0).alias("value_index"), v.alias("value"), F.lit("value").alias("value_name"))
+    return out.select(*keep, "value_name", "value_index", F.col("value").cast("double").alias("value"), "total_values")
+
+
+def parallel(df: DataFrame, values: str, keep: list[str]) -> DataFrame:
+    """One row a record: ``values`` (array of double), ``value_names`` and ``value_count`` of an array, map or number column; null records have none."""
+    kind = df.schema[values].dataType.typeName()
+    v = F.col(values)
+    if kind == "map":
+        numbers, names = F.map_values(v), F.map_keys(v)
+    elif kind == "array":
+        numbers = v
+        names = F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda i: F.concat(F.lit("value"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    else:
+        numbers, names = F.array(v), F.array(F.lit("value"))
+    return df.where(v.isNotNull()).select(*keep, numbers.cast("array<double>").alias("values"), names.alias("value_names"), F.size(numbers).alias("value_count"))
 
 
 def aggregate(values: Column) -> Column:
@@ -40,11 +54,11 @@ def primary(aggregates: Column, method: str) -> Column:
     return aggregates[method if method in ("mean", "median", "min", "max", "sum", "range", "stddev") else "mean"]
 
 
-def analyze(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str]) -> DataFrame:
+def analyze(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str], bucket: Column | None = None) -> DataFrame:
     """Per-value verdicts (``is_anomaly``) over each value's own buffer: z-score and threshold in one level, IQR always with 1.5."""
     if s.method == "iqr":
         s = AnomalySettings(**{**s.__dict__, "iqr_multiplier": 1.5})
-    out = measure(df, s, keys, order)
+    out = measure(df, s, keys, order) if bucket is None else sliding(df, keys, order, bucket, s.window, lambda d, k: measure(d, s, k, order))
     return out.withColumn("is_anomaly", F.col("raw_severity") == "critical").drop("raw_severity")
 
 
@@ -127,22 +141,35 @@ def correlate(df: DataFrame, keys: list[str], order: list[str], x: str, y: str,
     return out.withColumn("is_anomalous", F.abs("correlation") < threshold)
 
 
-def cross_correlation(df: DataFrame, keys: list[str], order: list[str], x: str, y: str) -> DataFrame:
+def cross_correlation(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, block: int = 4096) -> DataFrame:
     """``lag``, ``correlation`` for lags of up to a quarter of each series' length, both ways, and ``best`` (first largest).
 
-    Each row meets the rows at its index plus a lag: an equality join on the
-    shifted index, so the work is rows times lags and nothing is collected.
+    Series are cut into blocks of ``block`` samples.  Blocks near enough to hold
+    a pair at some lag meet, and a pair of blocks gives its sums for all lags at
+    once by a Fourier transform; the sums of all pairs are then added up by lag.
     """
     w = Window.partitionBy(*keys)
-    base = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.row_number().over(w.orderBy(*order)) - 1).alias("i"))
-    base = base.withColumn("n", F.count(F.lit(1)).over(w))
-    for c in ("x", "y"):
-        base = base.withColumn(f"d{c}", F.col(c) - F.avg(c).over(w)).withColumn(f"s{c}", F.stddev_pop(c).over(w))
-    most = F.floor(F.col("n") / 4).cast("int")
-    left = base.select(*keys, "n", "sx", "sy", "dx", "i", F.explode(F.sequence(-most, most)).alias("lag")).withColumn("j", F.col("i") + F.col("lag"))
-    right = base.select(*keys, F.col("i").alias("j"), "dy")
-    sums = left.join(right, [*keys, "j"]).groupBy(*keys, "lag").agg(F.sum(F.col("dx") * F.col("dy")).alias("sum"), F.count(F.lit(1)).alias("count"), F.first("sx").alias("sx"), F.first("sy").alias("sy"))
-    scale = F.nullif(F.col("sx") * F.col("sy"), F.lit(0.0))
-    made = sums.withColumn("correlation", F.coalesce(F.col("sum") / (F.col("count") * scale), F.lit(0.0))).select(*keys, "lag", "correlation")
+    of = df.select(*keys, *[F.col(c) for c in order if c not in keys], F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).where("__x is not null and __y is not null")
+    facts = of.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.avg("__x").alias("__mx"), F.avg("__y").alias("__my"), (F.stddev_pop("__x") * F.stddev_pop("__y")).alias("__scale"))
+    at = of.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).join(facts.select(*keys, "__mx", "__my"), keys)
+    sample = F.struct("__i", (F.col("__x") - F.col("__mx")).alias("x"), (F.col("__y") - F.col("__my")).alias("y"))
+    cells = at.groupBy(*keys, F.floor(F.col("__i") / block).alias("__b")).agg(F.array_sort(F.collect_list(sample)).alias("__s"))
+    most = F.floor(F.col("__n") / 4)
+    reach, last = F.floor(most / block) + 1, F.floor((F.col("__n") - 1) / block)
+    others = F.sequence(F.greatest(F.lit(0), F.col("__b") - reach), F.least(last, F.col("__b") + reach))
+    left = cells.join(facts, keys).select(*keys, "__n", "__scale", "__b", F.col("__s.x").alias("__u"), F.explode(others).alias("__c"))
+    right = cells.select(*keys, F.col("__b").alias("__c"), F.col("__s.y").alias("__v"))
+
+    @F.pandas_udf("array<double>")
+    def products(a, b):
+        import pandas as pd
+
+        return pd.Series([np.fft.irfft(np.conj(np.fft.rfft(u, 2 * block)) * np.fft.rfft(v, 2 * block), 2 * block) for u, v in zip(a, b, strict=True)])
+
+    pairs = left.join(right, [*keys, "__c"]).select(*keys, "__n", "__scale", ((F.col("__c") - F.col("__b")) * block).alias("__gap"), F.posexplode(products("__u", "__v")).alias("__k", "__part"))
+    lags = pairs.withColumn("lag", F.col("__gap") + F.when(F.col("__k") < block, F.col("__k")).otherwise(F.col("__k") - 2 * block)).where(F.abs("lag") <= most)
+    sums = lags.groupBy(*keys, "__n", "__scale", "lag").agg(F.sum("__part").alias("__sum"))
+    r = F.col("__sum") / ((F.col("__n") - F.abs("lag")) * F.nullif(F.col("__scale"), F.lit(0.0)))
+    made = sums.withColumn("correlation", F.coalesce(r, F.lit(0.0))).select(*keys, "lag", "correlation")
     first = F.row_number().over(w.orderBy(F.desc("correlation"), "lag"))
     return made.withColumn("best", first == 1)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,7 +59,9 @@ class Forest:
 class IsolationFold(Fold):
     """Features (value, change, place in the buffer); trained at ten samples, in ``incremental`` and ``adaptive`` mode again every ``retrain`` samples; before that |z| > 3 decides.
 
-    The threshold is the score at the contamination share of the last scores.
+    The threshold is the score at the contamination share of the training
+    scores until ten samples are scored, then that of the last ``window`` scored
+    samples, the present one included.
     """
 
     outputs = (field("score", "double"), field("threshold", "double"), field("is_anomaly", "boolean"), field("severity", "string"))
@@ -67,7 +71,7 @@ class IsolationFold(Fold):
         self.forests: dict[tuple, Forest] = {}
 
     def start(self) -> dict:
-        return {"buffer": [], "trained_on": None, "since": 0, "scores": []}
+        return {"buffer": [], "trained_on": None, "since": 0, "scores": [], "limit": None}
 
     def _features(self, b: list[float]) -> np.ndarray:
         v = np.array(b)
@@ -79,31 +83,48 @@ class IsolationFold(Fold):
             self.forests = {key: Forest(self._features(train), self.n, 256, self.seed)}
         return self.forests[key]
 
-    def _limit(self, scores: list[float]) -> float:
-        return sorted(scores, reverse=True)[min(len(scores) - 1, int(len(scores) * self.share))]
+    def limit(self, scores: list[float]) -> float:
+        """The score at the contamination share, from the highest; the highest where the share is under one score."""
+        return sorted(scores, reverse=True)[min(len(scores) - 1, int(len(scores) * self.share))] or 0.5
+
+    def judged(self, state: dict, score: float) -> tuple[float, bool]:
+        """Threshold and verdict of a score, which joins the last ones first."""
+        state["scores"] = (state["scores"] + [score])[-self.window :]
+        if len(state["scores"]) >= 10:
+            state["limit"] = self.limit(state["scores"])
+        return state["limit"], score >= state["limit"]
 
     def step(self, state, columns):
-        out: dict[str, list] = {f.name: [] for f in self.outputs}
+        rows: list[tuple] = []
+        waiting: list[tuple[int, tuple[float, float, int]]] = []  # rows that the present forest has to score
+
+        def score() -> None:
+            if waiting:
+                found = self._forest(state["trained_on"]).score(np.array([f for _, f in waiting], dtype=np.float64))
+                for (at, _), s in zip(waiting, found.tolist(), strict=True):
+                    rows[at] = (s, *self.judged(state, s))
+                waiting.clear()
+
         for x in columns["value"]:
-            score = limit = flag = None
-            if x is not None and math.isfinite(x):
-                b = state["buffer"] = (state["buffer"] + [x])[-self.window :]
-                state["since"] += 1
-                due = state["trained_on"] is None or (self.again and state["since"] >= self.retrain)
-                if len(b) >= 10 and due:
-                    state["trained_on"], state["since"] = list(b), 0
-                    state["scores"] = [float(v) for v in self._forest(b).score(self._features(b))][-self.window :]
-                if state["trained_on"] is None:
-                    sd = float(np.std(b))
-                    flag = bool(len(b) > 1 and sd > 0 and abs(x - float(np.mean(b))) / sd > 3.0)
-                else:
-                    score = float(self._forest(state["trained_on"]).score(self._features(b)[-1:])[0])
-                    limit = self._limit(state["scores"])
-                    flag = score >= limit
-                    state["scores"] = (state["scores"] + [score])[-self.window :]
-            for n, v in (("score", score), ("threshold", limit), ("is_anomaly", flag), ("severity", None if flag is None else "warning" if flag else "normal")):
-                out[n].append(v)
-        return out
+            rows.append((None, None, None))
+            if x is None or not math.isfinite(x):
+                continue
+            b = state["buffer"]
+            b.append(x)
+            del b[: -self.window]
+            state["since"] += 1
+            if len(b) >= 10 and (state["trained_on"] is None or (self.again and state["since"] >= self.retrain)):
+                score()
+                state["trained_on"], state["since"] = list(b), 0
+                state["limit"] = self.limit(self._forest(b).score(self._features(b)).tolist())
+            if state["trained_on"] is None:
+                sd = float(np.std(b))
+                rows[-1] = (None, None, bool(len(b) > 1 and sd > 0 and abs(x - float(np.mean(b))) / sd > 3.0))
+            else:
+                waiting.append((len(rows) - 1, (x, x - b[-2] if len(b) > 1 else 0.0, len(b) - 1)))
+        score()
+        words = {None: None, True: "warning", False: "normal"}
+        return {"score": [r[0] for r in rows], "threshold": [r[1] for r in rows], "is_anomaly": [r[2] for r in rows], "severity": [words[r[2]] for r in rows]}
 
 
 def isolation_forest(df: DataFrame, keys: list[str], order: list[str], **settings) -> DataFrame:
@@ -138,12 +159,16 @@ class Components:
         residual = np.abs(z - s @ self.axes.T)
         return ((s[:, used] ** 2) / self.value[used]).sum(axis=1), (residual**2).sum(axis=1), residual / np.maximum(residual.sum(axis=1, keepdims=True), 1e-300)
 
+    def rebuilt(self, x: np.ndarray) -> np.ndarray:
+        """The values that the components alone give."""
+        return ((x - self.mean) / self.sd) @ self.axes @ self.axes.T * self.sd + self.mean
+
 
 class PcaFold(Fold):
-    """Trains once on the first max(10, window / 2) records; then T² and SPE against their limits (t2, spe or combined), and the variables that contribute a tenth or more, three at most."""
+    """Trains once on the first max(10, window / 2) records; then T² and SPE against their limits (t2, spe or combined), and the variables that contribute a tenth or more, three at most: share, index, original and reconstructed value."""
 
     inputs = ("vector",)
-    outputs = (field("t2", "double"), field("spe", "double"), field("t2_limit", "double"), field("spe_limit", "double"), field("is_anomaly", "boolean"), field("contributors", "doubles"), field("top", "long"))
+    outputs = (field("t2", "double"), field("spe", "double"), field("t2_limit", "double"), field("spe_limit", "double"), field("is_anomaly", "boolean"), field("contributors", "doubles"), field("contributor_index", "longs"), field("original", "doubles"), field("reconstructed", "doubles"), field("top", "long"))
 
     def __init__(self, window: int = 100, method: str = "t2", share: float = 0.95, sigma: float = 3.0) -> None:
         self.need, self.method, self.share, self.sigma = max(10, window // 2), method, share, sigma
@@ -170,29 +195,82 @@ class PcaFold(Fold):
                     t2, spe, part = (a[0] for a in m.apply(np.array([v])))
                     over = {"t2": t2 > m.t2_limit, "spe": spe > m.spe_limit}
                     names = sorted((i for i in range(len(part)) if part[i] >= 0.1), key=lambda i: -part[i])[:3]
-                    row = {"t2": float(t2), "spe": float(spe), "t2_limit": m.t2_limit, "spe_limit": m.spe_limit, "is_anomaly": bool(over.get(self.method, over["t2"] or over["spe"])), "contributors": [float(part[i]) for i in names], "top": names[0] if names else None}
+                    row = {"t2": float(t2), "spe": float(spe), "t2_limit": m.t2_limit, "spe_limit": m.spe_limit, "is_anomaly": bool(over.get(self.method, over["t2"] or over["spe"])), "contributors": [float(part[i]) for i in names], "contributor_index": [int(i) for i in names], "original": [float(v[i]) for i in names], "reconstructed": [float(x) for x in m.rebuilt(np.array([v], dtype=np.float64))[0][names]], "top": names[0] if names else None}
             for n in out:
                 out[n].append(row.get(n))
         return out
 
 
-def pca(df: DataFrame, keys: list[str], order: list[str], vector: str, **settings) -> DataFrame:
-    return ordered(df.withColumn("vector", F.col(vector).cast("array<double>")), keys, order, PcaFold(**settings))
+def pca(df: DataFrame, keys: list[str], order: list[str], vector: str, names: list[str] | None = None, **settings) -> DataFrame:
+    """The fold's columns; with the variables' ``names`` also ``contributor_names``."""
+    out = ordered(df.withColumn("vector", F.col(vector).cast("array<double>")), keys, order, PcaFold(**settings))
+    return out.withColumn("contributor_names", F.transform("contributor_index", lambda i: F.get(F.array(*map(F.lit, names)), i.cast("int")))) if names else out
+
 
+def moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, sums and cross products of the vectors of a table, over all rows: each task adds up its own, Spark adds up the tasks', and d * (d + 1) + 1 numbers are collected."""
 
-def reconstruction_error(df: DataFrame, vector: str, sample_rows: int = 20_000, share: float = 0.95, id_col: str | None = None) -> DataFrame:
-    """Adds ``error`` (mean squared residual of standardised components) fitted on at most ``sample_rows`` rows, and ``is_anomaly`` over its 95th percentile of all rows."""
-    order = F.xxhash64(*([id_col] if id_col else df.columns))
-    rows = df.where(F.col(vector).isNotNull()).orderBy(order).limit(sample_rows).select(F.col(vector).cast("array<double>").alias("v")).collect()
-    model = Components(np.array([r["v"] for r in rows]), share)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                x = np.column_stack([np.ones(len(x)), x])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.reshape(-1))], names=["cell", "part"])
+
+    cells = df.select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "cell long, part double").groupBy("cell").agg(F.sum("part").alias("part")).orderBy("cell").collect()
+    if not cells:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    whole = np.array([r["part"] for r in cells]).reshape(math.isqrt(len(cells)), -1)
+    return round(whole[0, 0]), whole[0, 1:], whole[1:, 1:]
+
+
+def exact_percentile(df: DataFrame, column: str, share: float) -> float | None:
+    """Percentile with linear interpolation of all rows; null without a row.
+
+    Approximate bounds around it are found first, rows below them only counted,
+    and those between sorted by all tasks, of which two are collected.
+    """
+    n = df.count()
+    if not n:
+        return None
+    rank = share * (n - 1)
+    low, high = df.select(F.percentile_approx(column, F.array(F.lit(max(0.0, share - 0.01)), F.lit(min(1.0, share + 0.01))), 10_000)).first()[0]
+    below = df.where(F.col(column) < low).count()
+    near = df.where(F.col(column).between(low, high)).select(column).orderBy(column).offset(max(0, int(rank) - below)).limit(2).collect()
+    first, last = near[0][0], near[-1][0]
+    return first + (last - first) * (rank - int(rank))
+
+
+def reconstruction_error(df: DataFrame, vector: str, share: float = 0.95) -> DataFrame:
+    """Adds ``error`` (mean squared residual of standardised components up to ``share`` of the variance), ``limit`` (its 95th percentile) and ``is_anomaly`` (over it), all fitted on all rows.
+
+    Rows whose vector is null or holds a null or a value that is not finite are
+    left out; vectors must be of one length; an empty table gives an empty one.
+    """
+    good = df.where(F.col(vector).isNotNull() & F.forall(F.col(vector).cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    n, sums, products = moments(good, vector)
+    if not n:
+        return good.select("*", *[F.lit(None).cast(k).alias(c) for c, k in (("error", "double"), ("limit", "double"), ("is_anomaly", "boolean"))])
+    mean = sums / n
+    covariance = products / n - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(covariance), 0))
+    sd = np.where(sd == 0, 1.0, sd)
+    value, axes = np.linalg.eigh(covariance / np.outer(sd, sd))
+    value, axes = np.maximum(value[::-1], 0), axes[:, ::-1]
+    k = int(np.searchsorted(np.cumsum(value) / max(value.sum(), 1e-300), share - 1e-12) + 1)
+    shared = df.sparkSession.sparkContext.broadcast((mean, sd, axes[:, :k]))  # d * (k + 2) numbers
 
     @F.pandas_udf(T.DoubleType())
     def error(v):
         import pandas as pd
 
-        return pd.Series(shared.value.apply(np.stack(v.to_numpy()))[1] / len(shared.value.mean))
+        m, scale, a = shared.value
+        z = (np.stack(v.to_numpy()) - m) / scale
+        return pd.Series(((z - z @ a @ a.T) ** 2).mean(axis=1))
 
-    scored = df.where(F.col(vector).isNotNull()).withColumn("error", error(F.col(vector).cast("array<double>")))
-    limit = scored.agg(F.percentile("error", 0.95)).first()[0]
+    scored = good.withColumn("error", error(F.col(vector).cast("array<double>")))
+    limit = exact_percentile(scored, "error", 0.95)
     return scored.withColumn("limit", F.lit(limit)).withColumn("is_anomaly", F.col("error") > F.col("limit"))

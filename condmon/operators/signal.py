@@ -156,12 +156,14 @@ def cepstrum(magnitude: np.ndarray) -> np.ndarray:
 
 
 def rahmonics(c: np.ndarray, rate: float, least: float = 0.1) -> list[tuple[float, float, float]]:
-    """Local maxima of abs(c) past the first five, between 1 and 100 ms: (quefrency, value, share of the largest), largest first."""
-    size = np.abs(c)
-    q = np.arange(len(c)) / rate
-    at = [i for i in range(5, len(c) - 1) if size[i] > size[i - 1] and size[i] > size[i + 1] and 0.001 <= q[i] <= 0.1]
-    top = max((size[i] for i in at), default=0.0)
-    return sorted(((float(q[i]), float(size[i]), float(size[i] / top)) for i in at if top and size[i] / top > least), key=lambda p: -p[1])
+    """Local maxima of abs(c) between 1 and 100 ms: (quefrency, signed value, share of the largest abs(c) past the first five samples), largest first."""
+    size, at = np.abs(c), np.arange(6, max(6, len(c) - 1))
+    top = size[5:].max(initial=0.0)
+    if not len(at) or not top > 0:
+        return []
+    q = at / rate
+    at = at[(size[at] > size[at - 1]) & (size[at] > size[at + 1]) & (q >= 0.001) & (q <= 0.1) & (size[at] / top > least)]
+    return [(float(i / rate), float(c[i]), float(size[i] / top)) for i in at[np.argsort(-size[at], kind="stable")]]
 
 
 # Frames --------------------------------------------------------------------
@@ -297,7 +299,7 @@ def match_faults(frames: DataFrame, faults: DataFrame, s: SignalSettings, keys:
     """Peaks within the relative tolerance of a fault frequency: one row a match, with ``severity`` by magnitude.  The fault table has a few rows and is broadcast."""
     each = frames.select(*keys, F.explode("peaks").alias("p")).select(*keys, "p.*")
     near = F.abs(F.col("frequency") - F.col("target")) / F.col("target") <= s.tolerance
-    level = F.when(F.col("magnitude") > high, "critical").when(F.col("magnitude") > low, "warning").otherwise("minor")
+    level = F.when(F.col("magnitude") > high, "high").when(F.col("magnitude") > low, "medium").otherwise("low")
     return each.join(F.broadcast(faults), near).withColumn("deviation", F.abs(F.col("frequency") - F.col("target")) / F.col("target")).withColumn("severity", level)
 
 
@@ -313,16 +315,24 @@ def cepstral(df: DataFrame, s: SignalSettings) -> DataFrame:
     return per_frame(df, fields, kernel, size=s.fft_size)
 
 
-def gear_table(spark, teeth: int, rpm: float, sidebands: int = 3) -> DataFrame:
-    """Gear mesh frequency and its sidebands at multiples of the shaft's."""
-    shaft = rpm / 60
-    rows = [("gear_mesh", 0, shaft * teeth)] + [("sideband", k, shaft * (teeth + k)) for k in range(1, sidebands + 1)]
-    return spark.createDataFrame(rows, "fault string, harmonic int, target double")
+def gear_table(spark, teeth: int | list[int], rpm: float, sidebands: int = 3) -> DataFrame:
+    """Mesh frequency of each gear (``gear`` from 1, by its teeth) and its sidebands at multiples of the shaft's frequency (``harmonic``)."""
+    shaft, gears = rpm / 60, [teeth] if isinstance(teeth, int) else list(teeth)
+    rows = [(g, t, "sideband" if k else "gear_mesh", k, shaft * (t + k)) for g, t in enumerate(gears, 1) for k in range(sidebands + 1)]
+    return spark.createDataFrame(rows, "gear int, teeth int, fault string, harmonic int, target double")
 
 
 def match_gears(frames: DataFrame, gears: DataFrame, keys: list[str], tolerance: float = 0.1) -> DataFrame:
-    """Rahmonics whose frequency is within the tolerance of a gear frequency."""
+    """Rahmonics whose frequency is nearer than the tolerance to a gear frequency; ``severity`` by share of the largest, stricter for a mesh than for a sideband."""
     each = frames.select(*keys, F.explode("rahmonics").alias("p")).select(*keys, "p.*")
-    near = F.abs(F.col("frequency") - F.col("target")) / F.col("target") <= tolerance
-    level = F.when(F.col("normalized") > 0.7, "critical").when(F.col("normalized") > 0.4, "warning").otherwise("minor")
+    near = F.abs(F.col("frequency") - F.col("target")) / F.col("target") < tolerance
+    x, mesh = F.col("normalized"), F.col("fault") == "gear_mesh"
+    level = F.when(x > F.when(mesh, 0.5).otherwise(0.3), "high").when(~mesh | (x > 0.25), "medium").otherwise("low")
     return each.join(F.broadcast(gears), near).withColumn("severity", level)
+
+
+def frame_verdict(frames: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``fault_count`` and ``has_fault`` to each frame from the matches of :func:`match_faults` or :func:`match_gears`."""
+    counts = matches.groupBy(*keys).agg(F.count(F.lit(1)).alias("fault_count"))
+    out = frames.join(counts, keys, "left").withColumn("fault_count", F.coalesce("fault_count", F.lit(0)))
+    return out.withColumn("has_fault", F.col("fault_count") > 0)

@@ -109,12 +109,13 @@ def smooth(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def theil_sen(x: np.ndarray) -> float:
-    """Median of pairwise slopes (the upper middle); over 50 points the pairs are thinned to every len // 25-th."""
+    """Median of pairwise slopes (the upper middle); over 50 points both ends are thinned to every len // 25-th, the far end counted from the near one's next."""
     n = len(x)
-    step = max(1, n // 25) if n > 50 else 1
-    i = np.arange(0, n, step)
-    a, b = np.triu_indices(len(i), 1)
-    slopes = np.sort((x[i[b]] - x[i[a]]) / (i[b] - i[a]))
+    step = n // 25 if n > 50 else 1
+    near, hop = np.meshgrid(np.arange(0, n, step), 1 + np.arange(0, n, step), indexing="ij")
+    far = near + hop
+    near, far = near[far < n], far[far < n]
+    slopes = np.sort((x[far] - x[near]) / (far - near))
     return float(slopes[len(slopes) // 2]) if len(slopes) else 0.0
 
 

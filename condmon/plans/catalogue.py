@@ -40,6 +40,11 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), "ts", F.col("event_id").alias("seq"), "value")
 
 
+def _day():
+    """Never falls along the order: rolling detectors cut long series by it."""
+    return F.date_trunc("day", "ts")
+
+
 def _r(c: str, n: int = 6):
     """Rounded, without a negative zero."""
     return (F.round(c, n) + F.lit(0.0)).alias(c)
@@ -63,7 +68,7 @@ v AS (SELECT *, CASE WHEN n < 2 THEN NULL WHEN abs(z) > {{high}} THEN 'critical'
 
 @query(ZSCORE.format(high=3.0, low=2.0) + " SELECT series_id, seq, round(z, 6) AS score, severity, severity <> 'normal' AS raw_anomaly FROM v")
 def ad_zscore_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = anomaly.detect(readings(spark, sf_dir), AnomalySettings(hysteresis=False), KEYS, ORDER)
+    out = anomaly.detect(readings(spark, sf_dir), AnomalySettings(hysteresis=False), KEYS, ORDER, bucket=_day())
     return out.select("series_id", "seq", _r("score"), "severity", "raw_anomaly")
 
 
@@ -73,7 +78,7 @@ q AS (SELECT *, len(l) AS n, list_sort(l)[CAST(floor(len(l) * 0.25) AS INTEGER)
 SELECT series_id, seq, CASE WHEN n < 4 THEN NULL WHEN value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) THEN 'critical'
   WHEN value < q1 - 0.8 * 1.5 * (q3 - q1) OR value > q3 + 0.8 * 1.5 * (q3 - q1) THEN 'warning' ELSE 'normal' END AS severity FROM q""")
 def ad_iqr_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomaly.detect(readings(spark, sf_dir), AnomalySettings(method="iqr", hysteresis=False), KEYS, ORDER).select("series_id", "seq", "severity")
+    return anomaly.detect(readings(spark, sf_dir), AnomalySettings(method="iqr", hysteresis=False), KEYS, ORDER, bucket=_day()).select("series_id", "seq", "severity")
 
 
 @query("""
@@ -81,19 +86,19 @@ SELECT event_type AS series_id, event_id AS seq, CASE WHEN row_number() OVER (PA
   WHEN value < 2 OR value > 60 THEN 'critical' WHEN value < 2.2 OR value > 54 THEN 'warning' ELSE 'normal' END AS severity FROM events""")
 def ad_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = AnomalySettings(method="threshold", min_threshold=2.0, max_threshold=60.0, hysteresis=False)
-    return anomaly.detect(readings(spark, sf_dir), s, KEYS, ORDER).select("series_id", "seq", "severity")
+    return anomaly.detect(readings(spark, sf_dir), s, KEYS, ORDER, bucket=_day()).select("series_id", "seq", "severity")
 
 
 @query(f"""
 WITH {R}, b AS (SELECT *, count(*) OVER w AS n, quantile_cont(value, [0.05, 0.95]) OVER w AS p FROM r WINDOW w AS ({_w(100)}))
 SELECT series_id, seq, CASE WHEN n < 2 THEN NULL WHEN value < p[1] OR value > p[2] THEN 'critical' ELSE 'normal' END AS severity FROM b""")
 def ad_percentile_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomaly.detect(readings(spark, sf_dir), AnomalySettings(method="percentile", hysteresis=False), KEYS, ORDER).select("series_id", "seq", "severity")
+    return anomaly.detect(readings(spark, sf_dir), AnomalySettings(method="percentile", hysteresis=False), KEYS, ORDER, bucket=_day()).select("series_id", "seq", "severity")
 
 
 @query(ZSCORE.format(high=2.0, low=1.5) + " SELECT series_id, seq, round(abs(z), 6) AS score, severity FROM v")
 def ad_moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = anomaly.detect(readings(spark, sf_dir), AnomalySettings(method="moving_average", hysteresis=False), KEYS, ORDER)
+    out = anomaly.detect(readings(spark, sf_dir), AnomalySettings(method="moving_average", hysteresis=False), KEYS, ORDER, bucket=_day())
     return out.select("series_id", "seq", _r("score"), "severity")
 
 
@@ -105,7 +110,7 @@ l AS (SELECT *, count(severity) OVER (PARTITION BY series_id, run ORDER BY ts, s
 e AS (SELECT *, CASE WHEN raw AND len >= 1 THEN true WHEN NOT raw AND severity IS NOT NULL AND len >= 2 THEN false END AS event FROM l)
 SELECT series_id, seq, severity, CASE WHEN severity IS NOT NULL THEN coalesce(last_value(event IGNORE NULLS) OVER (PARTITION BY series_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING), false) END AS is_anomaly FROM e""")
 def ad_zscore_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomaly.detect(readings(spark, sf_dir), AnomalySettings(), KEYS, ORDER).select("series_id", "seq", "severity", "is_anomaly")
+    return anomaly.detect(readings(spark, sf_dir), AnomalySettings(), KEYS, ORDER, bucket=_day()).select("series_id", "seq", "severity", "is_anomaly")
 
 
 @query(f"""
@@ -133,7 +138,7 @@ def ad_cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT series_id, count(*) AS total, count(*) FILTER (severity <> 'normal') AS anomalies, count(*) FILTER (severity = 'warning') AS warnings,
   count(*) FILTER (severity = 'normal' OR severity IS NULL) AS normal, round(count(*) FILTER (severity <> 'normal') / count(*), 6) AS anomaly_rate, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, min(value) AS min, max(value) AS max FROM v GROUP BY series_id""")
 def ad_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = anomaly.summary(anomaly.detect_batch(readings(spark, sf_dir), AnomalySettings(), KEYS, ORDER), KEYS)
+    out = anomaly.summary(anomaly.detect_batch(readings(spark, sf_dir), AnomalySettings(), KEYS, ORDER, bucket=_day()), KEYS)
     return out.select("series_id", "total", "anomalies", "warnings", "normal", _r("anomaly_rate"), _r("mean"), _r("sd"), "min", "max")
 
 
@@ -155,7 +160,7 @@ def ad_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds adapted by feedback: every tenth event is labelled by whether its value is over 50."""
     r = readings(spark, sf_dir)
     feedback = r.where("seq % 10 = 0").select("series_id", "ts", "seq", (F.col("value") > 30).alias("predicted"), (F.col("value") > 50).alias("actual"))
-    return anomaly.adaptive(r, feedback, AnomalySettings(hysteresis=False), KEYS, ORDER).select("series_id", "seq", _r("adjustment"), "severity", "is_anomaly")
+    return anomaly.adaptive(r, feedback, AnomalySettings(hysteresis=False), KEYS, ORDER, bucket=_day()).select("series_id", "seq", _r("adjustment"), "severity", "is_anomaly")
 
 
 # Several values ----------------------------------------------------------------
@@ -182,7 +187,7 @@ def mv_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ZSCORE.format(high=3.0, low=2.0) + " SELECT series_id, count(*) FILTER (n >= 2 AND abs(z) > 3.0) AS anomaly_count, count(*) FILTER (n >= 2 AND abs(z) > 3.0) > 0 AS has_anomaly FROM v GROUP BY series_id")
 def mv_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multivalue.flag_records(multivalue.analyze(readings(spark, sf_dir), AnomalySettings(), KEYS, ORDER), KEYS)
+    return multivalue.flag_records(multivalue.analyze(readings(spark, sf_dir), AnomalySettings(), KEYS, ORDER, bucket=_day()), KEYS)
 
 
 #: Order numbers and lines repeat; the values make the order total.
@@ -220,12 +225,12 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("ts", F.col("day").cast("timestamp")).withColumn("seq", F.lit(0))
 
 
-@query(f"""WITH {DAYS}, b AS (SELECT series_id, CAST(n AS DOUBLE) AS x, value AS y, row_number() OVER (PARTITION BY series_id ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS c FROM d WHERE day < DATE '1995-04-01'),
+@query(f"""WITH {DAYS}, b AS (SELECT series_id, CAST(n AS DOUBLE) AS x, value AS y, row_number() OVER (PARTITION BY series_id ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS c FROM d),
 z AS (SELECT *, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy, stddev_pop(x) OVER w AS sx, stddev_pop(y) OVER w AS sy FROM b WINDOW w AS (PARTITION BY series_id)),
 l AS (SELECT a.series_id, b.i - a.i AS lag, sum(a.dx * b.dy) / (count(*) * nullif(any_value(a.sx) * any_value(a.sy), 0)) AS r FROM z a JOIN z b ON a.series_id = b.series_id AND abs(b.i - a.i) <= a.c // 4 GROUP BY 1, 2)
 SELECT series_id, CAST(lag AS INTEGER) AS lag, round(coalesce(r, 0), 5) AS correlation FROM l""")
 def mv_cross_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = daily(spark, sf_dir).where("day < DATE'1995-04-01'").withColumn("x", F.col("n").cast("double"))
+    d = daily(spark, sf_dir).withColumn("x", F.col("n").cast("double"))
     return multivalue.cross_correlation(d, KEYS, ["day"], "x", "value").select("series_id", F.col("lag").cast("int").alias("lag"), _r("correlation", 5))
 
 
@@ -237,7 +242,14 @@ def mv_mahalanobis_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multivalue.mahalanobis_2d(_pairs(spark, sf_dir), KEYS, PAIR_ORDER, "x", "y", 50).select("series_id", "ts", "seq", _r("distance", 2))
 
 
-@query()
+@query(f"""WITH {DAYS}, v AS (SELECT series_id, day, CAST(n AS DOUBLE) AS x, value AS y, value / n AS z FROM d),
+c AS (SELECT *, count(*) OVER w AS n, var_samp(x) OVER w AS a, var_samp(y) OVER w AS b, var_samp(z) OVER w AS c, covar_samp(x, y) OVER w AS d, covar_samp(x, z) OVER w AS e, covar_samp(y, z) OVER w AS f,
+  x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy, z - avg(z) OVER w AS dz FROM v WINDOW w AS (PARTITION BY series_id ORDER BY day ROWS 59 PRECEDING)),
+r AS (SELECT * REPLACE (a + g AS a, b + g AS b, c + g AS c) FROM (SELECT *, greatest(1e-6, 1e-6 * greatest(a, b, c)) AS g FROM c)),
+q AS (SELECT *, ((b * c - f * f) * dx * dx + (a * c - e * e) * dy * dy + (a * b - d * d) * dz * dz + 2 * ((e * f - d * c) * dx * dy + (d * f - b * e) * dx * dz + (d * e - a * f) * dy * dz))
+  / (a * (b * c - f * f) - d * (d * c - e * f) + e * (d * f - b * e)) AS square FROM r),
+k AS (SELECT *, CASE WHEN n >= 10 THEN sqrt(greatest(square, 0)) END AS m FROM q)
+SELECT series_id, day, round(m, 4) AS distance, CASE WHEN m > 3 THEN 'critical' WHEN m > sqrt(6.0) THEN 'warning' WHEN m IS NOT NULL THEN 'normal' END AS severity FROM k""")
 def mv_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = daily(spark, sf_dir).withColumn("v", F.array(F.col("n").cast("double"), "value", F.col("value") / F.col("n")))
     return multivalue.mahalanobis(d, KEYS, ["day"], "v", 60).select("series_id", "day", _r("distance", 4), F.col("severity"))
@@ -249,7 +261,7 @@ def mv_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def iforest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = daily(spark, sf_dir)
-    return multivariate.isolation_forest(d, KEYS, ["day"], trees=25).select("series_id", "day", _r("score"), "is_anomaly", "severity")
+    return multivariate.isolation_forest(d, KEYS, ["day"]).select("series_id", "day", _r("score"), "is_anomaly", "severity")
 
 
 @query()
@@ -261,7 +273,7 @@ def pca_t2_spe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pca_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return multivariate.reconstruction_error(d, "embedding", id_col="vec_id").select("vec_id", _r("error"), "is_anomaly")
+    return multivariate.reconstruction_error(d, "embedding").select("vec_id", _r("error"), "is_anomaly")
 
 
 # Signals -------------------------------------------------------------------------
@@ -291,7 +303,7 @@ def sa_iso10816(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str, size: int = 256) -> DataFrame:
-    """Events by type in frames of ``size`` samples in order: (series_id, frame, samples, sampling_rate)."""
+    """Events by type in frames of ``size`` samples in order: (series_id, frame, samples, sampling_rate).  A buffer that is not full has no spectrum, so a shorter last frame gives no row."""
     from pyspark.sql import Window
 
     r = readings(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy("series_id").orderBy(*ORDER)) - 1)
@@ -321,7 +333,17 @@ def sa_acf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("series_id", "frame", "lag", _r("r"))
 
 
-@query()
+LONG = """s AS (SELECT event_type AS series_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events),
+x AS (SELECT series_id, i // 256 AS frame, i % 256 AS k, value FROM s), whole AS (SELECT series_id, frame FROM x GROUP BY ALL HAVING count(*) = 256),
+y AS (SELECT x.* FROM x JOIN whole USING (series_id, frame))"""
+
+
+@query(f"""WITH {LONG}, l AS (SELECT series_id, frame, list(value ORDER BY k) AS v, 0.2 * stddev_pop(value) AS tol, avg(value) AS m FROM y GROUP BY ALL),
+p AS (SELECT series_id, frame, count(*) FILTER (near) AS b, count(*) FILTER (near AND abs(v[i + 3] - v[j + 3]) <= tol) AS a
+  FROM (SELECT l.*, i, j, abs(v[i + 1] - v[j + 1]) <= tol AND abs(v[i + 2] - v[j + 2]) <= tol AS near FROM l, range(254) p(i), range(254) q(j) WHERE i < j) GROUP BY ALL),
+c AS (SELECT series_id, frame, [list_sum([(v[k + 1] - m) * (v[k + 1 + g] - m) for k in range(256 - g)]) / list_sum([(x - m) * (x - m) for x in v]) for g in range(11)] AS r FROM l)
+SELECT series_id, CAST(frame AS BIGINT) AS frame, round(CASE WHEN a > 0 AND b > 0 THEN -ln(a / b) ELSE 0 END, 6) + 0.0 AS sample_entropy,
+  CAST(list_min([k for k in range(2, 10) if r[k + 1] > r[k] AND r[k + 1] > r[k + 2] AND r[k + 1] > 0.3]) AS INTEGER) AS period FROM p JOIN c USING (series_id, frame)""")
 def sa_sample_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.advanced(frames(spark, sf_dir)).select("series_id", "frame", _r("sample_entropy"), "period")
 
@@ -338,10 +360,17 @@ def sa_envelope_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.match_faults(signal.envelope_spectrum(frames(spark, sf_dir), s), rates, s, ["series_id", "frame"]).select("series_id", "frame", "fault", "harmonic", _r("frequency"), "severity")
 
 
-@query()
+@query(f"""WITH {LONG}, h AS (SELECT series_id, frame, k, value * (0.5 - 0.5 * cos(2 * pi() * k / 255)) AS v FROM y),
+g AS (SELECT series_id, frame, b, ln(greatest(sqrt(pow(sum(v * cos(2 * pi() * b * k / 256)), 2) + pow(sum(v * sin(2 * pi() * b * k / 256)), 2)) / 256, 1e-10)) AS m FROM h, range(128) r(b) GROUP BY ALL),
+c AS (SELECT series_id, frame, q, abs(sum(m * cos(2 * pi() * q * b / 128)) / 128) AS size FROM g, range(128) r(q) GROUP BY ALL),
+n AS (SELECT *, lag(size) OVER w AS before, lead(size) OVER w AS after, max(size) FILTER (q >= 5) OVER (PARTITION BY series_id, frame) AS top FROM c WINDOW w AS (PARTITION BY series_id, frame ORDER BY q)),
+k AS (SELECT series_id, frame, 1000.0 / q AS frequency, size / top AS share FROM n WHERE q BETWEEN 6 AND 100 AND size > before AND size > after AND size / top > 0.1)
+SELECT series_id, CAST(frame AS BIGINT) AS frame, CASE WHEN o = 0 THEN 'gear_mesh' ELSE 'sideband' END AS fault, round(frequency, 6) AS frequency,
+  CASE WHEN share > CASE WHEN o = 0 THEN 0.5 ELSE 0.3 END THEN 'high' WHEN o > 0 OR share > 0.25 THEN 'medium' ELSE 'low' END AS severity
+FROM k, range(4) t(o), (VALUES (4), (7)) gears(teeth) WHERE abs(frequency - 30 * (teeth + o)) / (30 * (teeth + o)) < 0.1""")
 def sa_cepstrum_gears(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = signal.cepstral(frames(spark, sf_dir), SignalSettings())
-    return signal.match_gears(out, signal.gear_table(spark, 4, 1800.0), ["series_id", "frame"]).select("series_id", "frame", "fault", _r("frequency"), "severity")
+    return signal.match_gears(out, signal.gear_table(spark, [4, 7], 1800.0), ["series_id", "frame"]).select("series_id", "frame", "fault", _r("frequency"), "severity")
 
 
 # Trends --------------------------------------------------------------------------
@@ -448,10 +477,16 @@ def hi_sensor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.sensor_scores(assessments(spark, sf_dir)).select("sensor", "day", "score")
 
 
-@query()
+@query(f"""WITH {ASSESS}, w AS (SELECT *, count(*) OVER u AS seen, count(*) FILTER (abs(z) > 2.5) OVER u / count(*) OVER u AS rate, count(value) OVER l AS held, stddev_pop(value) OVER l / nullif(abs(avg(value) OVER l), 0) AS cv
+  FROM k WINDOW u AS (PARTITION BY sensor ORDER BY day ROWS UNBOUNDED PRECEDING), l AS (PARTITION BY sensor ORDER BY day ROWS 49 PRECEDING)),
+f AS (SELECT *, greatest(0.1, least(1, CASE WHEN seen >= 10 AND rate > 0.3 THEN 1.3 - rate ELSE 1 END * CASE WHEN held >= 10 AND cv > 0.5 THEN greatest(0.5, 1.5 - cv) ELSE 1 END * confidence)) * CASE WHEN sensor = 'error' THEN 2.5 ELSE 1 END AS weight FROM w),
+h AS (SELECT 'm' AS machine, day, sum(score * weight) / sum(weight) AS health FROM f GROUP BY day),
+t AS (SELECT *, list(health) OVER (ORDER BY day ROWS 9 PRECEDING) AS l FROM h),
+d AS (SELECT *, list_avg(l[len(l) // 2 + 1:]) - list_avg(l[:len(l) // 2]) AS change FROM t)
+SELECT machine, day, round(health, 6) AS health, CASE WHEN len(l) < 3 THEN 'unknown' WHEN change > 2 THEN 'improving' WHEN change < -2 THEN 'degrading' ELSE 'stable' END AS health_trend FROM d""")
 def hi_dynamic_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = assessments(spark, sf_dir).withColumn("machine", F.lit("m"))
-    scored = health.dynamic_weights(health.sensor_scores(a), "machine", ["day"], HealthSettings())
+    scored = health.dynamic_weights(health.sensor_scores(a), "machine", ["day"], HealthSettings(weights=(("error", 2.5),)))
     return health.trend(health.index(scored, ["machine", "day"], HealthSettings()), "machine", ["day"]).select("machine", "day", _r("health"), "health_trend")
 
 
@@ -506,7 +541,11 @@ def fe_motor_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.motor_health(d).select("l_orderkey", "l_linenumber", _r("motor_health", 4))
 
 
-@query()
+@query(f"""WITH {LONG}, m AS (SELECT *, avg(value) OVER w AS mean, stddev_pop(value) OVER w AS sd FROM y WINDOW w AS (PARTITION BY series_id, frame)),
+k AS (SELECT series_id, frame, sqrt(avg(value * value)) AS rms, avg(pow((value - mean) / sd, 4)) AS kurtosis FROM m GROUP BY ALL),
+p AS (SELECT series_id, frame, b * 1000.0 / 256 AS f, (pow(sum(value * cos(2 * pi() * b * k / 256)), 2) + pow(sum(value * sin(2 * pi() * b * k / 256)), 2)) / 65536 AS p FROM y, range(129) r(b) GROUP BY series_id, frame, b)
+SELECT series_id, CAST(frame AS BIGINT) AS frame, round(any_value(rms), 6) AS rms, round(any_value(kurtosis), 6) AS kurtosis, round(sum(f * p) / sum(p), 4) AS centroid, round(sum(p) FILTER (f < 100) / sum(p), 6) AS band_0_100
+FROM p JOIN k USING (series_id, frame) GROUP BY ALL""")
 def fe_vibration_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.vibration_bands(frames(spark, sf_dir)).select("series_id", "frame", _r("rms"), _r("kurtosis"), _r("centroid", 4), _r("band_0_100"))
 
@@ -522,16 +561,16 @@ def ml_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.round(out.prediction[0], 4).alias("total"), inference.anomaly(out.prediction).alias("is_anomaly"))
 
 
-@query("""WITH e AS (SELECT vec_id, list_transform(embedding[1:10], lambda v: exp(CAST(v AS DOUBLE))) AS x FROM embeddings)
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: exp(CAST(v AS DOUBLE))) AS x FROM embeddings)
 SELECT vec_id, CAST(list_position(x, list_max(x)) - 1 AS INTEGER) AS class, round(list_max(x) / list_sum(x), 6) AS probability FROM e""")
 def vi_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = vision.classify(F.slice(F.col("embedding").cast("array<double>"), 1, 10))
+    top = vision.classify(F.col("embedding").cast("array<double>"))
     return table(spark, sf_dir, "embeddings").select("vec_id", top[0].alias("t")).select("vec_id", F.col("t.class").alias("class"), F.round("t.probability", 6).alias("probability"))
 
 
 @query()
 def vi_boxes_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 60), lambda v: F.abs(v) * 4)
+    flat = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.abs(v) * 4)
     found = vision.nms(vision.boxes(flat, 6, "yolo", 0.0))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.size(found).alias("boxes"))
 
@@ -566,3 +605,111 @@ def st_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS rank FROM events""")
 def st_average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", stats.average_rank(["event_type"], "value").alias("rank"))
+
+
+# Further operators -----------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {R}, b AS (SELECT series_id, seq, row_number() OVER (PARTITION BY series_id ORDER BY ts, seq) AS i, value - avg(value) OVER ({_w(100)}) AS d FROM r),
+f AS (SELECT series_id, i, CAST(NULL AS DOUBLE) AS top, CAST(0 AS DOUBLE) AS up, CAST(0 AS DOUBLE) AS down FROM b WHERE i = 1
+  UNION ALL SELECT n.series_id, n.i, greatest(n.u, n.w), CASE WHEN greatest(n.u, n.w) > 50 THEN 0 ELSE n.u END, CASE WHEN greatest(n.u, n.w) > 50 THEN 0 ELSE n.w END
+  FROM (SELECT b.series_id, b.i, greatest(0, f.up + b.d - 0.5) AS u, greatest(0, f.down - b.d - 0.5) AS w FROM f JOIN b ON b.series_id = f.series_id AND b.i = f.i + 1) n)
+SELECT b.series_id, b.seq, round(f.top, 5) AS score FROM b JOIN f USING (series_id, i)""")
+def ad_cusum_buffer_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a target each value is held against the mean of its buffer."""
+    s = AnomalySettings(method="cusum", cusum_threshold=50.0, cusum_warning=35.0, hysteresis=False)
+    return anomaly.detect(readings(spark, sf_dir), s, KEYS, ORDER).select("series_id", "seq", _r("score", 5))
+
+
+@query(f"WITH {ITEMS} SELECT l_orderkey, l_linenumber, v[1] + v[2] + v[3] AS total, 'value0,value1,value2' AS names, 3 AS value_count FROM i")
+def mv_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = multivalue.parallel(_items(spark, sf_dir), "v", ["l_orderkey", "l_linenumber"])
+    return out.select("l_orderkey", "l_linenumber", (F.col("values")[0] + F.col("values")[1] + F.col("values")[2]).alias("total"), F.array_join("value_names", ",").alias("names"), "value_count")
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, CAST(l_tax AS DOUBLE) AS inlet, CAST(l_discount AS DOUBLE) AS outlet, CAST(l_quantity AS DOUBLE) AS flow, CAST(l_extendedprice AS DOUBLE) / 1000 AS current FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(flow * (outlet - inlet) * 100 / 36, 6) + 0.0 AS hydraulic_power, round(greatest(0, least(1, flow * (outlet - inlet) * 100 / 36 / (current * (400 * 0.85 * sqrt(3.0) / 1000)))), 9) + 0.0 AS efficiency,
+  round(current / flow, 10) AS specific_energy, round(inlet - 0.5, 6) AS npsh_margin FROM p""")
+def fe_pump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_tax").alias("p_inlet"), F.col("l_discount").alias("p_outlet"), F.col("l_quantity").alias("flow"), (F.col("l_extendedprice").cast("double") / 1000).alias("current"), F.lit(40.0).alias("bearing_temp"), F.lit(2.0).alias("vibration_rms"))
+    return features.pump(d).select("l_orderkey", "l_linenumber", _r("hydraulic_power"), _r("efficiency", 9), _r("specific_energy", 10), _r("npsh_margin"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS q, CAST(l_extendedprice AS DOUBLE) AS e, CAST(l_tax AS DOUBLE) AS t FROM lineitem)
+SELECT l_orderkey, l_linenumber, round((75 - t * 100) - 55, 6) AS delta_t_coil, round(e / (q * 1000 + 1), 6) AS fan_efficiency, round(1.5 / (e / 50000 + 0.1), 6) AS filter_loading,
+  round(greatest(-1, least(1, (78 - (75 - t * 100)) / (78 - (60 + q) + 0.1))), 6) + 0.0 AS economizer_eff FROM p""")
+def fe_hvac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, e, t = (F.col(c).cast("double") for c in ("l_quantity", "l_extendedprice", "l_tax"))
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (75 - t * 100).alias("mixed_temp"), F.lit(55.0).alias("supply_temp"), F.lit(78.0).alias("return_temp"), (60 + q).alias("outdoor_temp"), e.alias("airflow"), q.alias("fan_power"), F.lit(1.5).alias("filter_dp"), F.lit(50.0).alias("chw_valve"), F.lit(2.0).alias("fan_vibration"))
+    return features.hvac(d, 50_000.0).select("l_orderkey", "l_linenumber", _r("delta_t_coil"), _r("fan_efficiency"), _r("filter_loading"), _r("economizer_eff"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS q, CAST(l_extendedprice AS DOUBLE) AS e, CAST(l_discount AS DOUBLE) * 4 AS w FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(q / (e + 1), 8) AS force_z_ratio, round(e / (q * 2 * 10 + 1), 5) AS specific_energy, round(q * (pi() * 10 / 1000), 6) AS cutting_speed,
+  CASE WHEN w <= 0.1 THEN 'new' WHEN w <= 0.2 THEN 'good' WHEN w <= 0.3 THEN 'worn' ELSE 'critical' END AS wear_state FROM p""")
+def fe_cutting_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, e, w = F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double"), F.col("l_discount").cast("double") * 4
+    one = {n: F.lit(1.0) for n in ("force_x", "force_y", "vibration_rms", "power_kw", "ae_rms", "temperature")}
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", q.alias("force_z"), e.alias("force_resultant"), q.alias("feed_rate"), F.lit(2.0).alias("depth_of_cut"), q.alias("spindle_speed"), w.alias("wear_vb"), *[c.alias(n) for n, c in one.items()])
+    return features.cutting_tool(d).select("l_orderkey", "l_linenumber", _r("force_z_ratio", 8), _r("specific_energy", 5), _r("cutting_speed"), "wear_state")
+
+
+@query("""SELECT event_id, event_type AS label, CASE WHEN event_id % 3 = 0 THEN 0.5 ELSE 0.0 END AS severity,
+  CAST(greatest(0, 500 - row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id)) AS DOUBLE) AS rul FROM events""")
+def td_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and severities of messages, and the countdown label."""
+    e = readings(spark, sf_dir).withColumn("class", F.col("series_id")).withColumn("fault_severity", F.when(F.col("seq") % 3 == 0, "0.5"))
+    named = dataset.severity(dataset.label(e, "fromMessage")).withColumnRenamed("label", "message")
+    return dataset.rul_label(named, KEYS, ORDER, 500).select(F.col("seq").alias("event_id"), F.col("message").alias("label"), "severity", F.col("label").alias("rul"))
+
+
+@query("""SELECT event_id, [CAST(value AS DOUBLE), CASE WHEN event_id % 5 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(event_id AS DOUBLE) END, 0.0][1] AS f1,
+  CASE WHEN event_id % 5 = 0 THEN 0.0 ELSE CAST(event_id AS DOUBLE) END AS f2, 0.0 AS f3, event_id % 7 <> 0 AS valid FROM events""")
+def td_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named features out of text, what can't be read is 0; and rows of the right arity told from others."""
+    m = F.create_map(F.lit("f1"), F.col("value").cast("string"), F.lit("f2"), F.when(F.col("event_id") % 5 == 0, "kg").otherwise(F.concat(F.col("event_id").cast("string"), F.lit("kg"))))
+    d = dataset.features(table(spark, sf_dir, "events").withColumn("m", m), ["f1", "f2", "f3"], "m")
+    cut = d.withColumn("values", F.when(F.col("event_id") % 7 == 0, F.slice("values", 1, 2)).otherwise(F.col("values")))
+    good, bad = dataset.valid(cut, 3)
+    both = good.withColumn("valid", F.lit(True)).unionByName(bad.drop("reason").withColumn("valid", F.lit(False)))
+    return both.select("event_id", F.col("values")[0].alias("f1"), F.col("values")[1].alias("f2"), F.coalesce(F.get("values", F.lit(2)), F.lit(0.0)).alias("f3"), "valid")
+
+
+@query("""WITH e AS (SELECT vec_id, [list_position([CAST(embedding[c * 16 + i + 1] AS DOUBLE) for c in range(4)], list_max([CAST(embedding[c * 16 + i + 1] AS DOUBLE) for c in range(4)])) - 1 for i in range(16)] AS m FROM embeddings),
+x AS (SELECT vec_id, unnest(m) AS class FROM e)
+SELECT vec_id, CAST(class AS INTEGER) AS class, count(*) AS pixels, count(*) / 16 AS fraction FROM x GROUP BY ALL""")
+def vi_class_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as class maps of four planes of sixteen pixels."""
+    d = table(spark, sf_dir, "embeddings").select("vec_id", vision.class_map(F.col("embedding").cast("array<double>"), 4, 16).alias("classes"))
+    return vision.class_shares(d, ["vec_id"], "classes").select("vec_id", "class", "pixels", "fraction")
+
+
+@query("""WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings), i AS (SELECT vec_id, v, g, [k for k in range(16) if v[g * 16 + k + 1] > 0.05] AS inside FROM e, range(4) t(g))
+SELECT vec_id, CAST(g AS INTEGER) AS instance, len(inside) AS area, list_min([k % 4 for k in inside]) AS min_x, list_max([k // 4 for k in inside]) AS max_y, len(inside) / 16 AS fraction FROM i WHERE len(inside) > 0""")
+def vi_instance_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("embedding").cast("array<double>")
+    d = table(spark, sf_dir, "embeddings").select("vec_id", F.array(*[F.slice(v, g * 16 + 1, 16) for g in range(4)]).alias("masks"))
+    return vision.instance_masks(d, ["vec_id"], "masks", 4, 0.05).select("vec_id", "instance", "area", F.col("min_x").cast("long").alias("min_x"), F.col("max_y").cast("long").alias("max_y"), "fraction")
+
+
+@query("""WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings), p AS (SELECT vec_id, v, [v[2 * k + 1] for k in range(32)] AS x, [v[2 * k + 2] for k in range(32)] AS y FROM e)
+SELECT vec_id, round(abs(list_sum([x[k + 1] * y[(k + 1) % 32 + 1] - x[(k + 1) % 32 + 1] * y[k + 1] for k in range(32)])) / 2, 6) AS area,
+  round(list_sum([sqrt(pow(x[(k + 1) % 32 + 1] - x[k + 1], 2) + pow(y[(k + 1) % 32 + 1] - y[k + 1], 2)) for k in range(32)]), 6) AS perimeter,
+  CAST(len([k for k in range(21) if v[3 * k + 3] >= 0.1]) AS INTEGER) AS keypoints, list_max(v) AS top, round(list_avg(v), 6) + 0.0 AS mean FROM p""")
+def vi_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as polygons of 32 points, as 21 keypoints and as heat maps."""
+    v = F.col("embedding").cast("array<double>")
+    points = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.struct(F.get(v, 2 * k).alias("x"), F.get(v, 2 * k + 1).alias("y")))
+    d = table(spark, sf_dir, "embeddings").select("vec_id", vision.polygon(points).alias("p"), vision.visible_keypoints(v, 0.1).alias("keypoints"), vision.heatmap(v).alias("h"))
+    return d.select("vec_id", F.round("p.area", 6).alias("area"), F.round("p.perimeter", 6).alias("perimeter"), "keypoints", F.col("h.max").alias("top"), (F.round("h.mean", 6) + F.lit(0.0)).alias("mean"))
+
+
+@query("""WITH t AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_custkey || 'abc' WHEN 1 THEN ' ' || c_acctbal WHEN 2 THEN 'n/a' WHEN 3 THEN '1e3' ELSE '' END AS text FROM customer)
+SELECT c_custkey, TRY_CAST(trim(text) AS DOUBLE) AS strict, CASE c_custkey % 5 WHEN 0 THEN CAST(c_custkey AS DOUBLE) WHEN 1 THEN CAST(trim(text) AS DOUBLE) WHEN 3 THEN 1000.0 END AS lenient FROM t""")
+def st_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in text: whole texts, and what a text begins with."""
+    from condmon.functions import parsing
+
+    k = F.col("c_custkey")
+    text = F.when(k % 5 == 0, F.concat(k.cast("string"), F.lit("abc"))).when(k % 5 == 1, F.concat(F.lit(" "), F.col("c_acctbal").cast("string"))).when(k % 5 == 2, "n/a").when(k % 5 == 3, "1e3").otherwise("")
+    return table(spark, sf_dir, "customer").select("c_custkey", parsing.strict_number(text).alias("strict"), parsing.lenient_number(text).alias("lenient"))

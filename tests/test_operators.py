@@ -111,6 +111,120 @@ def test_forest_and_components():
     assert out["t2_limit"][-1] == pytest.approx(2.2091, abs=1e-3)
 
 
+def test_isolation_threshold_of_given_scores():
+    """The training threshold holds until ten samples are scored; then the last scores decide, the present one among them; nothing is emptied."""
+    fold = multivariate.IsolationFold(window=12, contamination=0.2)
+    state = fold.start() | {"limit": 0.9}
+    scores = [0.1 * (k % 7) + 0.01 * k for k in range(30)]
+    for k, s in enumerate(scores):
+        limit, flag = fold.judged(state, s)
+        last = sorted(scores[max(0, k - 11) : k + 1], reverse=True)
+        want = 0.9 if k < 9 else last[int(len(last) * 0.2)]
+        assert limit == want and flag == (s >= want)
+    assert fold.limit([0.0]) == 0.5 and fold.limit([0.7, 0.2]) == 0.7
+
+
+@pytest.mark.parametrize("mode", ["batch", "incremental"])
+def test_forest_scores_do_not_depend_on_batches(mode):
+    values = [float(v) for v in np.random.default_rng(4).normal(50, 3, 90)]
+    values[30] = None
+    fold = lambda: multivariate.IsolationFold(window=40, trees=15, mode=mode, retrain=20)
+    whole, one, state = folds.step_all(fold(), {"value": values}), fold(), fold().start()
+    parts = [one.step(state, {"value": values[i : i + 7]}) for i in range(0, len(values), 7)]
+    for name in whole:
+        assert list(whole[name]) == [v for p in parts for v in p[name]]
+
+
+@pytest.mark.parametrize("n", [3, 50, 51, 75, 100, 200])
+def test_theil_sen_of_all_lengths(n):
+    x = np.cumsum(np.random.default_rng(n).normal(0, 1, n))
+    step = n // 25 if n > 50 else 1
+    slopes = sorted((x[b] - x[a]) / (b - a) for a in range(0, n, step) for b in range(a + 1, n, step))
+    assert trend.theil_sen(x) == slopes[len(slopes) // 2]
+
+
+def test_rahmonics_and_severities(spark):
+    c = np.zeros(120)
+    c[5], c[8], c[20], c[40], c[110] = 2.0, -1.5, 0.5, 0.1, 1.0
+    assert signal.rahmonics(c, 1000.0) == [(0.008, -1.5, 0.75), (0.02, 0.5, 0.25)]  # 5 only scales, 110 is out of band, 40 too small
+    assert signal.rahmonics(np.zeros(120), 1000.0) == [] and signal.rahmonics(np.ones(4), 1000.0) == []
+    item = "array<struct<frequency:double,magnitude:double,normalized:double>>"
+    peaks = spark.createDataFrame([(1, [(100.0, 0.6, 1.0), (100.0, 0.5, 1.0), (100.0, 0.1, 1.0)])], f"frame int, peaks {item}")
+    got = signal.match_faults(peaks, signal.fault_table(spark, {"1X": 100.0}, 1), SignalSettings(), ["frame"]).orderBy(F.desc("magnitude"))
+    assert [r.severity for r in got.collect()] == ["high", "medium", "low"]
+    gears = spark.createDataFrame([(1, [(40.0, 0.0, 0.6), (40.0, 0.0, 0.5), (40.0, 0.0, 0.25), (100.0, 0.0, 0.31), (100.0, 0.0, 0.3), (44.0, 0.0, 1.0)])], f"frame int, rahmonics {item}")
+    table = signal.gear_table(spark, [4, 10], 600.0, 1)
+    assert sorted((r.gear, r.fault, r.target) for r in table.collect()) == [(1, "gear_mesh", 40.0), (1, "sideband", 50.0), (2, "gear_mesh", 100.0), (2, "sideband", 110.0)]
+    found = signal.match_gears(gears, table, ["frame"])
+    assert sorted((r.gear, r.fault, r.normalized, r.severity) for r in found.collect()) == [
+        (1, "gear_mesh", 0.25, "low"), (1, "gear_mesh", 0.5, "medium"), (1, "gear_mesh", 0.6, "high"),
+        (2, "gear_mesh", 0.3, "medium"), (2, "gear_mesh", 0.31, "medium"), (2, "sideband", 0.3, "medium"), (2, "sideband", 0.31, "high"),
+    ]
+    verdict = signal.frame_verdict(gears.union(gears.withColumn("frame", F.lit(2))), found, ["frame"]).orderBy("frame").collect()
+    assert [(r.fault_count, r.has_fault) for r in verdict] == [(7, True), (0, False)]
+
+
+def test_dynamic_weights_scale_the_configured_ones(spark):
+    rows = [("m", "a", i, 1.0, i % 2 == 0, 0.9) for i in range(20)] + [("m", "b", i, 1.0, False, 0.05) for i in range(20)]
+    df = spark.createDataFrame(rows, "e string, sensor string, seq int, value double, is_anomaly boolean, confidence double")
+    out = health.dynamic_weights(df, "e", ["seq"], HealthSettings(weights=(("a", 2.5),))).where("seq = 19")
+    got = {r.sensor: r.weight for r in out.collect()}
+    assert got["a"] == pytest.approx(2.5 * (1 - 0.2) * 0.9) and got["b"] == pytest.approx(0.1)
+
+
+def test_reconstruction_error_uses_all_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (500, 2)) @ rng.normal(0, 1, (2, 5)) + rng.normal(0, 0.01, (500, 5))
+    x[7] = x[7] + rng.normal(0, 3, 5)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [float("nan")] * 5)], "id int, v array<double>").repartition(7)
+    out = {r.id: r for r in multivariate.reconstruction_error(df, "v").collect()}
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    value, axes = np.linalg.eigh(z.T @ z / len(z))
+    k = int(np.searchsorted(np.cumsum(value[::-1]) / value.sum(), 0.95) + 1)
+    a = axes[:, ::-1][:, :k]
+    error = ((z - z @ a @ a.T) ** 2).mean(axis=1)
+    assert len(out) == 500 and [out[i].error for i in range(500)] == pytest.approx(list(error), abs=1e-9)
+    assert out[0].limit == pytest.approx(np.percentile(error, 95)) and out[7].is_anomaly
+    assert multivariate.reconstruction_error(df.limit(0), "v").count() == 0
+    for n in (1, 2, 37):
+        some = spark.createDataFrame([(float(v),) for v in rng.integers(0, 9, n)], "x double")
+        assert multivariate.exact_percentile(some, "x", 0.95) == pytest.approx(np.percentile([r.x for r in some.collect()], 95))
+
+
+def test_contributors(spark):
+    rows = [[float(i), 2.0 * i + (i % 3), float(i % 5)] for i in range(1, 41)] + [[20.0, -20.0, 3.0]]
+    fold = multivariate.PcaFold(window=20, method="combined", share=0.6)
+    out = folds.step_all(fold, {"vector": rows})
+    m = multivariate.Components(np.array(rows[:10]), 0.6)
+    last = {k: v[-1] for k, v in out.items()}
+    assert last["original"] == [rows[-1][i] for i in last["contributor_index"]]
+    assert last["reconstructed"] == pytest.approx(list(m.rebuilt(np.array([rows[-1]]))[0][last["contributor_index"]]))
+    df = spark.createDataFrame([("a", i, r) for i, r in enumerate(rows)], "k string, seq int, v array<double>")
+    named = multivariate.pca(df, ["k"], ["seq"], "v", ["x", "y", "z"], window=20, share=0.6).orderBy(F.desc("seq")).first()
+    assert named.contributor_names == ["xyz"[i] for i in named.contributor_index]
+
+
+def test_cross_correlation_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(0, 1, 203), rng.normal(0, 1, 203)
+    df = spark.createDataFrame([("a", i, float(x[i]), float(y[i])) for i in range(203)] + [("b", i, 1.0, 2.0) for i in range(9)], "k string, seq int, x double, y double")
+    got = {(r.k, r.lag): r.correlation for r in multivalue.cross_correlation(df, ["k"], ["seq"], "x", "y", block=16).collect()}
+    dx, dy = x - x.mean(), y - y.mean()
+    for lag in range(-50, 51):
+        pairs = [dx[i] * dy[i + lag] for i in range(203) if 0 <= i + lag < 203]
+        assert got["a", lag] == pytest.approx(np.mean(pairs) / (x.std() * y.std()))
+    assert {v for (k, _), v in got.items() if k == "b"} == {0.0} and len(got) == 101 + 5
+
+
+def test_split_and_parallel(spark):
+    df = spark.createDataFrame([(1, {"a": 1.0, "b": 2.0}, [5.0], 7.0), (2, None, None, None), (3, {}, [], 1.0)], "id int, m map<string,double>, v array<double>, x double")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(multivalue.split(df, "m", ["id"])) == [(1, "a", 0, 1.0, 2), (1, "b", 1, 2.0, 2)]
+    assert rows(multivalue.split(df, "v", ["id"])) == [(1, "value0", 0, 5.0, 1)]
+    assert [tuple(r) for r in multivalue.parallel(df, "m", ["id"]).collect()] == [(1, [1.0, 2.0], ["a", "b"], 2), (3, [], [], 0)]
+    assert [tuple(r) for r in multivalue.parallel(df, "v", ["id"]).collect()] == [(1, [5.0], ["value0"], 1), (3, [], [], 0)]
+
+
 def test_trend(spark):
     rows = [("a", i, 2.0 * i) for i in range(10)]
     df = spark.createDataFrame(rows, "k string, seq int, value double").withColumn("ts", F.timestamp_seconds(F.col("seq")))
@@ -166,7 +280,8 @@ def test_dataset(spark, tmp_path):
     dataset.to_csv(df, str(tmp_path / "c"), ["f1", "f2", "f3"])
     assert spark.read.json(str(tmp_path / "j")).count() == 10 and spark.read.csv(str(tmp_path / "c"), header=True).columns[1:4] == ["f1", "f2", "f3"]
     assert json.loads(dataset.document(df, "d", ["f1", "f2", "f3"]))["datasetInfo"]["samples"] == 10
-    assert dataset.metadata(df, "d", ["f1", "f2", "f3"])["labels"] == {"ok": 10}
+    about = dataset.metadata(df, "d", ["f1", "f2", "f3"])
+    assert about["datasetInfo"]["samples"] == 10 and [tuple(r) for r in about["labels"].collect()] == [("ok", 10)]
     good, bad = dataset.valid(df, 2)
     assert good.count() == 0 and bad.first().reason == "wrong number of values"
 
