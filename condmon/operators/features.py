@@ -177,12 +177,3 @@ def flip_labels(df: DataFrame, label: str, classes: list[str], share: float, see
     others = F.filter(F.array(*map(F.lit, classes)), lambda c: c != F.col(label))
     drawn = F.get(others, F.floor(F.rand(seed + 1) * F.size(others)).cast("int"))
     return df.withColumn(label, F.when(F.rand(seed) < share, F.coalesce(drawn, F.col(label))).otherwise(F.col(label)))
-
-
-def degradation(spark, units: int, cycles: int, shape: str = "linear", seed: int = 3) -> DataFrame:
-    """Run-to-failure series (unit_id, cycle, health_index, rul): linear, exponential, or flat until 60 percent of a life and linear after; generated on the executors."""
-    base = spark.range(units).select(F.col("id").cast("int").alias("unit_id"), F.greatest(F.lit(2), (F.lit(cycles) * (0.7 + 0.6 * F.rand(seed))).cast("int")).alias("life"))
-    rows = base.select("unit_id", "life", F.explode(F.sequence(F.lit(1), F.col("life"))).alias("cycle"))
-    t = F.col("cycle") / F.col("life")
-    worn = {"linear": t, "exponential": (F.exp(3 * t) - 1) / (math.e**3 - 1), "piecewise": F.greatest(F.lit(0.0), (t - 0.6) / 0.4)}[shape]
-    return rows.select("unit_id", "cycle", (1 - worn).alias("health_index"), (F.col("life") - F.col("cycle")).cast("double").alias("rul"))

@@ -1,64 +1,34 @@
-"""Simulators, and batch equals stream."""
+"""Batch equals stream; file sources and sinks."""
+
+import random
 
 import pytest
 
 from condmon.config import AnomalySettings
 from condmon.functions import folds
 from condmon.operators import anomaly
-from condmon.sources import files, simulators
+from condmon.sources import files
 from condmon.streaming import adapters
 
 
-def test_generator_reproduces_its_public_values():
-    r = simulators.Mulberry(42)
-    assert [round(r(), 10) for _ in range(3)] == [0.6011037519, 0.448290559, 0.8524657935]
-
-
-def test_machine_source(spark):
-    simulators.register(spark)
-    opts = {"rows": "50", "seed": "3", "degradation_rate": "2", "bearing": "0.7", "frame_size": "64"}
-    one = spark.read.format("machine_sim").options(**opts, partitions="1").load().orderBy("n").collect()
-    many = spark.read.format("machine_sim").options(**opts, partitions="5").load().orderBy("n").collect()
-    assert one == many and len(one) == 50
-    assert one[0].health > one[-1].health and one[0].faults[0].type == "bearing" and len(one[0].samples) == 64
-
-
-def test_failure_policies():
-    worn = {"degradation_rate": "50", "load": "100"}
-    assert simulators.Machine(worn).sample(10)[2] == 0
-    assert simulators.Machine(worn | {"on_failure": "stop"}).sample(10) is None
-    assert simulators.Machine(worn | {"on_failure": "reset"}).sample(2)[2] == simulators.Machine(worn).sample(0)[2]
-
-
-def test_record_and_image_sources(spark):
-    simulators.register(spark)
-    r = spark.read.format("record_sim").option("fields", '{"t": {"mean": 20, "noise": 1, "trend": 0.5}, "c": 7}').option("rows", 20).load()
-    assert r.count() == 20 and r.orderBy("n").first().sensors["c"] == 7
-    image = spark.read.format("image_sim").option("rows", 2).option("defect", "multi").load().first()
-    assert len(image.pixels) == 64 * 64 * 3 and sum(image.mask) > 0 and image.defects
-
-
 @pytest.mark.parametrize("step", [7, 20])
 def test_stream_equals_batch(spark, tmp_path, step):
-    simulators.register(spark)
-    opts = {"rows": "60", "seed": "9", "fields": '{"a": {"mean": 10, "noise": 2}, "b": {"mean": 5, "noise": 1, "trend": 0.2}}', "anomaly_chance": "0.1"}
+    rng = random.Random(9)
+    rows = [(n, {"a": rng.gauss(10, 2) * (4 if n % 17 == 3 else 1), "b": 5 + 0.2 * n + rng.gauss(0, 1)}) for n in range(60)]
+    schema = "n long, sensors map<string,double>"
+    for i in range(0, 60, step):  # one file a micro-batch
+        spark.createDataFrame(rows[i : i + step], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     s = AnomalySettings(method="ema", window=15)
 
     def shape(df):
         return df.selectExpr("n", "explode(sensors) as (series_id, value)")
 
-    batch = anomaly.detect(shape(spark.read.format("record_sim").options(**opts).load()), s, ["series_id"], ["n"])
-    stream = shape(spark.readStream.format("record_sim").options(**opts, rows_per_batch=str(step)).load())
+    batch = anomaly.detect(shape(spark.createDataFrame(rows, schema)), s, ["series_id"], ["n"])
+    stream = shape(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
     out = adapters.stateful(stream, ["series_id"], ["n"], folds.Detector(s))
     name = f"out{step}"
-    q = out.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="0 seconds").start()
-    try:
-        for _ in range(200):
-            q.processAllAvailable() if q.isActive and spark.table(name).count() < 120 else None
-            if spark.table(name).count() >= 120:
-                break
-    finally:
-        q.stop()
+    q = out.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(180)
     key = lambda df: sorted((r.series_id, r.n, r.severity or "", str(r.is_anomaly)) for r in df.select("series_id", "n", "severity", "is_anomaly").collect())
     assert key(spark.table(name)) == key(batch)
 
