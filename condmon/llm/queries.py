@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condmon.llm import bpe, labelled, minhash, mixing, ogg, pfp, pivots, quality, sharding, toxicity, urls
+from condmon.llm import bpe, labelled, minhash, mixing, ogg, pfp, pivots, quality, sharding, stages, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,9 +112,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over ``documents``."""
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {

@@ -4,8 +4,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from condmon.llm import queries
+from condmon.llm import queries, stages
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,11 +12,11 @@ SF = "/root/testdata/sf0.001"
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = [docs]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for _, stage in stages.STAGES[:-1]:
         kept.append(stage(spark, kept[-1], SF).cache())
         assert kept[-1].columns == docs.columns
     n = [k.count() for k in kept]
-    assert n[0] > n[1] >= n[2] == n[3] >= n[4] > 0
+    assert n[0] > n[1] >= n[2] == n[3] and n[4] > 0  # the mixing stage drops rows and repeats others
     # near copies: no two documents left share three quarters of their shingles
     sets = []
     for r in kept[2].collect():
@@ -33,7 +32,7 @@ def test_stages(spark):
     shorter = kept[2].select("doc_id", F.col("text").alias("before")).join(kept[3], "doc_id").where("length(text) < length(before)")
     doubled = {d for d in (r.doc_id for r in kept[2].collect())} & {r.doc_id for r in shorter.collect()}
     assert shorter.count() == len(doubled)
-    last = corpus_pipeline.STAGES[-1][1](spark, kept[-1], SF)
+    last = stages.STAGES[-1][1](spark, kept[-1], SF)
     assert last.where("not round_trip").count() == 0 and last.count() == n[4]
     rejected = kept[0].join(kept[1], "doc_id", "left_anti").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     assert rejected.where("quality = 1").count() <= 0.1 * max(1, rejected.count())
@@ -41,7 +40,7 @@ def test_stages(spark):
 
 def test_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES:
+    for _, stage in stages.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0
         docs = out if out.columns == docs.columns else docs
