@@ -31,7 +31,7 @@ def tokens(text: Column) -> Column:
 
 
 def topic(text: Column) -> Column:
-    """A coarse topic by form: lists, and prose by length."""
+    """A stand-in for a topic label, by form alone: lists, and prose by length.  Any other column can be the margin."""
     n = F.octet_length(F.coalesce(text, F.lit("")))
     return F.when(F.instr(F.coalesce(text, F.lit("")), " | ") > 0, "list").when(n < 1000, "brief").when(n < 6000, "article").otherwise("long")
 
@@ -47,13 +47,15 @@ def rake(cells: DataFrame, margins: list[str], targets: dict[str, float], rounds
     ``cells`` has the margin columns and ``t`` (tokens, over 0).  ``targets``
     gives each margin an exponent: the target share of a value is its token
     share to that power, made to sum to one (1 keeps, 0 makes all values equal).
+    The number of rounds is fixed; the last margin is met exactly, the others as
+    far as the rounds have come.
     """
     few = cells.count() <= CELLS
     total = F.lit(float(cells.agg(F.sum("t")).first()[0] or 1))
     now = cells.withColumn("w", F.col("t") / total)
     for m in margins:
         shares = cells.groupBy(m).agg(F.sum("t").alias("mt")).select(m, F.pow(F.col("mt") / total, F.lit(float(targets[m]))).alias("p"))
-        goal = shares.select(m, (F.col("p") / F.sum("p").over(Window.partitionBy(F.lit(0)))).alias(f"goal_{m}"))  # a row for each value of the margin
+        goal = shares.select(m, (F.col("p") / F.lit(float(shares.agg(F.sum("p")).first()[0] or 1))).alias(f"goal_{m}"))  # a row for each value of the margin
         now = now.join(goal, m)
     now = written(now, "cells")
     for first in range(0, rounds, ROUNDS):
@@ -70,8 +72,10 @@ def mix(df: DataFrame, margins: dict[str, Column], targets: dict[str, float], to
 
     ``margins`` names each margin and gives its value of a row; null is a value
     of its own.  Rows without tokens have no weight to calibrate: expected is
-    ``share``.  Rows with the same id have the same draw.  An empty table gives
-    an empty one; columns named like an output are replaced.
+    ``share``.  Rows with the same id have the same draw; texts are read only for
+    their length, so very long ones cost nothing more.  Equal weights need no
+    tie rule: each row is drawn on its own.  An empty table gives an empty one;
+    columns named like an output are replaced.
     """
     names = list(margins)
     rows = without(df, ["expected", "copies"])
