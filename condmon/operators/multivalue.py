@@ -67,7 +67,7 @@ def flag_records(verdicts: DataFrame, record: list[str]) -> DataFrame:
 
 
 class Mahalanobis(Fold):
-    """Distance of each record from the last ``window`` records of its entity (itself included), at least ten; sample covariance with a ridge, pseudo-inverse."""
+    """Distance of each record from the last ``window`` records of its entity (itself included), at least ten; sample covariance with a ridge, pseudo-inverse.  A vector that holds a null or a value that is not finite, or has another length than its entity's first, has no distance and joins no buffer."""
 
     inputs = ("vector",)
     outputs = (field("distance", "double"), field("severity", "string"))
@@ -79,25 +79,31 @@ class Mahalanobis(Fold):
         return {"rows": []}
 
     def step(self, state, columns):
-        out, level = [], []
-        for v in columns["vector"]:
-            if v is None or not np.isfinite(np.array(v, dtype=np.float64)).all():
-                out.append(None)
-                level.append(None)
+        vectors = columns["vector"]
+        good = [i for i, v in enumerate(vectors) if v is not None and len(v) and np.isfinite(np.array(v, dtype=np.float64)).all()]
+        out, level = [None] * len(vectors), [None] * len(vectors)
+        dims = len(state["rows"][0]) if state["rows"] else len(vectors[good[0]]) if good else 0
+        good = [i for i in good if len(vectors[i]) == dims]
+        rows, held = [*state["rows"], *[list(vectors[i]) for i in good]], len(state["rows"])
+        state["rows"] = rows[-self.window :]
+        if not good:
+            return {"distance": out, "severity": level}
+        x, dim = np.array(rows, dtype=np.float64), len(rows[0])
+        ends = held + np.arange(len(good))  # place of each new row
+        for size in sorted(set(np.minimum(ends + 1, self.window).tolist())):  # one size but for the first rows of a series
+            if size < 10:
                 continue
-            state["rows"] = (state["rows"] + [list(v)])[-self.window :]
-            x = np.array(state["rows"])
-            if len(x) < 10:
-                out.append(None)
-                level.append(None)
-                continue
-            c = np.atleast_2d(np.cov(x, rowvar=False))
-            c = c + np.eye(len(c)) * max(1e-6, 1e-6 * float(np.max(np.diag(c))))
-            d = np.array(v) - x.mean(axis=0)
-            m = float(np.sqrt(max(0.0, d @ np.linalg.pinv(c) @ d)))
-            out.append(m)
-            dim = len(d)
-            level.append("critical" if m > np.sqrt(dim * self.critical) else "warning" if m > np.sqrt(dim * self.warning) else "normal")
+            which = np.flatnonzero(np.minimum(ends + 1, self.window) == size)
+            for part in np.array_split(which, max(1, len(which) // 512)):
+                w = np.lib.stride_tricks.sliding_window_view(x, size, axis=0)[ends[part] - size + 1]  # rows x dim x size
+                centred = w - w.mean(axis=2, keepdims=True)
+                c = np.einsum("ndk,nek->nde", centred, centred) / (size - 1)
+                c += np.eye(dim) * np.maximum(1e-6, 1e-6 * np.einsum("ndd->nd", c).max(axis=1))[:, None, None]
+                d = centred[:, :, -1]
+                found = np.sqrt(np.maximum(0.0, np.einsum("nd,nde,ne->n", d, np.linalg.pinv(c, hermitian=True), d)))
+                for i, m in zip(part, found.tolist(), strict=True):
+                    out[good[i]] = m
+                    level[good[i]] = "critical" if m > np.sqrt(dim * self.critical) else "warning" if m > np.sqrt(dim * self.warning) else "normal"
         return {"distance": out, "severity": level}
 
 

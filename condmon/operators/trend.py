@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from condmon.config import TrendSettings
 from condmon.functions import stats
+from condmon.functions.chunks import sliding
 from condmon.functions.folds import Fold, field, ordered
 
 
@@ -66,15 +67,22 @@ def holt(df: DataFrame, s: TrendSettings, keys: list[str], order: list[str]) ->
     return _with_threshold(df, s, keys, order, w).drop("__v", "__f")
 
 
-def rate_of_change(df: DataFrame, keys: list[str], order: list[str], threshold: float | None = None, percent: bool = False) -> DataFrame:
-    """Adds ``rate`` a second (of the previous value in percent, if asked), null where time does not advance, and ``is_anomaly`` over the threshold."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    seconds = (F.unix_micros(F.col("ts").cast("timestamp_ltz")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp_ltz"))) / 1e6
-    before = F.lag("value").over(w)
-    change = F.col("value") - before
-    if percent:
-        change = change / F.nullif(F.abs(before), F.lit(0.0)) * 100
-    df = df.withColumn("rate", F.when(seconds > 0, change / F.nullif(seconds, F.lit(0.0))))
+def rate_of_change(df: DataFrame, keys: list[str], order: list[str], threshold: float | None = None, percent: bool = False, bucket: Column | None = None) -> DataFrame:
+    """Adds ``rate`` a second (of the previous value in percent, if asked), null where time does not advance, and ``is_anomaly`` over the threshold.
+
+    With ``bucket``, an expression that never falls along the order, long series are cut into chunks.
+    """
+
+    def rated(d: DataFrame, k: list[str]) -> DataFrame:
+        w = Window.partitionBy(*k).orderBy(*order)
+        seconds = (F.unix_micros(F.col("ts").cast("timestamp_ltz")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp_ltz"))) / 1e6
+        before = F.lag("value").over(w)
+        change = F.col("value") - before
+        if percent:
+            change = change / F.nullif(F.abs(before), F.lit(0.0)) * 100
+        return d.withColumn("rate", F.when(seconds > 0, change / F.nullif(seconds, F.lit(0.0))))
+
+    df = rated(df, keys) if bucket is None else sliding(df, keys, order, bucket, 2, rated)
     return df.withColumn("is_anomaly", F.abs("rate") > threshold) if threshold is not None else df
 
 

@@ -395,7 +395,7 @@ def tp_holt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {R}, l AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS dt, value - lag(value) OVER w AS dv FROM r WINDOW w AS (PARTITION BY series_id ORDER BY ts, seq))
 SELECT series_id, seq, CASE WHEN dt > 0 THEN round(dv / dt, 6) END AS rate, CASE WHEN dt > 0 THEN abs(dv / dt) > 1.0 END AS is_anomaly FROM l""")
 def tp_rate_of_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trend.rate_of_change(readings(spark, sf_dir), KEYS, ORDER, 1.0).select("series_id", "seq", _r("rate"), "is_anomaly")
+    return trend.rate_of_change(readings(spark, sf_dir), KEYS, ORDER, 1.0, bucket=_day()).select("series_id", "seq", _r("rate"), "is_anomaly")
 
 
 @query(f"""WITH {R}, l AS (SELECT *, epoch_ms(ts) AS ms, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS dt, value - lag(value) OVER w AS dv FROM r WINDOW w AS (PARTITION BY series_id ORDER BY ts, seq)),

@@ -111,6 +111,29 @@ def test_forest_and_components():
     assert out["t2_limit"][-1] == pytest.approx(2.2091, abs=1e-3)
 
 
+def test_mahalanobis_of_batches():
+    rng = np.random.default_rng(3)
+    vectors = [[float(v) for v in r] for r in rng.normal(0, 1, (70, 3))]
+    vectors[20], vectors[33], vectors[41] = None, [1.0, float("nan"), 0.0], [1.0]
+    fold = multivalue.Mahalanobis(25)
+    whole, state = folds.step_all(fold, {"vector": vectors}), fold.start()
+    parts = [fold.step(state, {"vector": vectors[i : i + 9]}) for i in range(0, 70, 9)]
+    assert [v for p in parts for v in p["severity"]] == list(whole["severity"])
+    held = []
+    for v, got in zip(vectors, whole["distance"], strict=True):
+        if v is None or len(v) != 3 or not np.isfinite(v).all():
+            assert got is None
+            continue
+        held = [*held, v][-25:]
+        if len(held) < 10:
+            assert got is None
+            continue
+        c = np.cov(np.array(held), rowvar=False)
+        c += np.eye(3) * max(1e-6, 1e-6 * c.diagonal().max())
+        d = np.array(v) - np.mean(held, axis=0)
+        assert got == pytest.approx(np.sqrt(d @ np.linalg.pinv(c) @ d))
+
+
 def test_isolation_threshold_of_given_scores():
     """The training threshold holds until ten samples are scored; then the last scores decide, the present one among them; nothing is emptied."""
     fold = multivariate.IsolationFold(window=12, contamination=0.2)
