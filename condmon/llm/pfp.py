@@ -87,13 +87,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Phrases:
-    """The phrases of a batch: ``at`` place of the trigger, ``lo`` and ``hi`` first and last start of its strings, ``doc`` row of the batch, ``trigger`` and ``phrase`` 48-bit hashes."""
+    """The phrases of a batch: ``at`` place of the trigger, ``lo`` and ``hi`` first and last start of its strings, ``doc`` row of the batch, ``trigger`` and ``phrase`` 48-bit hashes, ``context`` (two columns) those of the trigger with HALF bytes after it and with HALF + 1 before it, for phrases that have them."""
 
     def __init__(self, text: np.ndarray, offsets: np.ndarray) -> None:
         parts = [self._chunk(text, offsets, a, min(a + CHUNK, len(text) - LENGTH + 1)) for a in range(0, max(0, len(text) - LENGTH + 1), CHUNK)]
         none = np.zeros(0, dtype=np.int64)
         self.at, self.lo, self.hi = (np.concatenate([p[i] for p in parts]) if parts else none for i in range(3))
         self.trigger, self.phrase = (np.concatenate([p[i] for p in parts]) if parts else none.astype(_U) for i in (3, 4))
+        self.context = np.concatenate([p[5] for p in parts]) if parts else np.zeros((0, 2), _U)
         self.doc = np.searchsorted(offsets, self.lo, side="right") - 1
 
     @staticmethod
@@ -129,8 +130,12 @@ class Phrases:
         np.cumsum((part[:n].astype(_U) + _U(1)) * power[:n], out=sums[1:])
         p = (sums[hi + LENGTH] - sums[lo]) * inverse[lo]
         p = _mix(p ^ (((hi - lo) << 8 | (at - lo)).astype(_U) * _C2))
+        context = np.empty((len(at), 2), dtype=_U)
+        for k, (first, end) in enumerate(((at, at + TRIGGER + HALF), (at - HALF - 1, at + TRIGGER))):
+            first, end = np.maximum(first, 0), np.minimum(end, n)
+            context[:, k] = _mix((sums[end] - sums[first]) * inverse[first] + _U(k + 1)) >> _U(16)
         # hashes of triggers are minima; mixed again they spread over all buckets
-        return at + a, lo + a, hi + a, _mix(h[at] * _C1) >> _U(16), p >> _U(16)
+        return at + a, lo + a, hi + a, _mix(h[at] * _C1) >> _U(16), p >> _U(16), context
 
 
 def _squeeze(*columns: np.ndarray) -> bytes:
@@ -191,13 +196,10 @@ class _Batch:
         """Of the dictionary's phrases that are here (code 1): number of the distinct phrase, half (0: trigger and what follows, 1: what precedes and trigger) and 48-bit hash of each context."""
         p, kinds = self.phrases, np.flatnonzero(codes == 1)
         which = self.first[kinds]
-        at, found = p.at[which], []
-        for half, some, start, size in ((0, at - p.hi[which] <= HALF, at, TRIGGER + HALF), (1, at - p.lo[which] > HALF, at - HALF - 1, TRIGGER + HALF + 1)):
-            some = np.flatnonzero(some)
-            h = np.full(len(some), _U(half + 1))
-            for i in range(size):
-                h = h * _U(_BASE) + self.text[start[some] + i] + _U(1)
-            found.append((kinds[some], np.full(len(some), half), _mix(h) >> _U(16)))
+        found = []
+        for half, has in enumerate((p.at[which] - p.hi[which] <= HALF, p.at[which] - p.lo[which] > HALF)):
+            some = np.flatnonzero(has)
+            found.append((kinds[some], np.full(len(some), half), p.context[which[some], half]))
         return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
     def strings(self, kind: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,10 +213,9 @@ class _Batch:
 
     def bytes_at(self, start: np.ndarray) -> np.ndarray:
         """The strings that start there, as fixed LENGTH bytes."""
-        out = np.empty((len(start), LENGTH), np.uint8)
-        for i in range(LENGTH):
-            out[:, i] = self.text[start + i]
-        return out.view(f"V{LENGTH}").reshape(-1)
+        if not len(start):
+            return np.zeros(0, f"V{LENGTH}")
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.text, LENGTH)[start]).view(f"V{LENGTH}").reshape(-1)
 
 
 def _runs(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
@@ -232,10 +233,16 @@ def _codes(answers: list[dict] | None, kind: str = "u1") -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+def _words(strings: np.ndarray) -> np.ndarray:
+    """Strings as rows of big-endian 64-bit words, whose order is that of the bytes."""
+    rows = np.zeros((len(strings), LENGTH + -LENGTH % 8), np.uint8)
+    rows[:, :LENGTH] = strings.view(np.uint8).reshape(len(strings), LENGTH)
+    return rows.view(">u8").astype(_U)
+
+
 def _in_order(strings: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix order of strings, equal ones by owner; firsts of equal ones in that order; and the number of each entry's distinct string."""
-    words = strings.view(np.uint8).reshape(len(strings), LENGTH)
-    words = np.concatenate([words, np.zeros((len(words), -LENGTH % 8), np.uint8)], axis=1).view(">u8").astype(_U)
+    words = _words(strings)
     order = np.lexsort((owner, *[words[:, i] for i in range(words.shape[1] - 1, -1, -1)]))
     w = words[order]
     first = np.ones(len(w), dtype=bool)
@@ -256,9 +263,9 @@ class _Open:
         order, first, number = _in_order(strings, b.owner[self.kind])
         some = order[first]
         h = np.zeros(len(some), dtype=_U)
-        for i in range(LENGTH):
-            h = h * _U(_BASE) + b.text[self.start[some] + i] + _U(1)
-        h = _mix(h * _C1) >> _U(16)
+        for word in _words(strings[some]).T:
+            h = _mix(h * _C2 + word * _C1)
+        h >>= _U(16)
         dealt = np.argsort(_bucket(h, buckets), kind="stable")
         self.string, self.owner, self.hash = strings[some][dealt], b.owner[self.kind[some]][dealt], h[dealt]
         place = np.empty(len(dealt), dtype=np.int64)
