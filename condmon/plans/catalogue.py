@@ -348,7 +348,10 @@ def sa_sample_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.advanced(frames(spark, sf_dir)).select("series_id", "frame", _r("sample_entropy"), "period")
 
 
-@query()
+@query(f"""WITH {LONG}, l AS (SELECT series_id, frame, list(value ORDER BY k) AS v FROM y GROUP BY ALL),
+e AS (SELECT series_id, frame, v, [[k] for k in range(1, 255) if (v[k + 1] > v[k] AND v[k + 1] > v[k + 2] AND v[k + 1] >= 0.1) OR (v[k + 1] < v[k] AND v[k + 1] < v[k + 2] AND v[k + 1] <= -0.1)] AS hits FROM l),
+t AS (SELECT series_id, frame, v, CASE WHEN len(hits) > 0 THEN list_reduce(hits, lambda kept, k: CASE WHEN k[1] - kept[-1] >= 10 THEN kept || k ELSE kept END) ELSE [] END AS hits FROM e)
+SELECT series_id, CAST(frame AS BIGINT) AS frame, CAST(len(hits) AS INTEGER) AS peaks, round(list_avg([abs(v[k + 1]) for k in hits]), 6) AS average_peak, round(list_max([abs(v[k + 1]) for k in hits]), 6) AS max_peak, false AS is_peak FROM t""")
 def sa_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.peaks(frames(spark, sf_dir), SignalSettings()).select("series_id", "frame", F.size("peaks").alias("peaks"), _r("average_peak"), _r("max_peak"), "is_peak")
 
@@ -568,7 +571,11 @@ def vi_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", top[0].alias("t")).select("vec_id", F.col("t.class").alias("class"), F.round("t.probability", 6).alias("probability"))
 
 
-@query()
+@query("""WITH e AS (SELECT vec_id, [abs(CAST(x AS DOUBLE)) * 4 for x in embedding] AS v FROM embeddings),
+b AS (SELECT vec_id, [{'x1': v[i * 6 + 1] - v[i * 6 + 3] / 2, 'y1': v[i * 6 + 2] - v[i * 6 + 4] / 2, 'x2': v[i * 6 + 1] + v[i * 6 + 3] / 2, 'y2': v[i * 6 + 2] + v[i * 6 + 4] / 2, 's': v[i * 6 + 5] * v[i * 6 + 6], 'i': i} for i in range(10)] AS boxes FROM e),
+o AS (SELECT vec_id, list_transform(list_sort([{'key': -b.s, 'i': b.i, 'b': b} for b in boxes]), lambda z: [z.b]) AS boxes FROM b)
+SELECT vec_id, CAST(len(list_reduce(boxes, lambda kept, n: CASE WHEN len([k for k in kept if greatest(0, least(k.x2, n[1].x2) - greatest(k.x1, n[1].x1)) * greatest(0, least(k.y2, n[1].y2) - greatest(k.y1, n[1].y1))
+  > 0.45 * ((k.x2 - k.x1) * (k.y2 - k.y1) + (n[1].x2 - n[1].x1) * (n[1].y2 - n[1].y1) - greatest(0, least(k.x2, n[1].x2) - greatest(k.x1, n[1].x1)) * greatest(0, least(k.y2, n[1].y2) - greatest(k.y1, n[1].y1)))]) > 0 THEN kept ELSE kept || n END)) AS INTEGER) AS boxes FROM o""")
 def vi_boxes_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.abs(v) * 4)
     found = vision.nms(vision.boxes(flat, 6, "yolo", 0.0))
