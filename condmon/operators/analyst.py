@@ -26,6 +26,14 @@ def batches(df: DataFrame, keys: list[str], order: list[str], size: int = 50) ->
     return out.withColumn("complete", F.count(F.lit(1)).over(Window.partitionBy(*keys, "batch")) == size)
 
 
+def timed_batches(df: DataFrame, keys: list[str], order: list[str], seconds: int, cap: int = 10_000) -> DataFrame:
+    """Adds ``batch``: the number of the interval of ``seconds`` (since 1970) that ``ts`` falls into, and ``kept``: whether a row is among the newest ``cap`` of its batch, as in a buffer that drops its oldest.  Rows without a time are in the batch null."""
+    batch = F.floor(F.unix_micros(F.col("ts").cast("timestamp_ltz")) / (seconds * 1_000_000))
+    out = df.withColumn("batch", batch)
+    newest = Window.partitionBy(*keys, "batch").orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    return out.withColumn("kept", F.row_number().over(newest) <= cap)
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     kinds = (T.NumericType,)
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds) and f.name.lower() not in NOT_READINGS]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from condmon.config import AnomalySettings, TrendSettings
 from condmon.functions import parsing, stats
-from condmon.operators import anomaly, dataset, features, health, inference, multivalue, signal, trend, vision
+from condmon.operators import analyst, anomaly, dataset, features, health, inference, multivalue, signal, trend, vision
 from condmon.plans.catalogue import DAYS, KEYS, LONG, ORDER, ZSCORE, R, _day, _health, _health_sql, _items, _r, _w, daily, frames, query, readings, table
 
 # Statistics and parsing ------------------------------------------------------------
@@ -242,3 +242,15 @@ def vi_anomaly_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as score maps of eight by eight pixels."""
     d = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("scores"))
     return vision.anomaly_map(d, "scores", 8, 0.05).select("vec_id", "fraction", F.explode("regions").alias("r")).select("vec_id", "r.*", "fraction")
+
+
+# Batches of language-model input ----------------------------------------------------
+
+
+@query("""WITH b AS (SELECT event_type AS series_id, event_id AS seq, value, CAST(floor(epoch_us(ts) / 14400000000) AS BIGINT) AS batch, row_number() OVER (PARTITION BY event_type, floor(epoch_us(ts) / 14400000000) ORDER BY ts DESC, event_id DESC) <= 8 AS kept FROM events)
+SELECT series_id, batch, count(*) AS seen, count(*) FILTER (kept) AS count, round(avg(value) FILTER (kept), 6) AS mean, max(value) FILTER (kept) AS max FROM b GROUP BY ALL""")
+def ll_timed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches by an interval of four hours, of which a buffer of eight keeps the newest."""
+    b = analyst.timed_batches(readings(spark, sf_dir), KEYS, ORDER, 14_400, 8)
+    x = F.when(F.col("kept"), F.col("value"))
+    return b.groupBy("series_id", "batch").agg(F.count(F.lit(1)).alias("seen"), F.count(x).alias("count"), F.round(F.avg(x), 6).alias("mean"), F.max(x).alias("max"))
