@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from condmon.llm import bpe, labelled, minhash, mixing, ogg, pfp, pivots, quality, sharding, stages, toxicity, urls
+from condmon.llm import bpe, decontaminate, fim, labelled, merkle, minhash, mixing, ogg, pfp, pivots, quality, sharding, stages, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,6 +110,39 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+#: Units, seed, per cent transformed, per cent of those in suffix-prefix-middle order, and the marks.
+FIM = fim.Settings("lines", 7, 100, 50, "<P>", "<S>", "<M>")
+
+
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts every whole text of ``documents`` into lines and moves its middle to the end; the text is rebuilt from output and form."""
+    out = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"), FIM)
+    back = fim.restored(F.col("output"), F.col("form"), FIM)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+#: Fixed value: the columns of a leaf.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of ``documents`` by source; every row whose id's CRC is even is checked with its newlines deleted."""
+    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    shorter = F.replace("text", F.lit("\n"), F.lit(""))
+    cut = (F.crc32(id_text.cast("binary")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    tampered = F.when(cut, merkle.leaf(*[shorter if c == "text" else F.col(c) for c in LEAF]))
+    leaves = table(spark, sf_dir, "documents").select("doc_id", "source", merkle.leaf(*[F.col(c) for c in LEAF]).alias("leaf"), tampered.alias("tampered"))
+    out = merkle.manifest(leaves, "leaf").withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole text of ``documents`` that lie in windows of ten words of ``benchmark`` items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated(F.col("n_hit")).alias("contaminated"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over ``documents``."""
     return stages.run(spark, sf_dir)
@@ -127,6 +160,9 @@ QUERIES = {
     "op7_ogg": op7_ogg,
     "op9_urls": op9_urls,
     "op3_bpe": op3_bpe,
+    "op11_fim": op11_fim,
+    "op12_merkle": op12_merkle,
+    "op13_decontaminate": op13_decontaminate,
 }
 
 ORACLES: dict[str, str] = {}
@@ -190,3 +226,58 @@ SELECT doc_id, topic, tokens, round(expected, 6) AS expected, CAST(floor(expecte
 
 
 ORACLES["op4_mixing"] = _mixing_sql()
+
+ORACLES["op11_fim"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\\n]*\\n|[^\\n]+') AS u FROM documents),
+r AS (SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+    text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 100 AS plain,
+    CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 50 AS spm FROM d),
+c AS (SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:n], '') AS s FROM r)
+SELECT doc_id, CAST(n AS BIGINT) AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN NOT plain THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+  sha256(CASE WHEN plain THEN text ELSE p || m || s END) AS restored_sha256
+FROM c"""
+
+#: Trees as lists of nodes by level, in list arithmetic; the path of every leaf is walked up level by level.
+ORACLES["op12_merkle"] = """
+WITH RECURSIVE bits AS (SELECT i, 0 AS k, i AS c FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+d AS (SELECT doc_id, source, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || CAST(n_chars AS VARCHAR), '-') AS head, text,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda c, x: xor(c >> 8, tab[xor(c, x) % 256 + 1]), 4294967295), 4294967295) % 2 = 0 AS cut FROM documents, crc),
+l AS MATERIALIZED (SELECT doc_id, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf, CASE WHEN cut THEN replace(text, chr(10), '') ELSE text END AS t, head FROM d),
+n AS MATERIALIZED (SELECT doc_id, source, leaf, sha256(head || coalesce(octet_length(encode(t)) || ':' || t, '-')) AS shown,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx FROM l),
+tree AS (SELECT source, 0 AS level, list(leaf ORDER BY idx) AS nodes FROM n GROUP BY source
+  UNION ALL SELECT source, level + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM tree WHERE len(nodes) > 1),
+subs AS MATERIALIZED (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source IS NOT NULL, encode(source)) - 1 AS place FROM tree WHERE len(nodes) = 1),
+top AS (SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subs
+  UNION ALL SELECT level + 1, list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], ''))) FROM top WHERE len(nodes) > 1),
+low AS (SELECT n.doc_id, n.source, n.idx, 0 AS level, '' AS proof, n.shown AS own FROM n
+  UNION ALL SELECT w.doc_id, w.source, w.idx // 3, w.level + 1,
+    w.proof || array_to_string(t.nodes[w.idx - w.idx % 3 + 1:w.idx], '') || array_to_string(t.nodes[w.idx + 2:w.idx - w.idx % 3 + 3], ''),
+    sha256(array_to_string(t.nodes[w.idx - w.idx % 3 + 1:w.idx], '') || w.own || array_to_string(t.nodes[w.idx + 2:w.idx - w.idx % 3 + 3], ''))
+  FROM low w JOIN tree t ON t.source IS NOT DISTINCT FROM w.source AND t.level = w.level WHERE len(t.nodes) > 1),
+high AS (SELECT w.doc_id, s.place AS idx, 0 AS level, w.proof, w.own FROM low w JOIN (SELECT source, max(level) AS level FROM tree GROUP BY source) e ON e.source IS NOT DISTINCT FROM w.source AND e.level = w.level
+    JOIN subs s ON s.source IS NOT DISTINCT FROM w.source
+  UNION ALL SELECT w.doc_id, w.idx // 3, w.level + 1,
+    w.proof || array_to_string(t.nodes[w.idx - w.idx % 3 + 1:w.idx], '') || array_to_string(t.nodes[w.idx + 2:w.idx - w.idx % 3 + 3], ''),
+    sha256(array_to_string(t.nodes[w.idx - w.idx % 3 + 1:w.idx], '') || w.own || array_to_string(t.nodes[w.idx + 2:w.idx - w.idx % 3 + 3], ''))
+  FROM high w JOIN top t ON t.level = w.level WHERE len(t.nodes) > 1)
+SELECT n.doc_id, n.leaf, s.subroot, r.root, sha256(h.proof) AS proof_sha256, h.own AS folded_root, h.own = r.root AS verified
+FROM n JOIN subs s ON s.source IS NOT DISTINCT FROM n.source JOIN high h ON h.doc_id = n.doc_id JOIN (SELECT nodes[1] AS root, level FROM top WHERE len(nodes) = 1) r ON h.level = r.level"""
+
+ORACLES["op13_decontaminate"] = r"""
+WITH dw AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS MATERIALIZED (SELECT DISTINCT item_id, array_to_string(w[s + 1:s + least(10, len(w))], ' ') AS g, least(10, len(w)) AS k
+  FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 10, 0) + 1)) AS s FROM iw WHERE len(w) > 0)),
+docwin AS (SELECT doc_id, k, s, array_to_string(w[s + 1:s + k], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(len(w) - k + 1)) AS s FROM dw, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+found AS MATERIALIZED (SELECT doc_id, s, k, item_id FROM docwin JOIN win USING (g, k)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS i FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(i, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)"""
