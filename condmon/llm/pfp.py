@@ -27,13 +27,17 @@ to the shared folder as a table bucketed by batch, and never shuffled again.
 All three questions (phrases, contexts, strings) are dealt by a hash of what is
 asked, distinct in its batch, so a passage, a trigger or a context in a third of
 all documents sends one entry a batch and never gathers its phrases in one task.
-Hashes only deal and filter where bytes are to follow; a phrase is known by two
-hashes of 48 bits.  Long texts are worked on in chunks of ``CHUNK`` strings;
+Hashes only deal and filter where bytes are to follow, but for phrases: a phrase
+is known by 128 bits, two polynomials modulo 2 ** 64 whose bases and byte values
+are drawn anew for every call, so that no text can be made to collide.  Two
+phrases that differ in how often a byte is in them agree with probability
+2 ** -128; permuted ones of the at most 84 bytes with 2 ** -68 at worst.  Long texts are worked on in chunks of ``CHUNK`` strings;
 cutting a phrase in two is harmless.
 """
 
 from __future__ import annotations
 
+import secrets
 import uuid
 from collections.abc import Iterator
 
@@ -59,8 +63,7 @@ BUCKET_TEXT = 8 << 20
 NO_ID = np.iinfo(np.int64).max
 
 _U = np.uint64
-_C1, _C2, _C3, _BASE = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xFF51AFD7ED558CCD), 0x5851F42D4C957F2D
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_C1, _C2, _C3 = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0xFF51AFD7ED558CCD)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -69,14 +72,36 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+class _Polynomial:
+    """Prefix hashes under a drawn odd base with a drawn value for every byte."""
 
+    def __init__(self, key: int, number: int) -> None:
+        rng = np.random.default_rng([key, number])
+        self.value = rng.integers(0, 1 << 64, 256, dtype=_U)
+        self.base = int(rng.integers(0, 1 << 64, dtype=_U)) & ~7 | 5
+        self.power = self.inverse = np.zeros(0, dtype=_U)
 
-def _tables_for(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _tables or max(_tables) < n:
-        _tables.clear()
-        _tables[n] = (_powers(_BASE, n), _powers(_INVERSE, n))
-    return next(iter(_tables.values()))
+    def sums(self, text: np.ndarray) -> np.ndarray:
+        n = len(text)
+        if len(self.power) < n + 1:
+            self.power, self.inverse = _powers(self.base, n + 1), _powers(pow(self.base, -1, 1 << 64), n + 1)
+        out = np.zeros(n + 1, dtype=_U)
+        np.cumsum(self.value[text] * self.power[:n], out=out[1:])
+        return out
+
+    def between(self, sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (sums[end] - sums[first]) * self.inverse[first]
+
+
+_drawn: dict[int, tuple[_Polynomial, _Polynomial]] = {}
+
+
+def _polynomials(key: int) -> tuple[_Polynomial, _Polynomial]:
+    """The two of a key; a process keeps those of the last one."""
+    if key not in _drawn:
+        _drawn.clear()
+        _drawn[key] = (_Polynomial(key, 1), _Polynomial(key, 2))
+    return _drawn[key]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -87,18 +112,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Phrases:
-    """The phrases of a batch: ``at`` place of the trigger, ``lo`` and ``hi`` first and last start of its strings, ``doc`` row of the batch, ``trigger`` and ``phrase`` 48-bit hashes, ``context`` (two columns) those of the trigger with HALF bytes after it and with HALF + 1 before it, for phrases that have them."""
+    """The phrases of a batch: ``at`` place of the trigger, ``lo`` and ``hi`` first and last start of its strings, ``doc`` row of the batch, ``phrase`` and ``check`` two 64-bit hashes under the key, ``context`` (two columns) those of the trigger with HALF bytes after it and with HALF + 1 before it, for phrases that have them."""
 
-    def __init__(self, text: np.ndarray, offsets: np.ndarray) -> None:
-        parts = [self._chunk(text, offsets, a, min(a + CHUNK, len(text) - LENGTH + 1)) for a in range(0, max(0, len(text) - LENGTH + 1), CHUNK)]
+    def __init__(self, text: np.ndarray, offsets: np.ndarray, key: int = 0) -> None:
+        parts = [self._chunk(text, offsets, key, a, min(a + CHUNK, len(text) - LENGTH + 1)) for a in range(0, max(0, len(text) - LENGTH + 1), CHUNK)]
         none = np.zeros(0, dtype=np.int64)
         self.at, self.lo, self.hi = (np.concatenate([p[i] for p in parts]) if parts else none for i in range(3))
-        self.trigger, self.phrase = (np.concatenate([p[i] for p in parts]) if parts else none.astype(_U) for i in (3, 4))
+        self.phrase, self.check = (np.concatenate([p[i] for p in parts]) if parts else none.astype(_U) for i in (3, 4))
         self.context = np.concatenate([p[5] for p in parts]) if parts else np.zeros((0, 2), _U)
         self.doc = np.searchsorted(offsets, self.lo, side="right") - 1
 
     @staticmethod
-    def _chunk(text: np.ndarray, offsets: np.ndarray, a: int, b: int) -> tuple[np.ndarray, ...]:
+    def _chunk(text: np.ndarray, offsets: np.ndarray, key: int, a: int, b: int) -> tuple[np.ndarray, ...]:
         part = np.concatenate([text[a : b + LENGTH - 1], np.zeros(8, np.uint8)])
         n = b - a + LENGTH - 1
         words = np.ndarray((n,), dtype="<u8", buffer=part, strides=(1,)).copy()
@@ -125,17 +150,14 @@ class Phrases:
         keep = whole[starts]
         lo, hi = starts[keep], stops[keep]
         at = q[lo]
-        power, inverse = _tables_for(n)
-        sums = np.zeros(n + 1, dtype=_U)
-        np.cumsum((part[:n].astype(_U) + _U(1)) * power[:n], out=sums[1:])
-        p = (sums[hi + LENGTH] - sums[lo]) * inverse[lo]
-        p = _mix(p ^ (((hi - lo) << 8 | (at - lo)).astype(_U) * _C2))
+        first, second = _polynomials(key)
+        sums, others = first.sums(part[:n]), second.sums(part[:n])
+        shape = ((hi - lo) << 8 | (at - lo)).astype(_U) * _C2
+        phrase, check = _mix(first.between(sums, lo, hi + LENGTH) ^ shape), second.between(others, lo, hi + LENGTH) ^ shape
         context = np.empty((len(at), 2), dtype=_U)
-        for k, (first, end) in enumerate(((at, at + TRIGGER + HALF), (at - HALF - 1, at + TRIGGER))):
-            first, end = np.maximum(first, 0), np.minimum(end, n)
-            context[:, k] = _mix((sums[end] - sums[first]) * inverse[first] + _U(k + 1)) >> _U(16)
-        # hashes of triggers are minima; mixed again they spread over all buckets
-        return at + a, lo + a, hi + a, _mix(h[at] * _C1) >> _U(16), p >> _U(16), context
+        for k, (i, j) in enumerate(((at, at + TRIGGER + HALF), (at - HALF - 1, at + TRIGGER))):
+            context[:, k] = _mix(first.between(sums, np.maximum(i, 0), np.minimum(j, n)) + _U(k + 1)) >> _U(16)
+        return at + a, lo + a, hi + a, phrase, check, context
 
 
 def _squeeze(*columns: np.ndarray) -> bytes:
@@ -165,32 +187,32 @@ def _eight(x: np.ndarray) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of a 48-bit hash, by its range."""
-    return ((h >> _U(16)) * _U(buckets)) >> _U(32)
+def _bucket(h: np.ndarray, buckets: int, bits: int = 48) -> np.ndarray:
+    """Bucket of a hash, by its range."""
+    return ((h >> _U(bits - 32)) * _U(buckets)) >> _U(32)
 
 
 class _Batch:
-    """A packed batch, its phrases and the distinct ones in (phrase, trigger) order."""
+    """A packed batch, its phrases and the distinct ones in (phrase, check) order."""
 
-    def __init__(self, row: dict) -> None:
+    def __init__(self, row: dict, key: int = 0) -> None:
         raw = zstandard.ZstdDecompressor().decompress(row["blob"]) if row["n_bytes"] else b""
         self.text = np.frombuffer(raw, dtype=np.uint8)
         self.offsets = np.frombuffer(row["offsets"], dtype="<i8")
         self.ids = np.frombuffer(row["ids"], dtype="<i8")
-        p = self.phrases = Phrases(self.text, self.offsets)
+        p = self.phrases = Phrases(self.text, self.offsets, key)
         known = np.flatnonzero(self.ids[p.doc] != NO_ID)
         owner = self.ids[p.doc[known]]
-        order = np.lexsort((owner, p.trigger[known], p.phrase[known]))
+        order = np.lexsort((owner, p.check[known], p.phrase[known]))
         self.order = known[order]  # phrases in order
-        t, f, owner = p.trigger[self.order], p.phrase[self.order], owner[order]
+        t, f, owner = p.check[self.order], p.phrase[self.order], owner[order]
         first = np.ones(len(t), dtype=bool)
         first[1:] = (t[1:] != t[:-1]) | (f[1:] != f[:-1])
         self.kind = np.cumsum(first) - 1  # of each phrase in order: number of its distinct phrase
         self.first = self.order[first]
         self.owner = owner[first]
         self.later = owner > self.owner[self.kind] if len(t) else np.zeros(0, bool)
-        self.trigger, self.phrase = t[first], f[first]
+        self.check, self.phrase = t[first], f[first]
 
     def contexts(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the dictionary's phrases that are here (code 1): number of the distinct phrase, half (0: trigger and what follows, 1: what precedes and trigger) and 48-bit hash of each context."""
@@ -218,11 +240,11 @@ class _Batch:
         return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.text, LENGTH)[start]).view(f"V{LENGTH}").reshape(-1)
 
 
-def _runs(keys: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of 48-bit hashes whose buckets are in order."""
+def _runs(keys: np.ndarray, buckets: int, bits: int = 48) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of hashes whose buckets are in order."""
     if not len(keys):
         return []
-    b = _bucket(keys, buckets)
+    b = _bucket(keys, buckets, bits)
     cuts = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
     return [(int(b[i]), int(i), int(j)) for i, j in zip(cuts, np.append(cuts[1:], len(b)), strict=True)]
 
@@ -360,31 +382,30 @@ def _parted(values: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
     return np.split(values, np.cumsum(sizes)[:-1])
 
 
-def _ask_phrases(buckets: int):
+def _ask_phrases(buckets: int, key: int = 0):
     def ask(row):
-        b = _Batch(row)
-        for k, i, j in _runs(b.phrase, buckets):
-            yield k, _squeeze(_six(b.phrase[i:j]), _six(b.trigger[i:j]), b.owner[i:j])
+        b = _Batch(row, key)
+        for k, i, j in _runs(b.phrase, buckets, 64):
+            yield k, _squeeze(b.phrase[i:j], b.check[i:j], b.owner[i:j])
 
     return ask
 
 
 def _first_owners(entries: list[bytes]) -> list[np.ndarray]:
     """1: the phrase joins the dictionary here; 2: a smaller document has it."""
-    parts = [_expand(e, "V6", "V6", "<i8") for e in entries]
-    phrase, trigger = (_eight(np.concatenate([p[i] for p in parts])) for i in (0, 1))
-    owner = np.concatenate([p[2] for p in parts])
-    order = np.lexsort((owner, trigger, phrase))
-    f, t, o = phrase[order], trigger[order], owner[order]
+    parts = [_expand(e, "<u8", "<u8", "<i8") for e in entries]
+    phrase, check, owner = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((owner, check, phrase))
+    f, t, o = phrase[order], check[order], owner[order]
     first = np.append(True, (f[1:] != f[:-1]) | (t[1:] != t[:-1]))
     code = np.empty(len(o), dtype=np.uint8)
     code[order] = np.where(o > o[first][np.cumsum(first) - 1], 2, 1)
     return _parted(code, [len(p[2]) for p in parts])
 
 
-def _ask_contexts(buckets: int):
+def _ask_contexts(buckets: int, key: int = 0):
     def ask(row):
-        b = _Batch(row)
+        b = _Batch(row, key)
         kind, _, hashes = b.contexts(_codes(row["a1"]))
         owner = b.owner[kind]
         order = np.lexsort((owner, hashes))
@@ -410,10 +431,10 @@ def _shared_contexts(entries: list[bytes]) -> list[np.ndarray]:
     return _parted(code, [len(p[0]) for p in parts])
 
 
-def _ask_strings(buckets: int):
+def _ask_strings(buckets: int, key: int = 0):
     def ask(row):
         if row["a2"]:
-            o = _Open(_Batch(row), _codes(row["a1"]), _codes(row["a2"]), buckets)
+            o = _Open(_Batch(row, key), _codes(row["a1"]), _codes(row["a2"]), buckets)
             for k, i, j in _runs(o.hash, buckets):
                 head = _squeeze(o.owner[i:j])
                 yield k, len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=3).compress(o.string[i:j].tobytes())
@@ -456,10 +477,10 @@ def _removed(b: _Batch, row: dict, buckets: int) -> np.ndarray:
     return np.cumsum(change[:n]) > 0
 
 
-def _finish(names: list[str], as_text: bool, buckets: int):
+def _finish(names: list[str], as_text: bool, buckets: int, key: int):
     def run(batches):
         for row in _batches(batches):
-            b = _Batch(row)
+            b = _Batch(row, key)
             gone = _removed(b, row, buckets)
             kept, removed, spans = [], [], []
             for i, j in zip(b.offsets[:-1].tolist(), b.offsets[1:].tolist(), strict=True):
@@ -506,9 +527,10 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text
     table = spark.table(name)
     total = table.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_TEXT))
+    key = secrets.randbits(128)
 
     def answers(rows: DataFrame, ask, answer, column: str) -> DataFrame:
-        asked = rows.mapInArrow(_asking(ask(buckets)), "bucket long, bid long, entries binary")
+        asked = rows.mapInArrow(_asking(ask(buckets, key)), "bucket long, bid long, entries binary")
         found = asked.repartition(deal, "bucket").sortWithinPartitions("bucket").mapInArrow(_answering(answer), "bid long, bucket long, codes binary")
         return written(found, f"pfp-{column}").groupBy("bid").agg(F.collect_list(F.struct("bucket", "codes")).alias(column)).hint("shuffle_hash")
 
@@ -518,4 +540,4 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text
     a3 = answers(text.join(a1, "bid", "left").join(a2, "bid", "left"), _ask_strings, _smaller_owners, "a3")
     whole = table.join(a1, "bid", "left").join(a2, "bid", "left").join(a3, "bid", "left")
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("text", T.StringType())] * as_text + [T.StructField("n_bytes", T.LongType()), T.StructField("kept", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
-    return whole.mapInArrow(_finish(keep, as_text, buckets), schema)
+    return whole.mapInArrow(_finish(keep, as_text, buckets, key), schema)

@@ -104,3 +104,30 @@ def test_strings_are_told_apart_by_bytes():
     end = int(offsets[-2]) + 9
     want[end : end + len(shared) + len(middle)] = True  # what the last text has from the one before
     assert (gone == want).all()
+
+
+#: Texts of 50 bytes around one trigger of 16 whose 48-bit hashes were once equal; only the trigger is common.
+COLLIDED = [
+    ("byrgblwmwvmyemtdmpxttjqpyjktuaohhaqwwrjfslgbswfnlg", "wmlfxcezmwomfazbzpxttjqpyjktuaohhqhpmwrgexusaozdsi"),
+    ("ywpxkybbohxyqsjggpxttjqpyjktuaohhvelewwjdgawlwkfxt", "eoiivvxmzydcuyztmpxttjqpyjktuaohhnzbihjwqbfszgakec"),
+    ("mpeoytpndropczguspxttjqpyjktuaohhxfvuctcyffuyjlcix", "tmfttdqsafsyzjjkspxttjqpyjktuaohhyytlrvwubljiwpyiq"),
+]
+
+
+def test_phrases_of_one_trigger_are_told_apart(spark):
+    rows = [(2 * k + i, t) for k, pair in enumerate(COLLIDED) for i, t in enumerate(pair)]
+    out = pfp.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 6 and all(r.n_removed == 0 for r in out)
+
+
+def test_phrase_hashes_follow_the_key():
+    texts = [b"".join(bytes([97 + (i * k) % 7]) for i in range(200)) for k in range(1, 7)]
+    text, offsets = np.frombuffer(b"".join(texts), np.uint8), np.arange(0, 1201, 200)
+    one, two = pfp.Phrases(text, offsets, 1), pfp.Phrases(text, offsets, 2)
+    assert (one.lo == two.lo).all() and (one.hi == two.hi).all() and not (one.phrase == two.phrase).any()
+    for p in (one, two):
+        seen = {}
+        for k in range(len(p.lo)):
+            key = text[p.lo[k] : p.hi[k] + pfp.LENGTH].tobytes(), int(p.at[k] - p.lo[k])
+            assert seen.setdefault(key, (int(p.phrase[k]), int(p.check[k]))) == (int(p.phrase[k]), int(p.check[k]))
+        assert len(set(seen.values())) == len(seen)
