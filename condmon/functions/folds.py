@@ -10,6 +10,7 @@ partitions and streamed through, so a long series is never held in memory.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
 
@@ -34,6 +35,14 @@ class Fold:
     def step(self, state: dict, columns: dict[str, list]) -> dict[str, list]:
         raise NotImplementedError
 
+    def summary(self, columns: dict[str, list]) -> dict | None:
+        """What the rows do to any state, for :mod:`condmon.functions.scans`."""
+        return None
+
+    def carry(self, state: dict, summary: dict | None) -> dict | None:
+        """The state after rows of that summary, or None where it cannot tell."""
+        return None
+
 
 def field(name: str, kind: str) -> T.StructField:
     return T.StructField(name, {"double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(), "long": T.LongType(), "doubles": T.ArrayType(T.DoubleType()), "longs": T.ArrayType(T.LongType())}[kind])
@@ -100,6 +109,26 @@ class Ema(Fold):
             out.append(state["ema"])
         return {"ema": out}
 
+    def summary(self, columns):
+        """An affine map of the average so far, and the ends from states that have seen no or one value."""
+        x = [v for v in columns["value"] if _finite(v)]
+        shift = 0.0
+        for v in x:
+            shift = self.alpha * v + (1 - self.alpha) * shift
+        ends = []
+        for seen in (0, 1):
+            state = {"seen": seen, "ema": None}
+            self.step(state, {"value": x})
+            ends.append(state["ema"])
+        return {"n": len(x), "scale": (1 - self.alpha) ** len(x), "shift": shift, "ends": ends}
+
+    def carry(self, state, summary):
+        seen, n = state["seen"], summary["n"]
+        if not n:
+            return dict(state)
+        ema = summary["ends"][seen] if seen < 2 else summary["scale"] * state["ema"] + summary["shift"]
+        return {"seen": seen + n, "ema": ema}
+
 
 class Cusum(Fold):
     """Two-sided cumulative sums of ``deviation``; both start anew after exceeding ``limit``.  Null deviations (warm-up) are passed over."""
@@ -129,6 +158,34 @@ class Cusum(Fold):
             down.append(state["down"])
         return {"cusum_pos": up, "cusum_neg": down, "cusum_max": top}
 
+    def summary(self, columns):
+        """For either sum, up to the first excess from zero: its total, its greatest and least partial sum; and the ends from zero."""
+        zero, sides, exceeded = self.start(), {"up": [0.0, 0.0, 0.0], "down": [0.0, 0.0, 0.0]}, False
+        for d in columns["deviation"]:
+            if d is None:
+                continue
+            top = max(zero["up"] + d - self.drift, zero["down"] - d - self.drift)
+            if not exceeded and top <= self.limit:
+                for side, x in (("up", d - self.drift), ("down", -d - self.drift)):
+                    s = sides[side]
+                    s[0] += x
+                    s[1], s[2] = max(s[1], s[0]), min(s[2], s[0])
+            exceeded |= top > self.limit
+            self.step(zero, {"deviation": [d]})
+        return {"end": zero, "exceeded": exceeded, **sides}
+
+    def carry(self, state, summary):
+        after, merged = {}, True
+        for side in ("up", "down"):
+            total, most, least = summary[side]
+            if state[side] + most > self.limit - 1e-9 * (1 + abs(self.limit)):
+                return None  # may exceed where the run from zero did not
+            # a sum that comes down to zero goes on as the one from zero
+            clear = state[side] + least < -1e-9 * (1 + abs(least))
+            merged &= clear or state[side] == 0
+            after[side] = summary["end"][side] if clear or state[side] == 0 else max(summary["end"][side], state[side] + total)
+        return after if merged or not summary["exceeded"] else None
+
 
 class SensorHysteresis(Fold):
     """Hysteresis of the multi-sensor mode: short runs are never anomalous, normals keep an anomaly up until the exit count, and only then the run of anomalies starts anew."""
@@ -163,8 +220,27 @@ class SensorHysteresis(Fold):
             state["on"] = final
             flags.append(final)
             levels.append(level if final else "normal")
+            # more than these counts change nothing
+            state["anomalies"], state["normals"] = min(state["anomalies"], self.enter), min(state["normals"], max(self.leave, 0))
         return {"is_anomaly": flags, "severity": levels}
 
+    def summary(self, columns):
+        """A transition table: the end from every state; states that meet go on as one."""
+        at = {(a, n, on): (a, n, on) for a in range(max(self.enter, 0) + 1) for n in range(max(self.leave, 0) + 1) for on in (False, True)}
+        for raw, level in zip(columns["raw_anomaly"], columns["raw_severity"], strict=True):
+            if raw is None:
+                continue
+            step = {}
+            for state in set(at.values()):
+                now = dict(zip(("anomalies", "normals", "on"), state, strict=True))
+                self.step(now, {"raw_anomaly": [raw], "raw_severity": [level]})
+                step[state] = tuple(now.values())
+            at = {k: step[v] for k, v in at.items()} if any(k != v for k, v in step.items()) else at
+        return {json.dumps(k): list(v) for k, v in at.items()}
+
+    def carry(self, state, summary):
+        return dict(zip(("anomalies", "normals", "on"), summary[json.dumps(tuple(state.values()))], strict=True))
+
 
 class AdaptiveThreshold(Fold):
     """Threshold adjustment from feedback: false-positive rate over target loosens, else false-negative rate over twice the target tightens; within half of the threshold either way."""

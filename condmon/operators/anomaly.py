@@ -4,7 +4,8 @@ Input: ``readings`` with keys, an order that is total, and ``value``.  The
 current value is part of its own baseline of the last ``window`` values.  Rows
 that are not finite are set aside before any window (verdict null, ``skipped``
 true).  Everything but EMA, CUSUM and the multi-sensor hysteresis is one window
-plan with a single exchange on the keys; those three are ordered folds.
+plan with a single exchange on the keys; those three are ordered folds, or scans
+over chunks for long series.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from condmon.config import AnomalySettings
 from condmon.functions import stats
 from condmon.functions.chunks import last_known, sliding
-from condmon.functions.folds import AdaptiveThreshold, Cusum, Ema, SensorHysteresis, latest_before, ordered
+from condmon.functions.folds import AdaptiveThreshold, Cusum, Ema, Fold, SensorHysteresis, latest_before, ordered
 from condmon.functions.parsing import finite
+from condmon.functions.scans import scanned
 
 METHODS = ("zscore", "iqr", "threshold", "percentile", "ema", "cusum", "moving_average")
 
@@ -36,17 +38,34 @@ def _threshold_level(x: Column, s: AnomalySettings) -> Column:
     return F.when(bad, "critical").when(near, "warning").otherwise("normal")
 
 
-def measure(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str]) -> DataFrame:
-    """Adds ``buffer_size``, ``score`` and ``raw_severity`` (null while warming up) for one method.
+#: Methods whose next answer depends on all before it.
+FOLDED = ("ema", "cusum")
 
-    Columns ``cfg_zscore_threshold`` and ``cfg_zscore_warning``, where present
-    and not null, override the settings of the z-score row by row.
-    """
+
+def _framed(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds ``buffer_size`` and what the method takes from the last ``window`` values."""
     x, w = F.col("value"), stats.trailing(keys, order, s.window)
     df = df.withColumn("buffer_size", F.count("value").over(w))
-    warm = F.col("buffer_size") >= s.warmup
     if s.method == "iqr":
-        df = df.withColumn("__q", stats.quartiles(stats.values(x, w)))
+        return df.withColumn("__q", stats.quartiles(stats.values(x, w)))
+    if s.method == "percentile":
+        return df.withColumn("__p", F.percentile(x, F.array(F.lit(s.lower_percentile / 100), F.lit(s.upper_percentile / 100))).over(w))
+    if s.method == "ema":
+        return df.withColumn("__sd", stats.stddev(x, w))
+    if s.method == "cusum":
+        target = F.avg(x).over(w) if s.cusum_target is None else F.lit(s.cusum_target)
+        return df.withColumn("deviation", F.when(F.col("buffer_size") >= s.warmup, x - target))
+    return df if s.method == "threshold" else df.withColumn("mean", F.avg(x).over(w)).withColumn("sd", stats.stddev(x, w))
+
+
+def _fold(s: AnomalySettings) -> Fold:
+    return Ema(s.ema_alpha) if s.method == "ema" else Cusum(s.cusum_drift, s.cusum_threshold)
+
+
+def _scored(df: DataFrame, s: AnomalySettings) -> DataFrame:
+    """Adds ``score`` and ``raw_severity`` from the method's columns."""
+    x = F.col("value")
+    if s.method == "iqr":
         at = lambda k: stats.iqr_bounds(F.col("__q"), k)
         out = lambda k: (x < at(k)["lower"]) | (x > at(k)["upper"])
         level = F.when(out(s.iqr_multiplier), "critical").when(out(0.8 * s.iqr_multiplier), "warning").otherwise("normal")
@@ -55,33 +74,35 @@ def measure(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str]
         level = _threshold_level(x, s)
         df = df.withColumn("score", x)
     elif s.method == "percentile":
-        df = df.withColumn("__p", F.percentile(x, F.array(F.lit(s.lower_percentile / 100), F.lit(s.upper_percentile / 100))).over(w))
         level = F.when((x < F.col("__p")[0]) | (x > F.col("__p")[1]), "critical").otherwise("normal")
         df = df.withColumn("score", F.greatest(F.col("__p")[0] - x, x - F.col("__p")[1], F.lit(0.0)))
-    elif s.method == "ema":
-        df = df.withColumn("__sd", stats.stddev(x, w))
-        df = ordered(df, keys, order, Ema(s.ema_alpha))
-        off = F.abs(x - F.col("ema"))
-        scale = F.col("__sd") if s.deviation == "stddev" else F.abs("ema") / 100
-        df = df.withColumn("score", F.when((scale == 0) | F.col("ema").isNull(), 0.0).otherwise(off / F.nullif(scale, F.lit(0.0))))
-        level = _levels(F.col("score"), s.deviation_threshold, s.deviation_warning)
     elif s.method == "cusum":
-        target = F.avg(x).over(w) if s.cusum_target is None else F.lit(s.cusum_target)
-        df = df.withColumn("deviation", F.when(warm, x - target))
-        df = ordered(df, keys, order, Cusum(s.cusum_drift, s.cusum_threshold)).withColumn("score", F.col("cusum_max"))
+        df = df.withColumn("score", F.col("cusum_max"))
         level = _levels(F.col("score"), s.cusum_threshold, s.cusum_warning)
+    elif s.method in ("ema", "moving_average"):
+        center, sd = ("ema", "__sd") if s.method == "ema" else ("mean", "sd")
+        scale = F.col(sd) if s.deviation == "stddev" else F.abs(center) / 100
+        df = df.withColumn("score", F.when((scale == 0) | F.col(center).isNull(), 0.0).otherwise(F.abs(x - F.col(center)) / F.nullif(scale, F.lit(0.0))))
+        level = _levels(F.col("score"), s.deviation_threshold, s.deviation_warning)
     else:
-        m, sd = F.avg(x).over(w), stats.stddev(x, w)
-        df = df.withColumn("mean", m).withColumn("sd", sd)
-        if s.method == "moving_average":
-            scale = F.col("sd") if s.deviation == "stddev" else F.abs("mean") / 100
-            df = df.withColumn("score", F.when(scale == 0, 0.0).otherwise(F.abs(x - F.col("mean")) / F.nullif(scale, F.lit(0.0))))
-            level = _levels(F.col("score"), s.deviation_threshold, s.deviation_warning)
-        else:
-            df = df.withColumn("score", stats.zscore(x, F.col("mean"), F.col("sd")))
-            cfg = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
-            level = _levels(F.abs("score"), cfg("cfg_zscore_threshold", s.zscore_threshold), cfg("cfg_zscore_warning", s.zscore_warning))
-    return df.withColumn("raw_severity", F.when(warm, level)).drop("__q", "__p", "__sd", "deviation")
+        df = df.withColumn("score", stats.zscore(x, F.col("mean"), F.col("sd")))
+        cfg = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
+        level = _levels(F.abs("score"), cfg("cfg_zscore_threshold", s.zscore_threshold), cfg("cfg_zscore_warning", s.zscore_warning))
+    return df.withColumn("raw_severity", F.when(F.col("buffer_size") >= s.warmup, level)).drop("__q", "__p", "__sd", "deviation")
+
+
+def measure(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str], bucket: Column | None = None, chunk: int = 1_000_000) -> DataFrame:
+    """Adds ``buffer_size``, ``score`` and ``raw_severity`` (null while warming up) for one method.
+
+    Columns ``cfg_zscore_threshold`` and ``cfg_zscore_warning``, where present
+    and not null, override the settings of the z-score row by row.  With
+    ``bucket`` (see :func:`detect`) long series are cut into chunks.
+    """
+    if bucket is None:
+        df = _framed(df, s, keys, order)
+        return _scored(ordered(df, keys, order, _fold(s)) if s.method in FOLDED else df, s)
+    df = sliding(df, keys, order, bucket, s.window, lambda d, k: _framed(d, s, k, order), chunk)
+    return _scored(scanned(df, keys, order, _fold(s), bucket, chunk) if s.method in FOLDED else df, s)
 
 
 def hysteresis(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str]) -> DataFrame:
@@ -109,40 +130,47 @@ def detect(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str],
     day), the rolling methods run on chunks of ``chunk`` rows with overlap, so a
     single long series is spread over many tasks (:mod:`condmon.functions.chunks`);
     of the hysteresis only the last turn of each chunk is carried to the next.
-    EMA and CUSUM depend on all earlier rows and stay serial by key.
+    EMA and CUSUM depend on all earlier rows: there the chunks' summaries are
+    composed (:mod:`condmon.functions.scans`).
     """
     good = finite(F.col("value"))
 
-    def verdict(d: DataFrame, k: list[str]) -> DataFrame:
-        return measure(d, s, k, order).withColumn("raw_anomaly", F.col("raw_severity") != "normal").withColumnRenamed("raw_severity", "severity")
+    def named(d: DataFrame) -> DataFrame:
+        return d.withColumn("raw_anomaly", F.col("raw_severity") != "normal").withColumnRenamed("raw_severity", "severity")
 
-    if bucket is None or s.method in ("ema", "cusum"):
-        part = verdict(df.where(good), keys)
+    turned = lambda d, k: d.withColumn("__event", _turns(s, k, order))
+    reach = max(s.consecutive, s.exit_count, 1)
+    if bucket is None:
+        part = named(measure(df.where(good), s, keys, order))
         part = hysteresis(part, s, keys, order) if s.hysteresis else part.withColumn("is_anomaly", F.col("raw_anomaly"))
-    elif s.hysteresis:
-        turned = lambda d, k: verdict(d, k).withColumn("__event", _turns(s, k, order))
-        part = sliding(df.where(good), keys, order, bucket, s.window + max(s.consecutive, s.exit_count, 1) - 1, turned, chunk, keep=True)
-        part = last_known(part, keys, order, "__event", "__turn").withColumn("is_anomaly", _state(F.col("__turn"))).drop("__event", "__turn")
+    elif not s.hysteresis:
+        part = named(measure(df.where(good), s, keys, order, bucket, chunk)).withColumn("is_anomaly", F.col("raw_anomaly"))
     else:
-        part = sliding(df.where(good), keys, order, bucket, s.window, verdict, chunk).withColumn("is_anomaly", F.col("raw_anomaly"))
+        if s.method in FOLDED:
+            part = sliding(named(measure(df.where(good), s, keys, order, bucket, chunk)), keys, order, bucket, reach, turned, chunk, keep=True)
+        else:
+            part = sliding(df.where(good), keys, order, bucket, s.window + reach - 1, lambda d, k: turned(named(measure(d, s, k, order)), k), chunk, keep=True)
+        part = last_known(part, keys, order, "__event", "__turn").withColumn("is_anomaly", _state(F.col("__turn"))).drop("__event", "__turn")
     return part.withColumn("skipped", F.lit(False)).unionByName(df.where(~good | good.isNull()).withColumn("skipped", F.lit(True)), allowMissingColumns=True)
 
 
-def detect_sensors(df: DataFrame, s: AnomalySettings, entity: str, order: list[str], sensors: str = "sensors") -> tuple[DataFrame, DataFrame]:
+def detect_sensors(df: DataFrame, s: AnomalySettings, entity: str, order: list[str], sensors: str = "sensors", bucket: Column | None = None, chunk: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Multi-sensor mode: per-sensor verdicts, and one row a record.
 
     Each sensor of a record's map has its own buffer and hysteresis.  Records
     get ``is_anomaly``, ``severity`` (worst), ``anomaly_sensors`` and
-    ``skipped_sensors`` (values that are not finite), all sorted by name.
+    ``skipped_sensors`` (values that are not finite), all sorted by name.  With
+    ``bucket`` (see :func:`detect`) long series are cut into chunks.
     """
     rest = [c for c in df.columns if c != sensors]
     long = df.select(*rest, F.explode(sensors).alias("sensor", "value"))
     good = finite(F.col("value"))
     keys = [entity, "sensor"]
-    part = measure(long.where(good), s, keys, order).withColumn("raw_anomaly", F.col("raw_severity") != "normal")
+    part = measure(long.where(good), s, keys, order, bucket, chunk).withColumn("raw_anomaly", F.col("raw_severity") != "normal")
     part = part.withColumn("raw_severity", F.coalesce("raw_severity", F.lit("warmup")))
     if s.hysteresis:
-        part = ordered(part, keys, order, SensorHysteresis(s.consecutive, s.exit_count))
+        fold = SensorHysteresis(s.consecutive, s.exit_count)
+        part = ordered(part, keys, order, fold) if bucket is None else scanned(part, keys, order, fold, bucket, chunk)
     else:
         part = part.withColumn("is_anomaly", F.col("raw_anomaly")).withColumn("severity", F.col("raw_severity"))
     verdicts = part.withColumn("skipped", F.lit(False)).unionByName(long.where(~good | good.isNull()).withColumn("skipped", F.lit(True)), allowMissingColumns=True)

@@ -119,7 +119,7 @@ f AS (SELECT series_id, i, value AS ema FROM b WHERE i = 2 UNION ALL SELECT b.se
 m AS (SELECT b.*, f.ema, CASE WHEN f.ema IS NULL OR sd = 0 THEN 0.0 ELSE abs(value - f.ema) / sd END AS score FROM b LEFT JOIN f USING (series_id, i))
 SELECT series_id, seq, round(ema, 6) AS ema, round(score, 6) AS score, CASE WHEN i < 2 THEN NULL WHEN score > 2.0 THEN 'critical' WHEN score > 1.5 THEN 'warning' ELSE 'normal' END AS severity FROM m""")
 def ad_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = anomaly.detect(readings(spark, sf_dir), AnomalySettings(method="ema", hysteresis=False), KEYS, ORDER)
+    out = anomaly.detect(readings(spark, sf_dir), AnomalySettings(method="ema", hysteresis=False), KEYS, ORDER, bucket=_day())
     return out.select("series_id", "seq", _r("ema"), _r("score"), "severity")
 
 
@@ -131,7 +131,7 @@ f AS (SELECT series_id, i, CAST(NULL AS DOUBLE) AS top, CAST(0 AS DOUBLE) AS up,
 SELECT b.series_id, b.seq, round(f.top, 6) AS score, CASE WHEN b.i < 2 THEN NULL WHEN f.top > 50 THEN 'critical' WHEN f.top > 35 THEN 'warning' ELSE 'normal' END AS severity FROM b JOIN f USING (series_id, i)""")
 def ad_cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = AnomalySettings(method="cusum", cusum_target=10.0, cusum_threshold=50.0, cusum_warning=35.0, hysteresis=False)
-    return anomaly.detect(readings(spark, sf_dir), s, KEYS, ORDER).select("series_id", "seq", _r("score"), "severity")
+    return anomaly.detect(readings(spark, sf_dir), s, KEYS, ORDER, bucket=_day()).select("series_id", "seq", _r("score"), "severity")
 
 
 @query(ZSCORE.format(high=3.0, low=0.67 * 3.0) + """
@@ -142,20 +142,47 @@ def ad_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("series_id", "total", "anomalies", "warnings", "normal", _r("anomaly_rate"), _r("mean"), _r("sd"), "min", "max")
 
 
+#: Order numbers and lines repeat within a supplier; the part and its price make the order of records total.
+RECORD_ORDER = ["ts", "seq", "part", "price"]
+SENSORS = """l AS (SELECT l_suppkey AS entity_id, l_orderkey AS ts, l_linenumber AS seq, l_partkey AS part, l_extendedprice AS price, CAST(l_quantity AS DOUBLE) AS a, CAST(l_extendedprice AS DOUBLE) AS b, CAST(l_discount AS DOUBLE) AS c FROM lineitem),
+v AS (SELECT entity_id, ts, seq, part, price, unnest([{'sensor': 'quantity', 'value': a}, {'sensor': 'price', 'value': b}, {'sensor': 'discount', 'value': c}], recursive := true) FROM l),
+w AS (SELECT *, row_number() OVER o AS i, count(*) OVER w AS n, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd FROM v
+  WINDOW o AS (PARTITION BY entity_id, sensor ORDER BY ts, seq, part, price), w AS (PARTITION BY entity_id, sensor ORDER BY ts, seq, part, price ROWS 99 PRECEDING)),
+z AS MATERIALIZED (SELECT *, CASE WHEN n < 2 THEN NULL WHEN sd = 0 THEN 'normal' WHEN abs((value - m) / sd) > 3 THEN 'critical' WHEN abs((value - m) / sd) > 2 THEN 'warning' ELSE 'normal' END AS level FROM w)"""
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items by supplier as records of three sensors."""
     d = table(spark, sf_dir, "lineitem")
     sensors = F.create_map(F.lit("quantity"), F.col("l_quantity").cast("double"), F.lit("price"), F.col("l_extendedprice").cast("double"), F.lit("discount"), F.col("l_discount").cast("double"))
-    return d.select(F.col("l_suppkey").alias("entity_id"), F.col("l_orderkey").alias("ts"), F.col("l_linenumber").alias("seq"), sensors.alias("sensors"))
+    return d.select(F.col("l_suppkey").alias("entity_id"), F.col("l_orderkey").alias("ts"), F.col("l_linenumber").alias("seq"), F.col("l_partkey").alias("part"), F.col("l_extendedprice").alias("price"), sensors.alias("sensors"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SENSORS},
+f AS (SELECT entity_id, sensor, i, 0 AS a, 0 AS c, false AS up, CAST(NULL AS BOOLEAN) AS final, CAST('warmup' AS VARCHAR) AS severity FROM z WHERE i = 1
+  UNION ALL SELECT entity_id, sensor, i, CASE WHEN raw THEN a + 1 WHEN up AND c + 1 >= 3 THEN 0 ELSE a END, CASE WHEN raw THEN 0 ELSE c + 1 END, CASE WHEN raw THEN a + 1 >= 2 ELSE up AND c + 1 < 3 END, CASE WHEN raw THEN a + 1 >= 2 ELSE up AND c + 1 < 3 END,
+    CASE WHEN raw AND a + 1 >= 2 THEN level WHEN NOT raw AND up AND c + 1 < 3 THEN 'warning' ELSE 'normal' END
+  FROM (SELECT z.entity_id, z.sensor, z.i, f.a, f.c, f.up, z.level, z.level <> 'normal' AS raw FROM f JOIN z ON z.entity_id = f.entity_id AND z.sensor = f.sensor AND z.i = f.i + 1))
+SELECT entity_id, ts, seq, part, price, coalesce(bool_or(final), false) AS is_anomaly,
+  CASE max(CASE WHEN NOT coalesce(final, false) THEN 0 WHEN severity = 'critical' THEN 2 WHEN severity = 'warning' THEN 1 ELSE 0 END) WHEN 2 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'normal' END AS severity,
+  coalesce(string_agg(sensor, ',' ORDER BY sensor) FILTER (final), '') AS anomaly_sensors, 0 AS skipped FROM f JOIN z USING (entity_id, sensor, i) GROUP BY ALL""")
 def ad_multi_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multi-sensor mode with its own hysteresis; one row a record."""
-    return anomaly.detect_sensors(records(spark, sf_dir), AnomalySettings(consecutive=2), "entity_id", ["ts", "seq"])[1]
-
-
-@query()
+    """Multi-sensor mode with its own hysteresis; one row a record.  Long series are cut by ranges of order numbers."""
+    out = anomaly.detect_sensors(records(spark, sf_dir), AnomalySettings(consecutive=2), "entity_id", RECORD_ORDER, bucket=F.floor(F.col("ts") / 100_000))[1]
+    return out.select("entity_id", *RECORD_ORDER, "is_anomaly", "severity", F.array_join("anomaly_sensors", ",").alias("anomaly_sensors"), F.size("skipped_sensors").alias("skipped"))
+
+
+@query(f"""WITH RECURSIVE {R},
+b AS (SELECT *, value > 30 AS said, value > 50 AS was, row_number() OVER (PARTITION BY series_id ORDER BY ts, seq) AS i FROM r WHERE seq % 10 = 0),
+c AS (SELECT *, count(*) FILTER (said) OVER w AS p, count(*) FILTER (said AND NOT was) OVER w AS fp, count(*) FILTER (NOT said) OVER w AS n, count(*) FILTER (NOT said AND was) OVER w AS fn FROM b WINDOW w AS (PARTITION BY series_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)),
+d AS MATERIALIZED (SELECT *, CASE WHEN i < 10 THEN 0 WHEN p > 0 AND fp / p > 0.05 THEN 0.1 * (fp / p - 0.05) WHEN n > 0 AND fn / n > 0.1 THEN -0.1 * (fn / n - 0.05) ELSE 0 END AS change FROM c),
+a AS (SELECT series_id, i, CAST(0 AS DOUBLE) AS adjustment FROM d WHERE i = 1 UNION ALL SELECT d.series_id, d.i, least(0.5, greatest(-0.5, a.adjustment + d.change)) FROM a JOIN d ON d.series_id = a.series_id AND d.i = a.i + 1),
+s AS (SELECT series_id, ts, adjustment FROM a JOIN d USING (series_id, i)),
+q AS (SELECT r.*, s.adjustment, count(*) OVER w AS k, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd FROM r ASOF LEFT JOIN s ON s.series_id = r.series_id AND r.ts >= s.ts
+  WINDOW w AS (PARTITION BY r.series_id ORDER BY r.ts, r.seq ROWS 99 PRECEDING)),
+z AS (SELECT *, abs(CASE WHEN sd = 0 THEN 0 ELSE (value - m) / sd END) / (1 + coalesce(adjustment, 0)) AS z FROM q),
+v AS (SELECT *, CASE WHEN k < 2 THEN NULL WHEN z > 3 THEN 'critical' WHEN z > 2 THEN 'warning' ELSE 'normal' END AS severity FROM z)
+SELECT series_id, seq, round(adjustment, 6) AS adjustment, severity, severity <> 'normal' AS is_anomaly FROM v""")
 def ad_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds adapted by feedback: every tenth event is labelled by whether its value is over 50."""
     r = readings(spark, sf_dir)
@@ -625,7 +652,7 @@ SELECT b.series_id, b.seq, round(f.top, 5) AS score FROM b JOIN f USING (series_
 def ad_cusum_buffer_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without a target each value is held against the mean of its buffer."""
     s = AnomalySettings(method="cusum", cusum_threshold=50.0, cusum_warning=35.0, hysteresis=False)
-    return anomaly.detect(readings(spark, sf_dir), s, KEYS, ORDER).select("series_id", "seq", _r("score", 5))
+    return anomaly.detect(readings(spark, sf_dir), s, KEYS, ORDER, bucket=_day()).select("series_id", "seq", _r("score", 5))
 
 
 @query(f"WITH {ITEMS} SELECT l_orderkey, l_linenumber, v[1] + v[2] + v[3] AS total, 'value0,value1,value2' AS names, 3 AS value_count FROM i")
