@@ -4,7 +4,8 @@ A window function keeps a series in one task.  A frame of the last ``rows`` rows
 needs only that many: here each series is cut into chunks of ``chunk`` rows, and
 every chunk starts with the last ``rows - 1`` rows of the one before as context.
 Row numbers are counted in two steps (rows by time bucket, then within a
-bucket), so no step has a whole series in one task.
+bucket), so no step has a whole series in one task.  Frames bounded by time
+instead of a count go in chunks of time (:func:`within_span`).
 """
 
 from __future__ import annotations
@@ -50,3 +51,18 @@ def last_known(df: DataFrame, keys: list[str], order: list[str], value: str, out
     upto = Window.partitionBy(*keys, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     own = df.withColumn("__last", F.last(value, ignorenulls=True).over(upto)).join(carried, [*keys, "__chunk"])
     return own.withColumn(out, F.coalesce("__last", "__carried")).drop("__last", "__carried", "__chunk")
+
+
+def within_span(df: DataFrame, keys: list[str], at: str, reach: int, apply: Callable[[DataFrame, list[str]], DataFrame], span: int | None = None) -> DataFrame:
+    """``apply(df, keys)`` with frames that reach back ``reach`` of the whole number ``at`` (a time), run chunk by chunk of ``span`` of it.
+
+    ``apply`` must be such that a row's result depends on no row earlier than
+    ``at - reach``.  A chunk starts with the rows of the last ``reach`` before it
+    as context, which are dropped from its result; rows without ``at`` are one
+    chunk of their own.
+    """
+    span = max(span or 64 * reach, reach, 1)
+    own = F.floor(F.col(at) / span)
+    late = F.pmod(F.col(at), F.lit(span)) >= span - reach
+    dealt = df.withColumn("__chunk", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn("__own", F.col("__chunk").eqNullSafe(own))
+    return apply(dealt, [*keys, "__chunk"]).where("__own").drop("__own", "__chunk")

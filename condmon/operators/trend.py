@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from condmon.config import TrendSettings
 from condmon.functions import stats
-from condmon.functions.chunks import sliding
+from condmon.functions.chunks import sliding, within_span
 from condmon.functions.folds import Fold, field, ordered
 
 
@@ -86,16 +86,34 @@ def rate_of_change(df: DataFrame, keys: list[str], order: list[str], threshold:
     return df.withColumn("is_anomaly", F.abs("rate") > threshold) if threshold is not None else df
 
 
-def acceleration(df: DataFrame, s: TrendSettings, keys: list[str], order: list[str]) -> DataFrame:
-    """Adds ``acceleration``: change between the last two rates over the mean spacing of the time window, three rows in it at least."""
-    rated = rate_of_change(df, keys, order)
-    at = F.unix_millis(F.col("ts").cast("timestamp_ltz"))
-    span = int(s.time_window_s * 1000)
-    w = Window.partitionBy(*keys).orderBy("__ms").rangeBetween(-span, 0)
-    rated = rated.withColumn("__ms", at).withColumn("__n", F.count(F.lit(1)).over(w))
-    last = F.lag("rate").over(Window.partitionBy(*keys).orderBy(*order))
-    step = F.lit(s.time_window_s) / F.col("__n")
-    return rated.withColumn("acceleration", F.when(F.col("__n") >= 3, (F.col("rate") - last) / step)).drop("__ms", "__n")
+def acceleration(df: DataFrame, s: TrendSettings, keys: list[str], order: list[str], span_s: float | None = None) -> DataFrame:
+    """Adds ``acceleration``: change between the last two valid rates of the time window over its mean spacing, which is the window by its rows.
+
+    The window holds the rows so far of the last ``time_window_s``; a rate is
+    valid where time advances, and both its rows must be in the window.  Series
+    are cut into chunks of time of ``span_s`` (64 windows), with a window before
+    each as context.
+    """
+    reach = round(s.time_window_s * 1e6)
+
+    def found(d: DataFrame, k: list[str]) -> DataFrame:
+        rows = Window.partitionBy(*k).orderBy(*order)
+        upto, before = rows.rowsBetween(Window.unboundedPreceding, 0), rows.rowsBetween(Window.unboundedPreceding, -1)
+        at, last = F.col("__us"), F.lag("__us").over(rows)
+        rate = F.struct(((F.col("value") - F.lag("value").over(rows)) / ((at - last) / 1e6)).alias("rate"), last.alias("since"))
+        d = d.withColumn("__rate", F.when(at > last, rate))
+        pair = F.struct("__rate", F.last("__rate", ignorenulls=True).over(before).alias("other"))
+        d = d.withColumn("__pair", F.last(F.when(F.col("__rate").isNotNull(), pair), ignorenulls=True).over(upto))
+        times = Window.partitionBy(*k).orderBy("__us")
+        same = Window.partitionBy(*k, "__us")
+        later = F.count(F.lit(1)).over(same) - F.row_number().over(same.orderBy(*order))
+        n = F.count(F.lit(1)).over(times.rangeBetween(-reach, 0)) - later
+        both = (F.col("__pair.__rate.since") >= at - reach) & (F.col("__pair.other.since") >= at - reach)
+        step = (F.col("__pair.__rate.rate") - F.col("__pair.other.rate")) / (F.lit(s.time_window_s) / n)
+        return d.withColumn("__n", n).withColumn("acceleration", F.when(both & (F.col("__n") >= 3), step)).drop("__rate", "__pair", "__n")
+
+    timed = df.withColumn("__us", F.unix_micros(F.col("ts").cast("timestamp_ltz")))
+    return within_span(timed, keys, "__us", reach, found, None if span_s is None else round(span_s * 1e6)).drop("__us")
 
 
 # Remaining useful life -------------------------------------------------------

@@ -428,9 +428,10 @@ def tp_rate_of_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.rate_of_change(readings(spark, sf_dir), KEYS, ORDER, 1.0, bucket=_day()).select("series_id", "seq", _r("rate"), "is_anomaly")
 
 
-@query(f"""WITH {R}, l AS (SELECT *, epoch_ms(ts) AS ms, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS dt, value - lag(value) OVER w AS dv FROM r WINDOW w AS (PARTITION BY series_id ORDER BY ts, seq)),
-v AS (SELECT *, CASE WHEN dt > 0 THEN dv / dt END AS rate, count(*) OVER (PARTITION BY series_id ORDER BY ms RANGE BETWEEN 1800000 PRECEDING AND CURRENT ROW) AS n FROM l)
-SELECT series_id, seq, CASE WHEN n >= 3 THEN round((rate - lag(rate) OVER (PARTITION BY series_id ORDER BY ts, seq)) / (1800.0 / n), 7) END AS acceleration FROM v""")
+@query(f"""WITH {R}, l AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY series_id ORDER BY ts, seq) AS i FROM r),
+h AS (SELECT a.series_id, a.seq, list(b.us ORDER BY b.i) AS t, list(b.value ORDER BY b.i) AS v FROM l a JOIN l b ON a.series_id = b.series_id AND b.i <= a.i AND b.us BETWEEN a.us - 1800000000 AND a.us GROUP BY ALL),
+k AS (SELECT *, list_filter(list_transform(range(2, len(t) + 1), lambda j: CASE WHEN t[j] > t[j - 1] THEN (v[j] - v[j - 1]) / ((t[j] - t[j - 1]) / 1e6) END), lambda x: x IS NOT NULL) AS rates FROM h)
+SELECT series_id, seq, CASE WHEN len(t) >= 3 AND len(rates) >= 2 THEN round((rates[-1] - rates[-2]) / (1800.0 / len(t)), 7) END AS acceleration FROM k""")
 def tp_acceleration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.acceleration(readings(spark, sf_dir), TrendSettings(time_window_s=1800.0), KEYS, ORDER).select("series_id", "seq", _r("acceleration", 7))
 
