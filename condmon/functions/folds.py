@@ -35,6 +35,10 @@ class Fold:
     def step(self, state: dict, columns: dict[str, list]) -> dict[str, list]:
         raise NotImplementedError
 
+    def tick(self, state: dict, at_ms: int) -> dict | None:
+        """One row of outputs when a timer expires, or None: only in streams (:func:`condmon.streaming.adapters.stateful`)."""
+        return None
+
     def summary(self, columns: dict[str, list]) -> dict | None:
         """What the rows do to any state, for :mod:`condmon.functions.scans`."""
         return None
@@ -45,7 +49,7 @@ class Fold:
 
 
 def field(name: str, kind: str) -> T.StructField:
-    return T.StructField(name, {"double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(), "long": T.LongType(), "doubles": T.ArrayType(T.DoubleType()), "longs": T.ArrayType(T.LongType())}[kind])
+    return T.StructField(name, {"double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(), "long": T.LongType(), "doubles": T.ArrayType(T.DoubleType()), "longs": T.ArrayType(T.LongType()), "strings": T.ArrayType(T.StringType()), "vectors": T.ArrayType(T.ArrayType(T.DoubleType()))}[kind])
 
 
 def ordered(df: DataFrame, keys: list[str], order: list[str], fold: Fold) -> DataFrame:

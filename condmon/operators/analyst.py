@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 import urllib.error
 import urllib.request
@@ -14,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from condmon.functions.folds import Fold, field, ordered
+from condmon.functions.scans import scanned
+
 #: Columns that are never readings.
 NOT_READINGS = ("timestamp", "time", "ts", "_ts", "epoch", "datetime", "date", "id", "_id")
 
@@ -34,6 +38,104 @@ def timed_batches(df: DataFrame, keys: list[str], order: list[str], seconds: int
     return out.withColumn("kept", F.row_number().over(newest) <= cap)
 
 
+class Triggered(Fold):
+    """A bounded buffer of readings that is handed on whole: when it holds ``size`` (batch), at a row with ``flush`` (manual), or when a timer expires (interval).
+
+    A row's own value is buffered before it triggers; an empty buffer does not
+    fire; over ``cap`` the oldest values go and are counted in ``dropped``.
+    ``fired`` has the values in order, ``kind`` the trigger.
+
+    In a stream the call that follows takes as long as the micro-batch.  With
+    ``collapse`` the triggers of a micro-batch after its first are pending and
+    become one at its last row, manual if any of them was.
+
+    With ``event_ms`` (a column of whole milliseconds) an interval takes the
+    values before its end only, however late the timer is; without it all.
+    """
+
+    outputs = (field("fired", "doubles"), field("kind", "string"), field("dropped", "long"))
+
+    def __init__(self, mode: str = "batch", size: int = 50, cap: int = 10_000, collapse: bool = False, event_ms: str | None = None) -> None:
+        if mode not in ("batch", "manual", "interval"):
+            raise ValueError("mode must be batch, manual or interval")
+        self.mode, self.size, self.cap, self.collapse, self.event_ms = mode, size, cap, collapse, event_ms
+        self.inputs = ("value", "flush") + ((event_ms,) if event_ms else ())
+
+    def start(self) -> dict:
+        return {"buffer": [], "times": [], "dropped": 0}
+
+    def _fire(self, state: dict, until: int | None = None) -> tuple[list[float], int] | None:
+        if until is None:
+            values, state["buffer"], state["times"] = state["buffer"], [], []
+        else:
+            due = [t is None or t < until for t in state["times"]]
+            values = [x for x, d in zip(state["buffer"], due, strict=True) if d]
+            for name in ("buffer", "times"):
+                state[name] = [x for x, d in zip(state[name], due, strict=True) if not d]
+        if not values:
+            return None
+        dropped, state["dropped"] = state["dropped"], 0
+        return values, dropped
+
+    def step(self, state, columns):
+        n = len(columns["value"])
+        out: list[tuple] = [(None, None, None)] * n
+        busy, pending = False, None
+        for i in range(n):
+            x = columns["value"][i]
+            if x is not None and math.isfinite(x):
+                state["buffer"].append(x)
+                state["times"].append(columns[self.event_ms][i] if self.event_ms else None)
+                if len(state["buffer"]) > self.cap:
+                    state["buffer"], state["times"] = state["buffer"][-self.cap :], state["times"][-self.cap :]
+                    state["dropped"] += 1
+            flush = bool(columns["flush"][i])
+            kind = "manual" if self.mode == "manual" and flush else "batch" if self.mode == "batch" and len(state["buffer"]) >= self.size else None
+            if kind and busy:
+                pending = "manual" if "manual" in (kind, pending) else kind
+            elif kind:
+                made = self._fire(state)
+                busy = self.collapse and made is not None
+                out[i] = (made[0], kind, made[1]) if made else out[i]
+        if pending and (made := self._fire(state)):
+            out[-1] = (made[0], pending, made[1])
+        return {f.name: [o[k] for o in out] for k, f in enumerate(self.outputs)}
+
+    def tick(self, state, at_ms):
+        made = self._fire(state, at_ms if self.event_ms else None) if self.mode == "interval" else None
+        return made and {"fired": made[0], "kind": "interval", "dropped": made[1]}
+
+    def summary(self, columns):
+        """Of rows in manual mode: whether one flushes, and the buffer they leave; in batch mode: their number and last values."""
+        x = [v for v in columns["value"] if v is not None and math.isfinite(v)]
+        if self.mode == "batch":
+            return {"n": len(x), "last": x[-(self.size - 1) :] if self.size > 1 else []}
+        state = self.start()
+        self.step(state, columns)
+        return {"flushed": any(columns["flush"]), **state}
+
+    def carry(self, state, summary):
+        if self.event_ms or self.collapse or self.mode == "interval" or (self.mode == "batch" and self.size > self.cap):
+            return None
+        if self.mode == "batch":
+            left = (len(state["buffer"]) + summary["n"]) % self.size
+            values = (state["buffer"] + summary["last"])[-left:] if left else []
+            return {"buffer": values, "times": [None] * len(values), "dropped": 0}
+        if summary["flushed"]:  # whatever was held is gone at the first flush that finds a value
+            return {k: summary[k] for k in ("buffer", "times", "dropped")}
+        values = state["buffer"] + summary["buffer"]
+        over = max(0, len(values) - self.cap)
+        return {"buffer": values[over:], "times": [None] * (len(values) - over), "dropped": state["dropped"] + summary["dropped"] + over}
+
+
+def triggered(df: DataFrame, keys: list[str], order: list[str], fold: Triggered, bucket: Column | None = None, chunk: int = 1_000_000) -> DataFrame:
+    """The rows that fired, with ``fired``, ``kind`` and ``dropped``.  With ``bucket``, which must not fall along the order, long series are cut into chunks."""
+    if fold.mode == "interval" or fold.collapse:
+        raise ValueError("timers and pending triggers are of streams: use timed_batches for intervals of a table")
+    out = ordered(df, keys, order, fold) if bucket is None else scanned(df, keys, order, fold, bucket, chunk)
+    return out.where("fired is not null")
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     kinds = (T.NumericType,)
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds) and f.name.lower() not in NOT_READINGS]

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from condmon.functions.folds import Fold, field
 from condmon.functions.parsing import finite, lenient_number
 
 
@@ -179,3 +181,85 @@ def collector(path: str, names: list[str], fmt: str = "json"):
         good.write.mode("overwrite").format(fmt).save(f"{path}/batch={batch_id}")
 
     return write
+
+
+#: What a control row may ask of a collector.
+ACTIONS = ("save", "export", "clear", "stats", "pause", "resume", "resetRul")
+
+
+class Collector(Fold):
+    """Buffer policy of a collector: rows of ``values`` and ``label`` are samples, rows with an ``action`` control.
+
+    ``save`` and ``export`` hand on the buffer (and clear it, with
+    ``clear_exported``), ``clear`` forgets samples, count and countdown,
+    ``pause`` and ``resume`` stop and go on taking samples, ``stats`` reports,
+    ``resetRul`` sets the countdown to ``rul_value`` or its start.  With
+    ``autosave`` a buffer of ``size`` is handed on and cleared; without, the
+    oldest go over twice the size.  With ``rul_start`` labels are the countdown
+    after each sample.  Samples with missing or infinite values, or another
+    number of them than the first, are not taken and counted in ``rejected``.
+
+    ``event`` names what a row did (null: nothing but buffering), ``exported``
+    and ``labels`` are handed on, ``samples`` are in the buffer after (at an
+    export: in it), ``collected`` since the last clear.
+    """
+
+    inputs = ("values", "label", "action", "rul_value")
+    outputs = (field("event", "string"), field("exported", "vectors"), field("labels", "strings"), field("samples", "long"), field("collected", "long"), field("dropped", "long"), field("rejected", "long"))
+
+    def __init__(self, size: int = 1000, autosave: bool = False, clear_exported: bool = False, rul_start: float | None = None) -> None:
+        self.size, self.autosave, self.clear_exported, self.rul_start = size, autosave, clear_exported, rul_start
+
+    def start(self) -> dict:
+        return {"buffer": [], "labels": [], "paused": False, "collected": 0, "dropped": 0, "rejected": 0, "arity": None, "rul": self.rul_start}
+
+    def _export(self, state: dict, clear: bool) -> tuple:
+        made = "export", list(state["buffer"]) or None, list(state["labels"]) if state["buffer"] else None, len(state["buffer"])
+        if clear:
+            state["buffer"], state["labels"] = [], []
+        return made
+
+    def _control(self, state: dict, action: str, rul_value: float | None) -> tuple:
+        if action in ("save", "export"):
+            return self._export(state, self.clear_exported)
+        if action == "clear":
+            state.update(buffer=[], labels=[], collected=0, rul=self.rul_start)
+        elif action in ("pause", "resume"):
+            state["paused"] = action == "pause"
+        elif action == "resetRul":
+            state["rul"] = self.rul_start if rul_value is None else rul_value
+        return (action if action in ACTIONS else "unknown"), None, None, len(state["buffer"])
+
+    def _sample(self, state: dict, values: list | None, label: str | None) -> tuple | None:
+        if state["paused"]:
+            return None
+        if not values or any(x is None or not math.isfinite(x) for x in values) or len(values) != (state["arity"] or len(values)):
+            state["rejected"] += 1
+            return None
+        state["arity"] = len(values)
+        if self.rul_start is not None:
+            state["rul"] = max(0.0, state["rul"] - 1)
+            label = repr(float(state["rul"]))
+        state["buffer"].append(list(values))
+        state["labels"].append(label)
+        state["collected"] += 1
+        if self.autosave and len(state["buffer"]) >= self.size:
+            return self._export(state, True)
+        over = len(state["buffer"]) - 2 * self.size
+        if over > 0:
+            state["buffer"], state["labels"] = state["buffer"][over:], state["labels"][over:]
+            state["dropped"] += over
+        return None
+
+    def step(self, state, columns):
+        out = []
+        for values, label, action, rul_value in zip(*[columns[c] for c in self.inputs], strict=True):
+            made = self._control(state, action, rul_value) if action is not None else self._sample(state, values, label)
+            made = made or (None, None, None, len(state["buffer"]))
+            out.append((*made, state["collected"], state["dropped"], state["rejected"]))
+        return {f.name: [o[k] for o in out] for k, f in enumerate(self.outputs)}
+
+
+def controlled(samples: DataFrame, controls: DataFrame) -> DataFrame:
+    """Samples and control rows as one input of :class:`Collector` or :class:`condmon.operators.analyst.Triggered`; columns that one side lacks are null."""
+    return samples.unionByName(controls, allowMissingColumns=True)

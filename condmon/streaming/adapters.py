@@ -23,30 +23,63 @@ from condmon.functions.folds import Fold
 
 
 class FoldProcessor(StatefulProcessor):
-    def __init__(self, fold: Fold, order: list[str], columns: list[str], ttl_ms: int | None) -> None:
-        self.fold, self.order, self.columns, self.ttl_ms = fold, order, columns, ttl_ms
+    """Runs a fold over a key's rows; with ``every_ms`` a timer at the next multiple of it calls the fold's ``tick``.
+
+    Processing-time timers run while rows are held; event-time ones fall due when
+    the watermark passes the end of the interval that a row's ``event_ms`` is in.
+    """
+
+    def __init__(self, fold: Fold, keys: list[str], order: list[str], columns: list[str], ttl_ms: int | None, every_ms: int | None, event_ms: str | None) -> None:
+        self.fold, self.keys, self.order, self.columns, self.ttl_ms, self.every_ms, self.event_ms = fold, keys, order, columns, ttl_ms, every_ms, event_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("fold", "state string", self.ttl_ms)
 
+    def _known(self) -> dict:
+        return json.loads(self.state.get()[0]) if self.state.exists() else {"fold": self.fold.start(), "timers": []}
+
+    def _schedule(self, known: dict, times: list[int]) -> None:
+        for end in sorted({(t // self.every_ms + 1) * self.every_ms for t in times} - set(known["timers"])):
+            self.handle.registerTimer(end)
+            known["timers"].append(end)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows)).sort_values(self.order, kind="stable").reset_index(drop=True)
-        state = json.loads(self.state.get()[0]) if self.state.exists() else self.fold.start()
+        known = self._known()
         given = {c: [None if pd.isna(v) else v for v in frame[c]] if frame[c].map(pd.api.types.is_scalar).all() else frame[c].map(lambda v: None if v is None else list(v)).tolist() for c in self.fold.inputs}
-        made = self.fold.step(state, given)
-        self.state.update((json.dumps(state),))
+        made = self.fold.step(known["fold"], given)
+        if self.every_ms:
+            self._schedule(known, [int(t) for t in frame[self.event_ms].dropna()] if self.event_ms else [] if known["timers"] else [timerValues.getCurrentProcessingTimeInMs()])
+        self.state.update((json.dumps(known, default=float),))
         yield pd.concat([frame[self.columns], pd.DataFrame({f.name: pd.Series(made[f.name], dtype=object) for f in self.fold.outputs})], axis=1)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        known, end = self._known(), expiredTimerInfo.getExpiryTimeInMs()
+        made = self.fold.tick(known["fold"], end)
+        known["timers"] = [t for t in known["timers"] if t != end]
+        self.state.update((json.dumps(known, default=float),))
+        if made:
+            row = dict.fromkeys(self.columns) | dict(zip(self.keys, key, strict=True)) | made
+            yield pd.DataFrame({c: pd.Series([v], dtype=object) for c, v in row.items()})
+
     def close(self) -> None:
         pass
 
 
-def stateful(df: DataFrame, keys: list[str], order: list[str], fold: Fold, ttl_ms: int | None = None) -> DataFrame:
-    """The streaming form of :func:`condmon.functions.folds.ordered`.  Needs the RocksDB state store provider."""
+def stateful(df: DataFrame, keys: list[str], order: list[str], fold: Fold, ttl_ms: int | None = None, every_ms: int | None = None, event_ms: str | None = None) -> DataFrame:
+    """The streaming form of :func:`condmon.functions.folds.ordered`.  Needs the RocksDB state store provider.
+
+    With ``every_ms`` the fold's ``tick`` is called at every multiple of it:
+    of processing time, or of event time where ``event_ms`` names a column of
+    whole milliseconds (the input then needs a watermark).  What a tick gives is
+    a row of its keys and outputs.
+    """
     names = {f.name for f in fold.outputs}
     columns = [c for c in df.columns if c not in names]
-    schema = T.StructType([df.schema[c] for c in columns] + list(fold.outputs))
-    return df.select(*columns).groupBy(*keys).transformWithStateInPandas(FoldProcessor(fold, order, columns, ttl_ms), schema, "Append", "None" if ttl_ms is None else "ProcessingTime")
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in (df.schema[c] for c in columns)] + list(fold.outputs))
+    mode = "EventTime" if event_ms else "ProcessingTime" if every_ms or ttl_ms is not None else "None"
+    return df.select(*columns).groupBy(*keys).transformWithStateInPandas(FoldProcessor(fold, keys, order, columns, ttl_ms, every_ms, event_ms), schema, "Append", mode)
 
 
 def publish(send: Callable[[str, list[str]], None], topic: str, size: int = 100) -> Callable[[DataFrame, int], None]:
