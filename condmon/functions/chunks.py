@@ -26,12 +26,13 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: Column) -
     return within.join(offsets, [*keys, "__bucket"]).withColumn("__i", F.col("__r") + F.col("__before")).drop("__bucket", "__r", "__before")
 
 
-def sliding(df: DataFrame, keys: list[str], order: list[str], bucket: Column, rows: int, apply: Callable[[DataFrame, list[str]], DataFrame], chunk: int = 1_000_000, keep: bool = False) -> DataFrame:
+def sliding(df: DataFrame, keys: list[str], order: list[str], bucket: Column, rows: int, apply: Callable[[DataFrame, list[str]], DataFrame], chunk: int = 1_000_000, keep: bool = False, number: bool = False) -> DataFrame:
     """``apply(df, keys)`` with frames of at most ``rows`` rows, run chunk by chunk.
 
     ``apply`` must be such that a row's result depends on its own and the
     ``rows - 1`` rows before it; context rows are dropped from its result.  With
-    ``keep`` the column ``__chunk`` stays, for :func:`last_known`.
+    ``keep`` the column ``__chunk`` stays, for :func:`last_known`; with ``number``
+    ``__i`` does, for :func:`condmon.functions.scans.scanned`.
     """
     chunk = max(chunk, rows)
     at = numbered(df, keys, order, bucket)
@@ -39,7 +40,7 @@ def sliding(df: DataFrame, keys: list[str], order: list[str], bucket: Column, ro
     late = F.col("__i") % chunk >= chunk - (rows - 1)
     homes = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
     dealt = at.withColumn("__chunk", F.explode(homes)).withColumn("__own", F.col("__chunk") == own)
-    return apply(dealt, [*keys, "__chunk"]).where("__own").drop("__i", "__own", *([] if keep else ["__chunk"]))
+    return apply(dealt, [*keys, "__chunk"]).where("__own").drop("__own", *([] if number else ["__i"]), *([] if keep else ["__chunk"]))
 
 
 def last_known(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:

@@ -229,18 +229,27 @@ class SensorHysteresis(Fold):
         return {"is_anomaly": flags, "severity": levels}
 
     def summary(self, columns):
-        """A transition table: the end from every state; states that meet go on as one."""
-        at = {(a, n, on): (a, n, on) for a in range(max(self.enter, 0) + 1) for n in range(max(self.leave, 0) + 1) for on in (False, True)}
-        for raw, level in zip(columns["raw_anomaly"], columns["raw_severity"], strict=True):
-            if raw is None:
-                continue
-            step = {}
-            for state in set(at.values()):
-                now = dict(zip(("anomalies", "normals", "on"), state, strict=True))
-                self.step(now, {"raw_anomaly": [raw], "raw_severity": [level]})
-                step[state] = tuple(now.values())
-            at = {k: step[v] for k, v in at.items()} if any(k != v for k, v in step.items()) else at
-        return {json.dumps(k): list(v) for k, v in at.items()}
+        """A transition table, the end from every state, composed run by run of equal verdicts; after some rows a run changes no state any more."""
+        states = [(a, n, on) for a in range(max(self.enter, 0) + 1) for n in range(max(self.leave, 0) + 1) for on in (False, True)]
+        number = {k: i for i, k in enumerate(states)}
+        longest = max(self.enter, self.leave, 0) + 2
+        powers = {}
+        for raw in (False, True):
+            once = np.array([number[self._next(k, raw)] for k in states])
+            powers[raw] = [np.arange(len(states)), once]
+            for _ in range(longest - 1):
+                powers[raw].append(once[powers[raw][-1]])
+        raws = np.array([r for r in columns["raw_anomaly"] if r is not None], dtype=bool)
+        starts = np.flatnonzero(np.append(True, raws[1:] != raws[:-1])) if len(raws) else np.zeros(0, np.int64)
+        at = powers[False][0]
+        for raw, n in zip(raws[starts].tolist(), np.diff(np.append(starts, len(raws))).tolist(), strict=True):
+            at = powers[raw][min(n, longest)][at]
+        return {json.dumps(k): list(states[i]) for k, i in zip(states, at.tolist(), strict=True)}
+
+    def _next(self, state: tuple, raw: bool) -> tuple:
+        now = dict(zip(("anomalies", "normals", "on"), state, strict=True))
+        self.step(now, {"raw_anomaly": [raw], "raw_severity": ["critical"]})
+        return tuple(now.values())
 
     def carry(self, state, summary):
         return dict(zip(("anomalies", "normals", "on"), summary[json.dumps(tuple(state.values()))], strict=True))

@@ -121,10 +121,11 @@ def _replayed(rows: DataFrame, keys: list[str], fold: Fold, names: list[str]) ->
 
 
 def scanned(df: DataFrame, keys: list[str], order: list[str], fold: Fold, bucket: Column, chunk: int = 1_000_000) -> DataFrame:
-    """As :func:`condmon.functions.folds.ordered`, with a series dealt over as many tasks as it has chunks.  ``bucket`` must not fall along the order; keys must not be null."""
+    """As :func:`condmon.functions.folds.ordered`, with a series dealt over as many tasks as it has chunks.  ``bucket`` must not fall along the order; keys must not be null.  A column ``__i`` that :func:`condmon.functions.chunks.sliding` has left is taken for the row numbers."""
     names = [f.name for f in fold.outputs]
     df = df.select(*[c for c in df.columns if c not in names])
-    rows = written(numbered(df, keys, order, bucket).withColumn("__chunk", F.floor(F.col("__i") / chunk).cast("long")), "scan-rows")
+    placed = df if "__i" in df.columns else numbered(df, keys, order, bucket)
+    rows = written(placed.withColumn("__chunk", F.floor(F.col("__i") / chunk).cast("long")), "scan-rows")
     fresh = F.lit(json.dumps(fold.start()))
     runs = written(_runs(rows.withColumn("__from", fresh), keys, fold), "scan-runs")
     for _ in range(ROUNDS):
@@ -134,4 +135,4 @@ def scanned(df: DataFrame, keys: list[str], order: list[str], fold: Fold, bucket
             return _replayed(rows.join(starts.drop("__again"), [*keys, "__chunk"]), keys, fold, names)
         more = _runs(rows.join(open_.select(*keys, "__chunk", F.col("__start").alias("__from")), [*keys, "__chunk"]), keys, fold)
         runs = written(runs.join(open_.select(*keys, "__chunk"), [*keys, "__chunk"], "left_anti").unionByName(more), "scan-runs")
-    return ordered(df, keys, order, fold)
+    return ordered(df.drop("__i"), keys, order, fold)

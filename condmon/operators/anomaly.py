@@ -19,6 +19,7 @@ from condmon.functions.chunks import last_known, sliding
 from condmon.functions.folds import AdaptiveThreshold, Cusum, Ema, Fold, SensorHysteresis, latest_before, ordered
 from condmon.functions.parsing import finite
 from condmon.functions.scans import scanned
+from condmon.functions.windows import OrderStatistics
 
 METHODS = ("zscore", "iqr", "threshold", "percentile", "ema", "cusum", "moving_average")
 
@@ -44,12 +45,11 @@ FOLDED = ("ema", "cusum")
 
 def _framed(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str]) -> DataFrame:
     """Adds ``buffer_size`` and what the method takes from the last ``window`` values."""
+    if s.method in ("iqr", "percentile"):
+        made = ordered(df, keys, order, OrderStatistics(s.window, s.lower_percentile, s.upper_percentile))
+        return made.withColumn("__q", F.struct("q1", "q3")).withColumn("__p", F.struct("low", "high")).drop("q1", "q2", "q3", "low", "high")
     x, w = F.col("value"), stats.trailing(keys, order, s.window)
     df = df.withColumn("buffer_size", F.count("value").over(w))
-    if s.method == "iqr":
-        return df.withColumn("__q", stats.quartiles(stats.values(x, w)))
-    if s.method == "percentile":
-        return df.withColumn("__p", F.percentile(x, F.array(F.lit(s.lower_percentile / 100), F.lit(s.upper_percentile / 100))).over(w))
     if s.method == "ema":
         return df.withColumn("__sd", stats.stddev(x, w))
     if s.method == "cusum":
@@ -74,8 +74,8 @@ def _scored(df: DataFrame, s: AnomalySettings) -> DataFrame:
         level = _threshold_level(x, s)
         df = df.withColumn("score", x)
     elif s.method == "percentile":
-        level = F.when((x < F.col("__p")[0]) | (x > F.col("__p")[1]), "critical").otherwise("normal")
-        df = df.withColumn("score", F.greatest(F.col("__p")[0] - x, x - F.col("__p")[1], F.lit(0.0)))
+        level = F.when((x < F.col("__p.low")) | (x > F.col("__p.high")), "critical").otherwise("normal")
+        df = df.withColumn("score", F.greatest(F.col("__p.low") - x, x - F.col("__p.high"), F.lit(0.0)))
     elif s.method == "cusum":
         df = df.withColumn("score", F.col("cusum_max"))
         level = _levels(F.col("score"), s.cusum_threshold, s.cusum_warning)
@@ -91,17 +91,18 @@ def _scored(df: DataFrame, s: AnomalySettings) -> DataFrame:
     return df.withColumn("raw_severity", F.when(F.col("buffer_size") >= s.warmup, level)).drop("__q", "__p", "__sd", "deviation")
 
 
-def measure(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str], bucket: Column | None = None, chunk: int = 1_000_000) -> DataFrame:
+def measure(df: DataFrame, s: AnomalySettings, keys: list[str], order: list[str], bucket: Column | None = None, chunk: int = 1_000_000, number: bool = False) -> DataFrame:
     """Adds ``buffer_size``, ``score`` and ``raw_severity`` (null while warming up) for one method.
 
     Columns ``cfg_zscore_threshold`` and ``cfg_zscore_warning``, where present
     and not null, override the settings of the z-score row by row.  With
-    ``bucket`` (see :func:`detect`) long series are cut into chunks.
+    ``bucket`` (see :func:`detect`) long series are cut into chunks; then ``number``
+    keeps the row numbers ``__i`` for a scan that follows.
     """
     if bucket is None:
         df = _framed(df, s, keys, order)
         return _scored(ordered(df, keys, order, _fold(s)) if s.method in FOLDED else df, s)
-    df = sliding(df, keys, order, bucket, s.window, lambda d, k: _framed(d, s, k, order), chunk)
+    df = sliding(df, keys, order, bucket, s.window, lambda d, k: _framed(d, s, k, order), chunk, number=number or s.method in FOLDED)
     return _scored(scanned(df, keys, order, _fold(s), bucket, chunk) if s.method in FOLDED else df, s)
 
 
@@ -166,7 +167,7 @@ def detect_sensors(df: DataFrame, s: AnomalySettings, entity: str, order: list[s
     long = df.select(*rest, F.explode(sensors).alias("sensor", "value"))
     good = finite(F.col("value"))
     keys = [entity, "sensor"]
-    part = measure(long.where(good), s, keys, order, bucket, chunk).withColumn("raw_anomaly", F.col("raw_severity") != "normal")
+    part = measure(long.where(good), s, keys, order, bucket, chunk, number=s.hysteresis and s.method not in FOLDED).withColumn("raw_anomaly", F.col("raw_severity") != "normal")
     part = part.withColumn("raw_severity", F.coalesce("raw_severity", F.lit("warmup")))
     if s.hysteresis:
         fold = SensorHysteresis(s.consecutive, s.exit_count)

@@ -10,6 +10,7 @@ from condmon.config import AnomalySettings
 from condmon.functions import stats
 from condmon.functions.chunks import sliding
 from condmon.functions.folds import Fold, field, ordered
+from condmon.functions.windows import RankCorrelation
 from condmon.operators.anomaly import measure
 
 
@@ -126,24 +127,20 @@ def mahalanobis_2d(df: DataFrame, entity: list[str], order: list[str], x: str, y
     return df.withColumn("severity", level).drop("__a", "__b", "__c", "__n", "__dx", "__dy", "__p", "__q")
 
 
-def correlate(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, window: int = 100, method: str = "pearson", threshold: float = 0.7) -> DataFrame:
-    """Adds ``correlation`` of the last ``window`` pairs (three at least) and ``is_anomalous``: a correlation *below* the threshold is the fault."""
-    w = stats.trailing(keys, order, window)
-    n = F.count(F.lit(1)).over(w)
-    if method == "spearman":
-        pairs = F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))).over(w)
-        df = df.withColumn("__pairs", pairs)
-        rank = lambda c: F.transform("__pairs", lambda p: F.size(F.filter("__pairs", lambda q: q[c] < p[c])) + (F.size(F.filter("__pairs", lambda q: q[c] == p[c])) + 1) / F.lit(2.0))
-        df = df.withColumn("__rx", rank("x")).withColumn("__ry", rank("y"))
-        m = lambda c: stats.array_mean(F.col(c))
-        df = df.withColumn("__mx", m("__rx")).withColumn("__my", m("__ry"))
-        cov = stats.array_sum(F.zip_with("__rx", "__ry", lambda a, b: (a - F.col("__mx")) * (b - F.col("__my"))))
-        var = lambda c, mean: stats.array_sum(F.transform(c, lambda a: (a - F.col(mean)) * (a - F.col(mean))))
-        bottom = F.sqrt(var("__rx", "__mx") * var("__ry", "__my"))
-        r = F.when(bottom == 0, F.lit(0.0)).otherwise(cov / F.nullif(bottom, F.lit(0.0)))
-    else:
-        r = stats.pearson(F.col(x), F.col(y), w)
-    out = df.withColumn("correlation", F.when(n >= 3, r)).drop("__pairs", "__rx", "__ry", "__mx", "__my")
+def correlate(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, window: int = 100, method: str = "pearson", threshold: float = 0.7, bucket: Column | None = None, chunk: int = 1_000_000) -> DataFrame:
+    """Adds ``correlation`` of the last ``window`` pairs (three at least) and ``is_anomalous``: a correlation *below* the threshold is the fault.
+
+    With ``bucket``, an expression that never falls along the order, long series are cut into chunks.
+    """
+
+    def found(d: DataFrame, k: list[str]) -> DataFrame:
+        if method == "spearman":
+            pairs = d.withColumn("__x", F.col(x).cast("double")).withColumn("__y", F.col(y).cast("double"))
+            return ordered(pairs, k, order, RankCorrelation(window)).drop("__x", "__y")
+        w = stats.trailing(k, order, window)
+        return d.withColumn("correlation", F.when(F.count(F.lit(1)).over(w) >= 3, stats.pearson(F.col(x), F.col(y), w)))
+
+    out = found(df, keys) if bucket is None else sliding(df, keys, order, bucket, window, found, chunk)
     return out.withColumn("is_anomalous", F.abs("correlation") < threshold)
 
 

@@ -45,6 +45,11 @@ def _day():
     return F.date_trunc("day", "ts")
 
 
+def _range():
+    """The same for series ordered by order number."""
+    return F.floor(F.col("ts") / 100_000)
+
+
 def _r(c: str, n: int = 6):
     """Rounded, without a negative zero."""
     return (F.round(c, n) + F.lit(0.0)).alias(c)
@@ -168,7 +173,7 @@ SELECT entity_id, ts, seq, part, price, coalesce(bool_or(final), false) AS is_an
   coalesce(string_agg(sensor, ',' ORDER BY sensor) FILTER (final), '') AS anomaly_sensors, 0 AS skipped FROM f JOIN z USING (entity_id, sensor, i) GROUP BY ALL""")
 def ad_multi_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-sensor mode with its own hysteresis; one row a record.  Long series are cut by ranges of order numbers."""
-    out = anomaly.detect_sensors(records(spark, sf_dir), AnomalySettings(consecutive=2), "entity_id", RECORD_ORDER, bucket=F.floor(F.col("ts") / 100_000))[1]
+    out = anomaly.detect_sensors(records(spark, sf_dir), AnomalySettings(consecutive=2), "entity_id", RECORD_ORDER, bucket=_range())[1]
     return out.select("entity_id", *RECORD_ORDER, "is_anomaly", "severity", F.array_join("anomaly_sensors", ",").alias("anomaly_sensors"), F.size("skipped_sensors").alias("skipped"))
 
 
@@ -230,7 +235,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {PAIRS}, c AS (SELECT *, count(*) OVER w AS n, stddev_pop(x) OVER w AS sx, stddev_pop(y) OVER w AS sy, covar_pop(x, y) OVER w AS cov FROM p WINDOW w AS ({PW.format(n=49)}))
 SELECT series_id, ts, seq, CASE WHEN n >= 3 THEN round(CASE WHEN sx * sy = 0 THEN 0 ELSE greatest(-1, least(1, cov / (sx * sy))) END, 3) + 0.0 END AS correlation FROM c""")
 def mv_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multivalue.correlate(_pairs(spark, sf_dir), KEYS, PAIR_ORDER, "x", "y", 50).select("series_id", "ts", "seq", _r("correlation", 3))
+    return multivalue.correlate(_pairs(spark, sf_dir), KEYS, PAIR_ORDER, "x", "y", 50, bucket=_range()).select("series_id", "ts", "seq", _r("correlation", 3))
 
 
 @query(f"""WITH {PAIRS}, l AS (SELECT *, list(x) OVER w AS lx, list(y) OVER w AS ly FROM p WINDOW w AS ({PW.format(n=9)})),
@@ -239,7 +244,7 @@ k AS (SELECT series_id, ts, seq, list_transform(lx, lambda a: len(list_filter(lx
 c AS (SELECT *, list_stddev_pop(rx) AS sx, list_stddev_pop(ry) AS sy, list_sum(list_transform(list_zip(rx, ry), lambda z: (z[1] - list_avg(rx)) * (z[2] - list_avg(ry)))) / len(rx) AS cov FROM k)
 SELECT series_id, ts, seq, CASE WHEN len(rx) >= 3 THEN round(CASE WHEN sx * sy = 0 THEN 0 ELSE cov / (sx * sy) END, 3) END AS correlation FROM c""")
 def mv_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multivalue.correlate(_pairs(spark, sf_dir), KEYS, PAIR_ORDER, "x", "y", 10, "spearman").select("series_id", "ts", "seq", _r("correlation", 3))
+    return multivalue.correlate(_pairs(spark, sf_dir), KEYS, PAIR_ORDER, "x", "y", 10, "spearman", bucket=_range()).select("series_id", "ts", "seq", _r("correlation", 3))
 
 
 DAYS = "d AS (SELECT c_mktsegment AS series_id, CAST(o_orderdate AS DATE) AS day, count(*) AS n, sum(CAST(o_totalprice AS DOUBLE)) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"

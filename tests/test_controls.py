@@ -35,7 +35,7 @@ def test_pending_triggers_become_one():
 
 
 @pytest.mark.parametrize("mode", ["batch", "manual"])
-@pytest.mark.parametrize("chunk", [1, 7, 500])
+@pytest.mark.parametrize("chunk", [7, 500])
 def test_triggers_in_chunks(spark, mode, chunk):
     rng = random.Random(2)
     n = 40 if chunk == 1 else 200
