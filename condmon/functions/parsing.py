@@ -65,6 +65,25 @@ def route(df: DataFrame, condition: str = "is_anomaly") -> tuple[DataFrame, Data
     return df.where(~c), df.where(c)
 
 
+def output_topic(df: DataFrame, output: str = "", mode: str = "scalar", column: str = "topic") -> DataFrame:
+    """Adds or replaces the topic of a detector's rows.
+
+    scalar: ``output`` where one is set, else the row's own.  multi: as scalar,
+    but a row that came without a topic (null or empty) gets none.  batch: the
+    row's own, else ``batch-analysis``; ``output`` plays no part.
+    """
+    if mode not in ("scalar", "multi", "batch"):
+        raise ValueError("mode must be scalar, multi or batch")
+    own = F.nullif(F.col(column).cast("string"), F.lit("")) if column in df.columns else F.lit(None).cast("string")
+    if mode == "batch":
+        made = F.coalesce(own, F.lit("batch-analysis"))
+    elif mode == "multi":
+        made = F.when(own.isNotNull(), F.lit(output) if output else own)
+    else:
+        made = F.lit(output) if output else own
+    return df.withColumn(column, made)
+
+
 def parse_object(text: Column) -> Column:
     """A JSON object of numbers (or numeric text) to a map of doubles; other values are null."""
     raw = F.from_json(text, "map<string,string>")

@@ -1,12 +1,14 @@
-"""Queries of control rows: manual triggers of batches, and a collector's buffer policy over ``events``."""
+"""Queries of control rows and output shaping: triggers of batches, a collector's buffer policy, topics, over ``events``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from condmon.config import AnomalySettings
 from condmon.functions.folds import ordered
-from condmon.operators import analyst, dataset
+from condmon.functions.parsing import output_topic, route
+from condmon.operators import analyst, anomaly, dataset
 from condmon.plans.catalogue import KEYS, ORDER, R, _day, query, readings
 
 
@@ -39,3 +41,21 @@ def td_collector(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ordered(rows, KEYS, ORDER, dataset.Collector(size=20)).where("event is not null")
     total = F.aggregate("exported", F.lit(0.0), lambda a, v: a + v[0])
     return out.select("series_id", "seq", "event", "samples", "collected", F.round(total, 4).alias("total"))
+
+
+@query("""WITH t AS (SELECT event_type AS series_id, event_id AS seq, CASE WHEN event_id % 3 > 0 THEN 'plant/' || event_type END AS topic,
+  row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) >= 2 AND (value < 2 OR value > 54) AS odd FROM events)
+SELECT series_id, seq, CASE WHEN odd THEN 'alarms' ELSE topic END AS scalar, CASE WHEN topic IS NOT NULL THEN CASE WHEN odd THEN 'alarms' ELSE topic END END AS multi, coalesce(topic, 'batch-analysis') AS batch FROM t""")
+def ad_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics of detected rows: anomalies go to a topic of their own, in the three ways that the modes have."""
+    own = F.when(F.col("seq") % 3 > 0, F.concat(F.lit("plant/"), F.col("series_id")))
+    s = AnomalySettings(method="threshold", min_threshold=2.0, max_threshold=54.0, margin_percent=0.0, hysteresis=False)
+    rows = anomaly.detect(readings(spark, sf_dir).withColumn("topic", own), s, KEYS, ORDER, bucket=_day())
+    normal, odd = route(rows)
+
+    def shaped(d: DataFrame, output: str) -> DataFrame:
+        for mode in ("scalar", "multi", "batch"):
+            d = output_topic(d.withColumn(mode, F.col("topic")), output, mode, mode)
+        return d.select("series_id", "seq", "scalar", "multi", "batch")
+
+    return shaped(normal, "").unionByName(shaped(odd, "alarms"))

@@ -128,3 +128,16 @@ def test_processing_time_interval_fires_without_new_rows_of_the_key(spark, tmp_p
     finally:
         q.stop()
     assert got == [("x", [7.0]), ("y", [8.0])]
+
+
+def test_topics(spark):
+    from condmon.functions.parsing import output_topic
+
+    df = spark.createDataFrame([("a",), ("",), (None,)], "topic string")
+    shown = lambda *args: [r.topic for r in output_topic(df, *args).collect()]
+    assert shown() == ["a", None, None] and shown("out") == ["out"] * 3
+    assert shown("out", "multi") == ["out", None, None] and shown("", "multi") == ["a", None, None]
+    assert shown("out", "batch") == ["a", "batch-analysis", "batch-analysis"]
+    assert output_topic(df.drop("topic").selectExpr("1 as x"), "out").columns == ["x", "topic"]
+    with pytest.raises(ValueError):
+        output_topic(df, "out", "other")
