@@ -26,9 +26,9 @@ from condmon.functions.chunks import numbered
 from condmon.functions.lineage import written
 
 #: Points aimed at in a cell, and pivots at most (they are held by the driver and by every worker).
-CELL_POINTS, PIVOTS = 4096, 4096
+CELL_POINTS, PIVOTS = 1024, 4096
 #: Points and queries at most that meet in one task.
-LOT = 8192
+LOT = 2048
 #: Distance pairs computed at a time.
 _PAIRS = 1 << 20
 
