@@ -21,9 +21,18 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: Column) -
     rows = df.withColumn("__bucket", bucket)
     counts = rows.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    both = [*keys, "__bucket"]
+    offsets = counts.select(*[F.col(k).alias(f"__of_{k}") for k in both], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     within = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(*order)) - 1)
-    return within.join(offsets, [*keys, "__bucket"]).withColumn("__i", F.col("__r") + F.col("__before")).drop("__bucket", "__r", "__before")
+    on = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in both]
+    return within.join(offsets, on, "left").select(*df.columns, (F.col("__r") + F.col("__before")).alias("__i"))
+
+
+def framed(df: DataFrame, keys: list[str], order: list[str], bucket: Column, size: int, value: str = "value", out: str = "samples") -> DataFrame:
+    """Whole frames of ``size`` rows in order: (keys, ``frame``, ``out``).  A shorter last frame gives no row; what ``frame`` counts is rows, null values among them."""
+    cut = numbered(df.select(*keys, *order, value), keys, order, bucket).withColumn("frame", F.floor(F.col("__i") / size))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("__i", value))), lambda s: s[value])
+    return cut.groupBy(*keys, "frame").agg(listed.alias(out)).where(F.size(out) == size)
 
 
 def sliding(df: DataFrame, keys: list[str], order: list[str], bucket: Column, rows: int, apply: Callable[[DataFrame, list[str]], DataFrame], chunk: int = 1_000_000, keep: bool = False, number: bool = False) -> DataFrame:

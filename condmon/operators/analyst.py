@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from condmon.functions.chunks import numbered
 from condmon.functions.folds import Fold, field, ordered
 from condmon.functions.scans import scanned
 
@@ -22,11 +23,13 @@ from condmon.functions.scans import scanned
 NOT_READINGS = ("timestamp", "time", "ts", "_ts", "epoch", "datetime", "date", "id", "_id")
 
 
-def batches(df: DataFrame, keys: list[str], order: list[str], size: int = 50) -> DataFrame:
-    """Adds ``batch``: the number of the group of ``size`` rows in a series, and ``complete`` (the last one may be short)."""
-    w = Window.partitionBy(*keys)
-    n = F.row_number().over(w.orderBy(*order))
-    out = df.withColumn("batch", F.floor((n - 1) / size))
+def batches(df: DataFrame, keys: list[str], order: list[str], size: int = 50, bucket: Column | None = None) -> DataFrame:
+    """Adds ``batch``: the number of the group of ``size`` rows in a series, and ``complete`` (the last one may be short).  With ``bucket``, which must not fall along the order, rows are counted in two steps and no series is one task."""
+    if bucket is None:
+        n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        out = df.withColumn("batch", F.floor((n - 1) / size))
+    else:
+        out = numbered(df, keys, order, bucket).withColumn("batch", F.floor(F.col("__i") / size)).drop("__i")
     return out.withColumn("complete", F.count(F.lit(1)).over(Window.partitionBy(*keys, "batch")) == size)
 
 

@@ -9,6 +9,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from condmon.functions.chunks import numbered, sliding
 from condmon.functions.folds import Fold, field
 from condmon.functions.parsing import finite, lenient_number
 
@@ -45,16 +46,24 @@ def severity(df: DataFrame, columns: tuple[str, ...] = ("severity", "fault_sever
     return df.withColumn("severity", F.coalesce(*have, F.lit(0.0)))
 
 
-def rul_label(df: DataFrame, keys: list[str], order: list[str], start: float, unit: str = "samples") -> DataFrame:
-    """Adds ``label``: the countdown after each sample, 0 at least; units other than samples count elapsed time of ``ts``."""
+def rul_label(df: DataFrame, keys: list[str], order: list[str], start: float, unit: str = "samples", bucket: Column | None = None) -> DataFrame:
+    """Adds ``label``: the countdown after each sample, 0 at least; units other than samples count elapsed time of ``ts``.
+
+    With ``bucket``, which must not fall along the order, no series is one task.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
+    gone_to = lambda gone: F.greatest(F.lit(0.0), F.lit(float(start)) - gone)
     if unit == "samples":
-        gone = F.row_number().over(w).cast("double")
-    else:
-        ms = F.unix_millis(F.col("ts").cast("timestamp_ltz"))
-        per = {"seconds": 1e3, "hours": 3.6e6, "days": 8.64e7}[unit]
-        gone = (ms - F.first(ms).over(w)) / per
-    return df.withColumn("label", F.greatest(F.lit(0.0), F.lit(float(start)) - gone))
+        if bucket is None:
+            return df.withColumn("label", gone_to(F.row_number().over(w).cast("double")))
+        return numbered(df, keys, order, bucket).withColumn("label", gone_to((F.col("__i") + 1).cast("double"))).drop("__i")
+    ms = F.unix_millis(F.col("ts").cast("timestamp_ltz"))
+    per = {"seconds": 1e3, "hours": 3.6e6, "days": 8.64e7}[unit]
+    if bucket is None:
+        return df.withColumn("label", gone_to((ms - F.first(ms).over(w)) / per))
+    first = df.groupBy(*[F.col(k).alias(f"__of_{k}") for k in keys]).agg(F.min_by(F.struct(ms.alias("ms")), F.struct(*order)).getField("ms").alias("__first"))
+    joined = df.join(first, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys], "left").select(*df.columns, "__first")
+    return joined.withColumn("label", gone_to((ms - F.col("__first")) / per)).drop("__first")
 
 
 def valid(df: DataFrame, arity: int) -> tuple[DataFrame, DataFrame]:
@@ -107,19 +116,34 @@ def group_split(df: DataFrame, group: str, share: float = 0.8, seed: int = 0) ->
     return df.withColumn("split", F.when(u < share, "train").otherwise("test"))
 
 
-def windows(df: DataFrame, keys: list[str], order: list[str], size: int, overlap_percent: float = 0.0, column: str = "values") -> DataFrame:
-    """Full windows of ``size`` rows every floor(size * (1 - overlap)) rows (one at least): ``window`` (array of rows), ``label`` of the last row."""
+def windows(df: DataFrame, keys: list[str], order: list[str], size: int, overlap_percent: float = 0.0, column: str = "values", bucket: Column | None = None, chunk: int = 1_000_000) -> DataFrame:
+    """Full windows of ``size`` rows every floor(size * (1 - overlap)) rows (one at least): ``window`` (array of rows), ``label`` of the last row.
+
+    With ``bucket``, which must not fall along the order, long series are cut
+    into chunks; a row is copied only into the windows that are kept.
+    """
     slide = max(1, int(size * (1 - overlap_percent / 100)))
-    w = Window.partitionBy(*keys).orderBy(*order)
-    n = F.row_number().over(w)
-    made = df.withColumn("__n", n).withColumn("window", F.collect_list(column).over(w.rowsBetween(-(size - 1), 0)))
-    return made.where((F.col("__n") >= size) & ((F.col("__n") - size) % slide == 0)).drop("__n", column)
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        made = df.withColumn("__n", F.row_number().over(w)).withColumn("window", F.collect_list(column).over(w.rowsBetween(-(size - 1), 0)))
+        return made.where((F.col("__n") >= size) & ((F.col("__n") - size) % slide == 0)).drop("__n", column)
+
+    def listed(d: DataFrame, k: list[str]) -> DataFrame:
+        w = Window.partitionBy(*k).orderBy(*order).rowsBetween(-(size - 1), 0)
+        return d.withColumn("window", F.collect_list(column).over(w))
+
+    made = sliding(df, keys, order, bucket, size, listed, chunk, number=True)
+    return made.where((F.col("__i") + 1 >= size) & ((F.col("__i") + 1 - size) % slide == 0)).drop("__i", column)
+
+
+def sequences(df: DataFrame, unit: str, order: list[str], size: int = 30, column: str = "values", bucket: Column | None = None, chunk: int = 1_000_000) -> DataFrame:
+    """Adds ``sequence``: the ``size`` rows before each row of its unit, where there are as many.  With ``bucket`` long units are cut into chunks."""
 
+    def listed(d: DataFrame, k: list[str]) -> DataFrame:
+        return d.withColumn("sequence", F.collect_list(column).over(Window.partitionBy(*k).orderBy(*order).rowsBetween(-size, -1)))
 
-def sequences(df: DataFrame, unit: str, order: list[str], size: int = 30, column: str = "values") -> DataFrame:
-    """Adds ``sequence``: the ``size`` rows before each row of its unit, where there are as many."""
-    w = Window.partitionBy(unit).orderBy(*order).rowsBetween(-size, -1)
-    return df.withColumn("sequence", F.collect_list(column).over(w)).where(F.size("sequence") == size)
+    made = listed(df, [unit]) if bucket is None else sliding(df, [unit], order, bucket, size + 1, listed, chunk)
+    return made.where(F.size("sequence") == size)
 
 
 def scaler(df: DataFrame, names: list[str]) -> DataFrame:

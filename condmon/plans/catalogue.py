@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from condmon.config import AnomalySettings, HealthSettings, SignalSettings, TrendSettings
 from condmon.functions import stats
+from condmon.functions.chunks import framed
 from condmon.operators import analyst, anomaly, dataset, features, health, inference, multivalue, multivariate, signal, trend, vision
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +46,11 @@ def _day():
     return F.date_trunc("day", "ts")
 
 
+def _year():
+    """The same for series of days."""
+    return F.year("day")
+
+
 def _range():
     """The same for series ordered by order number."""
     return F.floor(F.col("ts") / 100_000)
@@ -336,12 +342,7 @@ def sa_iso10816(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str, size: int = 256) -> DataFrame:
     """Events by type in frames of ``size`` samples in order: (series_id, frame, samples, sampling_rate).  A buffer that is not full has no spectrum, so a shorter last frame gives no row."""
-    from pyspark.sql import Window
-
-    r = readings(spark, sf_dir).withColumn("i", F.row_number().over(Window.partitionBy("series_id").orderBy(*ORDER)) - 1)
-    cut = r.withColumn("frame", F.floor(F.col("i") / size))
-    made = cut.groupBy("series_id", "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda s: s["value"]).alias("samples"))
-    return made.where(F.size("samples") == size).withColumn("sampling_rate", F.lit(1000.0))
+    return framed(readings(spark, sf_dir), KEYS, ORDER, _day(), size).withColumn("sampling_rate", F.lit(1000.0))
 
 
 FRAMES = """s AS (SELECT event_type AS series_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events),
@@ -416,7 +417,7 @@ f AS (SELECT *, count(*) OVER w AS c, regr_slope(value, i) OVER w AS slope, avg(
 SELECT series_id, day, CASE WHEN c >= 3 THEN round(slope, 1) END AS slope, CASE WHEN c >= 3 THEN round(m - slope * (c - 1) / 2, 0) END AS intercept,
   CASE WHEN c < 3 THEN NULL WHEN slope > 0.01 THEN 'increasing' WHEN slope < -0.01 THEN 'decreasing' ELSE 'stable' END AS trend FROM f""")
 def tp_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trend.linear(daily(spark, sf_dir), TrendSettings(), KEYS, ["day"]).select("series_id", "day", _r("slope", 1), _r("intercept", 0), "trend")
+    return trend.linear(daily(spark, sf_dir), TrendSettings(), KEYS, ["day"], bucket=_year()).select("series_id", "day", _r("slope", 1), _r("intercept", 0), "trend")
 
 
 @query(f"""WITH {DAYS}, b AS (SELECT *, list(value) OVER (PARTITION BY series_id ORDER BY day ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS l FROM d),
@@ -424,7 +425,7 @@ f AS (SELECT series_id, day, len(l) AS c, list_reduce(list_prepend({{'level': l[
   lambda s, v: {{'level': 0.3 * v.x + 0.7 * (s.level + s.slope), 'slope': 0.1 * (0.3 * v.x + 0.7 * (s.level + s.slope) - s.level) + 0.9 * s.slope, 'x': 0.0}}) AS h FROM b)
 SELECT series_id, day, CASE WHEN c >= 3 THEN round(h.level, 2) END AS level, CASE WHEN c >= 3 THEN round(h.slope, 2) END AS slope FROM f""")
 def tp_holt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trend.holt(daily(spark, sf_dir), TrendSettings(window=20), KEYS, ["day"]).select("series_id", "day", _r("level", 2), _r("slope", 2))
+    return trend.holt(daily(spark, sf_dir), TrendSettings(window=20), KEYS, ["day"], bucket=_year()).select("series_id", "day", _r("level", 2), _r("slope", 2))
 
 
 @query(f"""WITH {R}, l AS (SELECT *, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 1e6 AS dt, value - lag(value) OVER w AS dv FROM r WINDOW w AS (PARTITION BY series_id ORDER BY ts, seq))
@@ -548,13 +549,13 @@ def td_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH w AS (SELECT event_type AS series_id, event_id AS seq, row_number() OVER w AS n, list(value) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS l FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
 SELECT series_id, seq, len(l) AS size, round(list_sum(l), 6) AS total FROM w WHERE n >= 10 AND (n - 10) % 5 = 0""")
 def td_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dataset.windows(readings(spark, sf_dir), KEYS, ORDER, 10, 50.0, "value")
+    out = dataset.windows(readings(spark, sf_dir), KEYS, ORDER, 10, 50.0, "value", bucket=_day())
     return out.select("series_id", "seq", F.size("window").cast("long").alias("size"), F.round(F.aggregate("window", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
 
 
 @query("""SELECT event_type AS series_id, event_id AS seq, CAST(greatest(0, 100 - row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id)) AS DOUBLE) AS label FROM events""")
 def td_rul_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dataset.rul_label(readings(spark, sf_dir), KEYS, ORDER, 100).select("series_id", "seq", "label")
+    return dataset.rul_label(readings(spark, sf_dir), KEYS, ORDER, 100, bucket=_day()).select("series_id", "seq", "label")
 
 
 @query("SELECT event_type AS label, count(*) AS count FROM events GROUP BY 1")
@@ -565,7 +566,7 @@ def td_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH w AS (SELECT event_type AS series_id, event_id AS seq, list(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS l FROM events)
 SELECT series_id, seq, round(list_sum(l), 6) AS total FROM w WHERE len(l) = 30""")
 def fe_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dataset.sequences(readings(spark, sf_dir), "series_id", ORDER, 30, "value")
+    out = dataset.sequences(readings(spark, sf_dir), "series_id", ORDER, 30, "value", bucket=_day())
     return out.select("series_id", "seq", F.round(F.aggregate("sequence", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
 
 
@@ -618,13 +619,13 @@ def vi_boxes_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {R}, b AS (SELECT *, (row_number() OVER (PARTITION BY series_id ORDER BY ts, seq) - 1) // 50 AS batch FROM r)
 SELECT series_id, CAST(batch AS BIGINT) AS batch, count(*) AS count, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, min(value) AS min, max(value) AS max, round(max(value) - min(value), 6) AS range FROM b GROUP BY ALL""")
 def ll_batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = analyst.batch_stats(analyst.batches(readings(spark, sf_dir), KEYS, ORDER, 50), ["series_id", "batch"])
+    out = analyst.batch_stats(analyst.batches(readings(spark, sf_dir), KEYS, ORDER, 50, bucket=_day()), ["series_id", "batch"])
     return out.select("series_id", "batch", "count", _r("mean"), _r("sd"), "min", "max", _r("range"))
 
 
 @query()
 def ll_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = analyst.batch_stats(analyst.batches(readings(spark, sf_dir), KEYS, ORDER, 50), ["series_id", "batch"])
+    out = analyst.batch_stats(analyst.batches(readings(spark, sf_dir), KEYS, ORDER, 50, bucket=_day()), ["series_id", "batch"])
     return analyst.prompts(out, "series_id", "Sensor {series}: {stats}\n{samples}").select("series_id", "batch", "prompt")
 
 
@@ -700,7 +701,7 @@ def td_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels and severities of messages, and the countdown label."""
     e = readings(spark, sf_dir).withColumn("class", F.col("series_id")).withColumn("fault_severity", F.when(F.col("seq") % 3 == 0, "0.5"))
     named = dataset.severity(dataset.label(e, "fromMessage")).withColumnRenamed("label", "message")
-    return dataset.rul_label(named, KEYS, ORDER, 500).select(F.col("seq").alias("event_id"), F.col("message").alias("label"), "severity", F.col("label").alias("rul"))
+    return dataset.rul_label(named, KEYS, ORDER, 500, bucket=_day()).select(F.col("seq").alias("event_id"), F.col("message").alias("label"), "severity", F.col("label").alias("rul"))
 
 
 @query("""SELECT event_id, [CAST(value AS DOUBLE), CASE WHEN event_id % 5 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(event_id AS DOUBLE) END, 0.0][1] AS f1,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from condmon.config import AnomalySettings, TrendSettings
 from condmon.functions import parsing, stats
 from condmon.operators import analyst, anomaly, dataset, features, health, inference, multivalue, signal, trend, vision
-from condmon.plans.catalogue import DAYS, KEYS, LONG, ORDER, ZSCORE, R, _day, _health, _health_sql, _items, _r, _w, daily, frames, query, readings, table
+from condmon.plans.catalogue import DAYS, KEYS, LONG, ORDER, ZSCORE, R, _day, _year, _health, _health_sql, _items, _r, _w, daily, frames, query, readings, table
 
 # Statistics and parsing ------------------------------------------------------------
 
@@ -108,7 +108,7 @@ f AS (SELECT series_id, day, gap, len(l) AS c, list_reduce(list_prepend({{'level
 k AS (SELECT series_id, day, gap, CASE WHEN c >= 3 THEN list_position([h.level + h.slope * k >= 300000 for k in range(1, 13)], true) END AS steps FROM f)
 SELECT series_id, day, CAST(nullif(steps, 0) AS BIGINT) AS steps, round(nullif(steps, 0) * gap, 3) AS ms FROM k""")
 def tp_steps_to_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = trend.holt(daily(spark, sf_dir), TrendSettings(window=20, steps=12, threshold=300_000.0), KEYS, ["day"])
+    out = trend.holt(daily(spark, sf_dir), TrendSettings(window=20, steps=12, threshold=300_000.0), KEYS, ["day"], bucket=_year())
     return out.select("series_id", "day", F.col("steps_to_threshold").alias("steps"), F.round("time_to_threshold_ms", 3).alias("ms"))
 
 
