@@ -161,7 +161,7 @@ def digits(x: float | None, n: int) -> str:
 
 def stats_line(s: dict[str, Any]) -> str:
     names = (("count", "n"), ("mean", "mean"), ("sd", "stdDev"), ("min", "min"), ("max", "max"), ("range", "range"))
-    return " ".join(f"{label}={s[k] if k == 'count' else digits(s[k], 4)}" for k, label in names if s.get(k) is not None)
+    return " ".join(f"{label}={int(s[k]) if k == 'count' else digits(s[k], 4)}" for k, label in names if s.get(k) is not None)
 
 
 def _last(items: list, most: int) -> tuple[str, list]:

@@ -68,49 +68,106 @@ def flag_records(verdicts: DataFrame, record: list[str]) -> DataFrame:
 
 
 class Mahalanobis(Fold):
-    """Distance of each record from the last ``window`` records of its entity (itself included), at least ten; sample covariance with a ridge, pseudo-inverse.  A vector that holds a null or a value that is not finite, or has another length than its entity's first, has no distance and joins no buffer."""
+    """Distance of each record from the last ``window`` records of its entity (itself included), at least ten; sample covariance with a ridge, pseudo-inverse.
+
+    Without ``gaps`` a vector that holds a null or a value that is not finite, or
+    has another length than its entity's first, has no distance and joins no
+    buffer.  With ``gaps`` such values (and places beyond a shorter vector's end)
+    are missing: a record with any value joins the buffer and is compared on its
+    own columns; each column's values are moved together, so the k-th value of
+    one meets the k-th of another, means are over the values there are, and
+    covariances are divided by the records in the buffer less one.
+    """
 
     inputs = ("vector",)
     outputs = (field("distance", "double"), field("severity", "string"))
 
-    def __init__(self, window: int = 100, critical: float = 3.0, warning: float = 2.0) -> None:
-        self.window, self.critical, self.warning = window, critical, warning
+    def __init__(self, window: int = 100, critical: float = 3.0, warning: float = 2.0, gaps: bool = False) -> None:
+        self.window, self.critical, self.warning, self.gaps = window, critical, warning, gaps
 
     def start(self) -> dict:
         return {"rows": []}
 
+    def _usable(self, v: list | None, dims: int | None) -> list | None:
+        if v is None or not len(v):
+            return None
+        x = [y if y is not None and np.isfinite(y) else None for y in v]
+        if self.gaps:
+            return x if any(y is not None for y in x) else None
+        return x if None not in x and dims in (None, len(x)) else None
+
     def step(self, state, columns):
         vectors = columns["vector"]
-        good = [i for i, v in enumerate(vectors) if v is not None and len(v) and np.isfinite(np.array(v, dtype=np.float64)).all()]
         out, level = [None] * len(vectors), [None] * len(vectors)
-        dims = len(state["rows"][0]) if state["rows"] else len(vectors[good[0]]) if good else 0
-        good = [i for i in good if len(vectors[i]) == dims]
-        rows, held = [*state["rows"], *[list(vectors[i]) for i in good]], len(state["rows"])
+        rows, good, held = list(state["rows"]), [], len(state["rows"])
+        for i, v in enumerate(vectors):
+            x = self._usable(v, len(rows[0]) if rows else None)
+            if x is not None:
+                rows.append(x)
+                good.append(i)
         state["rows"] = rows[-self.window :]
         if not good:
             return {"distance": out, "severity": level}
-        x, dim = np.array(rows, dtype=np.float64), len(rows[0])
+        dim = max(map(len, rows))
+        x = np.array([[*r, *[None] * (dim - len(r))] for r in rows], dtype=np.float64)
         ends = held + np.arange(len(good))  # place of each new row
-        for size in sorted(set(np.minimum(ends + 1, self.window).tolist())):  # one size but for the first rows of a series
+        sizes = np.minimum(ends + 1, self.window)
+        missing = np.concatenate([[0], np.cumsum(np.isnan(x).any(axis=1))])
+        whole = missing[ends + 1] == missing[ends + 1 - sizes]  # windows without a gap are taken together
+        for size in sorted(set(sizes[whole].tolist())):  # one size but for the first rows of a series
             if size < 10:
                 continue
-            which = np.flatnonzero(np.minimum(ends + 1, self.window) == size)
+            which = np.flatnonzero(whole & (sizes == size))
             for part in np.array_split(which, max(1, len(which) // 512)):
                 w = np.lib.stride_tricks.sliding_window_view(x, size, axis=0)[ends[part] - size + 1]  # rows x dim x size
                 centred = w - w.mean(axis=2, keepdims=True)
-                c = np.einsum("ndk,nek->nde", centred, centred) / (size - 1)
-                c += np.eye(dim) * np.maximum(1e-6, 1e-6 * np.einsum("ndd->nd", c).max(axis=1))[:, None, None]
-                d = centred[:, :, -1]
-                found = np.sqrt(np.maximum(0.0, np.einsum("nd,nde,ne->n", d, np.linalg.pinv(c, hermitian=True), d)))
+                found = self._distance(np.einsum("ndk,nek->nde", centred, centred) / (size - 1), centred[:, :, -1])
                 for i, m in zip(part, found.tolist(), strict=True):
-                    out[good[i]] = m
-                    level[good[i]] = "critical" if m > np.sqrt(dim * self.critical) else "warning" if m > np.sqrt(dim * self.warning) else "normal"
+                    out[good[i]], level[good[i]] = m, self._level(m, dim)
+        if not whole.all():
+            compact = [c[~np.isnan(c)] for c in x.T]
+            upto = np.concatenate([np.zeros((1, dim), dtype=np.int64), np.cumsum(~np.isnan(x), axis=0)])
+            for i in np.flatnonzero(~whole & (sizes >= 10)).tolist():
+                here = np.flatnonzero(~np.isnan(x[ends[i]]))
+                first, last = upto[ends[i] + 1 - sizes[i]], upto[ends[i] + 1]
+                centred, at = np.zeros((len(here), int((last - first)[here].max()))), np.zeros(len(here))
+                for k, c in enumerate(here.tolist()):  # what lacks at a column's end adds nothing to a product
+                    part = compact[c][first[c] : last[c]]
+                    at[k] = x[ends[i], c] - part.mean()
+                    centred[k, : len(part)] = part - part.mean()
+                m = float(self._distance((centred @ centred.T / (sizes[i] - 1))[None], at[None])[0])
+                out[good[i]], level[good[i]] = m, self._level(m, len(here))
         return {"distance": out, "severity": level}
 
+    @staticmethod
+    def _distance(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        c = c + np.eye(c.shape[1]) * np.maximum(1e-6, 1e-6 * np.einsum("ndd->nd", c).max(axis=1))[:, None, None]
+        return np.sqrt(np.maximum(0.0, np.einsum("nd,nde,ne->n", d, np.linalg.pinv(c, hermitian=True), d)))
+
+    def _level(self, m: float, dim: int) -> str:
+        return "critical" if m > np.sqrt(dim * self.critical) else "warning" if m > np.sqrt(dim * self.warning) else "normal"
 
-def mahalanobis(df: DataFrame, entity: list[str], order: list[str], vector: str, window: int = 100) -> DataFrame:
-    """Adds ``distance`` and ``severity`` of each record's vector."""
-    return ordered(df.withColumn("vector", F.col(vector).cast("array<double>")), entity, order, Mahalanobis(window))
+
+def mahalanobis(df: DataFrame, entity: list[str], order: list[str], vector: str, window: int = 100, gaps: bool = False, bucket: Column | None = None, chunk: int = 100_000) -> DataFrame:
+    """Adds ``distance`` and ``severity`` of each record's vector (:class:`Mahalanobis`).
+
+    With ``bucket``, which must not fall along the order, long series are cut
+    into chunks of records that can join a buffer; the others have no result.
+    """
+    rows, fold = df.withColumn("vector", F.col(vector).cast("array<double>")), Mahalanobis(window, gaps=gaps)
+    if bucket is None:
+        return ordered(rows, entity, order, fold)
+    rows = rows.select(*[c for c in rows.columns if c not in ("distance", "severity")])
+    v = F.col("vector")
+    there = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    usable = F.coalesce((F.size(v) > 0) & (F.exists(v, there) if gaps else F.forall(v, there)), F.lit(False))
+    if not gaps:  # the length that counts is that of the series' first good vector
+        first = rows.where(usable).groupBy(*[F.col(k).alias(f"__of_{k}") for k in entity]).agg(F.min_by(F.size(v), F.struct(*order)).alias("__dims"))
+        rows = rows.join(first, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in entity], "left").select(*rows.columns, "__dims")
+        usable = F.coalesce(usable & (F.size(v) == F.col("__dims")), F.lit(False))
+    found = sliding(rows.where(usable), entity, order, bucket, window, lambda d, k: ordered(d, k, order, fold), chunk)
+    rest = rows.where(~usable).select("*", F.lit(None).cast("double").alias("distance"), F.lit(None).cast("string").alias("severity"))
+    return found.unionByName(rest).drop("__dims")
 
 
 def mahalanobis_2d(df: DataFrame, entity: list[str], order: list[str], x: str, y: str, window: int = 100) -> DataFrame:

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from condmon.functions.chunks import numbered
 from condmon.functions.folds import Fold, field, ordered
 
 EULER = 0.5772156649015329
@@ -201,9 +202,69 @@ class PcaFold(Fold):
         return out
 
 
-def pca(df: DataFrame, keys: list[str], order: list[str], vector: str, names: list[str] | None = None, **settings) -> DataFrame:
-    """The fold's columns; with the variables' ``names`` also ``contributor_names``."""
-    out = ordered(df.withColumn("vector", F.col(vector).cast("array<double>")), keys, order, PcaFold(**settings))
+def _model_rows(train: DataFrame, keys: list[str], share: float, sigma: float) -> DataFrame:
+    """One row of model a series, from its training rows (``vector``, ``__i``), which are a bounded number."""
+    doubles = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*(T.StructField(f"__of_{k}", train.schema[k].dataType) for k in keys), *(T.StructField(f"__{n}", k) for n, k in (("mean", doubles), ("sd", doubles), ("value", doubles), ("axes", T.ArrayType(doubles)), ("t2_limit", T.DoubleType()), ("spe_limit", T.DoubleType())))])
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("__i", "ascending")]).column("vector").to_pylist()
+        m = Components(np.array([r for r in rows if len(r) == len(rows[0])], dtype=np.float64), share, sigma)
+        made = [[m.mean.tolist()], [m.sd.tolist()], [m.value.tolist()], [m.axes.T.tolist()], [m.t2_limit], [m.spe_limit]]
+        return pa.Table.from_arrays([*(table.column(k).slice(0, 1) for k in keys), *(pa.array(v) for v in made)], names=schema.names)
+
+    return train.select(*keys, "__i", "vector").groupBy(*keys).applyInArrow(run, schema)
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _judged(rows: DataFrame, method: str) -> DataFrame:
+    """The columns of :class:`PcaFold` for rows that carry their series' model, as array expressions."""
+    z = F.transform("vector", lambda x, i: (x - F.get("__mean", i)) / F.get("__sd", i))
+    rows = rows.withColumn("__z", z).withColumn("__s", F.transform("__axes", lambda a: _dot(F.col("__z"), a)))
+    along = F.aggregate(F.zip_with("__s", "__axes", lambda s, a: F.transform(a, lambda x: x * s)), F.transform("__z", lambda _: F.lit(0.0)), lambda t, a: F.zip_with(t, a, lambda x, y: x + y))
+    t2 = F.aggregate(F.zip_with("__s", "__value", lambda s, v: F.when(v > 1e-10, s * s / v).otherwise(0.0)), F.lit(0.0), lambda t, x: t + x)
+    rows = rows.withColumn("__along", along).withColumn("t2", t2).withColumn("__r", F.zip_with("__z", "__along", lambda x, y: F.abs(x - y)))
+    rows = rows.withColumn("spe", _dot(F.col("__r"), F.col("__r"))).withColumn("__total", F.greatest(F.aggregate("__r", F.lit(0.0), lambda t, x: t + x), F.lit(1e-300)))
+    over = {"t2": F.col("t2") > F.col("__t2_limit"), "spe": F.col("spe") > F.col("__spe_limit")}
+    ranked = F.array_sort(F.filter(F.transform("__r", lambda x, i: F.struct((-x / F.col("__total")).alias("share"), i.cast("long").alias("index"))), lambda c: c["share"] <= -0.1))
+    rows = rows.withColumn("__top", F.slice(ranked, 1, 3))
+    pick = lambda a: F.transform("__top", lambda c: F.get(a, c["index"].cast("int")))
+    rebuilt = F.transform("__along", lambda x, i: x * F.get("__sd", i) + F.get("__mean", i))
+    return rows.select(
+        "*", F.col("__t2_limit").alias("t2_limit"), F.col("__spe_limit").alias("spe_limit"), over.get(method, over["t2"] | over["spe"]).alias("is_anomaly"),
+        F.transform("__top", lambda c: -c["share"]).alias("contributors"), F.transform("__top", lambda c: c["index"]).alias("contributor_index"),
+        pick("vector").alias("original"), pick(rebuilt).alias("reconstructed"), F.get("__top", F.lit(0))["index"].alias("top"),
+    )
+
+
+def pca(df: DataFrame, keys: list[str], order: list[str], vector: str, names: list[str] | None = None, bucket: Column | None = None, window: int = 100, method: str = "t2", share: float = 0.95, sigma: float = 3.0) -> DataFrame:
+    """The columns of :class:`PcaFold`; with the variables' ``names`` also ``contributor_names``.
+
+    With ``bucket``, which must not fall along the order, no series is one task:
+    the model of a series, a few numbers, comes from its first rows and is joined
+    to the others.  There a vector of another length than its series' first has
+    no result (the fold's rows are of one length).
+    """
+    rows = df.withColumn("vector", F.col(vector).cast("array<double>"))
+    fold = PcaFold(window, method, share, sigma)
+    if bucket is None:
+        out = ordered(rows, keys, order, fold)
+    else:
+        outputs = {f.name for f in fold.outputs}
+        rows = rows.select(*[c for c in rows.columns if c not in outputs])
+        v = F.col("vector")
+        usable = F.coalesce((F.size(v) >= 2) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+        placed = numbered(rows.where(usable), keys, order, bucket)
+        models = _model_rows(placed.where(F.col("__i") < fold.need), keys, share, sigma)
+        on = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys]
+        told = (F.col("__i") >= fold.need - 1) & (F.size("vector") == F.size("__mean"))
+        joined = placed.join(models, on, "left")
+        judged = _judged(joined, method)
+        found = judged.select(*rows.columns, *[F.when(told, F.col(f.name)).cast(f.dataType).alias(f.name) for f in fold.outputs])
+        out = found.unionByName(rows.where(~usable).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fold.outputs]))
     return out.withColumn("contributor_names", F.transform("contributor_index", lambda i: F.get(F.array(*map(F.lit, names)), i.cast("int")))) if names else out
 
 

@@ -303,6 +303,34 @@ def match_faults(frames: DataFrame, faults: DataFrame, s: SignalSettings, keys:
     return each.join(F.broadcast(faults), near).withColumn("deviation", F.abs(F.col("frequency") - F.col("target")) / F.col("target")).withColumn("severity", level)
 
 
+def fleet_faults(machines: DataFrame, keys: list[str], rates: dict[str, Column], harmonics: int = 3) -> DataFrame:
+    """(keys, fault, harmonic, target) for every machine of a table, each rate a column of its own; rates that are null or not over 0 have no fault."""
+    named = F.array(*[F.struct(F.lit(n).alias("fault"), c.cast("double").alias("rate")) for n, c in rates.items()])
+    each = machines.select(*keys, F.explode(named).alias("f")).where("f.rate > 0")
+    return each.select(*keys, F.col("f.fault").alias("fault"), F.explode(F.sequence(F.lit(1), F.lit(harmonics))).alias("harmonic"), F.col("f.rate").alias("__rate")).withColumn("target", F.col("__rate") * F.col("harmonic")).drop("__rate")
+
+
+def match_fleet(frames: DataFrame, faults: DataFrame, s: SignalSettings, machine: list[str], keys: list[str], high: float = 0.5, low: float = 0.2) -> DataFrame:
+    """:func:`match_faults` with a fault table for each machine, of any size (:func:`fleet_faults`); ``machine`` are columns of both.
+
+    A band join: frequencies fall into buckets of a constant ratio, a target is
+    in the few that its tolerance reaches, and both sides meet by machine and
+    bucket.  Nothing is broadcast by hand and no machine's peaks meet all of its
+    faults.  Null machines match nothing; frequencies of 0 are no peaks.
+    """
+    width = math.log1p(max(s.tolerance, 1e-3))
+    bucket = lambda f: F.floor(F.ln(f) / width)
+    each = frames.select(*dict.fromkeys([*machine, *keys]), F.explode("peaks").alias("p")).select(*dict.fromkeys([*machine, *keys]), "p.*").where("frequency > 0")
+    each = each.withColumn("__bucket", bucket(F.col("frequency")))
+    # one bucket more on either side: the ends of a band are rounded
+    reach = F.sequence(bucket(F.col("target") * max(1 - s.tolerance, 1e-9)) - 1, bucket(F.col("target") * (1 + s.tolerance)) + 1)
+    near = faults.where("target > 0").withColumn("__bucket", F.explode(reach))
+    deviation = F.abs(F.col("frequency") - F.col("target")) / F.col("target")
+    level = F.when(F.col("magnitude") > high, "high").when(F.col("magnitude") > low, "medium").otherwise("low")
+    met = each.join(near, [*machine, "__bucket"]).withColumn("deviation", deviation).where(F.col("deviation") <= s.tolerance)
+    return met.withColumn("severity", level).drop("__bucket")
+
+
 def cepstral(df: DataFrame, s: SignalSettings) -> DataFrame:
     """Adds ``cepstrum`` and ``rahmonics`` (quefrency, magnitude, normalized, frequency) of each frame."""
     item = T.StructType([T.StructField(n, T.DoubleType()) for n in ("quefrency", "magnitude", "normalized", "frequency")])

@@ -290,7 +290,7 @@ k AS (SELECT *, CASE WHEN n >= 10 THEN sqrt(greatest(square, 0)) END AS m FROM q
 SELECT series_id, day, round(m, 4) AS distance, CASE WHEN m > 3 THEN 'critical' WHEN m > sqrt(6.0) THEN 'warning' WHEN m IS NOT NULL THEN 'normal' END AS severity FROM k""")
 def mv_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = daily(spark, sf_dir).withColumn("v", F.array(F.col("n").cast("double"), "value", F.col("value") / F.col("n")))
-    return multivalue.mahalanobis(d, KEYS, ["day"], "v", 60).select("series_id", "day", _r("distance", 4), F.col("severity"))
+    return multivalue.mahalanobis(d, KEYS, ["day"], "v", 60, bucket=_year()).select("series_id", "day", _r("distance", 4), F.col("severity"))
 
 
 # Forest and components -----------------------------------------------------------
@@ -302,10 +302,22 @@ def iforest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multivariate.isolation_forest(d, KEYS, ["day"]).select("series_id", "day", _r("score"), "is_anomaly", "severity")
 
 
-@query()
+# Eigenvalues of a 3 x 3 correlation matrix in closed form; z' P z for the projection P on an eigenvector is a polynomial of R in z (Sylvester).
+@query(f"""WITH {DAYS}, b AS (SELECT series_id, day, [CAST(n AS DOUBLE), value, value / n] AS v, row_number() OVER (PARTITION BY series_id ORDER BY day) AS i FROM d),
+m AS (SELECT series_id, count(*) AS n, [avg(v[1]), avg(v[2]), avg(v[3])] AS mean, [stddev_pop(v[1]), stddev_pop(v[2]), stddev_pop(v[3])] AS sd, corr(v[1], v[2]) AS a, corr(v[1], v[3]) AS b, corr(v[2], v[3]) AS c FROM b WHERE i <= 50 GROUP BY 1),
+p AS (SELECT *, sqrt((a * a + b * b + c * c) / 3) AS p FROM m), f AS (SELECT *, acos(greatest(-1, least(1, a * b * c / pow(p, 3)))) / 3 AS phi FROM p),
+e AS (SELECT *, 1 + 2 * p * cos(phi) AS l1, 1 + 2 * p * cos(phi + 2 * pi() / 3) AS l3 FROM f), g AS (SELECT *, 3 - l1 - l3 AS l2 FROM e),
+z AS (SELECT b.series_id, day, i, n, l1, l2, l3, CASE WHEN l1 / 3 >= 0.95 THEN 1 WHEN (l1 + l2) / 3 >= 0.95 THEN 2 ELSE 3 END AS k, (v[1] - mean[1]) / sd[1] AS x, (v[2] - mean[2]) / sd[2] AS y, (v[3] - mean[3]) / sd[3] AS w, a, b AS bb, c FROM b JOIN g USING (series_id)),
+r AS (SELECT *, x + a * y + bb * w AS x1, a * x + y + c * w AS y1, bb * x + c * y + w AS w1 FROM z), q AS (SELECT *, x1 + a * y1 + bb * w1 AS x2, a * x1 + y1 + c * w1 AS y2, bb * x1 + c * y1 + w1 AS w2 FROM r),
+o AS (SELECT series_id, day, i, n, k, [x, y, w] AS z, [{", ".join(f"{{'l': l{i}, 'p': [(x2 - (l{j} + l{k}) * x1 + l{j} * l{k} * x) / t, (y2 - (l{j} + l{k}) * y1 + l{j} * l{k} * y) / t, (w2 - (l{j} + l{k}) * w1 + l{j} * l{k} * w) / t]}}".replace("/ t", f"/ ((l{i} - l{j}) * (l{i} - l{k}))") for i, j, k in ((1, 2, 3), (2, 1, 3), (3, 1, 2)))}] AS parts FROM q),
+s AS (SELECT series_id, day, i, list_sum([(z[1] * c.p[1] + z[2] * c.p[2] + z[3] * c.p[3]) / (c.l * n / (n - 1)) for c in parts[1:k]]) AS t2, coalesce(list_sum([z[1] * c.p[1] + z[2] * c.p[2] + z[3] * c.p[3] for c in parts[k + 1:]]), 0) AS spe,
+  [abs(coalesce(list_sum([c.p[j] for c in parts[k + 1:]]), 0)) for j in range(1, 4)] AS rest FROM o),
+l AS (SELECT series_id, max(t2) AS t2_limit, max(spe) AS spe_limit FROM s WHERE i <= 50 GROUP BY 1)
+SELECT series_id, day, CASE WHEN i >= 50 THEN round(t2, 6) + 0.0 END AS t2, CASE WHEN i >= 50 THEN round(spe, 6) + 0.0 END AS spe, CASE WHEN i >= 50 THEN t2 > t2_limit OR spe > spe_limit END AS is_anomaly,
+  CASE WHEN i >= 50 THEN CAST(list_position(rest, list_max(rest)) - 1 AS BIGINT) END AS top FROM s JOIN l USING (series_id)""")
 def pca_t2_spe(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = daily(spark, sf_dir).withColumn("v", F.array(F.col("n").cast("double"), "value", F.col("value") / F.col("n")))
-    return multivariate.pca(d, KEYS, ["day"], "v", method="combined").select("series_id", "day", _r("t2"), _r("spe"), "is_anomaly", "top")
+    return multivariate.pca(d, KEYS, ["day"], "v", bucket=_year(), method="combined").select("series_id", "day", _r("t2"), _r("spe"), "is_anomaly", "top")
 
 
 @query()
@@ -389,7 +401,31 @@ def sa_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.peaks(frames(spark, sf_dir), SignalSettings()).select("series_id", "frame", F.size("peaks").alias("peaks"), _r("average_peak"), _r("max_peak"), "is_peak")
 
 
-@query()
+def _section(name: str, of: str, cutoff: float, high: bool) -> str:
+    """SQL of a Butterworth section over the list ``x`` of the relation ``of``, ended by turning the list round: applied twice it has no phase."""
+    k = f"tan(pi() * {cutoff} / 1000)"
+    norm = f"(1 + sqrt(2) * {k} + {k} * {k})"
+    b0 = f"(1 / {norm})" if high else f"({k} * {k} / {norm})"
+    b1, a1, a2 = f"({-2 if high else 2} * {b0})", f"(2 * ({k} * {k} - 1) / {norm})", f"((1 - sqrt(2) * {k} + {k} * {k}) / {norm})"
+    y = f"({b0} * v.x + s.s1)"
+    start = "{'x': CAST(0 AS DOUBLE), 's1': CAST(0 AS DOUBLE), 's2': CAST(0 AS DOUBLE), 'y': CAST([] AS DOUBLE[])}"
+    item = "{'x': t, 's1': CAST(0 AS DOUBLE), 's2': CAST(0 AS DOUBLE), 'y': CAST([] AS DOUBLE[])}"
+    step = f"{{'x': CAST(0 AS DOUBLE), 's1': {b1} * v.x - {a1} * {y} + s.s2, 's2': {b0} * v.x - {a2} * {y}, 'y': list_append(s.y, {y})}}"
+    return f"{name} AS (SELECT series_id, frame, list_reverse(list_reduce(list_prepend({start}, list_transform(x, lambda t: {item})), lambda s, v: {step}).y) AS x FROM {of})"
+
+
+#: Peaks of envelope spectra: (series_id, frame, b, m, before, after, top).
+ENVELOPES = f"""{LONG}, f0 AS (SELECT series_id, frame, list(value ORDER BY k) AS x FROM y GROUP BY ALL), {", ".join(_section(f"f{i + 1}", f"f{i}", c, h) for i, (c, h) in enumerate(((50, True), (50, True), (300, False), (300, False))))},
+e AS (SELECT series_id, frame, [list_avg([abs(u) for u in x[greatest(1, i - 5):least(256, i + 5)]]) for i in range(1, 257)] AS x FROM f4),
+h AS (SELECT series_id, frame, k, x[k + 1] * (0.5 - 0.5 * cos(2 * pi() * k / 255)) AS v FROM e, range(256) r(k)),
+g AS (SELECT series_id, frame, b, sqrt(pow(sum(v * cos(2 * pi() * b * k / 256)), 2) + pow(sum(v * sin(2 * pi() * b * k / 256)), 2)) / 256 AS m FROM h, range(128) r(b) GROUP BY ALL),
+n AS (SELECT *, lag(m) OVER w AS before, lead(m) OVER w AS after, max(m) OVER (PARTITION BY series_id, frame) AS top FROM g WINDOW w AS (PARTITION BY series_id, frame ORDER BY b))"""
+
+
+@query(f"""WITH {ENVELOPES}
+SELECT series_id, CAST(frame AS BIGINT) AS frame, fault, CAST(harmonic AS INTEGER) AS harmonic, round(b * 1000.0 / 256, 6) AS frequency, CASE WHEN m > 0.5 THEN 'high' WHEN m > 0.2 THEN 'medium' ELSE 'low' END AS severity
+FROM n, (VALUES ('BPFO', 89.0), ('BPFI', 135.0), ('BSF', 58.0), ('FTF', 10.0), ('1X', 25.0), ('2X', 50.0)) t(fault, rate), range(1, 4) u(harmonic)
+WHERE m > before AND m > after AND m / top > 0.05 AND abs(b * 1000.0 / 256 - rate * harmonic) / (rate * harmonic) <= 0.05""")
 def sa_envelope_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = SignalSettings(low_hz=50.0, high_hz=300.0)
     rates = signal.fault_table(spark, {"BPFO": 89.0, "BPFI": 135.0, "BSF": 58.0, "FTF": 10.0, "1X": 25.0, "2X": 50.0})
@@ -409,6 +445,20 @@ def sa_cepstrum_gears(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signal.match_gears(out, signal.gear_table(spark, [4, 7], 1800.0), ["series_id", "frame"]).select("series_id", "frame", "fault", _r("frequency"), "severity")
 
 
+@query(f"""WITH {ENVELOPES}, t AS (SELECT event_type AS series_id, user_id AS machine, avg(value) AS speed FROM events GROUP BY ALL),
+o AS (SELECT series_id, machine, fault, harmonic, speed * ratio * harmonic AS target FROM t, (VALUES ('1X', 1.0), ('BPFO', 3.56), ('BPFI', 5.4), ('FTF', 0.4)) r(fault, ratio), range(1, 4) u(harmonic))
+SELECT series_id, CAST(frame AS BIGINT) AS frame, machine, fault, CAST(harmonic AS INTEGER) AS harmonic, round(b * 1000.0 / 256, 6) AS frequency, round(target, 6) AS target
+FROM n JOIN o USING (series_id) WHERE m > before AND m > after AND m / top > 0.05 AND abs(b * 1000.0 / 256 - target) / target <= 0.01""")
+def sa_fleet_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelope peaks against the fault rates of every machine: users stand in for machines of a type, the mean of their events for the speed."""
+    s = SignalSettings(low_hz=50.0, high_hz=300.0, tolerance=0.01)
+    machines = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("series_id"), F.col("user_id").alias("machine")).agg(F.avg("value").alias("speed"))
+    speed = F.col("speed")
+    faults = signal.fleet_faults(machines, ["series_id", "machine"], {"1X": speed, "BPFO": speed * 3.56, "BPFI": speed * 5.4, "FTF": speed * 0.4})
+    out = signal.match_fleet(signal.envelope_spectrum(frames(spark, sf_dir), s), faults, s, KEYS, ["series_id", "frame"])
+    return out.select("series_id", "frame", "machine", "fault", F.col("harmonic").cast("int").alias("harmonic"), _r("frequency"), _r("target"))
+
+
 # Trends --------------------------------------------------------------------------
 
 
@@ -442,20 +492,41 @@ def tp_acceleration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trend.acceleration(readings(spark, sf_dir), TrendSettings(time_window_s=1800.0), KEYS, ORDER).select("series_id", "seq", _r("acceleration", 7))
 
 
-@query()
+# The median filter, the mean of its values, all pairwise slopes and least squares of each buffer, written out as lists.
+RUL = """l AS (SELECT series_id, day, list(x) OVER w AS x, list(epoch_ms(CAST(day AS TIMESTAMP))) OVER w AS ms FROM c WINDOW w AS (PARTITION BY series_id ORDER BY day ROWS 49 PRECEDING)),
+n AS (SELECT *, len(x) AS n, greatest(3, len(x) // 10) // 2 AS h, x[-1] AS now FROM l),
+f AS (SELECT *, [list_sort(x[greatest(1, i - 2):least(n, i + 2)])[(least(n, i + 2) - greatest(1, i - 2) + 1) // 2 + 1] for i in range(1, n + 1)] AS m FROM n),
+s AS (SELECT *, [list_avg(m[greatest(1, i - h):least(n, i + h)]) for i in range(1, n + 1)] AS s FROM f),
+t AS (SELECT *, list_sort(flatten([[(s[j] - s[i]) / (j - i) for j in range(i + 1, n + 1)] for i in range(1, n)])) AS slopes, list_sum([(i - (n + 1) / 2.0) * s[i] for i in range(1, n + 1)]) / (n * (n * n - 1) / 12.0) AS line FROM s WHERE n >= 5),
+g AS (SELECT *, 0.7 * slopes[len(slopes) // 2 + 1] + 0.3 * line AS slope, s[n] AS level, list_avg(s) - line * (n - 1) / 2 AS start, (ms[n] - ms[1]) / (n - 1) AS step FROM t),
+e AS (SELECT *, list_sum([pow(x[i] - start - line * (i - 1), 2) for i in range(1, n + 1)]) AS rest, list_sum([pow(v - list_avg(x), 2) for v in x]) AS total FROM g),
+k AS (SELECT *, 1.96 * sqrt(rest / greatest(1, n - 2)) * sqrt(1 + 1.0 / n) AS margin, CASE WHEN now >= goal THEN 'failed' WHEN slope <= 0.0001 THEN 'stable' ELSE 'open' END AS kind FROM e)"""
+
+
+@query(f"""WITH {DAYS}, c AS (SELECT series_id, day, sum(value) OVER (PARTITION BY series_id ORDER BY day) AS x FROM d), {RUL.replace("goal", "1e9")},
+r AS (SELECT series_id, day, kind, step, CASE kind WHEN 'failed' THEN 0 WHEN 'open' THEN (1e9 - level) / slope * step END AS rul, CASE WHEN kind = 'open' THEN greatest(0, (1e9 - margin - level) / slope * step) END AS low,
+  CASE kind WHEN 'failed' THEN 1 WHEN 'stable' THEN 0.5 ELSE greatest(0, least(1, 1 - rest / total)) END AS sure FROM k)
+SELECT series_id, day, round(rul / 86400000, 4) + 0.0 AS rul, round(nullif(low, 0) / 86400000, 4) AS rul_lower, CASE WHEN kind <> 'open' THEN kind WHEN rul < 10 * step THEN 'critical' WHEN rul < 50 * step THEN 'warning' WHEN kind IS NOT NULL THEN 'healthy' END AS rul_status,
+  round(sure, 4) AS rul_confidence FROM (SELECT series_id, day FROM d) LEFT JOIN r USING (series_id, day)""")
 def tp_rul(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remaining life of cumulative revenue towards a fixed limit."""
     from pyspark.sql import Window
 
     d = daily(spark, sf_dir).withColumn("value", F.sum("value").over(Window.partitionBy("series_id").orderBy("day")))
-    out = trend.remaining_life(d, TrendSettings(threshold=1e9, unit="days"), KEYS, ["day"])
+    out = trend.remaining_life(d, TrendSettings(threshold=1e9, unit="days"), KEYS, ["day"], bucket=_year())
     return out.select("series_id", "day", _r("rul", 4), _r("rul_lower", 4), "rul_status", _r("rul_confidence", 4))
 
 
-@query()
+@query(f"""WITH {DAYS}, c AS (SELECT series_id, day, value AS x FROM d), {RUL.replace("goal", "1e7")},
+w AS (SELECT *, 1 - (now - list_min(x)) / (list_max(x) - list_min(x)) AS alive, list_sum([(i - (n + 1) / 2.0) * x[i] for i in range(1, n + 1)]) > 0 AS rises, least(5, greatest(0.5, list_avg(x) / list_aggregate(x, 'stddev_pop'))) AS b FROM k),
+v AS (SELECT *, kind = 'open' AND rises AND alive > 0 AND alive < 1 AS fits FROM w), u AS (SELECT *, CASE WHEN fits THEN (n - 1) * step / pow(-ln(CASE WHEN fits THEN alive END), 1 / b) END AS eta FROM v),
+r AS (SELECT series_id, day, kind, step, fits, b, eta, CASE WHEN kind = 'failed' THEN 0 WHEN fits THEN greatest(0, eta * pow(-ln(0.1), 1 / b) - (n - 1) * step) WHEN kind = 'open' THEN (1e7 - level) / slope * step END AS rul FROM u)
+SELECT series_id, day, round(rul / 86400000, 2) + 0.0 AS rul, CASE WHEN kind <> 'open' THEN 'weibull' WHEN fits THEN 'weibull' WHEN kind IS NOT NULL THEN 'linear' END AS rul_model, CASE WHEN fits THEN round(b, 4) END AS weibull_beta,
+  CASE WHEN fits THEN round(eta * pow(-ln(0.9), 1 / b) / 86400000, 4) END AS weibull_b10, CASE WHEN fits THEN CASE WHEN b < 1 THEN 'infant_mortality' WHEN b = 1 THEN 'useful_life' WHEN b < 4 THEN 'wear_out' ELSE 'rapid_wear_out' END END AS phase,
+  CASE WHEN kind <> 'open' THEN kind WHEN rul < 10 * step THEN 'critical' WHEN rul < 50 * step THEN 'warning' WHEN kind IS NOT NULL THEN 'healthy' END AS rul_status FROM (SELECT series_id, day FROM d) LEFT JOIN r USING (series_id, day)""")
 def tp_rul_weibull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = trend.remaining_life(daily(spark, sf_dir), TrendSettings(method="weibull", threshold=1e7, unit="days"), KEYS, ["day"])
-    return out.select("series_id", "day", _r("rul", 4), "rul_model", _r("weibull_beta", 4), "rul_status")
+    out = trend.remaining_life(daily(spark, sf_dir), TrendSettings(method="weibull", threshold=1e7, unit="days"), KEYS, ["day"], bucket=_year())
+    return out.select("series_id", "day", _r("rul", 2), "rul_model", _r("weibull_beta", 4), _r("weibull_b10", 4), "phase", "rul_status")
 
 
 # Health --------------------------------------------------------------------------
@@ -623,7 +694,13 @@ def ll_batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("series_id", "batch", "count", _r("mean"), _r("sd"), "min", "max", _r("range"))
 
 
-@query()
+def _digits(x: str, n: int) -> str:
+    return f"regexp_replace(CAST(CAST(printf('%.{n}g', {x}) AS DOUBLE) AS VARCHAR), '[.]0$', '')"
+
+
+@query(f"""WITH {R}, b AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts, seq) - 1 AS i FROM r),
+s AS (SELECT series_id, i // 50 AS batch, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd, min(value) AS low, max(value) AS high, string_agg({_digits("value", 6)}, ', ' ORDER BY seq) AS samples FROM b GROUP BY ALL)
+SELECT series_id, CAST(batch AS BIGINT) AS batch, 'Sensor ' || series_id || ': n=' || n || {" || ".join(f"' {label}=' || {_digits(c, 4)}" for label, c in (("mean", "mean"), ("stdDev", "sd"), ("min", "low"), ("max", "high"), ("range", "high - low")))} || chr(10) || samples AS prompt FROM s""")
 def ll_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = analyst.batch_stats(analyst.batches(readings(spark, sf_dir), KEYS, ORDER, 50, bucket=_day()), ["series_id", "batch"])
     return analyst.prompts(out, "series_id", "Sensor {series}: {stats}\n{samples}").select("series_id", "batch", "prompt")
