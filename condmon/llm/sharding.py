@@ -45,14 +45,16 @@ def interleave(df: DataFrame, shards: int, id_col: str = "doc_id", source_col: s
 
     A null source is a source of its own.  Equal hashes (repeated ids) go by
     id, then by all remaining columns that can be ordered as text, so that only
-    rows that are alike in all of them are interchangeable.  An empty table
-    gives an empty one.  Columns named like an output are replaced.
+    rows that are alike in all of them are interchangeable.  A row without an id
+    is placed by a hash of all its columns, so such rows spread, however many.
+    Texts are read only for that hash, so very long ones cost nothing more.  An
+    empty table gives an empty one.  Columns named like an output are replaced.
     """
     clean = without(df, ["shard", "slot"])
     total = clean.count()
     buckets = max(1, min(1 << 20, -(-total // BUCKET_ROWS)))
-    h = seeded(seed, F.col(f"`{id_col}`"))
     tie = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in clean.columns])
+    h = F.when(F.col(f"`{id_col}`").isNull(), seeded(seed, F.lit("null"), tie)).otherwise(seeded(seed, F.col(f"`{id_col}`")))
     top = F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
     rows = clean.select(F.struct(*[F.col(f"`{c}`") for c in clean.columns]).alias("__all"), F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("__s"), F.col(f"`{source_col}`").isNull().alias("__null"), h.alias("__h"), F.col(f"`{id_col}`").alias("__id"), tie.alias("__tie"), F.floor(top * buckets / F.lit(1 << 32)).cast("long").alias("__b"))
     ranked = _ranked(rows, ["__s", "__null"], "__b", ["__h", "__id", "__tie"], "__r")
