@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from condmon.functions.graphs import rooted
+from condmon.functions.lineage import written
+
 #: Channel means and deviations of the ImageNet normalisation, and grey weights.
 MEAN, STD, GREY = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225), (0.299, 0.587, 0.114)
 
@@ -210,17 +214,33 @@ def heatmap(flat: Column) -> Column:
     return F.struct(F.array_min(flat).alias("min"), F.array_max(flat).alias("max"), (F.aggregate(flat, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(flat), F.lit(0))).alias("mean"))
 
 
-def regions(score: np.ndarray, threshold: float) -> list[dict]:
-    """4-connected regions over the threshold, largest area first: area, peak, bounds.  Labels spread to the smallest neighbour until nothing changes."""
-    h, w = score.shape
-    inside = score > threshold
-    label = np.where(inside, np.arange(h * w).reshape(h, w), h * w)
+def labelled(inside: np.ndarray) -> np.ndarray:
+    """For each place of a mask the smallest place (in reading order) of its 4-connected region, or the number of places outside of all.
+
+    Labels take their neighbours' least, roots are hooked to it and paths
+    halved, so the passes grow with the logarithm of a region's length.
+    """
+    h, w = inside.shape
+    out = h * w
+    label = np.append(np.where(inside, np.arange(out).reshape(h, w), out).ravel(), out)
     while True:
-        padded = np.pad(label, 1, constant_values=h * w)
-        new = np.where(inside, np.minimum.reduce([label, padded[:-2, 1:-1], padded[2:, 1:-1], padded[1:-1, :-2], padded[1:-1, 2:]]), label)
+        at = label[:-1].reshape(h, w)
+        padded = np.pad(at, 1, constant_values=out)
+        least = np.where(inside, np.minimum.reduce([at, padded[:-2, 1:-1], padded[2:, 1:-1], padded[1:-1, :-2], padded[1:-1, 2:]]), out)
+        new = label.copy()
+        np.minimum.at(new, at.ravel(), least.ravel())
+        new[:-1] = np.minimum(new[:-1], least.ravel())
+        new[out] = out
+        new = new[new]
         if (new == label).all():
-            break
+            return at
         label = new
+
+
+def regions(score: np.ndarray, threshold: float) -> list[dict]:
+    """4-connected regions over the threshold, largest area first: area, peak, bounds."""
+    inside = score > threshold
+    label = labelled(inside)
     out = []
     for v in np.unique(label[inside]):
         y, x = np.nonzero(label == v)
@@ -228,6 +248,72 @@ def regions(score: np.ndarray, threshold: float) -> list[dict]:
     return sorted(out, key=lambda r: -r["area"])
 
 
+#: Figures of a region besides its keys.
+FIGURES = {"area": "long", "peak": "double", "min_x": "long", "min_y": "long", "max_x": "long", "max_y": "long"}
+
+
+def tiled_regions(tiles: DataFrame, keys: list[str], scores: str, threshold: float = 0.5) -> DataFrame:
+    """Regions over the threshold of score maps larger than a row: (keys, area, peak, min_x, min_y, max_x, max_y), one row a region.
+
+    A tile is a row: flat ``scores``, ``width`` of its lines, and ``x0``, ``y0`` of
+    its first place in its map; tiles must not overlap.  Regions are labelled
+    within tiles, tiles' border places meet their neighbours by a join, and the
+    labels that touch are united (:func:`condmon.functions.graphs.rooted`), so
+    what travels are borders and one row a region of a tile.  Tiles without
+    scores or width have no region; NaN is over no threshold.
+    """
+    kept = tiles.select(*keys, "x0", "y0", "width", F.col(scores).cast("array<double>").alias("__scores")).where("width > 0 and __scores is not null")
+    place = "array<struct<x:long,y:long>>"
+    schema = T.StructType([*(kept.schema[k] for k in keys), T.StructField("node", T.LongType()), *T._parse_datatype_string(", ".join(f"{n} {k}" for n, k in FIGURES.items())).fields, T.StructField("border", T._parse_datatype_string(place))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
+            rows: list[int] = []
+            out: dict[str, list] = {n: [] for n in ("node", *FIGURES, "border")}
+            for i, (x0, y0, width) in enumerate(zip(*[column(c).to_pylist() for c in ("x0", "y0", "width")], strict=True)):
+                flat = np.array(column("__scores")[i].as_py(), dtype=np.float64)
+                if not len(flat):
+                    continue
+                score = flat.reshape(-1, width)
+                inside = score > threshold
+                y, x = np.nonzero(inside)
+                if not len(y):
+                    continue
+                roots, which = np.unique(labelled(inside)[inside], return_inverse=True)
+                edge = (y == 0) | (x == 0) | (y == score.shape[0] - 1) | (x == width - 1)
+                order = np.argsort(which, kind="stable")
+                starts = np.searchsorted(which[order], np.arange(len(roots)))
+                over = lambda f, v, order=order, starts=starts: f.reduceat(v[order], starts).tolist()
+                rows += [i] * len(roots)
+                out["node"] += (((roots // width + y0) << 31) + roots % width + x0).tolist()
+                out["area"] += over(np.add, np.ones(len(y), dtype=np.int64))
+                out["peak"] += over(np.maximum, score[y, x])
+                for name, v in (("x", x + x0), ("y", y + y0)):
+                    out[f"min_{name}"] += over(np.minimum, v)
+                    out[f"max_{name}"] += over(np.maximum, v)
+                borders: list[list[dict]] = [[] for _ in roots]
+                for k, bx, by in zip(which[edge].tolist(), (x[edge] + x0).tolist(), (y[edge] + y0).tolist(), strict=True):
+                    borders[k].append({"x": bx, "y": by})
+                out["border"] += borders
+            kinds = [pa.int64(), *(pa.float64() if k == "double" else pa.int64() for k in FIGURES.values()), pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())]))]
+            head = [column(k).take(pa.array(rows, pa.int64())) for k in keys]
+            yield pa.RecordBatch.from_arrays([*head, *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], names=schema.names)
+
+    parts = written(kept.mapInArrow(run, schema), "regions")
+    border = parts.select(*keys, "node", F.explode("border").alias("p")).select(*keys, "node", "p.x", "p.y")
+    beside = F.explode(F.array(F.struct((F.col("x") + 1).alias("x"), F.col("y").alias("y")), F.struct(F.col("x").alias("x"), (F.col("y") + 1).alias("y"))))
+    other = border.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col("node").alias("b"), F.col("x").alias("__x"), F.col("y").alias("__y"))
+    met = border.select(*keys, F.col("node").alias("a"), beside.alias("p"))
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys]
+    links = met.join(other, [*same, F.col("p.x") == F.col("__x"), F.col("p.y") == F.col("__y")]).where("a <> b").select(*keys, "a", "b")
+    roots = rooted(links, keys)
+    named = roots.select(*[F.col(k).alias(f"__of_{k}") for k in keys], F.col("node").alias("__node"), "root")
+    united = parts.join(named, [*same, F.col("node") == F.col("__node")], "left").withColumn("root", F.coalesce("root", "node"))
+    whole = {"area": F.sum, "peak": F.max, "min_x": F.min, "min_y": F.min, "max_x": F.max, "max_y": F.max}
+    return united.groupBy(*keys, "root").agg(*[f(n).alias(n) for n, f in whole.items()]).drop("root")
+
+
 def anomaly_map(df: DataFrame, scores: str, width: int, threshold: float = 0.5) -> DataFrame:
     """Adds ``regions`` and ``fraction`` of pixels over the threshold of each flat score map."""
     item = T.StructType([T.StructField("area", T.IntegerType()), T.StructField("peak", T.DoubleType()), *[T.StructField(n, T.IntegerType()) for n in ("min_x", "min_y", "max_x", "max_y")]])

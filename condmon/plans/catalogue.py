@@ -810,6 +810,19 @@ def vi_instance_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vision.instance_masks(d, ["vec_id"], "masks", 4, 0.05).select("vec_id", "instance", "area", F.col("min_x").cast("long").alias("min_x"), F.col("max_y").cast("long").alias("max_y"), "fraction")
 
 
+@query("""WITH RECURSIVE e AS (SELECT vec_id, CAST(vec_id // 16 AS BIGINT) AS map, embedding FROM embeddings),
+p AS (SELECT map, vec_id % 4 * 8 + k % 8 AS x, vec_id % 16 // 4 * 8 + k // 8 AS y, CAST(embedding[k + 1] AS DOUBLE) AS v FROM e, range(64) r(k) WHERE embedding[k + 1] > 0.08),
+r AS (SELECT map, x, y, y * 32 + x AS root FROM p UNION SELECT p.map, p.x, p.y, r.root FROM r JOIN (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) d(dx, dy) ON true JOIN p ON p.map = r.map AND p.x = r.x + dx AND p.y = r.y + dy),
+g AS (SELECT map, x, y, min(root) AS root FROM r GROUP BY ALL)
+SELECT map, count(*) AS area, round(max(v), 6) AS peak, CAST(min(x) AS BIGINT) AS min_x, CAST(min(y) AS BIGINT) AS min_y, CAST(max(x) AS BIGINT) AS max_x, CAST(max(y) AS BIGINT) AS max_y FROM g JOIN p USING (map, x, y) GROUP BY map, root""")
+def vi_tiled_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as tiles of 8 x 8, sixteen to a map."""
+    i = F.col("vec_id")
+    d = table(spark, sf_dir, "embeddings").select(F.floor(i / 16).cast("long").alias("map"), (i % 4 * 8).cast("long").alias("x0"), (F.floor(i % 16 / 4) * 8).cast("long").alias("y0"), F.lit(8).alias("width"), "embedding")
+    return vision.tiled_regions(d, ["map"], "embedding", 0.08).withColumn("peak", F.round("peak", 6))
+
+
+
 @query("""WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings), p AS (SELECT vec_id, v, [v[2 * k + 1] for k in range(32)] AS x, [v[2 * k + 2] for k in range(32)] AS y FROM e)
 SELECT vec_id, round(abs(list_sum([x[k + 1] * y[(k + 1) % 32 + 1] - x[(k + 1) % 32 + 1] * y[k + 1] for k in range(32)])) / 2, 6) AS area,
   round(list_sum([sqrt(pow(x[(k + 1) % 32 + 1] - x[k + 1], 2) + pow(y[(k + 1) % 32 + 1] - y[k + 1], 2)) for k in range(32)]), 6) AS perimeter,
