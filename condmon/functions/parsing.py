@@ -51,12 +51,24 @@ def safe_key(name: Column) -> Column:
     return F.substring(F.regexp_replace(name, "[^A-Za-z0-9_.-]", "_"), 1, 64)
 
 
-def segments(df: DataFrame, keys: list[str], order: list[str], reset: str = "reset") -> DataFrame:
-    """Adds ``segment``: the number of resets up to a row, its own included.  With it among the keys, a reset starts afresh."""
+def segments(df: DataFrame, keys: list[str], order: list[str], reset: str = "reset", bucket: Column | None = None) -> DataFrame:
+    """Adds ``segment``: the number of resets up to a row, its own included.  With it among the keys, a reset starts afresh.
+
+    With ``bucket``, which must not fall along the order, resets are counted by
+    bucket first, so no series is one task.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("segment", F.sum(F.coalesce(F.col(reset).cast("int"), F.lit(0))).over(w))
+    one = F.coalesce(F.col(reset).cast("int"), F.lit(0))
+    if bucket is None:
+        return df.withColumn("segment", F.sum(one).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    rows, both = df.withColumn("__bucket", bucket), [*keys, "__bucket"]
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*both).agg(F.sum(one).alias("__n"))
+    offsets = counts.select(*[F.col(k).alias(f"__of_{k}") for k in both], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = rows.withColumn("__r", F.sum(one).over(Window.partitionBy(*both).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    joined = within.join(offsets, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in both], "left")
+    return joined.select(*[c for c in df.columns if c != "segment"], (F.col("__r") + F.col("__before")).alias("segment"))
 
 
 def route(df: DataFrame, condition: str = "is_anomaly") -> tuple[DataFrame, DataFrame]:

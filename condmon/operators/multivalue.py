@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from condmon.config import AnomalySettings
 from condmon.functions import stats
-from condmon.functions.chunks import sliding
+from condmon.functions.chunks import numbered, sliding
 from condmon.functions.folds import Fold, field, ordered
 from condmon.functions.windows import RankCorrelation
 from condmon.operators.anomaly import measure
@@ -201,17 +201,20 @@ def correlate(df: DataFrame, keys: list[str], order: list[str], x: str, y: str,
     return out.withColumn("is_anomalous", F.abs("correlation") < threshold)
 
 
-def cross_correlation(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, block: int = 4096) -> DataFrame:
+def cross_correlation(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, block: int = 4096, bucket: Column | None = None) -> DataFrame:
     """``lag``, ``correlation`` for lags of up to a quarter of each series' length, both ways, and ``best`` (first largest).
 
     Series are cut into blocks of ``block`` samples.  Blocks near enough to hold
     a pair at some lag meet, and a pair of blocks gives its sums for all lags at
     once by a Fourier transform; the sums of all pairs are then added up by lag.
+    ``bucket``, of the ``order`` columns and never falling along them, lets rows
+    be numbered in two steps.
     """
     w = Window.partitionBy(*keys)
     of = df.select(*keys, *[F.col(c) for c in order if c not in keys], F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).where("__x is not null and __y is not null")
     facts = of.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.avg("__x").alias("__mx"), F.avg("__y").alias("__my"), (F.stddev_pop("__x") * F.stddev_pop("__y")).alias("__scale"))
-    at = of.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).join(facts.select(*keys, "__mx", "__my"), keys)
+    placed = of.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1) if bucket is None else numbered(of, keys, order, bucket)
+    at = placed.join(facts.select(*keys, "__mx", "__my"), keys)
     sample = F.struct("__i", (F.col("__x") - F.col("__mx")).alias("x"), (F.col("__y") - F.col("__my")).alias("y"))
     cells = at.groupBy(*keys, F.floor(F.col("__i") / block).alias("__b")).agg(F.array_sort(F.collect_list(sample)).alias("__s"))
     most = F.floor(F.col("__n") / 4)

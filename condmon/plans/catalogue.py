@@ -269,7 +269,7 @@ l AS (SELECT a.series_id, b.i - a.i AS lag, sum(a.dx * b.dy) / (count(*) * nulli
 SELECT series_id, CAST(lag AS INTEGER) AS lag, round(coalesce(r, 0), 5) AS correlation FROM l""")
 def mv_cross_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = daily(spark, sf_dir).withColumn("x", F.col("n").cast("double"))
-    return multivalue.cross_correlation(d, KEYS, ["day"], "x", "value").select("series_id", F.col("lag").cast("int").alias("lag"), _r("correlation", 5))
+    return multivalue.cross_correlation(d, KEYS, ["day"], "x", "value", bucket=_year()).select("series_id", F.col("lag").cast("int").alias("lag"), _r("correlation", 5))
 
 
 @query(f"""WITH {PAIRS}, c AS (SELECT *, count(*) OVER w AS n, var_samp(x) OVER w AS a, covar_samp(x, y) OVER w AS b, var_samp(y) OVER w AS c, x - avg(x) OVER w AS dx, y - avg(y) OVER w AS dy FROM p WINDOW w AS ({PW.format(n=49)})),

@@ -68,7 +68,7 @@ SELECT series_id, segment, count(*) AS n, min(seq) AS first_seq FROM s GROUP BY
 def ad_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resets cut a series into segments."""
     r = readings(spark, sf_dir).withColumn("reset", F.col("seq") % 97 == 0)
-    return parsing.segments(r, KEYS, ORDER).groupBy("series_id", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
+    return parsing.segments(r, KEYS, ORDER, bucket=_day()).groupBy("series_id", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
 
 
 # Per-value analysis ----------------------------------------------------------------

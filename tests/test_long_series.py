@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from condmon.config import SignalSettings, TrendSettings
 from condmon.functions import folds
 from condmon.functions.chunks import framed, numbered
+from condmon.functions.parsing import segments
 from condmon.operators import analyst, dataset, multivalue, multivariate, signal, trend
 
 KEYS, ORDER = ["k"], ["seq"]
@@ -65,6 +66,7 @@ def test_counts_and_components_equal_whole_series(series):
         lambda **b: dataset.rul_label(series, KEYS, ORDER, 30, **b),
         lambda **b: dataset.rul_label(series, KEYS, ORDER, 30, "hours", **b),
         lambda **b: analyst.batches(series, KEYS, ORDER, 4, **b),
+        lambda **b: segments(series.withColumn("reset", F.col("value") > 20), KEYS, ORDER, **b),
         lambda **b: multivariate.pca(series, KEYS, ORDER, "v", ["x", "y", "z"], window=22, method="combined", share=0.6, **b),
     ):
         assert rows(form(bucket=bucket())) == rows(form())
