@@ -262,6 +262,28 @@ def test_toxic_windows_and_figures():
     assert f[:, -4:].tolist() == [[7, 3, 8, 3], [0, 0, 0, 0], [0, 0, 0, 1]] and f[0, :8].tolist() == [2, 2, 2, 1, 1, 1, 1, 0]
 
 
+def test_toxicity_by_hand(spark):
+    import zstandard
+
+    m = toxicity.Model(b"the plain and ordinary words of every day " * 3, b"gruddling vexquop filth", 2, (-1.0, 0.5, 2.0, 0.7, -0.2, 0.1))
+    load = lambda d: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=zstandard.ZstdCompressionParameters(**toxicity.PARAMETERS))
+    plain, toxic = load(m.ordinary), load(m.toxic + m.ordinary)
+
+    def by_hand(text: str) -> float:
+        raw = (text or "").encode().lower() if (text or "").isascii() else (text or "").encode()
+        size, step = toxicity.WINDOW, toxicity.STRIDE
+        cuts = ([raw] if len(raw) <= size else [raw[i : i + size] for i in range(0, len(raw) - size, step)] + [raw[-size:]]) if raw else []
+        gains = [len(plain.compress(c)) - len(toxic.compress(c)) for c in cuts]
+        n, top = max(1, len(gains)), [max(0, g) for g in sorted(gains, reverse=True)] + [0, 0]
+        over = sum(g >= m.threshold for g in gains)
+        x = [np.log1p(over), over / n, top[0] / 8, top[1] / 8 if len(gains) > 1 else 0, min(4, max(-4, sum(gains) / n))]
+        return 1 / (1 + np.exp(-(m.weights[0] + np.dot(m.weights[1:], x))))
+
+    texts = [None, "", "a", "GRUDDLING", "ordinary words " * 40, "the plain vexquop filth and ordinary day " * 9, "x" * 33, "é vexquop filth " * 500]
+    rows = toxicity.score(docs(spark, texts), m).orderBy("extra").collect()
+    assert [r.score for r in rows] == pytest.approx([by_hand(t) for t in texts], abs=1e-12)
+
+
 def test_toxic_language_is_learnt_not_memorised(spark):
     rng = random.Random(3)
     plain = lambda: " ".join("".join(rng.choices(["ka", "lo", "mi", "ru", "te", "sa"], k=rng.randint(1, 4))) for _ in range(60))
