@@ -144,6 +144,21 @@ def shape_of(text: str | None, n: int) -> list[int]:
     return dims if dims and int(np.prod(dims)) == n else [1, n]
 
 
+def _outputs(model: Predict, rows: list, shape: list[int] | None = None) -> list:
+    """The model's output for each row as a list; null rows give null.  Rows of one length go to the model together."""
+    made: list = [None] * len(rows)
+    sizes: dict[int, list[int]] = {}
+    for i, r in enumerate(rows):
+        if r is not None:
+            sizes.setdefault(len(r), []).append(i)
+    for places in sizes.values():
+        x = np.array([rows[i] for i in places], dtype=np.float64)
+        y = np.asarray(model(x.reshape(len(places), *shape[1:]) if shape else x), dtype=np.float64).reshape(len(places), -1)
+        for i, v in zip(places, y.tolist(), strict=True):
+            made[i] = v
+    return made
+
+
 def predict(df: DataFrame, load: Callable[[], Predict], features: str = "features", out: str = "prediction", shape: list[int] | None = None) -> DataFrame:
     """Adds the model's output as an array of doubles.  ``load`` runs once a worker process; rows with null features get null."""
     rest = [c for c in df.columns if c != out]
@@ -155,16 +170,7 @@ def predict(df: DataFrame, load: Callable[[], Predict], features: str = "feature
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
                 rows = batch.column(batch.schema.get_field_index(features)).to_pylist()
-                made: list = [None] * len(rows)
-                sizes: dict[int, list[int]] = {}
-                for i, r in enumerate(rows):
-                    if r is not None:
-                        sizes.setdefault(len(r), []).append(i)
-                for places in sizes.values():
-                    x = np.array([rows[i] for i in places], dtype=np.float64)
-                    y = np.asarray(model(x.reshape(len(places), *shape[1:]) if shape else x), dtype=np.float64).reshape(len(places), -1)
-                    for i, v in zip(places, y.tolist(), strict=True):
-                        made[i] = v
+                made = _outputs(model, rows, shape)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, type=pa.list_(pa.float64()))], names=[*rest, out])
 
     return df.select(*rest).mapInArrow(run, schema)
