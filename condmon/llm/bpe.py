@@ -183,8 +183,9 @@ def encode(df: DataFrame, vocab_path: str, pattern: str, text_col: str = "text",
     """Adds ``token_ids`` (binary: little-endian unsigned 32-bit ids) and ``n_tokens`` (long) of each whole text; with ``back`` "bytes" also ``decoded``, the bytes that the ids decode to, with "check" ``round_trip``, whether those are the text's.
 
     Each match of ``pattern`` is encoded on its own, without special tokens.
-    Null and empty texts have no ids.  Repeated rows give repeated results;
-    an empty table gives an empty one.
+    Null and empty texts have no ids; texts of any length are encoded whole.
+    Repeated rows give repeated results, an empty table gives an empty one, and
+    input columns named like an output (in any case) are replaced.
     """
     tokens = read_ranks(vocab_path)
     shared = df.sparkSession.sparkContext.broadcast((tokens, PerfectHash(tokens)))

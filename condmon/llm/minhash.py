@@ -270,8 +270,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A text without words has an empty set and no link; null and empty texts are
     such.  A row with a null id has no component (null) and is kept.  Rows that
-    share an id are one document: they share a component.  Other columns of the
-    input are not read; an empty table gives an empty one.
+    share an id are one document: they share a component.  Texts of any length
+    count whole.  Other columns of the input are not read; an empty table gives
+    an empty one.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").alias("text"))
     known = written(describe(docs, "text").select("node", "n_shingles", "k1", "k2", "bands"), "minhash")

@@ -152,7 +152,8 @@ def to_media(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``media`` (binary Ogg file) of each whole text's UTF-8 bytes and ``n_bytes`` (long, unpadded).
 
     Null and empty texts store one unit of padding.  Equal texts give equal
-    files; texts of any length are written page by page.
+    files; texts of any length are written page by page.  Input columns named
+    like an output (in any case) are replaced; an empty table gives an empty one.
     """
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]
 
@@ -174,7 +175,8 @@ def from_media(df: DataFrame, media_col: str = "media") -> DataFrame:
     """Adds what reading the Ogg file gives: ``payload`` (binary), ``streams``, ``pages``, ``packets``, ``duration_ms``, ``bad_pages`` and ``peak`` (largest distance of a sample from 128).
 
     A null or foreign file gives an empty payload and zero counts; damaged
-    pages are left out and counted.
+    pages are left out and counted.  Input columns named like an output (in any
+    case) are replaced; an empty table gives an empty one.
     """
     names = ["streams", "pages", "packets", "duration_ms", "bad_pages", "peak"]
     fields = [T.StructField("payload", T.BinaryType())] + [T.StructField(n, T.LongType()) for n in names]

@@ -508,7 +508,8 @@ def _finish(names: list[str], as_text: bool, buckets: int, key: int):
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
     """The input's columns without the text, and ``n_bytes``, ``kept`` (binary), ``n_removed`` and ``spans`` ([start, end) byte pairs, maximal).
 
-    Null and empty texts, and texts under ``LENGTH`` bytes, stay as they are.
+    Null and empty texts, and texts under ``LENGTH`` bytes, stay as they are;
+    texts of any length are judged whole.
     A row with a null id takes no part and stays whole.  Rows that share an id
     do not remove each other's bytes.  Repeats within one document stay.
     Columns named like an output are replaced; an empty table gives an empty
