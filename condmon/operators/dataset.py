@@ -90,14 +90,20 @@ def portable_hash(id_col: Column, seed: int) -> Column:
     return F.pmod((id_col + F.lit(seed)) * F.lit(2654435761), F.lit(1 << 32))
 
 
+#: Ranges of hashes at most into which rows are counted for a split.
+SPLIT_BUCKETS = 1 << 20
+
+
 def split(df: DataFrame, id_col: str, train: float = 0.7, validation: float = 0.15, seed: int = 0, bucket_rows: int = 20_000) -> DataFrame:
     """Adds ``split``: floor(n * train) rows, floor(n * validation) rows, the rest test, in a seeded order.
 
     Exact sizes without one sorted partition: rows are counted by hash range
-    (about ``bucket_rows`` each) first, and row numbers within a range continue
-    those counts.
+    (about ``bucket_rows`` each, SPLIT_BUCKETS ranges at most, so that the
+    counts that are broadcast are a million rows of three numbers; beyond, ranges
+    grow) first, and
+    row numbers within a range continue those counts.
     """
-    buckets = max(1, min(1 << 24, -(-df.count() // bucket_rows)))
+    buckets = max(1, min(SPLIT_BUCKETS, -(-df.count() // bucket_rows)))
     h = portable_hash(F.col(id_col), seed)
     rows = df.withColumn("__h", h).withColumn("__b", F.floor(F.col("__h") * buckets / (1 << 32)))
     counts = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
