@@ -100,8 +100,7 @@ def split(df: DataFrame, id_col: str, train: float = 0.7, validation: float = 0.
     Exact sizes without one sorted partition: rows are counted by hash range
     (about ``bucket_rows`` each, SPLIT_BUCKETS ranges at most, so that the
     counts that are broadcast are a million rows of three numbers; beyond, ranges
-    grow) first, and
-    row numbers within a range continue those counts.
+    grow) first, and row numbers within a range continue those counts.
     """
     buckets = max(1, min(SPLIT_BUCKETS, -(-df.count() // bucket_rows)))
     h = portable_hash(F.col(id_col), seed)
