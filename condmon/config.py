@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field, fields
+from decimal import Decimal
 from typing import Any
 
 
@@ -66,6 +67,11 @@ class AnomalySettings(Settings):
         """Normal samples in a row that end an anomaly."""
         return max(self.consecutive, math.ceil(self.consecutive * (1 + self.exit_percent / 100)))
 
+    @property
+    def iqr_warning(self) -> float:
+        """0.8 times the multiplier, as decimals: the product of doubles is a little more than 1.2 for 1.5, and values on the limit would be missed."""
+        return float(Decimal("0.8") * Decimal(str(self.iqr_multiplier)))
+
     @property
     def warmup(self) -> int:
         return 4 if self.method == "iqr" else 2

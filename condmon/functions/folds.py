@@ -305,7 +305,7 @@ class Detector(Fold):
             o = np.sort(b)
             q1, q3 = o[int(len(o) * 0.25)], o[int(len(o) * 0.75)]
             out = lambda k: x < q1 - k * (q3 - q1) or x > q3 + k * (q3 - q1)
-            return "critical" if out(s.iqr_multiplier) else "warning" if out(0.8 * s.iqr_multiplier) else "normal"
+            return "critical" if out(s.iqr_multiplier) else "warning" if out(s.iqr_warning) else "normal"
         if s.method == "threshold":
             low, high, m = s.min_threshold, s.max_threshold, s.margin_percent / 100
             if (low is not None and x < low) or (high is not None and x > high):
