@@ -144,11 +144,19 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds) and f.name.lower() not in NOT_READINGS]
 
 
-def batch_stats(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Count, mean, deviation (population), min, max, range and the values in order of ``seq`` where there is one."""
+def batch_stats(df: DataFrame, keys: list[str], value: str = "value", order: list[str] | None = None) -> DataFrame:
+    """Count, mean, deviation (population), min, max, range and the values in order of ``seq`` where there is one.
+
+    The mean is a sum in order (of ``order``, or ``seq``): a prompt shows four
+    digits, and where a mean lies halfway between two of them, the last bit that
+    the order of a sum leaves open decides.
+    """
     x = F.col(value)
+    by = order or (["seq"] if "seq" in df.columns else [])
+    summed = F.aggregate(F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct(*by, x.alias("__v"))))), F.lit(0.0), lambda s, r: s + r["__v"])
+    mean = summed / F.nullif(F.count(x), F.lit(0)) if by else F.avg(x)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", x.alias("v")))), lambda s: s["v"]) if "seq" in df.columns else F.collect_list(x)
-    return df.groupBy(*keys).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"), (F.max(x) - F.min(x)).alias("range"), listed.alias("samples"))
+    return df.groupBy(*keys).agg(F.count(x).alias("count"), mean.alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"), (F.max(x) - F.min(x)).alias("range"), listed.alias("samples"))
 
 
 def digits(x: float | None, n: int) -> str:

@@ -690,7 +690,7 @@ def vi_boxes_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {R}, b AS (SELECT *, (row_number() OVER (PARTITION BY series_id ORDER BY ts, seq) - 1) // 50 AS batch FROM r)
 SELECT series_id, CAST(batch AS BIGINT) AS batch, count(*) AS count, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, min(value) AS min, max(value) AS max, round(max(value) - min(value), 6) AS range FROM b GROUP BY ALL""")
 def ll_batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = analyst.batch_stats(analyst.batches(readings(spark, sf_dir), KEYS, ORDER, 50, bucket=_day()), ["series_id", "batch"])
+    out = analyst.batch_stats(analyst.batches(readings(spark, sf_dir), KEYS, ORDER, 50, bucket=_day()), ["series_id", "batch"], order=ORDER)
     return out.select("series_id", "batch", "count", _r("mean"), _r("sd"), "min", "max", _r("range"))
 
 
@@ -702,7 +702,7 @@ def _digits(x: str, n: int) -> str:
 s AS (SELECT series_id, i // 50 AS batch, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd, min(value) AS low, max(value) AS high, string_agg({_digits("value", 6)}, ', ' ORDER BY seq) AS samples FROM b GROUP BY ALL)
 SELECT series_id, CAST(batch AS BIGINT) AS batch, 'Sensor ' || series_id || ': n=' || n || {" || ".join(f"' {label}=' || {_digits(c, 4)}" for label, c in (("mean", "mean"), ("stdDev", "sd"), ("min", "low"), ("max", "high"), ("range", "high - low")))} || chr(10) || samples AS prompt FROM s""")
 def ll_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = analyst.batch_stats(analyst.batches(readings(spark, sf_dir), KEYS, ORDER, 50, bucket=_day()), ["series_id", "batch"])
+    out = analyst.batch_stats(analyst.batches(readings(spark, sf_dir), KEYS, ORDER, 50, bucket=_day()), ["series_id", "batch"], order=ORDER)
     return analyst.prompts(out, "series_id", "Sensor {series}: {stats}\n{samples}").select("series_id", "batch", "prompt")
 
 

@@ -386,6 +386,19 @@ def test_analyst(spark):
     assert e.value.kind == "rate-limit"
 
 
+def test_batch_mean_is_summed_in_order(spark):
+    """The order of rows in a table does not show in a mean's last bit; nulls count for nothing."""
+    values = [0.1, 0.2, 0.3, 1e16, 1.0, -1e16, None, 0.7]
+    total = 0.0
+    for v in values:
+        total += v or 0.0
+    made = [("a", i, v) for i, v in enumerate(values)] + [("b", 0, None)]
+    for rows in (made, made[::-1], made[3:] + made[:3]):
+        got = {r.k: r for r in analyst.batch_stats(spark.createDataFrame(rows, "k string, seq long, value double"), ["k"], order=["seq"]).collect()}
+        assert got["a"]["mean"] == total / 7 and got["a"]["count"] == 7
+        assert got["b"]["mean"] is None and got["b"]["count"] == 0
+
+
 def test_routes(spark):
     df = spark.createDataFrame([(1, True), (2, False), (3, None)], "i int, is_anomaly boolean")
     normal, odd = parsing.route(df)
