@@ -42,8 +42,18 @@ def sliding(df: DataFrame, keys: list[str], order: list[str], bucket: Column, ro
     ``rows - 1`` rows before it; context rows are dropped from its result.  With
     ``keep`` the column ``__chunk`` stays, for :func:`last_known`; with ``number``
     ``__i`` does, for :func:`condmon.functions.scans.scanned`.
+
+    Where no series is longer than a chunk (counted first, by key), nothing is
+    cut: rows are dealt by key once, instead of by bucket, to their offsets and
+    to their chunks.
     """
     chunk = max(chunk, rows)
+    longest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if longest <= chunk:
+        own = df.withColumn("__chunk", F.lit(0).cast("long")) if keep else df
+        if number:
+            own = own.withColumn("__i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+        return apply(own, keys)
     at = numbered(df, keys, order, bucket)
     own = F.floor(F.col("__i") / chunk)
     late = F.col("__i") % chunk >= chunk - (rows - 1)

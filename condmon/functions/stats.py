@@ -73,7 +73,12 @@ def zscore(x: Column, m: Column, s: Column) -> Column:
 def pearson(x: Column, y: Column, w: WindowSpec | None = None) -> Column:
     """Within [-1, 1]; 0 where either side is constant; null on nothing."""
     sx, sy = _over(F.stddev_pop(x), w), _over(F.stddev_pop(y), w)
-    r = _over(F.covar_pop(x, y), w) / F.nullif(sx * sy, F.lit(0.0))
+    return correlation(_over(F.covar_pop(x, y), w), sx, sy)
+
+
+def correlation(covariance: Column, sx: Column, sy: Column) -> Column:
+    """The same from a covariance and both deviations (population)."""
+    r = covariance / F.nullif(sx * sy, F.lit(0.0))
     return F.when(sx.isNull(), F.lit(None).cast("double")).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(r, F.lit(0.0)))))
 
 

@@ -10,7 +10,7 @@ from condmon.config import AnomalySettings
 from condmon.functions import stats
 from condmon.functions.chunks import numbered, sliding
 from condmon.functions.folds import Fold, field, ordered
-from condmon.functions.windows import RankCorrelation
+from condmon.functions.windows import MOMENTS, RankCorrelation, moments
 from condmon.operators.anomaly import measure
 
 
@@ -194,8 +194,10 @@ def correlate(df: DataFrame, keys: list[str], order: list[str], x: str, y: str,
         if method == "spearman":
             pairs = d.withColumn("__x", F.col(x).cast("double")).withColumn("__y", F.col(y).cast("double"))
             return ordered(pairs, k, order, RankCorrelation(window)).drop("__x", "__y")
-        w = stats.trailing(k, order, window)
-        return d.withColumn("correlation", F.when(F.count(F.lit(1)).over(w) >= 3, stats.pearson(F.col(x), F.col(y), w)))
+        made = moments(d, k, order, x, y, window)
+        sx, sy = (F.when(F.col(f"__n{c}") > 0, F.sqrt(F.col(f"__s{c}{c}") / F.col(f"__n{c}"))) for c in "xy")
+        r = stats.correlation(F.when(F.col("__nxy") > 0, F.col("__sxy") / F.col("__nxy")), sx, sy)
+        return made.withColumn("correlation", F.when(F.col("__n") >= 3, r)).drop(*[f.name for f in MOMENTS])
 
     out = found(df, keys) if bucket is None else sliding(df, keys, order, bucket, window, found, chunk)
     return out.withColumn("is_anomalous", F.abs("correlation") < threshold)
