@@ -171,17 +171,16 @@ def mahalanobis(df: DataFrame, entity: list[str], order: list[str], vector: str,
 
 
 def mahalanobis_2d(df: DataFrame, entity: list[str], order: list[str], x: str, y: str, window: int = 100) -> DataFrame:
-    """The two-dimensional case in closed form over window aggregates: no Python."""
-    w = stats.trailing(entity, order, window)
-    a, b, c = F.var_samp(x).over(w), F.covar_samp(x, y).over(w), F.var_samp(y).over(w)
-    df = df.withColumn("__a", a).withColumn("__b", b).withColumn("__c", c).withColumn("__n", F.count(F.lit(1)).over(w))
-    df = df.withColumn("__dx", F.col(x) - F.avg(x).over(w)).withColumn("__dy", F.col(y) - F.avg(y).over(w))
+    """The two-dimensional case in closed form over the moments of each window."""
+    sample = lambda s, n: F.when(F.col(n) > 1, F.col(s) / (F.col(n) - 1))
+    df = moments(df, entity, order, x, y, window)
+    df = df.withColumn("__a", sample("__sxx", "__nx")).withColumn("__b", sample("__sxy", "__nxy")).withColumn("__c", sample("__syy", "__ny"))
     ridge = F.greatest(F.lit(1e-6), F.lit(1e-6) * F.greatest("__a", "__c"))
     df = df.withColumn("__p", F.col("__a") + ridge).withColumn("__q", F.col("__c") + ridge)
     square = (F.col("__q") * F.pow("__dx", F.lit(2.0)) - 2 * F.col("__b") * F.col("__dx") * F.col("__dy") + F.col("__p") * F.pow("__dy", F.lit(2.0))) / (F.col("__p") * F.col("__q") - F.col("__b") * F.col("__b"))
     df = df.withColumn("distance", F.when(F.col("__n") >= 10, F.sqrt(F.greatest(square, F.lit(0.0)))))
     level = F.when(F.col("distance") > float(np.sqrt(6.0)), "critical").when(F.col("distance") > 2.0, "warning").when(F.col("distance").isNotNull(), "normal")
-    return df.withColumn("severity", level).drop("__a", "__b", "__c", "__n", "__dx", "__dy", "__p", "__q")
+    return df.withColumn("severity", level).drop("__a", "__b", "__c", "__p", "__q", *[f.name for f in MOMENTS])
 
 
 def correlate(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, window: int = 100, method: str = "pearson", threshold: float = 0.7, bucket: Column | None = None, chunk: int = 1_000_000) -> DataFrame:

@@ -115,3 +115,17 @@ def test_correlation_of_short_series_is_dealt_once(spark, small_batches):
     plain = lambda df: {(r.k, r.seq): r.correlation for r in df.collect()}
     assert plain(whole) == pytest.approx(plain(cut), abs=1e-9, nan_ok=True)
     assert plain(whole)["d", 11] == plain(cut)["d", 11] is None  # no x so far
+
+
+def test_mahalanobis_2d_goes_over_no_frame_row_by_row(spark, small_batches):
+    df = pairs(spark).where("x is not null and y is not null")
+    got = multivalue.mahalanobis_2d(df, ["k"], ["seq"], "x", "y", 12)
+    assert _exchanges(got) == 1 and "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {(r.k, r.seq): r.distance for r in got.collect()}
+    rows = [(r.x, r.y) for r in df.where("k = 'a'").orderBy("seq").collect()[-12:]]
+    last = df.where("k = 'a'").agg(F.max("seq")).first()[0]
+    c = np.cov(np.array(rows).T)
+    c += np.eye(2) * max(1e-6, 1e-6 * c.diagonal().max())
+    d = np.array(rows[-1]) - np.mean(rows, axis=0)
+    assert found["a", last] == pytest.approx(float(np.sqrt(d @ np.linalg.inv(c) @ d)), abs=1e-6)
+    assert found["c", 8] is None and found["c", 11] == 0
