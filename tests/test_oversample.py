@@ -93,3 +93,35 @@ def test_tomek_links(spark):
     first = {i: j for i, _, j, _ in near_by_hand(list(at.items()), list(at.items()), 1)}
     want = sorted((i, j) for i, j in first.items() if first[j] == i and i < j and (i < 1000) != (j < 1000))
     assert sorted(map(tuple, oversample.tomek_links(df, "id", "v", "y").collect())) == want and want
+
+
+def test_pivots_are_searched_in_two_levels(monkeypatch):
+    """A point meets about twice the root of the pivots, not all; no cell that holds a point within the bound stays closed; other cells mostly do."""
+    rng = np.random.default_rng(4)
+    x = np.unique(rng.integers(0, 400, (6000, 2)), axis=0).astype(float)
+    pivots, made, plain = oversample.Pivots(rng.permutation(x)[:900]), [0], oversample._squares
+
+    def counted(a, b):
+        made[0] += len(a) * len(b)
+        return plain(a, b)
+
+    monkeypatch.setattr(oversample, "_squares", counted)
+    cell, reach, far = pivots.place(x)
+    assert made[0] < len(x) * 900 / 5
+    np.testing.assert_allclose(reach, np.sqrt(((x - pivots.points[cell]) ** 2).sum(axis=1)))
+    radius, top_radius = np.full(900, -1.0), np.full(len(pivots.top), -1.0)
+    np.maximum.at(radius, cell, reach)
+    np.maximum.at(top_radius, pivots.top_of[cell], far)
+    asked = x[:300]
+    found = np.sort(plain(asked, x), axis=1)[:, 5]
+    for bound in (np.sqrt(found), np.full(300, np.inf)):
+        opened = {(int(q), int(c)) for row, cells, _ in pivots.open(asked, cell[:300], bound, radius, top_radius, 6) for q, c in zip(row, cells, strict=True)}
+        needed = {(q, int(cell[j])) for q in range(300) for j in np.flatnonzero(plain(asked[q : q + 1], x)[0] <= found[q]) if cell[j] != cell[q]}
+        assert needed and needed <= opened
+        assert len(opened) < 300 * 900 / (20 if np.isfinite(bound[0]) else 2)
+
+
+def test_nearest_ids_of_many_rows_at_once():
+    square = np.array([[4.0, 1.0, 1.0], [9.0, 9.0, 0.0], [5.0, 6.0, 7.0]])
+    row, near, who = oversample._nearest_ids(square, np.array([np.inf, 9.0, 4.0]), np.array([5, 8, 3, 2, 7]), np.array([0, 2, 3, 5]), 3)
+    assert list(zip(row.tolist(), near.tolist(), who.tolist(), strict=True)) == [(0, 1.0, 2), (0, 1.0, 3), (0, 1.0, 7), (1, 0.0, 2), (1, 0.0, 7), (1, 9.0, 3)]
