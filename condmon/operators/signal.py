@@ -18,11 +18,17 @@ from pyspark.sql import types as T
 
 from condmon.config import SignalSettings
 from condmon.functions import stats
+from condmon.functions.lineage import written
 
 #: Zone limits (mm/s) of the machine classes.
 ISO_LIMITS = {"class1": (0.71, 1.8, 4.5), "class2": (1.12, 2.8, 7.1), "class3": (1.8, 4.5, 11.2), "class4": (2.8, 7.1, 18.0)}
 #: Samples that sample entropy looks at, and its embedding length and tolerance.
 ENTROPY_SAMPLES, ENTROPY_M, ENTROPY_R = 2000, 2, 0.2
+#: Samples that a kernel over many frames takes at a time.
+TOGETHER = 1 << 20
+#: Rows that one group of a fleet's matches gives at most, about; peaks in one list; parts that the groups are dealt over,
+#: a number of their own as so few bytes give so many rows that parts dealt by bytes would be too few.
+GIVEN, LISTED, PARTS = 1 << 24, 4096, 256
 
 
 # Kernels -------------------------------------------------------------------
@@ -171,8 +177,12 @@ def rahmonics(c: np.ndarray, rate: float, least: float = 0.1) -> list[tuple[floa
 PEAKS = T.ArrayType(T.StructType([T.StructField("frequency", T.DoubleType()), T.StructField("magnitude", T.DoubleType()), T.StructField("normalized", T.DoubleType())]))
 
 
-def per_frame(df: DataFrame, fields: list[T.StructField], kernel: Callable[[np.ndarray, float], dict], samples: str = "samples", rate: str = "sampling_rate", size: int | None = None) -> DataFrame:
-    """Adds the kernel's results for each frame; with ``size`` only its newest samples count.  Frames that are null or hold a value that is not finite get nulls."""
+def per_frame(df: DataFrame, fields: list[T.StructField], kernel: Callable[[np.ndarray, float], dict], samples: str = "samples", rate: str = "sampling_rate", size: int | None = None, first: Callable[[np.ndarray, float], np.ndarray] | None = None) -> DataFrame:
+    """Adds the kernel's results for each frame; with ``size`` only its newest samples count.  Frames that are null or hold a value that is not finite get nulls.
+
+    ``first`` runs over the last axis of many frames of one length and rate at
+    once; the kernel then gets its rows instead of the samples.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
     names = [f.name for f in fields]
@@ -183,11 +193,22 @@ def per_frame(df: DataFrame, fields: list[T.StructField], kernel: Callable[[np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             frames, rates = (batch.column(batch.schema.get_field_index(c)) for c in (samples, rate))
-            out: list[dict] = []
-            for frame, fs in zip(frames, rates.to_pylist(), strict=True):
+            out: list[dict] = [{} for _ in range(batch.num_rows)]
+            alike: dict[tuple, list[tuple[int, np.ndarray]]] = {}
+            for i, (frame, fs) in enumerate(zip(frames, rates.to_pylist(), strict=True)):
                 x = np.asarray(frame.values.to_numpy(zero_copy_only=False), dtype=np.float64) if frame.is_valid else None
-                good = x is not None and len(x) > 0 and fs is not None and np.isfinite(x).all()
-                out.append(kernel(x[-size:] if size else x, fs) if good else {})
+                if x is None or not len(x) or fs is None or not np.isfinite(x).all():
+                    continue
+                x = x[-size:] if size else x
+                if first is None:
+                    out[i] = kernel(x, fs)
+                else:
+                    alike.setdefault((len(x), fs), []).append((i, x))
+            for (n, fs), held in alike.items():
+                step = max(1, TOGETHER // n)
+                for lot in (held[k : k + step] for k in range(0, len(held), step)):
+                    for (i, _), y in zip(lot, first(np.stack([x for _, x in lot]), fs), strict=True):
+                        out[i] = kernel(y, fs)
             columns = [pa.array([r.get(n) for r in out], type=k) for n, k in zip(names, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*kept, *names])
 
@@ -282,11 +303,10 @@ def envelope_spectrum(df: DataFrame, s: SignalSettings, threshold: float = 0.05)
     """Adds ``envelope`` and ``peaks`` of its spectrum."""
     fields = [T.StructField("envelope", T.ArrayType(T.DoubleType())), T.StructField("peaks", PEAKS)]
 
-    def kernel(x: np.ndarray, rate: float) -> dict:
-        e = envelope(x, rate, s.low_hz, s.high_hz)
+    def kernel(e: np.ndarray, rate: float) -> dict:
         return {"envelope": e.tolist(), "peaks": _peaks(*spectrum(e, rate, s.window), threshold)}
 
-    return per_frame(df, fields, kernel, size=s.fft_size)
+    return per_frame(df, fields, kernel, size=s.fft_size, first=lambda x, rate: envelope(x, rate, s.low_hz, s.high_hz))
 
 
 def fault_table(spark, rates: dict[str, float], harmonics: int = 3) -> DataFrame:
@@ -313,22 +333,42 @@ def fleet_faults(machines: DataFrame, keys: list[str], rates: dict[str, Column],
 def match_fleet(frames: DataFrame, faults: DataFrame, s: SignalSettings, machine: list[str], keys: list[str], high: float = 0.5, low: float = 0.2) -> DataFrame:
     """:func:`match_faults` with a fault table for each machine, of any size (:func:`fleet_faults`); ``machine`` are columns of both.
 
-    A band join: frequencies fall into buckets of a constant ratio, a target is
-    in the few that its tolerance reaches, and both sides meet by machine and
-    bucket.  Nothing is broadcast by hand and no machine's peaks meet all of its
-    faults.  Null machines match nothing; frequencies of 0 are no peaks.
+    Peaks of many frames share few frequencies, so the different ones are matched
+    first, by a band join: targets fall into buckets of a constant ratio, a
+    frequency is in the few that its tolerance reaches, and both sides meet by
+    machine and bucket.  Each match then meets the peaks of its frequency, packed
+    in lists; the matches of a frequency are dealt over as many lots as its rows
+    need, each with the lists.  Only the last step, the result itself, grows with
+    frames times machines.  Nothing is broadcast by hand.  Null machines match
+    nothing; frequencies of 0 are no peaks.
     """
     width = math.log1p(max(s.tolerance, 1e-3))
     bucket = lambda f: F.floor(F.ln(f) / width)
-    each = frames.select(*dict.fromkeys([*machine, *keys]), F.explode("peaks").alias("p")).select(*dict.fromkeys([*machine, *keys]), "p.*").where("frequency > 0")
-    each = each.withColumn("__bucket", bucket(F.col("frequency")))
+    own, at = [*dict.fromkeys([*machine, *keys])], [*machine, "frequency"]
+    each = frames.select(*own, F.explode("peaks").alias("p")).select(*own, "p.*").where((F.col("frequency") > 0) & (F.col("frequency") < math.inf))
+    each = written(each, "fleet-peaks")
+    packed = [c for c in each.columns if c not in at]
     # one bucket more on either side: the ends of a band are rounded
-    reach = F.sequence(bucket(F.col("target") * max(1 - s.tolerance, 1e-9)) - 1, bucket(F.col("target") * (1 + s.tolerance)) + 1)
-    near = faults.where("target > 0").withColumn("__bucket", F.explode(reach))
+    reach = F.sequence(bucket(F.col("frequency") / (1 + s.tolerance)) - 1, bucket(F.col("frequency") / max(1 - s.tolerance, 1e-9)) + 1)
+    different = each.groupBy(*at).agg(F.count(F.lit(1)).alias("__peaks")).withColumn("__bucket", F.explode(reach))
+    near = faults.where("target > 0").withColumn("__bucket", bucket(F.col("target")))
     deviation = F.abs(F.col("frequency") - F.col("target")) / F.col("target")
+    met = different.join(near, [*machine, "__bucket"]).withColumn("deviation", deviation).where(F.col("deviation") <= s.tolerance).drop("__bucket")
+    met = written(met, "fleet-met")
+    n = F.col("__met")
+    lots = F.greatest(F.lit(1), F.least(n, F.ceil(n * F.col("__peaks") / GIVEN))).alias("__lots")
+    sizes = met.groupBy(*at, "__peaks").agg(F.count(F.lit(1)).alias("__met")).select(*at, "__peaks", lots)
+    found = [c for c in met.columns if c not in (*at, "__peaks")]
+    dealt = met.drop("__peaks").join(sizes.drop("__peaks"), at).withColumn("__lot", F.pmod(F.xxhash64(*found), F.col("__lots"))).drop("__lots")
+    # as text, for a join deals doubles anew
+    text, on = F.col("frequency").cast("string").alias("__hz"), [*machine, "__hz", "__lot"]
+    dealt = dealt.select("*", text).repartition(PARTS, *on)
+    cut = F.pmod(F.xxhash64(*packed), F.ceil(F.col("__peaks") / LISTED)).alias("__cut")
+    lists = each.join(sizes, at).groupBy(*at, "__lots", cut).agg(F.collect_list(F.struct(*packed)).alias("__list"))
+    lists = lists.select(*machine, text, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__lots") - 1)).alias("__lot"), "__list")
     level = F.when(F.col("magnitude") > high, "high").when(F.col("magnitude") > low, "medium").otherwise("low")
-    met = each.join(near, [*machine, "__bucket"]).withColumn("deviation", deviation).where(F.col("deviation") <= s.tolerance)
-    return met.withColumn("severity", level).drop("__bucket")
+    out = dealt.join(lists, on).select(*at, *found, F.explode("__list").alias("__p")).select(*at, *found, "__p.*")
+    return out.select(*each.columns, *found, level.alias("severity"))
 
 
 def cepstral(df: DataFrame, s: SignalSettings) -> DataFrame:

@@ -455,8 +455,11 @@ def sa_fleet_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     machines = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("series_id"), F.col("user_id").alias("machine")).agg(F.avg("value").alias("speed"))
     speed = F.col("speed")
     faults = signal.fleet_faults(machines, ["series_id", "machine"], {"1X": speed, "BPFO": speed * 3.56, "BPFI": speed * 5.4, "FTF": speed * 0.4})
-    out = signal.match_fleet(signal.envelope_spectrum(frames(spark, sf_dir), s), faults, s, KEYS, ["series_id", "frame"])
-    return out.select("series_id", "frame", "machine", "fault", F.col("harmonic").cast("int").alias("harmonic"), _r("frequency"), _r("target"))
+    # rounded where they are made, not once for each of many more matches
+    faults = faults.withColumn("shown_target", _r("target"))
+    spectra = signal.envelope_spectrum(frames(spark, sf_dir), s).withColumn("peaks", F.transform("peaks", lambda p: p.withField("shown_frequency", F.round(p["frequency"], 6) + F.lit(0.0))))
+    out = signal.match_fleet(spectra, faults, s, KEYS, ["series_id", "frame"])
+    return out.select("series_id", "frame", "machine", "fault", F.col("harmonic").cast("int").alias("harmonic"), F.col("shown_frequency").alias("frequency"), F.col("shown_target").alias("target"))
 
 
 # Trends --------------------------------------------------------------------------

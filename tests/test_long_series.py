@@ -137,3 +137,37 @@ def test_fleet_matches_equal_every_pair(spark):
     level = lambda g: "high" if g > 0.5 else "medium" if g > 0.2 else "low"
     want = {(m, i, r.fault, r.harmonic, f, level(g)) for m, i, p in peaks for f, g, _ in p for r in faults.collect() if r.m == m and f > 0 and abs(f - r.target) / r.target <= 0.05}
     assert got == want and len(want) > 20
+
+
+def test_fleet_matches_frequencies_before_frames(spark, monkeypatch):
+    """Peaks of many frames at few frequencies: what is matched grows with the machines, only the result with frames times machines; lots and lists change nothing."""
+    monkeypatch.setattr(signal, "GIVEN", 50)
+    monkeypatch.setattr(signal, "LISTED", 4)
+    monkeypatch.setattr(signal, "PARTS", 8)
+    rows, write = {}, signal.written
+    monkeypatch.setattr(signal, "written", lambda df, name: rows.setdefault(name, write(df, name)))
+    peaks = [("a", i, [(float(f), g, 1.0) for f, g in ((50, 0.6), (100, 0.1 * (i % 4)), (7, 0.9))]) for i in range(40)] + [("b", 0, [(50.0, 0.3, 1.0)]), (None, 0, [(50.0, 0.3, 1.0)]), ("a", 40, [])]
+    frames = spark.createDataFrame(peaks, "m string, frame int, peaks array<struct<frequency double, magnitude double, normalized double>>")
+    machines = spark.createDataFrame([("a", f"u{i}", 49.6 + 0.02 * i) for i in range(30)] + [("b", "w", 50.0), (None, "x", 50.0)], "m string, machine string, rate double")
+    faults = signal.fleet_faults(machines, ["m", "machine"], {"X": F.col("rate")}, harmonics=2)
+    got = signal.match_fleet(frames, faults, SignalSettings(tolerance=0.005), ["m"], ["m", "frame"]).collect()
+    near = lambda f, t: abs(f - t) / t <= 0.005
+    level = lambda g: "high" if g > 0.5 else "medium" if g > 0.2 else "low"
+    want = [(m, i, r.machine, r.harmonic, f, level(g)) for m, i, p in peaks for f, g, _ in p for r in faults.collect() if r.m == m and m is not None and near(f, r.target)]
+    assert sorted((r.m, r.frame, r.machine, r.harmonic, r.frequency, r.severity) for r in got) == sorted(want) and len(want) > 1500
+    assert rows["fleet-met"].count() == len({(m, u, h, f) for m, _, u, h, f, _ in want}) < 70
+
+
+def test_envelopes_of_many_frames_at_once(spark, monkeypatch):
+    """The filters run over frames together, whatever their order, length and rate, and give the same bits as over each alone."""
+    rng, s = np.random.default_rng(8), SignalSettings(low_hz=50.0, high_hz=300.0)
+    sizes = [256, 64, 256, 300, 256, 8, 64]
+    made = [(i, rng.exponential(20, n).tolist(), 2000.0 if i == 4 else 1000.0) for i, n in enumerate(sizes)] + [(7, None, 1000.0), (8, [], 1000.0), (9, [1.0, math.nan], 1000.0), (10, [1.0] * 256, None)]
+    df = spark.createDataFrame(made, "i int, samples array<double>, sampling_rate double").coalesce(1)
+    for together in (1 << 20, 300):
+        monkeypatch.setattr(signal, "TOGETHER", together)
+        got = {r.i: r for r in signal.envelope_spectrum(df, s).collect()}
+        assert [got[i].envelope for i in range(7, 11)] == [None] * 4 and got[7].peaks is None
+        for i, x, rate in made[:7]:
+            e = signal.envelope(np.array(x[-256:]), rate, 50.0, 300.0)
+            assert got[i].envelope == e.tolist() and [p.asDict() for p in got[i].peaks] == signal._peaks(*signal.spectrum(e, rate), 0.05)
