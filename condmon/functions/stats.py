@@ -29,6 +29,18 @@ def stddev(x: Column, w: WindowSpec | None = None) -> Column:
     return F.coalesce(_over(F.stddev_pop(x), w), F.lit(0.0))
 
 
+def array_deviation(values: Column) -> Column:
+    """Population deviation of an array by Welford's recurrence in the order of the array: the rounding of SQL, where the aggregate's own form may differ in the last bit; 0 on nothing."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def add(a: Column, x: Column) -> Column:
+        mean = a["mean"] + (x - a["mean"]) / (a["n"] + 1.0)
+        return F.struct((a["n"] + 1.0).alias("n"), mean.alias("mean"), (a["squares"] + (x - mean) * (x - a["mean"])).alias("squares"))
+
+    done = lambda a: F.coalesce(F.sqrt(a["squares"] / F.nullif(a["n"], F.lit(0.0))), F.lit(0.0))
+    return F.aggregate(values.cast("array<double>"), start, add, done)
+
+
 def stddev_sample(x: Column, w: WindowSpec | None = None) -> Column:
     """Sample; 0 under two values."""
     return F.coalesce(_over(F.stddev_samp(x), w), F.lit(0.0))
