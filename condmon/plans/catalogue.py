@@ -165,7 +165,7 @@ z AS MATERIALIZED (SELECT *, CASE WHEN n < 2 THEN NULL WHEN sd = 0 THEN 'normal'
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items by supplier as records of three sensors."""
     d = table(spark, sf_dir, "lineitem")
-    sensors = F.create_map(F.lit("quantity"), F.col("l_quantity").cast("double"), F.lit("price"), F.col("l_extendedprice").cast("double"), F.lit("discount"), F.col("l_discount").cast("double"))
+    sensors = F.struct(F.col("l_quantity").cast("double").alias("quantity"), F.col("l_extendedprice").cast("double").alias("price"), F.col("l_discount").cast("double").alias("discount"))
     return d.select(F.col("l_suppkey").alias("entity_id"), F.col("l_orderkey").alias("ts"), F.col("l_linenumber").alias("seq"), F.col("l_partkey").alias("part"), F.col("l_extendedprice").alias("price"), sensors.alias("sensors"))
 
 
